@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from . import mix_sources, quality_rules, url_filter
+from pyspark.sql import functions as F
+
+from . import bpe_codec, mix_sources, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, url_filter, weighted_fingerprint
 from .common import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_weighted_fingerprints(spark, sf_dir):
+    return weighted_fingerprint.report(table(spark, sf_dir, "documents"))
+
+
+def op2_simhash_dedup(spark, sf_dir):
+    return simhash_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -15,11 +31,21 @@ def op5_url_filters(spark, sf_dir):
 
 
 def op6_mix_sources(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     return mix_sources.report(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_url_filters, op6_mix_sources)}
+def op7_bpe_codec(spark, sf_dir):
+    return bpe_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_weighted_fingerprints, op2_simhash_dedup, op4_quality_rules, op5_url_filters, op6_mix_sources, op7_bpe_codec, op8_substring_dedup, op10_suffix_dedup)}
 
 ORACLES = {"op6_mix_sources": mix_sources.REPORT_SQL}
