@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe_codec, mix_sources, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, url_filter, weighted_fingerprint
+from . import bpe_codec, html_extract, mix_sources, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, url_filter, weighted_fingerprint
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op2_simhash_dedup(spark, sf_dir):
     return simhash_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark, sf_dir):
+    return quality_classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -42,10 +46,14 @@ def op8_substring_dedup(spark, sf_dir):
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extract(spark, sf_dir):
+    return html_extract.report(table(spark, sf_dir, "pages"))
+
+
 def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_weighted_fingerprints, op2_simhash_dedup, op4_quality_rules, op5_url_filters, op6_mix_sources, op7_bpe_codec, op8_substring_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_weighted_fingerprints, op2_simhash_dedup, op3_quality_classifier, op4_quality_rules, op5_url_filters, op6_mix_sources, op7_bpe_codec, op8_substring_dedup, op9_html_extract, op10_suffix_dedup)}
 
 ORACLES = {"op6_mix_sources": mix_sources.REPORT_SQL}
