@@ -2,5 +2,571 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import columns as C
+from .operators import align, evaluate, gates, intervals, nominate, prepare, resample, score, stats
+from .operators.order import average_ranks, top_k
+from .plans import fixtures as X
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *ctes: str):
+    """Registers a query, and its SQL if there is one (common table expressions first)."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = (f"WITH {', '.join(c.strip() for c in ctes)} " if ctes else "") + sql
+        return f
+
+    return add
+
+
+def _r(x, digits: int = 6):
+    return F.round(x, digits)
+
+
+REGION = ["ord", "chrom", "start_pos", "end_pos"]
+R = "ord, chrom, start_pos, end_pos"
+
+
+def _aligned(spark, d):
+    return align.aligned(*X.states(spark, d))
+
+
+# --- two states: alignment, shift, scores, direction --------------------------------------------------------------
+
+
+@query(f"SELECT {R}, round(shift, 6) AS shift, round((row_number() OVER (ORDER BY shift, ord) - 1)::DOUBLE / greatest(count(*) OVER () - 1, 1), 6) AS driver_score FROM aligned", X.STATES_SQL)
+def shift_scores(spark, d):
+    return score.driver_score(_aligned(spark, d)).select(*REGION, _r("shift").alias("shift"), _r("driver_score").alias("driver_score"))
+
+
+@query(f"SELECT {R}, round((shift - min(shift) OVER ()) / (max(shift) OVER () - min(shift) OVER ()), 6) AS driver_score FROM aligned", X.STATES_SQL)
+def shift_minmax(spark, d):
+    return score.driver_score(_aligned(spark, d), method="minmax").select(*REGION, _r("driver_score").alias("driver_score"))
+
+
+@query(f"SELECT {R}, round(delta, 6) AS delta FROM aligned", X.STATES_SQL)
+def signed_delta(spark, d):
+    return _aligned(spark, d).select(*REGION, _r("delta").alias("delta"))
+
+
+@query(f"SELECT {R}, round(delta / max(abs(delta)) OVER (), 6) AS direction FROM aligned", X.STATES_SQL)
+def direction_maxabs(spark, d):
+    return score.direction(_aligned(spark, d)).select(*REGION, _r("direction").alias("direction"))
+
+
+@query(f"SELECT {R}, CASE WHEN delta IS NOT NULL THEN round(greatest(-1, least(1, delta)), 6) END AS direction FROM base", X.CONTRACT_SQL)
+def direction_raw(spark, d):
+    return score.direction(X.contract(spark, d), method="raw").select(*REGION, _r("direction").alias("direction"))
+
+
+@query(
+    f"""SELECT {R}, round(sign(delta) * (row_number() OVER (ORDER BY abs(delta), ord) - 1) / greatest(count(*) OVER () - 1, 1), 6) AS direction FROM base WHERE delta IS NOT NULL
+    UNION ALL SELECT {R}, NULL FROM base WHERE delta IS NULL""",
+    X.CONTRACT_SQL,
+)
+def direction_signed_rank(spark, d):
+    return score.direction(X.contract(spark, d), method="signed-rank").select(*REGION, _r("direction").alias("direction"))
+
+
+@query(
+    """SELECT chrom || ':' || start_pos || '-' || end_pos AS region, chrom, start_pos, end_pos, round(greatest(0, least(1, driver_score)), 4) AS driver_score,
+    CASE WHEN direction IS NOT NULL THEN round(greatest(-1, least(1, direction)), 4) END AS direction FROM con WHERE ord % 7 < 5""",
+    X.CONTRACT_SQL,
+)
+def contract_encode(spark, d):
+    rows = X.contract(spark, d).where("ord % 7 < 5").select(C.region_key().alias("region"), C.score_field(F.col("driver_score")).alias("driver_score"), C.direction_field(F.col("direction")).alias("direction"))
+    return rows.select("region", C.region_parts(F.col("region")).alias("p"), "driver_score", "direction").select("region", "p.*", "driver_score", "direction")
+
+
+@query(f"SELECT {R}, round(t.raw_score, 6) AS value FROM con LEFT JOIN (SELECT ord AS k, raw_score FROM con WHERE ord % 3 <> 0) t ON t.k = con.ord".replace("ord, chrom", "con.ord, chrom"), X.CONTRACT_SQL)
+def value_track_attach(spark, d):
+    con = X.contract(spark, d)
+    track = con.where("ord % 3 <> 0")
+    twice = track.withColumn("raw_score", F.lit(-1.0)).withColumn("ord", F.col("ord") - 1_000_000).unionByName(track)
+    return align.attach_value(con.select(REGION), twice, "raw_score").select(*REGION, _r("value").alias("value"))
+
+
+@query(
+    """SELECT con.ord, CASE WHEN t.confound IS NULL THEN 0 ELSE round(greatest(0, least(1, t.confound / c)), 6) END AS atpm, t.confound IS NOT NULL AS has_atpm
+    FROM con LEFT JOIN track t ON t.ord = con.ord, cap""",
+    X.CONTRACT_SQL,
+    "track AS (SELECT * FROM con WHERE confound IS NOT NULL)",
+    "cap AS (SELECT quantile_cont(confound, 0.99) AS c FROM track WHERE confound > 0)",
+)
+def model_input_fill(spark, d):
+    con = X.contract(spark, d)
+    track = prepare.scaled_accessibility(con.where("confound is not null"), "confound")
+    return align.attach_value(con.select(REGION), track, "atpm_confound", "atpm", default=0.0).select("ord", _r("atpm").alias("atpm"), "has_atpm")
+
+
+# --- intervals ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT ord, ord IN (SELECT ord FROM pairs) AS label FROM regions", X.INTERVALS_SQL)
+def overlap_labels(spark, d):
+    regions, anchors = X.intervals(spark, d)
+    return intervals.overlap_flag(regions, anchors).select("ord", "label")
+
+
+@query("SELECT ord, ord IN (SELECT ord FROM pairs) AS label FROM regions", X.INTERVALS_SQL)
+def overlap_labels_binned(spark, d):
+    regions, anchors = X.intervals(spark, d)
+    return intervals.overlap_flag(regions, anchors, small=-1).select("ord", "label")
+
+
+@query("SELECT r.ord, round(max(r_value), 6) AS signal FROM regions r LEFT JOIN pairs USING (ord) GROUP BY r.ord", X.INTERVALS_SQL)
+def overlap_max_signal(spark, d):
+    regions, anchors = X.intervals(spark, d)
+    return intervals.max_signal(regions, anchors).select("ord", _r("signal").alias("signal"))
+
+
+@query("SELECT r.ord, arg_min(r_gene, (r_start_pos, r_ord)) AS gene FROM regions r LEFT JOIN pairs USING (ord) GROUP BY r.ord", X.INTERVALS_SQL)
+def gene_first_by_start(spark, d):
+    regions, anchors = X.intervals(spark, d)
+    return intervals.first_name(regions, anchors).select("ord", "gene")
+
+
+@query("SELECT r.ord, coalesce(arg_min(r_gene, r_ord), '') AS gene FROM regions r LEFT JOIN pairs USING (ord) GROUP BY r.ord", X.INTERVALS_SQL)
+def gene_first_by_order(spark, d):
+    regions, anchors = X.intervals(spark, d)
+    return intervals.first_name(regions, anchors, "file", "").select("ord", "gene")
+
+
+GENES = [f"g{i}" for i in range(0, 40, 5)]
+
+
+@query(
+    "SELECT r.ord, " + ", ".join(f"round(coalesce(sum(CASE WHEN r_gene = '{g}' THEN r_value END), 0), 6) AS {g}" for g in GENES) + " FROM regions r LEFT JOIN pairs USING (ord) GROUP BY r.ord",
+    X.INTERVALS_SQL,
+)
+def overlap_pairs_sum_pivot(spark, d):
+    regions, anchors = X.intervals(spark, d)
+    sums = prepare.motif_sums(regions, anchors.withColumnRenamed("gene", "motif"))
+    return prepare.motif_matrix(regions.select("ord"), sums, GENES).select("ord", *[_r(g).alias(g) for g in GENES])
+
+
+@query(
+    "SELECT ord, motif, round(score / CASE WHEN max(score) OVER (PARTITION BY motif) = 0 THEN 1 ELSE max(score) OVER (PARTITION BY motif) END, 6) AS score FROM sums",
+    X.INTERVALS_SQL,
+    "sums AS (SELECT ord, r_gene AS motif, sum(r_value) AS score FROM pairs GROUP BY ALL)",
+)
+def motif_max_normalised(spark, d):
+    regions, anchors = X.intervals(spark, d)
+    sums = prepare.motif_sums(regions, anchors.withColumnRenamed("gene", "motif"))
+    top = F.max("score").over(W.partitionBy("motif"))
+    return sums.withColumn("score", F.col("score") / F.when(top == 0, F.lit(1.0)).otherwise(top)).select("ord", "motif", _r("score").alias("score"))
+
+
+MERGE_SQL = """marked AS (SELECT *, max(end_pos) OVER (PARTITION BY chrom ORDER BY start_pos, end_pos, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ivs),
+islands AS (SELECT *, sum(CASE WHEN before IS NULL OR start_pos > before THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start_pos, end_pos, ord ROWS UNBOUNDED PRECEDING) AS island FROM marked)"""
+
+
+@query("SELECT chrom, min(start_pos) AS start_pos, max(end_pos) AS end_pos, count(*) AS n_parts FROM islands GROUP BY chrom, island", X.INTERVALS_SQL, MERGE_SQL)
+def merge_union_peaks(spark, d):
+    regions, anchors = X.intervals(spark, d)
+    return intervals.merged(regions.unionByName(anchors.drop("gene")))
+
+
+@query("SELECT r_ord, min(ord) AS first_peak FROM pairs GROUP BY r_ord", X.INTERVALS_SQL)
+def snap_universe(spark, d):
+    return intervals.snap(*X.intervals(spark, d))
+
+
+@query("SELECT ord, unnest(p).r_ord AS partner, unnest(p).n AS overlap FROM (SELECT ord, [arg_max({'r_ord': r_ord, 'n': n}, (n, -r_ord))] AS p FROM (SELECT *, least(end_pos, r_end_pos) - greatest(start_pos, r_start_pos) AS n FROM pairs) GROUP BY ord)", X.INTERVALS_SQL)
+def max_overlap_pair(spark, d):
+    return intervals.widest_partner(*X.intervals(spark, d))
+
+
+@query("SELECT r.ord, round(coalesce(sum(r_value * (least(r.end_pos, r_end_pos) - greatest(r.start_pos, r_start_pos))), 0) / (r.end_pos - r.start_pos), 6) AS mean0 FROM regions r LEFT JOIN pairs USING (ord) GROUP BY r.ord, r.start_pos, r.end_pos", X.INTERVALS_SQL)
+def mean_over_regions(spark, d):
+    return intervals.weighted_mean(*X.intervals(spark, d)).select("ord", _r("mean0").alias("mean0"))
+
+
+BLOCK = 100_000
+CHAIN_SQL = f"""blocks AS (SELECT DISTINCT chrom, start_pos // {BLOCK} AS b FROM ivs UNION SELECT DISTINCT chrom, end_pos // {BLOCK} FROM ivs),
+chain AS (SELECT chrom, b, b * {BLOCK} AS s, CASE WHEN b % 3 = 2 THEN b * {BLOCK} + {BLOCK} ELSE b * {BLOCK} + 7 END AS t, CASE WHEN b % 3 = 2 THEN -1 ELSE 1 END AS sign, chrom || (b % 2) AS to_chrom FROM blocks WHERE b % 5 <> 4)"""
+
+
+@query(
+    """SELECT r.ord, x.to_chrom AS chrom, least(x.t + x.sign * (r.start_pos - x.s), y.t + y.sign * (r.end_pos - y.s)) AS start_pos, greatest(x.t + x.sign * (r.start_pos - x.s), y.t + y.sign * (r.end_pos - y.s)) AS end_pos
+    FROM regions r JOIN chain x ON x.chrom = r.chrom AND x.b = r.start_pos // %d JOIN chain y ON y.chrom = r.chrom AND y.b = r.end_pos // %d
+    WHERE x.to_chrom = y.to_chrom AND x.t + x.sign * (r.start_pos - x.s) <> y.t + y.sign * (r.end_pos - y.s)""" % (BLOCK, BLOCK),
+    X.INTERVALS_SQL,
+    CHAIN_SQL,
+)
+def lift_regions(spark, d):
+    regions, anchors = X.intervals(spark, d)
+    all_ = regions.unionByName(anchors.drop("gene"))
+    ends = all_.select("chrom", F.explode(F.array("start_pos", "end_pos")).alias("at"))
+    b = ends.select("chrom", F.floor(F.col("at") / BLOCK).alias("b")).distinct().where("b % 5 <> 4")
+    back = F.col("b") % 3 == 2
+    chain = b.select(
+        "chrom", (F.col("b") * BLOCK).alias("start_pos"), (F.col("b") * BLOCK + BLOCK).alias("end_pos"), F.col("b").alias("ord"), F.concat("chrom", (F.col("b") % 2).cast("string")).alias("to_chrom"),
+        F.when(back, F.col("b") * BLOCK + BLOCK).otherwise(F.col("b") * BLOCK + 7).alias("to_start"), F.when(back, -1).otherwise(1).alias("sign"),
+    )
+    return intervals.lifted(regions.select(REGION), chain, "swap").select(REGION)
+
+
+@query("SELECT count(*) AS n, sum(CASE WHEN cover >= 2 THEN 1 ELSE 0 END) AS n_shared FROM (SELECT count(DISTINCT r_gene) AS cover FROM regions r LEFT JOIN pairs USING (ord) GROUP BY r.ord)", X.INTERVALS_SQL)
+def core_set(spark, d):
+    regions, anchors = X.intervals(spark, d)
+    cover = intervals.overlap_aggregate(regions, anchors, cover=F.countDistinct("r_gene"))
+    return cover.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cover") >= 2).alias("n_shared"))
+
+
+@query(
+    "SELECT chrom, start_pos, end_pos, count(*) AS n_parts, count(DISTINCT panel) AS n_panels FROM (SELECT chrom, island, min(start_pos) OVER w AS start_pos, max(end_pos) OVER w AS end_pos, ord % 3 AS panel FROM islands WINDOW w AS (PARTITION BY chrom, island)) GROUP BY chrom, island, start_pos, end_pos HAVING count(DISTINCT panel) >= 2",
+    X.INTERVALS_SQL,
+    MERGE_SQL.replace("FROM ivs", "FROM (SELECT * FROM ivs WHERE ord % 97 <> 0)"),
+)
+def consensus_regions(spark, d):
+    regions, _ = X.intervals(spark, d)
+    return prepare.consensus([regions.where(F.col("ord") % 3 == i) for i in range(3)])
+
+
+# --- statistics ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT ord, rank() OVER (ORDER BY confound) + (count(*) OVER (PARTITION BY confound) - 1) / 2.0 AS avg_rank FROM con WHERE confound IS NOT NULL".replace("2.0", "2::DOUBLE"), X.CONTRACT_SQL)
+def avg_ranks(spark, d):
+    return average_ranks(X.contract(spark, d).where("confound is not null"), "confound").select("ord", "avg_rank")
+
+
+AUROC_SQL = "SELECT round(sum(p * (coalesce(below, 0) + 0.5::DOUBLE * q)) / (sum(p) * sum(q))::DOUBLE, 6) AS auroc FROM (SELECT p, q, sum(q) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM (SELECT {s} AS s, count(*) FILTER (label) AS p, count(*) FILTER (NOT label) AS q FROM {t} GROUP BY 1))"
+
+
+@query(AUROC_SQL.format(s="driver_score", t="con"), X.CONTRACT_SQL)
+def auroc(spark, d):
+    return stats.auroc(X.contract(spark, d)).select(_r("auroc").alias("auroc"))
+
+
+@query(AUROC_SQL.format(s="confound", t="(SELECT * FROM con WHERE confound IS NOT NULL)"), X.CONTRACT_SQL)
+def auroc_ties(spark, d):
+    return stats.auroc(X.contract(spark, d), "confound").select(_r("auroc").alias("auroc"))
+
+
+def _fold(share):
+    return f"SELECT round(avg(label::INT) FILTER (rn <= k) / avg(label::INT), 6) AS fold FROM (SELECT label, row_number() OVER (ORDER BY driver_score DESC, ord) AS rn, greatest(1, round_even(count(*) OVER () * {share}::DOUBLE, 0)) AS k FROM con)"
+
+
+@query(_fold(0.05), X.CONTRACT_SQL)
+def topk_fold(spark, d):
+    return stats.fold_enrichment(X.contract(spark, d).cache(), "driver_score", 0.05).select(_r("fold").alias("fold"))
+
+
+SHARES = [0.005, 0.01, 0.02, 0.05, 0.1]
+
+
+@query(
+    "SELECT share, k::BIGINT AS k, round((SELECT avg(label::INT) FROM ranked WHERE rn <= k) / (SELECT avg(label::INT) FROM ranked), 6) AS fold FROM (SELECT share, greatest(1, round_even(share * (SELECT count(*) FROM ranked), 0)) AS k FROM (SELECT unnest([0.005, 0.01, 0.02, 0.05, 0.1])::DOUBLE AS share))",
+    X.CONTRACT_SQL,
+    "ranked AS (SELECT label, row_number() OVER (ORDER BY driver_score DESC, ord) AS rn FROM con)",
+)
+def topk_sweep(spark, d):
+    return stats.fold_sweep(X.contract(spark, d), "driver_score", SHARES).select("share", "k", _r("fold").alias("fold"))
+
+
+BINS_SQL = """edges AS (SELECT list_sort(list_distinct(quantile_cont(confound, [i / 20 for i in range(21)]))) AS e FROM con WHERE confound IS NOT NULL),
+binned AS (SELECT con.*, len(list_filter(e[2:-2], lambda x: x <= confound)) AS bin FROM con, edges WHERE confound IS NOT NULL)"""
+
+
+@query("SELECT ord, bin::INT AS bin FROM binned", X.CONTRACT_SQL, BINS_SQL)
+def quantile_bins(spark, d):
+    con = X.contract(spark, d).where("confound is not null")
+    return con.select("ord", stats.bin_of(F.col("confound"), stats.quantile_edges(con, "confound")).alias("bin"))
+
+
+MATCHED_SQL = """per AS (SELECT bin, least(count(*) FILTER (NOT label), 3 * count(*) FILTER (label)) AS want FROM binned GROUP BY bin HAVING count(*) FILTER (label) > 0 AND count(*) FILTER (NOT label) > 0),
+drawn AS (SELECT ord, bin, row_number() OVER (PARTITION BY bin ORDER BY md5(chrom || ':' || start_pos || '-' || end_pos || '|0')) AS rn FROM binned WHERE NOT label),
+matched AS (SELECT ord FROM drawn JOIN per USING (bin) WHERE rn <= want)"""
+
+
+@query("SELECT ord FROM matched", X.CONTRACT_SQL, BINS_SQL, MATCHED_SQL)
+def matched_background(spark, d):
+    return stats.matched_negatives(X.contract(spark, d), "confound").select("ord")
+
+
+@query("SELECT ord FROM (SELECT ord, row_number() OVER (ORDER BY md5(chrom || ':' || start_pos || '-' || end_pos || '|1')) AS rn FROM con WHERE NOT label) WHERE rn <= 100", X.CONTRACT_SQL)
+def random_background(spark, d):
+    return stats.random_negatives(X.contract(spark, d), 100).select("ord")
+
+
+SAMPLE_SQL = "sample AS (SELECT * FROM con WHERE confound IS NOT NULL AND (label OR ord IN (SELECT ord FROM matched)))"
+
+
+@query(f"SELECT (SELECT count(*) FROM sample WHERE label) AS n_pos, (SELECT count(*) FROM sample WHERE NOT label) AS n_neg, ({AUROC_SQL.format(s='driver_score', t='sample')}) AS auroc", X.CONTRACT_SQL, BINS_SQL, MATCHED_SQL, SAMPLE_SQL)
+def claim1_point_estimates(spark, d):
+    con = X.contract(spark, d).where("confound is not null").cache()
+    sample = evaluate.matched_sample(con, "confound")
+    counts = sample.agg(F.count_if("label").alias("n_pos"), F.count_if(~F.col("label")).alias("n_neg"))
+    return counts.join(F.broadcast(stats.auroc(sample))).select("n_pos", "n_neg", _r("auroc").alias("auroc"))
+
+
+@query(f"SELECT ({AUROC_SQL.format(s='driver_score', t='sample')}) AS auroc_driver, ({AUROC_SQL.format(s='direction', t='sample')}) AS auroc_signed", X.CONTRACT_SQL.replace("), con AS", "), con_all AS") + ", con AS (SELECT * FROM con_all WHERE direction > 0)", BINS_SQL, MATCHED_SQL, SAMPLE_SQL)
+def paired_delta_auroc_point(spark, d):
+    con = evaluate.kept(X.contract(spark, d), signed="direction", opening=True).cache()
+    sample = evaluate.matched_sample(con, "confound")
+    return stats.auroc(sample, "driver_score", name="auroc_driver").join(F.broadcast(stats.auroc(sample, "direction", name="auroc_signed"))).select(_r("auroc_driver").alias("auroc_driver"), _r("auroc_signed").alias("auroc_signed"))
+
+
+def _expected(con):
+    return con.withColumn("expected", F.when(F.col("ord") % 2 == 0, 1).otherwise(-1))
+
+
+EXPECTED_SQL = "exp AS (SELECT *, CASE WHEN ord % 2 = 0 THEN 1 ELSE -1 END AS expected FROM con)"
+
+
+@query("SELECT b.bin::INT AS bin, low, high, count(direction) AS n, round(avg((sign(direction) = expected)::INT), 6) AS accuracy FROM (SELECT unnest([0,1,2,3,4,5]) AS bin, unnest([0, .02, .05, .1, .2, .5])::DOUBLE AS low, unnest([.02, .05, .1, .2, .5, 1.01])::DOUBLE AS high) b LEFT JOIN exp ON abs(direction) >= low AND abs(direction) < high AND direction <> 0 GROUP BY ALL", X.CONTRACT_SQL, EXPECTED_SQL)
+def sign_accuracy_strata(spark, d):
+    out = stats.accuracy_by_size(_expected(X.contract(spark, d)))
+    return out.select("bin", "low", "high", "n", _r("accuracy").alias("accuracy"))
+
+
+@query("SELECT round((a + b) / 2, 6) AS balanced_accuracy, n FROM (SELECT avg((direction > 0)::INT) FILTER (expected = 1) AS a, avg((direction < 0)::INT) FILTER (expected = -1) AS b, count(*) AS n FROM exp WHERE direction <> 0)", X.CONTRACT_SQL, EXPECTED_SQL)
+def balanced_accuracy(spark, d):
+    per = stats.sign_accuracy(_expected(X.contract(spark, d)), ["expected"])
+    both = F.count("accuracy") == 2
+    return per.agg(_r(F.when(both, F.avg("accuracy"))).alias("balanced_accuracy"), F.sum("n_signed").alias("n"))
+
+
+@query("SELECT round(avg((direction > 0)::INT), 6) AS opening_rate FROM con WHERE direction <> 0", X.CONTRACT_SQL)
+def opening_rate(spark, d):
+    return stats.opening_rate(X.contract(spark, d)).select(_r("opening_rate").alias("opening_rate"))
+
+
+@query("SELECT count(*) FILTER (direction > 0) AS opening, count(*) FILTER (direction < 0) AS closing, count(*) FILTER (direction = 0) AS flat, count(*) FILTER (direction IS NULL) AS unmeasured FROM con", X.CONTRACT_SQL)
+def direction_tally(spark, d):
+    return score.tally(X.contract(spark, d))
+
+
+@query("SELECT count(direction) AS n_measured, count(*) AS n, round(100.0 * count(direction) / count(*), 4)::DOUBLE AS percent FROM con", X.CONTRACT_SQL)
+def signal_coverage(spark, d):
+    return X.contract(spark, d).agg(F.count("direction").alias("n_measured"), F.count(F.lit(1)).alias("n"), _r(100.0 * F.count("direction") / F.count(F.lit(1)), 4).alias("percent"))
+
+
+@query("SELECT ord FROM con WHERE direction IS NOT NULL AND -direction > 0", X.CONTRACT_SQL)
+def closing_regions(spark, d):
+    return evaluate.closing(evaluate.kept(X.contract(spark, d), signed="direction"), "direction").select("ord")
+
+
+@query("SELECT ord FROM con WHERE direction > 0.1", X.CONTRACT_SQL)
+def opening_regions(spark, d):
+    return evaluate.kept(X.contract(spark, d), signed="direction", opening=True, threshold=0.1).select("ord")
+
+
+@query("SELECT round(corr(x, y), 6) AS spearman FROM (SELECT rank() OVER (ORDER BY driver_score) + (count(*) OVER (PARTITION BY driver_score) - 1) / 2::DOUBLE AS x, rank() OVER (ORDER BY confound) + (count(*) OVER (PARTITION BY confound) - 1) / 2::DOUBLE AS y FROM con WHERE confound IS NOT NULL)", X.CONTRACT_SQL)
+def spearman_pair(spark, d):
+    return stats.spearman(X.contract(spark, d), "driver_score", "confound").select(_r("spearman").alias("spearman"))
+
+
+@query("SELECT round(count(*) FILTER (x <= k AND y <= k) / (k * k / n), 6) AS overlap_fold FROM (SELECT row_number() OVER (ORDER BY driver_score DESC, ord) AS x, row_number() OVER (ORDER BY confound DESC, ord) AS y, count(*) OVER ()::DOUBLE AS n, greatest(1, round_even(count(*) OVER () * 0.05::DOUBLE, 0)) AS k FROM con WHERE confound IS NOT NULL) GROUP BY n, k", X.CONTRACT_SQL)
+def top_overlap_fold(spark, d):
+    return stats.top_overlap_fold(X.contract(spark, d).where("confound is not null").cache(), "driver_score", "confound").select(_r("overlap_fold").alias("overlap_fold"))
+
+
+@query("SELECT 'g' || (ord % 40) AS gene, round(avg(r) / max(n), 6) AS mean_percentile FROM (SELECT ord, rank() OVER (ORDER BY driver_score) + (count(*) OVER (PARTITION BY driver_score) - 1) / 2::DOUBLE AS r, count(*) OVER () AS n FROM con) GROUP BY 1", X.CONTRACT_SQL)
+def gene_percentiles(spark, d):
+    con = X.contract(spark, d).withColumn("gene", F.concat(F.lit("g"), (F.col("ord") % 40).cast("string")))
+    return prepare.gene_percentiles(con.cache()).select("gene", _r("mean_percentile").alias("mean_percentile"))
+
+
+@query("SELECT count(DISTINCT 'g' || (ord % 40)) AS n_genes FROM con WHERE label", X.CONTRACT_SQL)
+def distinct_genes(spark, d):
+    con = X.contract(spark, d).where("label").withColumn("gene", F.concat(F.lit("g"), (F.col("ord") % 40).cast("string")))
+    return con.agg(F.countDistinct("gene").alias("n_genes"))
+
+
+@query("SELECT ord FROM con WHERE ord % 3 = 0 AND NOT (ord % 5 = 0)", X.CONTRACT_SQL)
+def transfer_exclusion(spark, d):
+    con = X.contract(spark, d)
+    return prepare.exclude_regions(con.where("ord % 3 = 0"), con.where("ord % 5 = 0")).select("ord")
+
+
+@query("SELECT ord, list_filter(['chr1:', 'true', 'CHR22'], lambda w: contains(lower(concat_ws(' ', chrom || ':', label::VARCHAR)), lower(w))).list_transform(lambda w: lower(w)).array_to_string(',') AS hits FROM con WHERE label", X.CONTRACT_SQL)
+def keyword_scan(spark, d):
+    con = X.contract(spark, d).where("label").select("ord", F.concat("chrom", F.lit(":")).alias("a"), F.col("label").cast("string").alias("b"))
+    return con.select("ord", F.array_join(C.mentions(["chr1:", "true", "CHR22"], "a", "b"), ",").alias("hits"))
+
+
+# --- gates and nominations ----------------------------------------------------------------------------------------
+
+
+@query("SELECT ord, round(round(avg(v), 9), 6) AS mean_cpm, (row_number() OVER (ORDER BY avg(v) DESC, ord))::INT AS rank FROM cpm GROUP BY ord QUALIFY rank <= 100".replace("avg(v) DESC", "round(avg(v), 9) DESC"), X.CONTRAST_SQL)
+def logcpm_universe(spark, d):
+    table, samples = gates.wide(X.contrast(spark, d), list(range(6)))
+    cpm = gates.log_cpm(table, 6)
+    mean = F.round(sum((F.col(f"s{i}") for i in range(6)), F.lit(0.0)) / 6, 9)
+    return top_k(cpm.withColumn("mean_cpm", mean), "mean_cpm", 100).select("ord", _r("mean_cpm").alias("mean_cpm"), "rank")
+
+
+@query(
+    "SELECT round(avg(c) FILTER (same), 6) AS within, round(avg(c) FILTER (NOT same), 6) AS across, round(avg(c) FILTER (same) - avg(c) FILTER (NOT same), 6) AS coherence FROM (SELECT x.sample AS i, y.sample AS j, x.is_a = y.is_a AS same, corr(x.v, y.v) AS c FROM cpm x JOIN cpm y ON x.ord = y.ord AND x.sample < y.sample GROUP BY ALL)",
+    X.CONTRAST_SQL,
+)
+def replicate_coherence(spark, d):
+    table, samples = gates.wide(X.contrast(spark, d), list(range(6)))
+    out = gates.coherence(gates.log_cpm(table, 6), [True] * 3 + [False] * 3)
+    return out.select(*[_r(c).alias(c) for c in ("within", "across", "coherence")])
+
+
+def _verdict(spark, matrix):
+    a = gates.admissibility(matrix)
+    return spark.createDataFrame([(a.admitted, a.coherence, a.pc1, a.n_regions, a.universe_truncated, "; ".join(a.reasons))], "admitted boolean, coherence double, pc1 double, n_regions long, universe_truncated boolean, reasons string")
+
+
+@query()
+def gate1_verdict(spark, d):
+    return _verdict(spark, X.contrast(spark, d))
+
+
+@query()
+def gate1_rejection(spark, d):
+    return _verdict(spark, X.replicates(spark, d))
+
+
+ADMIT, MODEL, SIGNED = {"admitted": True}, {"primary": "GET"}, {"primary": "signed-Delta"}
+NOMINATED = "chrom, start_pos, end_pos, rank, nomination_score, direction"
+
+
+@query("SELECT chrom, start_pos, end_pos, rn::INT AS rank, round(driver_score, 4) AS nomination_score, round(direction, 4) AS direction FROM (SELECT *, row_number() OVER (ORDER BY driver_score DESC, ord) AS rn, count(*) OVER () AS n FROM con) WHERE rn <= greatest(1, ceil(n * 0.01::DOUBLE))", X.CONTRACT_SQL)
+def nominations_driver(spark, d):
+    return nominate.nominated(X.contract(spark, d).cache(), ADMIT, MODEL)[0]
+
+
+@query(
+    "SELECT chrom, start_pos, end_pos, rn::INT AS rank, round(s, 4) AS nomination_score, round(direction, 4) AS direction FROM (SELECT *, row_number() OVER (ORDER BY s DESC, ord) AS rn, count(*) OVER () AS n FROM (SELECT *, (row_number() OVER (ORDER BY abs(direction), ord) - 1)::DOUBLE / (count(*) OVER () - 1) AS s FROM con WHERE direction IS NOT NULL)) WHERE rn <= greatest(1, ceil(n * 0.01::DOUBLE))",
+    X.CONTRACT_SQL,
+)
+def nominations_signed(spark, d):
+    return nominate.nominated(X.contract(spark, d).cache(), ADMIT, SIGNED)[0]
+
+
+@query("SELECT chrom, start_pos, end_pos, 1 AS rank, driver_score AS nomination_score, direction FROM con WHERE false", X.CONTRACT_SQL)
+def nominations_refused(spark, d):
+    gate1 = gates.admissibility(X.replicates(spark, d)).as_dict()
+    return nominate.nominated(X.contract(spark, d), gate1, MODEL)[0]
+
+
+@query("SELECT count(*) AS n_stray FROM con WHERE false", X.CONTRACT_SQL)
+def nominations_subset(spark, d):
+    con = X.contract(spark, d).cache()
+    rows = nominate.nominated(con, ADMIT, MODEL)[0]
+    return rows.join(con, ["chrom", "start_pos", "end_pos"], "left_anti").agg(F.count(F.lit(1)).alias("n_stray"))
+
+
+@query("SELECT count(*) FILTER (admitted) AS n_admitted, round(count(*) FILTER (admitted AND won) / count(*) FILTER (admitted), 6) AS win_rate, round(avg(fold) FILTER (admitted AND won), 6) AS mean_fold FROM (SELECT ord % 5 < 3 AS admitted, label AS won, raw_score / 1000 AS fold FROM con)", X.CONTRACT_SQL)
+def panel_summary(spark, d):
+    runs = X.contract(spark, d).select((F.col("ord") % 5 < 3).alias("admitted"), F.col("label").alias("model_won"), (F.col("raw_score") / 1000).alias("fold"))
+    return prepare.panel_summary(runs).select("n_admitted", _r("win_rate").alias("win_rate"), _r("mean_fold").alias("mean_fold"))
+
+
+@query("SELECT count(*) FILTER (abs(driver_score - coalesce(confound / m, 0)) > 0.3) AS large_movers, count(*) AS n FROM (SELECT *, max(confound) OVER () AS m FROM con)", X.CONTRACT_SQL)
+def large_movers(spark, d):
+    con = X.contract(spark, d)
+    return prepare.large_movers(con.withColumn("b", F.coalesce(F.abs("direction"), F.lit(0.0))), "driver_score", "b")
+
+
+# --- resampling and small models (rows only: their draws have no SQL form) ----------------------------------------
+
+
+def _row(spark, result: dict):
+    flat = {k: float(v) if v is not None else None for k, v in result.items() if not isinstance(v, (dict, list, bool))}
+    return spark.createDataFrame([tuple(flat.values())], ", ".join(f"{k} double" for k in flat))
+
+
+@query()
+def bootstrap_ci(spark, d):
+    return _row(spark, evaluate.against_positives(X.contract(spark, d).cache(), n_boot=500, n_perm=200))
+
+
+@query()
+def shuffle_null(spark, d):
+    con = X.contract(spark, d).where("confound is not null").cache()
+    p, q = evaluate.split(evaluate.matched_sample(con, "confound"), "driver_score")
+    import numpy as np
+
+    both, label = np.concatenate([p[:, 0], q[:, 0]]), np.repeat([True, False], [len(p), len(q)])
+    return resample.label_shuffle(spark, both, label, 200)
+
+
+@query()
+def lr_test(spark, d):
+    con = X.contract(spark, d).withColumn("signed", F.col("direction")).cache()
+    return _row(spark, evaluate.against_baseline(con, n_boot=500, n_perm=200))
+
+
+@query()
+def gene_bootstrap(spark, d):
+    con = _expected(X.contract(spark, d)).where("direction <> 0").withColumn("gene", F.concat(F.lit("g"), (F.col("ord") % 40).cast("string")))
+    genes = con.groupBy("gene").agg(F.sum((F.signum("direction") == F.col("expected")).cast("long")).alias("n_correct"), F.count(F.lit(1)).alias("n_signed"))
+    return _row(spark, resample.gene_bootstrap(spark, genes, 500))
+
+
+@query()
+def logistic_coefficients(spark, d):
+    con = X.contract(spark, d).where("confound is not null").withColumn("scaled", F.col("raw_score") / 1000).cache()
+    beta = resample.logistic_frame(con, ["scaled", "driver_score"], "label")
+    return spark.createDataFrame([(n, float(b)) for n, b in zip(["intercept", "scaled", "driver_score"], beta, strict=True)], "term string, coefficient double")
+
+
+def _head(spark, d, k: int = 6):
+    a, b = X.states(spark, d)
+    right = align.last_of_each(b).select("chrom", "start_pos", "end_pos", F.col("embedding").alias("eb"))
+    vector = F.zip_with(F.col("embedding").cast("array<double>"), F.col("eb").cast("array<double>"), lambda x, y: y - x)
+    shifts = a.join(right, ["chrom", "start_pos", "end_pos"]).select(*REGION, vector.alias("vector"), ((F.col("ord") % 4 == 0)).alias("label"))
+    shifts = shifts.withColumn("gene", F.when(F.col("label"), F.concat(F.lit("g"), (F.col("ord") % 8).cast("string")))).cache()
+    return resample.projected(shifts, *resample.principal_axes(shifts, k), name="features").drop("vector")
+
+
+@query()
+def pca_features(spark, d):
+    return _head(spark, d).select("ord", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+@query()
+def logo_scores(spark, d):
+    return resample.leave_one_gene_out(_head(spark, d))
+
+
+@query()
+def transfer_scores(spark, d):
+    rows = _head(spark, d).cache()
+    return resample.transfer(rows.where("ord % 3 = 0"), rows.where("ord % 3 <> 1"))
+
+
+@query()
+def claim2b_signs(spark, d):
+    regions, anchors = X.intervals(spark, d)
+    rows = regions.withColumn("direction", F.when(F.col("ord") % 5 != 0, (F.col("value") - 0.5)))
+    out = evaluate.signs(rows, anchors.where("ord % 2 = 0"), anchors.where("ord % 2 = 1"), n_boot=200)
+    return _row(spark, {"balanced": out["balanced_accuracy"], "rate": out["opening_rate"], **{f"{k}_{f}": out[k][f] for k in ("opening", "closing") for f in ("accuracy", "n_signed", "n_genes", "low", "high")}})
+
+
+@query(
+    "SELECT row, round(list_sum([embedding[4 * i + 1]::DOUBLE for i in range(16)]), 3) AS e0, round(list_sum([embedding[4 * i + 4]::DOUBLE for i in range(16)]), 3) AS e3 FROM (SELECT row_number() OVER (ORDER BY ord) - 1 AS row, embedding FROM a)",
+    X.STATES_SQL,
+)
+def tile_inference_standin(spark, d):
+    a, _ = X.states(spark, d)
+    rows = X.with_row(a).withColumn("features", F.col("embedding"))
+    out = prepare.embedded(rows, prepare.stand_in_model(4), size=200)
+    return out.select("row", _r(F.get("embedding", F.lit(0)).cast("double"), 3).alias("e0"), _r(F.get("embedding", F.lit(3)).cast("double"), 3).alias("e3"))
+
+
+@query(
+    "SELECT cell, place::INT AS place, token::INT AS token, ord FROM (SELECT ord % 3 AS cell, ord + 4 AS token, ord, row_number() OVER (PARTITION BY ord % 3 ORDER BY round(raw_score * ln(1 + 1000.0 / (ord % 17 + 1)), 6) DESC, ord) - 1 AS place FROM con) WHERE place < 50",
+    X.CONTRACT_SQL,
+)
+def sentence_topk(spark, d):
+    con = X.contract(spark, d)
+    weights = con.select((F.col("ord") % 3).alias("cell"), F.col("ord").alias("row"), F.col("raw_score").alias("value"))
+    frequency = con.select(F.col("ord").alias("row"), (F.col("ord") % 17 + 1).alias("n_docs"), F.lit(1000.0).alias("n_total"))
+    tokens = prepare.sentences(weights, frequency, most=50)
+    return align.tokens_to_regions(tokens, con.select(F.col("ord").alias("row"), "ord"), most=50).select("cell", "place", "token", "ord")
