@@ -1,10 +1,12 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the bytes before each run of white space picks cut points, so equal passages are cut alike
-wherever they stand; each distinct chunk is encoded and decoded once per worker while it stays in a bounded
-cache. A join of two chunks is then checked by re-encoding the words around it: while the result does not agree
-with what the chunks hold at both ends, the window doubles, and in the end the two chunks are encoded as one.
-So ids are those of the whole text.
+wherever they stand; a chunk is encoded and decoded once per worker while it stays in a bounded cache. A new chunk is
+itself put together from pieces (white space and the word behind it) that the worker has seen, so only new words
+reach the tokenizer. Joins, of pieces and of chunks, hold where the tokenizer's own split must fall: before white
+space that follows another character. Each kind of such a join (the characters' classes beside it) is re-encoded
+once to see that it agrees; any other join, or one of a kind that did not agree, is repaired by encoding both sides
+as one, and again with the next, until a join holds. So ids are those of the whole text.
 
 Defined results: a null text is an empty text (no ids); a text without white space is one chunk; equal rows give
 equal results; an empty table gives an empty result; other columns are ignored.
@@ -14,17 +16,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROLL = 16
+ROLL = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_LAST = re.compile(r"\s*\S+\s*\Z")
-_FIRST = re.compile(r"\s*\S+")
+_PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 
 
 def cut_points(data: bytes, every: int) -> list[int]:
@@ -40,82 +44,142 @@ def cut_points(data: bytes, every: int) -> list[int]:
     return at[(h >> np.uint64(40)) % np.uint64(every) == 0].tolist()
 
 
-class ChunkCodec:
-    """Encodes and decodes whole texts through a bounded cache of chunks."""
+def kind(c: str) -> str:
+    """A character's class, as far as a byte-level tokenizer's split tells characters apart."""
+    return "s" if c.isspace() else unicodedata.category(c)[0]
+
+
+class Chunk(NamedTuple):
+    first: str  # classes of the first and last piece
+    last: str
+    decimal: str  # ids in decimal, joined by commas
+    decoded: bytes
+
+
+class Pieces(dict):
+    """A cache of two generations: what is used moves to the young one, and the old one goes when that is full."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
 
-    def __init__(self, tokenizer, every: int = 48, most: int = 60_000):
-        self.tokenizer, self.every, self.most = tokenizer, every, most
-        self.chunks: dict[str, tuple[list[int], str, bytes]] = {}
-        self.windows: dict[str, list[int]] = {}
-        self.encoded = 0
+    def missing(self, wanted: set) -> list:
+        new = []
+        for x in wanted.difference(self):
+            if x in self.old:
+                self[x] = self.old.pop(x)
+            else:
+                new.append(x)
+        return new
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+
+class ChunkCodec:
+    """Encodes and decodes whole texts through bounded caches of chunks and pieces."""
+
+    def __init__(self, tokenizer, every: int = 48, most_chunks: int = 20_000, most_pieces: int = 400_000):
+        self.tokenizer, self.every = tokenizer, every
+        self.chunks: dict[str, Chunk] = {}
+        self.pieces = Pieces(most_pieces)  # to (decimal ids, class)
+        self.most_chunks = most_chunks
+        self.joins: dict[tuple[str, str], bool] = {}
+        self.fine: set[frozenset] = set()  # sets of classes whose pieces may follow each other in any order
+        self.classes: dict[str, str] = {}
+        self.odd: dict[str, bytes] = {}  # pieces that do not decode to themselves
+
+    def _encode(self, texts: list[str]) -> list[tuple[str, str]]:
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.encoded += len(texts)
-        return [e.ids for e in run(texts, add_special_tokens=False)]
+        ids = [e.ids for e in run(texts, add_special_tokens=False)]
+        decoded = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        if decoded != texts:
+            if len(self.odd) > 100_000:
+                self.chunks.clear()
+                self.pieces = Pieces(self.pieces.most)
+                self.odd.clear()
+            self.odd |= {t: d.encode() for t, d in zip(texts, decoded, strict=True) if t != d}
+        known = self.classes
+        return [(",".join(map(str, i)), known.setdefault(c := self.class_of(t), c)) for t, i in zip(texts, ids, strict=True)]
 
-    def _fill(self, wanted: Iterable[str]) -> None:
-        new = [x for x in dict.fromkeys(wanted) if x not in self.chunks]
-        ids = self._encode(new)
-        texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        for x, i, t in zip(new, ids, texts, strict=True):
-            self.chunks[x] = (i, ",".join(map(str, i)), t.encode())
+    @staticmethod
+    def class_of(text: str) -> str:
+        """Classes of the characters that joins look at: the last one, and white space at the front with what follows."""
+        word = text.lstrip(" \t\n\r\x0b\x0c")
+        space = text[: len(text) - len(word)]
+        return kind(text[-1]) + (space and space[:3] + (kind(word[0]) if word else ""))
+
+    def holds(self, a: str, a_class: str, b: str, b_class: str) -> bool:
+        """Whether the ids of a text ending in piece a and of one starting with piece b may stand side by side."""
+        if len(b_class) == 1 or a_class[0] == "s":
+            return False
+        key = a_class[0], b_class[1:]
+        if key not in self.joins:
+            (x, _), (y, _), (both, _) = self._encode([a, b, a + b])
+            self.joins[key] = both == x + "," + y
+        return self.joins[key]
+
+    def _joined(self, own: list[str]) -> list[tuple[str, str, str]]:
+        """(text, decimal, class) of pieces, those merged whose joins do not hold."""
+        out = [(own[0], *self.pieces[own[0]])]
+        for b in own[1:]:
+            (a, _, a_class), (b_decimal, b_class) = out[-1], self.pieces[b]
+            if self.holds(a, a_class, b, b_class):
+                out.append((b, b_decimal, b_class))
+            else:
+                out[-1] = (a + b, *self._encode([a + b])[0])
+        return out
+
+    def _chunk(self, text: str, own: list[str]) -> Chunk:
+        found = list(map(self.pieces.__getitem__, own))
+        classes = frozenset([x[1] for x in found[1:]])
+        ends = found[0][1]
+        if (ends[0], classes) in self.fine and not self.odd:
+            return Chunk(ends, found[-1][1], ",".join([x[0] for x in found]), text.encode())
+        joined = self._joined(own)
+        if len(joined) == len(own) and all(self.joins.get((a[0], b[1:])) and a[0] != "s" for a in {ends[0], *classes} for b in classes):
+            self.fine.add((ends[0], classes))
+        decoded = b"".join([self.odd.get(t) or t.encode() for t, _, _ in joined])
+        return Chunk(joined[0][2], joined[-1][2], ",".join([d for _, d, _ in joined]), decoded)
 
-    def _windows(self, wanted: Iterable[str]) -> None:
-        new = [x for x in dict.fromkeys(wanted) if x not in self.windows]
-        self.windows.update(zip(new, self._encode(new), strict=True))
+    def _fill(self, wanted: Iterable[str]) -> None:
+        new = {x: _PIECE.findall(x) for x in dict.fromkeys(wanted) if x not in self.chunks}
+        unseen = self.pieces.missing(set(chain.from_iterable(new.values())))
+        for s in range(0, len(unseen), 20_000):
+            part = unseen[s : s + 20_000]
+            self.pieces.update(zip(part, self._encode(part), strict=True))
+        for x, own in new.items():
+            self.chunks[x] = self._chunk(x, own)
 
     def split(self, data: bytes) -> list[str]:
         cuts = [0, *cut_points(data, self.every), len(data)]
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)] if data else []
+        return [data[a:b].decode("utf-8", "replace") for a, b in pairwise(cuts)] if data else []
 
-    @staticmethod
-    def _agrees(left: list[int], right: list[int], window: list[int]) -> bool:
-        """Whether the window's ids are the last of the left chunk followed by the first of the right one."""
-        n = len(window)
-        for k in range(1, n):
-            if left[-k:] == window[:k] and right[: n - k] == window[k:]:
-                return True
-        return False
-
-    def _repaired(self, left: str, right: str) -> bool:
-        """Whether the chunks' ids may stand side by side; windows double until they agree or hold both chunks."""
-        width, a, b = 1, self.chunks[left][0], self.chunks[right][0]
-        while True:
-            tail = re.search(r"(?:\s*\S+){1,%d}\s*\Z" % width, left[-64 * width :]) or re.search(r"(?s).*", left)
-            head = re.match(r"(?:\s*\S+){1,%d}" % width, right[: 64 * width]) or re.match(r"(?s).*", right)
-            whole = len(tail[0]) >= len(left) and len(head[0]) >= len(right)
-            if self._agrees(a, b, self._encode([tail[0] + head[0]])[0]):
-                return True
-            if whole or (64 * width >= len(left) and 64 * width >= len(right)):
-                return False
-            width *= 2
-
-    def run(self, texts: list[bytes]) -> Iterator[tuple[list[list[int]], list[str], list[bytes]]]:
-        """Per text: lists of ids, the same as decimal strings, and decoded bytes, each to be joined."""
-        if len(self.chunks) > self.most:
+    def run(self, texts: list[bytes]) -> Iterator[list[Chunk]]:
+        """Per text: its chunks, whose ids and bytes are to be joined."""
+        if len(self.chunks) > self.most_chunks:
             self.chunks.clear()
-        if len(self.windows) > self.most * 4:
-            self.windows.clear()
+        self.pieces.turn()
         cut = [self.split(x) for x in texts]
-        self._fill(c for chunks in cut for c in chunks)
-        # The last word before and the first word after each join; nearly all joins agree at this width.
-        tails = {c: (m[0] if (m := _LAST.search(c[-64:])) else c) for chunks in cut for c in chunks[:-1]}
-        heads = {c: (m[0] if (m := _FIRST.match(c[:64])) else c) for chunks in cut for c in chunks[1:]}
-        self._windows(tails[a] + heads[b] for chunks in cut for a, b in zip(chunks, chunks[1:], strict=False))
-        for chunks in cut:
+        self._fill(c for own in cut for c in own)
+        for own in cut:
             joined: list[str] = []
-            for c in chunks:
-                if joined:
-                    a = joined[-1]
-                    edge = self.windows[tails[a] + heads[c]] if a in tails else None
-                    if not (edge and self._agrees(self.chunks[a][0], self.chunks[c][0], edge)) and not self._repaired(a, c):
-                        joined[-1] = a + c
-                        self._fill([a + c])
-                        continue
-                joined.append(c)
-            found = [self.chunks[c] for c in joined]
-            yield [x[0] for x in found], [x[1] for x in found if x[1]], [x[2] for x in found]
+            for c in own:
+                if joined and not self._follows(joined[-1], c):
+                    joined[-1] += c
+                    self._fill([joined[-1]])
+                else:
+                    joined.append(c)
+            yield [self.chunks[c] for c in joined]
+
+    def _follows(self, left: str, right: str) -> bool:
+        a, b = self.chunks[left].last, self.chunks[right].first
+        if len(b) == 1 or a[0] == "s":
+            return False
+        found = self.joins.get((a[0], b[1:]))
+        return self.holds(_PIECE.findall(left)[-1], a, _PIECE.match(right)[0], b) if found is None else found
 
 
 _CODECS: dict[str, ChunkCodec] = {}
@@ -163,12 +227,13 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
         for whole in batches:
             for batch in slices(whole):
                 out: dict[str, list] = {f.name: [] for f in fields}
-                for ids, decimal, decoded in own.run(texts_of(batch.column("text"))):
+                for chunks in own.run(texts_of(batch.column("text"))):
+                    decimal = ",".join([c.decimal for c in chunks])
                     if with_ids:
-                        out["ids"].append([i for x in ids for i in x])
-                    out["n_tokens"].append(sum(map(len, ids)))
-                    out["ids_sha256"].append(hashlib.sha256(",".join(decimal).encode()).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(b"".join(decoded)).hexdigest())
+                        out["ids"].append(list(map(int, decimal.split(","))) if decimal else [])
+                    out["n_tokens"].append(decimal.count(",") + bool(decimal))
+                    out["ids_sha256"].append(hashlib.sha256(decimal.encode()).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(b"".join([c.decoded for c in chunks])).hexdigest())
                 out["doc_id"] = batch.column("doc_id").cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in fields], schema=pa.schema(fields))
 
