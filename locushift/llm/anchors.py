@@ -6,10 +6,13 @@ Consecutive windows of a document with the same anchor form a span, and a span i
 
 1. ``spans`` makes the rows (anchor hash, span hash, document, place).
 2. ``flagged`` keeps those whose anchor occurs again: ``full`` if the whole span does, so that all of its windows
-   are repeated, and ``open`` if other spans share the anchor, so that some of its windows may be.
+   are repeated, and ``open`` if other spans share the anchor, so that some of its windows may be. Equal spans are
+   counted before the shuffle, and the counts come back by joins that Spark can split, so that a passage that a
+   third of all documents holds does not meet in one task.
 3. ``payload`` fetches the symbols of open spans (and of one of each group of equal spans beside them); the caller
-   compares them within a group, where only the windows through one anchor meet.
-4. ``ranges`` brings all repeated windows back to their documents.
+   compares them within a group, where only the windows through one anchor meet. Windows of an anchor with over
+   ``most`` different spans are counted by their hashes instead, again before the shuffle.
+4. ``repeated`` brings all repeated windows back to their documents.
 
 Documents are known by (_d, _t): the id, and a hash of id and text; equal rows share both and so their results.
 """
@@ -21,11 +24,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe_codec import slices, texts_of
-from .common import materialize
+from .common import materialize, small_batches
 
 KEYS = ["_d", "_t"]
 _PLACE = np.uint64((1 << 28) - 1)
@@ -78,6 +80,7 @@ def anchored_spans(symbols: np.ndarray, n: np.ndarray, length: int, k: int) -> t
 def keyed(docs: DataFrame) -> DataFrame:
     """_d, _t, doc_id, text (null as empty)."""
     text = F.coalesce("text", F.lit(""))
+    docs = small_batches(docs)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64(text, "doc_id").alias("_t"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
@@ -106,34 +109,50 @@ def spans(docs: DataFrame, symbols_of: Callable[[list[bytes]], tuple[np.ndarray,
     return keyed(docs).select("_d", "_t", "text").mapInArrow(work, "h long, s long, _d long, _t long, lo int, n int, at int")
 
 
-def flagged(rows: DataFrame) -> DataFrame:
-    """The rows whose anchor occurs again: full (the whole span does), open (to be compared), m (rows to compare in the group)."""
-    same, group = W.partitionBy("h", "s"), W.partitionBy("h")
-    marked = rows.repartition("h").withColumn("c", F.count(F.lit(1)).over(same)).withColumn("r", F.row_number().over(same.orderBy("_d", "_t", "lo")))
-    marked = marked.withColumn("alone", F.min("c").over(group) == 1).withColumn("spans", F.count_if(F.col("r") == 1).over(group))
-    compared = F.col("alone") & (F.col("spans") > 1) & (F.col("r") == 1)
-    marked = marked.withColumn("full", F.col("c") > 1).withColumn("open", compared).where("full or open")
-    return marked.select(*KEYS, "h", "lo", "n", "at", "full", "open", "spans")
+def flagged(rows: DataFrame, name: str, most: int = 512) -> DataFrame:
+    """The rows whose anchor occurs again: full (the whole span does), open (to be compared), hot (over ``most`` spans)."""
+    rows = materialize(rows, f"{name}-spans")
+    groups = materialize(rows.groupBy("h", "s").agg(F.count(F.lit(1)).alias("c")), f"{name}-groups")
+    mixed = groups.groupBy("h").agg(F.count(F.lit(1)).alias("spans"), F.min("c").alias("least")).where("spans > 1 and least = 1")
+    mixed = materialize(mixed.select("h", (F.col("spans") > most).alias("hot")), f"{name}-mixed")
+    wanted = groups.join(mixed, "h", "left").where("c > 1 or hot is not null").select("h", "s", (F.col("c") > 1).alias("full"), "hot")
+    found = materialize(rows.join(wanted, ["h", "s"]).select(*KEYS, "h", "s", "lo", "n", "at", "full", "hot"), f"{name}-flags")
+    one = found.where("full and hot is not null").groupBy("h", "s").agg(F.min(F.struct(*KEYS, "lo", "n", "at", "full", "hot")).alias("x"))
+    own = found.select(*KEYS, "h", "lo", "n", "at", "full", (~F.col("full") & F.col("hot").isNotNull()).alias("open"), "hot")
+    return own.union(one.select(*[f"x.{k}" for k in KEYS], "h", "x.lo", "x.n", "x.at", "x.full", F.lit(True), "x.hot"))
 
 
-def payload(docs: DataFrame, flags: DataFrame, cut: Callable[[bytes, list[dict]], list[bytes]]) -> DataFrame:
-    """h, _d, _t, lo, n, at, full, span: the open rows with their symbols. cut: a text and its rows to their spans."""
-    rows = flags.where("open").groupBy(*KEYS).agg(F.collect_list(F.struct("h", "lo", "n", "at", "full")).alias("rows"))
+def payload(docs: DataFrame, flags: DataFrame, cut: Callable[[bytes, list[dict]], list[bytes]], windows: Callable[[bytes, int], list[bytes]]) -> DataFrame:
+    """h, w, _d, _t, lo, n, at, full, span: the open rows with their symbols. cut: a text and its rows to their spans.
+
+    Rows of hot anchors come as one row per window instead, with two hashes of the window in h and w, and no span.
+    """
+    rows = flags.where("open").groupBy(*KEYS).agg(F.collect_list(F.struct("h", "lo", "n", "at", "full", "hot")).alias("rows"))
     joined = keyed(docs).select(*KEYS, "text").join(rows.hint("shuffle_hash"), KEYS)
+    schema = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("_d", pa.int64()), ("_t", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("full", pa.bool_()), ("span", pa.binary())])
+
+    def signed(x: int) -> int:
+        return x - (1 << 64) if x >> 63 else x
 
     def work(batches):
+        from xxhash import xxh3_64_intdigest
+
         for whole in batches:
             for batch in slices(whole):
                 out = []
                 for d, t, text, own in zip(*(batch.column(c).to_pylist() for c in ("_d", "_t")), texts_of(batch.column("text")), batch.column("rows").to_pylist(), strict=True):
-                    out += [{**r, "_d": d, "_t": t, "span": span} for r, span in zip(own, cut(text, own), strict=True)]
-                schema = pa.schema([("h", pa.int64()), ("_d", pa.int64()), ("_t", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("full", pa.bool_()), ("span", pa.binary())])
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    for r, span in zip(own, cut(text, own), strict=True):
+                        if r["hot"]:
+                            out += [(signed(xxh3_64_intdigest(x)), signed(xxh3_64_intdigest(x, 1)), d, t, r["lo"] + i, 1, 0, r["full"], None) for i, x in enumerate(windows(span, r["n"]))]
+                        else:
+                            out.append((r["h"], 0, d, t, r["lo"], r["n"], r["at"], r["full"], span))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return joined.mapInArrow(work, "h long, _d long, _t long, lo int, n int, at int, full boolean, span binary")
+    return joined.mapInArrow(work, "h long, w long, _d long, _t long, lo int, n int, at int, full boolean, span binary")
 
 
-def compared(rows: DataFrame, solve: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]], block_bytes: int = 4_000_000) -> DataFrame:
+def compared(rows: DataFrame, solve: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]], block_bytes: int = 2_000_000) -> DataFrame:
     """_d, _t, lo, n: runs of repeated windows of the payload's rows, from ``solve`` on blocks of whole groups.
 
     solve: a table sorted by h to (row, first window, windows) arrays.
@@ -166,11 +185,18 @@ def compared(rows: DataFrame, solve: Callable[[pa.Table], tuple[np.ndarray, np.n
     return rows.repartition("h").sortWithinPartitions("h").mapInArrow(work, "_d long, _t long, lo int, n int")
 
 
-def repeated(docs: DataFrame, symbols_of, cut, solve, length: int, k: int, name: str) -> DataFrame:
+def counted(rows: DataFrame, name: str) -> DataFrame:
+    """_d, _t, lo, n: the repeated ones among single windows, by counts of their hashes (a full row stands for two)."""
+    often = materialize(rows.groupBy("h", "w").agg(F.sum(F.when(F.col("full"), 2).otherwise(1)).alias("c")).where("c > 1").select("h", "w"), f"{name}-often")
+    return rows.where("not full").join(often, ["h", "w"]).select(*KEYS, "lo", "n")
+
+
+def repeated(docs: DataFrame, symbols_of, cut, windows, solve, length: int, k: int, name: str) -> DataFrame:
     """_d, _t, ranges: array of (lo, n), the repeated windows of each document that has any."""
-    flags = materialize(flagged(spans(docs, symbols_of, length, k)), f"{name}-flags")
-    hits = materialize(compared(payload(docs, flags, cut), solve), f"{name}-hits")
-    found = flags.where("full").select(*KEYS, "lo", "n").union(hits)
+    flags = flagged(spans(docs, symbols_of, length, k), name)
+    rows = materialize(payload(docs, flags, cut, windows), f"{name}-payload")
+    hits = materialize(compared(rows.where("span is not null").drop("w"), solve), f"{name}-hits")
+    found = flags.where("full").select(*KEYS, "lo", "n").union(hits).union(counted(rows.where("span is null"), name))
     return found.groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
 
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 ROLL = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
@@ -238,4 +240,4 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in fields], schema=pa.schema(fields))
 
     ids = "ids array<int>, " * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, f"doc_id long, {ids}n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, f"doc_id long, {ids}n_tokens long, ids_sha256 string, decoded_sha256 string")

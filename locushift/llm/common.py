@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -36,6 +37,15 @@ def n_words(text: Column) -> Column:
     return (F.size(F.split(whole, SPACE)) - ends).cast("long")
 
 
+def small_batches(df: DataFrame, most: int = 1000) -> DataFrame:
+    """The same frame, after setting the session's Arrow batches to ``most`` rows at most: texts are long, and a batch
+    of the default 10,000 is held several times over by the JVM and the worker."""
+    spark = df.sparkSession
+    if int(spark.conf.get(BATCH)) > most:
+        spark.conf.set(BATCH, str(most))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local runs a temporary one."""
     conf = spark.sparkContext.getConf()

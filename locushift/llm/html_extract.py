@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import slices, texts_of
+from .common import small_batches
 
 #: HTML's void elements, raw-text elements, and elements that stay within a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -272,4 +273,4 @@ def report(pages: DataFrame) -> DataFrame:
                 found = [extract(x.decode("utf-8", "replace"), model) for x in texts_of(batch.column("html"))]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(work, "page_id long, url string, text string, n_chars long")
+    return small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(work, "page_id long, url string, text string, n_chars long")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .anchors import mix
 from .bpe_codec import slices, texts_of
+from .common import small_batches
 
 BUCKETS = 1 << 17
 DIM = 12
@@ -178,5 +179,5 @@ def report(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000) -> Dat
             for batch in slices(whole, 2_000_000):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scorer.score(texts_of(batch.column("text"))))], names=["doc_id", "held_out", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(work, "doc_id long, held_out boolean, score double")
+    scored = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(work, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -45,13 +45,18 @@ def cut_spans(length: int):
     return cut
 
 
-def extend(length: int):
-    """Looks up each window through a seed among the windows of the seed's other occurrences."""
-
+def windows_of(length: int):
     def windows(span: bytes, n: int) -> list[bytes]:
-        at = [0, *(x + 1 for x in accumulate((len(w) + 1 for w in span.split(b" ")), lambda a, b: a + b, initial=-1))][1:]
+        at = list(accumulate((len(w) + 1 for w in span.split(b" ")), initial=0))
         return [span[at[i] : at[i + length] - 1] for i in range(n)]
 
+    return windows
+
+
+def extend(length: int):
+    """Looks up each window through a seed among the windows of the seed's other occurrences."""
+    windows = windows_of(length)
+
     def solve(t: pa.Table):
         h, full, n, spans = (t.column(c).to_pylist() for c in ("h", "full", "n", "span"))
         row, first, runs = [], [], []
@@ -81,7 +86,7 @@ def extend(length: int):
 
 def removed_words(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """_d, _t, ranges: runs of repeated windows."""
-    return anchors.repeated(docs, word_symbols, cut_spans(length), extend(length), length, GRAM, "substring")
+    return anchors.repeated(docs, word_symbols, cut_spans(length), windows_of(length), extend(length), length, GRAM, "substring")
 
 
 def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -38,6 +38,10 @@ def cut_spans(length: int):
     return lambda text, rows: [text[r["lo"] : r["lo"] + r["n"] - 1 + length] for r in rows]
 
 
+def windows_of(length: int):
+    return lambda span, n: [span[i : i + length] for i in range(n)]
+
+
 def words_at(text: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place on, as big-endian numbers (a view)."""
     return np.ndarray((len(text) - 7,), ">u8", text, strides=(1,))
@@ -120,7 +124,7 @@ def solve_for(length: int):
 
 def removed_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """_d, _t, ranges: runs of repeated windows."""
-    return anchors.repeated(docs, byte_symbols, cut_spans(length), solve_for(length), length, GRAM, "suffix")
+    return anchors.repeated(docs, byte_symbols, cut_spans(length), windows_of(length), solve_for(length), length, GRAM, "suffix")
 
 
 def report(docs: DataFrame, length: int = LENGTH, with_kept: bool = False) -> DataFrame:

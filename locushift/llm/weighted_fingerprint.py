@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import slices, texts_of
+from .common import small_batches
 
 SAMPLES = 64
 SHINGLE = 5
@@ -171,7 +172,7 @@ def report(docs: DataFrame, rows: int = 2048, most_ranges: int = 100_000) -> Dat
     Documents are dealt into ranges of about ``rows`` ids by one shuffle; the first document of each range also
     goes to the end of the range before it. Only range bounds come to the driver, at most ``most_ranges``.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    ids = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"))
     n = ids.count()
     ranges = min(most_ranges, max(1, -(-n // rows)))
     cuts = [i / ranges for i in range(1, ranges)]
