@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import slices, texts_of
-from .common import materialize
+from .common import materialize, small_batches
 
 BITS = 64
 
@@ -73,7 +73,7 @@ def document_fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
                 fp = fingerprints(texts_of(batch.column("text")), size)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, fp long")
 
 
 class Components:
@@ -97,10 +97,11 @@ class Components:
                 self.label = up
 
 
-def bucket_links(fp: np.ndarray, bucket: np.ndarray, radius: int, most_pairs: int = 2_000_000) -> np.ndarray:
+def bucket_links(fp: np.ndarray, bucket: np.ndarray, radius: int, most_pairs: int = 2_000_000, also=None) -> np.ndarray:
     """Labels (least index) of the components of links within buckets; ``bucket`` is sorted.
 
-    All queries advance together through the 64-lane blocks of their bucket.
+    All queries advance together through the 64-lane blocks of their bucket. also: a further test of the pairs
+    within the radius, from two arrays of indices to booleans.
     """
     n = len(fp)
     found = Components(n)
@@ -145,8 +146,12 @@ def bucket_links(fp: np.ndarray, bucket: np.ndarray, radius: int, most_pairs: in
             for part in np.array_split(near, max(1, len(near) * 64 // most_pairs)):
                 word = ~over[part]
                 hit, lane = np.nonzero((word[:, None] >> lanes) & np.uint64(1))
-                pending.append((own[part][hit], at[part][hit] * 64 + lane))
-                held += len(hit)
+                u, v = own[part][hit], at[part][hit] * 64 + lane
+                if also is not None:
+                    true = also(u, v)
+                    u, v = u[true], v[true]
+                pending.append((u, v))
+                held += len(u)
                 if held > most_pairs:
                     for u, v in pending:
                         found.union(u, v)
@@ -159,49 +164,61 @@ def bucket_links(fp: np.ndarray, bucket: np.ndarray, radius: int, most_pairs: in
     return found.label
 
 
-def links(fps: DataFrame, radius: int = 3, blocks: int = 5, tile: int = 2048) -> DataFrame:
-    """A spanning set of links between distinct fingerprints: (u, v), u the lesser of a group found in a bucket.
+def dealt_links(keyed: DataFrame, radius: int, tile: int, sketch: bool = False, least: float = 0.0) -> DataFrame:
+    """A spanning set of links (u, v) within the buckets (t, key) of ``keyed``: t, key, node, fp and, if used, sketch.
 
-    fps: one row per distinct fingerprint. tile: buckets beyond this many rows are dealt into tiles by a hash, and
-    each pair of tiles is compared by itself, so that no bucket has to fit in one task.
+    Buckets beyond ``tile`` rows are dealt into tiles by a hash, and each pair of tiles is compared by itself, so
+    that no bucket has to fit in one task.
     """
-    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    choices = [signed(sum(c)) for c in combinations(masks, blocks - radius)]
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(choices)])
-    keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
     hot = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("t", "key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     keyed = keyed.join(hot, ["t", "key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    keyed = keyed.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    keyed = keyed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least(j, "own").alias("a"), F.greatest(j, "own").alias("b")))
-    dealt = keyed.withColumn("p", F.explode(pairs)).select("t", "key", "p.a", "p.b", "fp").repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "fp")
+    columns = ["t", "key", "p.a", "p.b", "node", "fp", *["sketch"] * sketch]
+    dealt = keyed.withColumn("p", F.explode(pairs)).select(*columns).repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "node")
 
     def solve(t: pa.Table):
         key = [t.column(c).to_numpy() for c in ("t", "key", "a", "b")]
-        fp = t.column("fp").to_numpy()
+        fp, node = t.column("fp").to_numpy(), t.column("node").to_numpy()
         new = np.ones(len(fp), bool)
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
-        label = bucket_links(fp.view(np.uint64), np.cumsum(new), radius)
+        also = alike(t.column("sketch").to_pylist(), least) if sketch else None
+        label = bucket_links(fp.view(np.uint64), np.cumsum(new), radius, also=also)
         linked = np.flatnonzero(label != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[label[linked]]), pa.array(fp[linked])], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(node[label[linked]]), pa.array(node[linked])], names=["u", "v"])
 
     def work(batches):
-        carry = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            t = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
+            held.append(batch)
+            if sum(map(len, held)) < 1 << 16:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
             last = [t.column(c)[-1].as_py() for c in ("t", "key", "a", "b")]
             same = np.logical_and.reduce([t.column(c).to_numpy() == x for c, x in zip(("t", "key", "a", "b"), last, strict=True)])
             cut = len(same) - int(same.sum())
-            carry = t.slice(cut)
             if cut:
                 yield solve(t.slice(0, cut).combine_chunks())
-        if carry is not None and len(carry):
-            yield solve(carry.combine_chunks())
+            held = t.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield solve(pa.Table.from_batches(held).combine_chunks())
 
     return dealt.mapInArrow(work, "u long, v long").distinct()
 
 
+def links(fps: DataFrame, radius: int = 3, blocks: int = 5, tile: int = 2048) -> DataFrame:
+    """A spanning set of links between distinct fingerprints: (u, v), u the lesser of a group found in a bucket.
+
+    fps: one row per distinct fingerprint.
+    """
+    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    choices = [signed(sum(c)) for c in combinations(masks, blocks - radius)]
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(choices)])
+    return dealt_links(fps.select(F.col("fp").alias("node"), "fp", F.explode(keys).alias("k")).select("node", "fp", "k.t", "k.key"), radius, tile)
+
+
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge table (u, v); root is the component's least node.
 
@@ -223,24 +240,95 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def grouped(own: DataFrame, fps: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id from fingerprints (own; fps with their least id) and the roots of those linked."""
+    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(least, "root").select("fp", "component_id")
+    return own.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id")
+
+
 def components(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
     """doc_id, fp (long), component_id."""
     own = materialize(document_fingerprints(docs, size), "fingerprints")
     fps = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected(links(fps, radius))
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    return grouped(own, fps, connected(links(fps.select("fp"), radius)))
 
 
 def report(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
-    """One document of each component: the one with the smallest id (of rows with equal ids, one)."""
-    kept = components(docs, radius, size).select("component_id").distinct()
-    ids = docs.withColumn("_near_copy", F.xxhash64(F.coalesce("text", F.lit(""))))
-    first = ids.join(kept, F.col("doc_id").eqNullSafe(F.col("component_id")), "left_semi")
-    return first.dropDuplicates(["doc_id"]).drop("_near_copy")
+# --- near copies by shingles of five words ------------------------------------------------------------------------
+
+DRAWS, BANDS, ROWS = 192, 6, 2
+_DRAW = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, DRAWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minima(h: np.ndarray) -> np.ndarray:
+    """The least of a text's shingle hashes under each of DRAWS multiplicative hashes, 32 bits each."""
+    out = np.full(DRAWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for s in range(0, len(h), 512):
+        out = np.minimum(out, (h[s : s + 512, None] * _DRAW).min(axis=0))
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def alike(sketches: list[bytes], least: float):
+    """Tests pairs of sketches for at least this estimated Jaccard similarity (a byte agrees by chance once in 256)."""
+    table = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, DRAWS)
+    need = DRAWS * (least * (1 - 1 / 256) + 1 / 256)
+
+    def test(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = np.empty(len(u), bool)
+        for s in range(0, len(u), 1 << 16):
+            out[s : s + (1 << 16)] = (table[u[s : s + (1 << 16)]] == table[v[s : s + (1 << 16)]]).sum(axis=1) >= need
+        return out
+
+    return test
+
+
+def sketches(docs: DataFrame, size: int = 3, wide: int = 5) -> DataFrame:
+    """doc_id, fp, and of the shingles of ``wide`` words: fp5, sketch, bands and node, a hash of the sketch."""
+
+    def work(batches):
+        from xxhash import xxh3_64_intdigest
+
+        for whole in batches:
+            for batch in slices(whole):
+                texts = texts_of(batch.column("text"))
+                marks, bands, nodes = [], [], []
+                for t in texts:
+                    low = minima(np.array(shingle_hashes(t, wide), np.uint64))
+                    marks.append((low ^ (low >> np.uint32(16))).astype(np.uint8).tobytes())
+                    bands.append([xxh3_64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes()) >> 1 for b in range(BANDS)])
+                    nodes.append(xxh3_64_intdigest(marks[-1]) >> 1)
+                arrays = [batch.column("doc_id"), *(pa.array(fingerprints(texts, n).view(np.int64)) for n in (size, wide)), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(nodes, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "fp5", "sketch", "bands", "node"])
+
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, fp long, fp5 long, sketch binary, bands array<long>, node long")
+
+
+def near_groups(docs: DataFrame, radius: int = 3, size: int = 3, wide: int = 5, similarity: float = 0.8, margin: float = 0.03, wide_radius: int = 20, tile: int = 2048) -> DataFrame:
+    """doc_id and the least doc_id of its group: fingerprints within ``radius``, or five-word shingles alike.
+
+    Texts whose shingle sets have a Jaccard similarity of ``similarity`` agree in one of the bands but for about one
+    pair in 500; bit-sliced comparison of their wide fingerprints and the estimate from DRAWS bytes (accepted from
+    similarity - margin on, its standard error being 0.03) decide within a band.
+    """
+    own = materialize(sketches(docs, size, wide), "sketches")
+    texts = own.groupBy("node").agg(F.min("fp").alias("f"), F.first("fp5").alias("fp"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    texts = materialize(texts, "texts")
+    keyed = texts.select("node", "fp", "sketch", F.posexplode("bands").alias("t", "key"))
+    alike_ = materialize(dealt_links(keyed, wide_radius, tile, True, similarity - margin), "alike")
+    place = texts.select("node", "f")
+    mapped = alike_.join(place.toDF("u", "fu"), "u").join(place.toDF("v", "fv"), "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
+    other = own.select("node", "fp").distinct().join(place, "node").where("fp <> f").select(F.col("fp").alias("u"), F.col("f").alias("v"))
+    fps = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    return grouped(own, fps, connected(links(fps.select("fp"), radius, tile=tile).union(mapped).union(other)))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id (of rows with equal ids, one)."""
+    kept = near_groups(docs, **options).select("component_id").distinct()
+    first = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("component_id")), "left_semi")
+    return first.dropDuplicates(["doc_id"])

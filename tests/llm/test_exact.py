@@ -109,9 +109,9 @@ def test_bpe_codec_repairs_bad_cuts():
             return [s[i : i + 7] for i in range(0, len(s), 7)]
 
     for text in ("The quick brown fox   jumps over\n\n the lazy dog's 12345 tails" * 5, "a" * 100, "     x     " * 9, "word  word  " * 9):
-        ids, _, decoded = next(Anywhere(t).run([text.encode()]))
-        assert [i for x in ids for i in x] == t.encode(text, add_special_tokens=False).ids
-        assert b"".join(decoded) == text.encode()
+        chunks = next(Anywhere(t).run([text.encode()]))
+        assert ",".join(c.decimal for c in chunks) == ",".join(map(str, t.encode(text, add_special_tokens=False).ids))
+        assert b"".join(c.decoded for c in chunks) == text.encode()
 
 
 def fingerprint(text):
@@ -179,3 +179,37 @@ def test_simhash_keeps_one(frames):
     out = simhash_dedup.keep_one(frames[0])
     ids = {r.doc_id for r in out.collect()}
     assert out.columns == frames[0].columns and {4, 6} <= ids and 5 not in ids and 1 not in ids
+
+
+def test_hot_anchors(spark, monkeypatch):
+    from functools import partial
+
+    from locushift.llm import anchors, substring_dedup, suffix_dedup
+
+    texts_ = [f"{' '.join(f'a{i * j % 97}' for j in range(40))} {COMMON} {' '.join(f'b{i + j * j}' for j in range(20))}" for i in range(60)]
+    frame = made(spark, texts_ + texts_[:3])
+    plain = rows(substring_dedup.report(frame)), rows(suffix_dedup.report(frame))
+    own = [(d, t.encode().split()) for d, t in texts(frame)]
+    want = [(d, len(w), sum(g), sha(b" ".join(x for x, o in zip(w, g) if not o))) for (d, w), g in zip(own, repeated([w for _, w in own], 35))]
+    assert plain[0] == sorted(want, key=str)
+    monkeypatch.setattr(anchors, "flagged", partial(anchors.flagged, most=2))
+    assert (rows(substring_dedup.report(frame)), rows(suffix_dedup.report(frame))) == plain
+
+
+def test_near_groups_by_five_words(spark):
+    import random
+
+    from locushift.llm import simhash_dedup
+
+    rng = random.Random(2)
+    base = [[f"v{rng.randint(0, 5000)}" for _ in range(200)] for _ in range(40)]
+    out = []
+    for i, w in enumerate(base):
+        out.append((i, " ".join(w)))
+        for j in range(3):
+            own = list(w)
+            own[rng.randrange(200)] = f"new{j}"
+            own[rng.randrange(200)] = f"newer{j}"
+            out.append((100 + 3 * i + j, " ".join(own)))
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_groups(spark.createDataFrame(out, "doc_id long, text string")).collect()}
+    assert all(got[i] == i for i in range(40)) and all(got[100 + 3 * i + j] == i for i in range(40) for j in range(3))
