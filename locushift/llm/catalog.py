@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import bpe_codec, html_extract, mix_sources, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, url_filter, weighted_fingerprint
 from .common import table
+from .oracles import ORACLES
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -56,4 +57,4 @@ def op10_suffix_dedup(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_weighted_fingerprints, op2_simhash_dedup, op3_quality_classifier, op4_quality_rules, op5_url_filters, op6_mix_sources, op7_bpe_codec, op8_substring_dedup, op9_html_extract, op10_suffix_dedup)}
 
-ORACLES = {"op6_mix_sources": mix_sources.REPORT_SQL}
+__all__ = ["ORACLES", "QUERIES"]

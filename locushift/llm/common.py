@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -37,6 +38,19 @@ def n_words(text: Column) -> Column:
     return (F.size(F.split(whole, SPACE)) - ends).cast("long")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """The needed columns beside ``_row``, a struct of the whole row, so that no other name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *columns)
+
+
 def small_batches(df: DataFrame, most: int = 1000) -> DataFrame:
     """The same frame, after setting the session's Arrow batches to ``most`` rows at most: texts are long, and a batch
     of the default 10,000 is held several times over by the JVM and the worker."""
@@ -53,7 +67,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = os.path.join(tempfile.gettempdir(), "locushift-checkpoints")
+        found = tempfile.mkdtemp(prefix="locushift-checkpoints-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import let, n_words
+from .common import let, n_words, packed
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -75,8 +75,8 @@ def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Each document as often as the mix takes it, with the columns of ``docs``."""
-    taken = with_copies(docs, **options).withColumn("_mix", F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies"))))
-    return taken.drop("_mix")
+    taken = with_copies(packed(docs, "doc_id", "source", "text"), **options)
+    return taken.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies")))).select("_row.*")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import slices, texts_of
-from .common import materialize, small_batches
+from .common import fresh, materialize, small_batches
 
 BITS = 64
 
@@ -329,6 +329,6 @@ def near_groups(docs: DataFrame, radius: int = 3, size: int = 3, wide: int = 5,
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id (of rows with equal ids, one)."""
-    kept = near_groups(docs, **options).select("component_id").distinct()
-    first = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("component_id")), "left_semi")
+    kept = near_groups(docs, **options).select(F.col("component_id").alias(name := fresh(docs, "component_id"))).distinct()
+    first = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
     return first.dropDuplicates(["doc_id"])

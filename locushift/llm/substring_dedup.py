@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from .bpe_codec import slices, texts_of
+from .common import fresh
 
 LENGTH = 35
 GRAM = 8
@@ -112,10 +113,10 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with repeats cut out of their texts (white space before a removed word goes with it)."""
-    name = "_dedup_key"
+    name, key, found_ranges = (fresh(docs, x) for x in ("_dedup_key", "_found_key", "_found_ranges"))
     marked = docs.withColumn(name, F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64(F.coalesce("text", F.lit("")), "doc_id").alias("_t")))
-    found = removed_words(docs, length).select(F.struct("_d", "_t").alias("_found_key"), F.col("ranges").alias("_found_ranges"))
-    joined = marked.join(found.hint("shuffle_hash"), F.col(name) == F.col("_found_key"), "left").drop(name, "_found_key")
+    found = removed_words(docs, length).select(F.struct("_d", "_t").alias(key), F.col("ranges").alias(found_ranges))
+    joined = marked.join(found.hint("shuffle_hash"), F.col(name) == F.col(key), "left").drop(name, key)
 
     def work(batches):
         import re
@@ -124,7 +125,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for whole in batches:
             for batch in slices(whole):
                 texts = []
-                for text, ranges in zip(texts_of(batch.column("text")), batch.column("_found_ranges").to_pylist(), strict=True):
+                for text, ranges in zip(texts_of(batch.column("text")), batch.column(found_ranges).to_pylist(), strict=True):
                     if ranges:
                         pieces = word.findall(text)
                         out = anchors.covered(ranges, len(pieces), length).tolist()

@@ -200,3 +200,21 @@ def test_pipeline(spark, data):
     docs = {r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     rows = out.collect()
     assert rows and {r.doc_id for r in rows} < docs and all(r.n_tokens == len(r.ids) for r in rows)
+
+
+def test_stages_handle_odd_rows(spark):
+    import corpus_pipeline
+
+    good = " ".join(f"word{i % 37}, then the other {i}" for i in range(60))
+    rows = [(1, good, "en", "a"), (1, good, "en", "a"), (2, None, None, None), (3, "", "en", "a"), (None, good + " more", None, "b"), (None, None, "en", None), (4, "x " * 50_000, "de", "b"), (5, "ü\x00é <|endoftext|> " * 40, "fr", None)]
+    frame = spark.createDataFrame([(*r, len(r[1] or ""), "clash", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _v string, component_id int")
+    for odd in (frame, frame.where("false"), frame.withColumnRenamed("_v", "_mix").withColumnRenamed("component_id", "_dedup_key")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, odd, "")
+            found = out.collect()
+            if name == "bpe encoding":
+                assert len(found) == odd.count()
+            else:
+                assert out.columns == odd.columns, name
+            if odd.count() == 0:
+                assert not found
