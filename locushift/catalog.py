@@ -570,3 +570,19 @@ def sentence_topk(spark, d):
     frequency = con.select(F.col("ord").alias("row"), (F.col("ord") % 17 + 1).alias("n_docs"), F.lit(1000.0).alias("n_total"))
     tokens = prepare.sentences(weights, frequency, most=50)
     return align.tokens_to_regions(tokens, con.select(F.col("ord").alias("row"), "ord"), most=50).select("cell", "place", "token", "ord")
+
+
+@query("SELECT ord FROM (SELECT ord, confound, quantile_cont(confound, 0.9) OVER (PARTITION BY chrom) AS cut FROM con WHERE confound IS NOT NULL) WHERE confound >= cut", X.CONTRACT_SQL)
+def top_decile(spark, d):
+    return prepare.top_decile(X.contract(spark, d).where("confound is not null"), "chrom", "confound").select("ord")
+
+
+@query("SELECT ord FROM con WHERE ord % 2 = 0 AND chrom IN (SELECT 'chr' || unnest(range(1, 23)))", X.CONTRACT_SQL)
+def vocabulary_regions(spark, d):
+    con = X.contract(spark, d).withColumn("row", F.col("ord"))
+    return prepare.drop_unknown(con.where(C.is_vocabulary_chrom(F.col("chrom"))), con.where("ord % 2 = 0")).select("ord")
+
+
+@query("SELECT ord FROM con WHERE direction IS NOT NULL AND direction <> 0 AND abs(direction) >= 0.05", X.CONTRACT_SQL)
+def trusted_directions(spark, d):
+    return nominate.trusted_direction(X.contract(spark, d)).where("direction_trusted and direction <> 0").select("ord")

@@ -112,3 +112,14 @@ def panel_summary(runs: DataFrame) -> DataFrame:
 
 def exclude_regions(test: DataFrame, train: DataFrame) -> DataFrame:
     return test.join(train.select("chrom", "start_pos", "end_pos"), ["chrom", "start_pos", "end_pos"], "left_anti")
+
+
+def top_decile(df: DataFrame, factor: str = "factor", value: str = "value", share: float = 0.1) -> DataFrame:
+    """Per factor its strongest rows: those at or above the (1 - share) quantile, which is interpolated exactly."""
+    cut = df.groupBy(factor).agg(F.percentile(value, 1 - share).alias("_cut"))
+    return df.join(cut, factor).where(F.col(value) >= F.col("_cut")).drop("_cut")
+
+
+def drop_unknown(tokens: DataFrame, universe: DataFrame) -> DataFrame:
+    """Tokens whose row is in the universe."""
+    return tokens.join(universe.select("row"), "row", "left_semi")

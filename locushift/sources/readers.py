@@ -127,3 +127,78 @@ def artifact(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 def transition(path: str, default: dict) -> dict:
     with open(path) as f:
         return default | json.load(f)
+
+
+def _parsed(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
+    """Binary files read on executors; ``parse``: (content, path) to a pandas frame per file."""
+
+    def rows(frames):
+        for f in frames:
+            for content, name in zip(f["content"], f["path"], strict=True):
+                yield parse(content, name)
+
+    return spark.read.format("binaryFile").load(path).select("content", "path").mapInPandas(rows, schema)
+
+
+def chain(spark: SparkSession, path: str) -> DataFrame:
+    """A lift-over chain file (plain or gzip) as blocks: ord, chrom, start_pos, end_pos, to_chrom, to_start, sign."""
+
+    def parse(content: bytes, name: str):
+        import gzip
+
+        import pandas as pd
+
+        text = (gzip.decompress(content) if name.endswith(".gz") else content).decode()
+        out, head, t, q = [], None, 0, 0
+        for line in text.splitlines():
+            f = line.split()
+            if not f or line.startswith("#"):
+                continue
+            if f[0] == "chain":
+                head, t, q = f, int(f[5]), int(f[10])
+                continue
+            size = int(f[0])
+            forward = head[9] == "+"
+            out.append((len(out), head[2], t, t + size, head[7], q if forward else int(head[8]) - 1 - q, 1 if forward else -1))
+            if len(f) > 1:
+                t, q = t + size + int(f[1]), q + size + int(f[2])
+        return pd.DataFrame(out, columns=["ord", "chrom", "start_pos", "end_pos", "to_chrom", "to_start", "sign"])
+
+    return _parsed(spark, path, parse, "ord long, chrom string, start_pos long, end_pos long, to_chrom string, to_start long, sign int")
+
+
+def vector(spark: SparkSession, path: str) -> DataFrame:
+    """A one-dimensional .npy file as (row, value)."""
+
+    def parse(content: bytes, name: str):
+        import numpy as np
+        import pandas as pd
+
+        x = np.load(io.BytesIO(content), allow_pickle=False).astype(float)
+        return pd.DataFrame({"row": np.arange(len(x)), "value": x})
+
+    return _parsed(spark, path, parse, "row long, value double")
+
+
+def hits(spark: SparkSession, path: str, regions: DataFrame) -> DataFrame:
+    """Rows of a table partitioned by chrom that overlap the regions: other partitions are not read."""
+    from ..operators.intervals import overlap_flag
+
+    chroms = [r[0] for r in regions.select("chrom").distinct().limit(10_000).collect()]
+    table = spark.read.parquet(path).where(F.col("chrom").isin(chroms))
+    return overlap_flag(table, regions, "_hit").where("_hit").drop("_hit")
+
+
+def state_matrix(spark: SparkSession, path: str, cell: str | None = None) -> DataFrame:
+    """Long state x region values (cell, ord, chrom, start_pos, end_pos, value), of one cell or all."""
+    table = spark.read.parquet(path)
+    return table if cell is None else table.where(F.col("cell") == cell)
+
+
+def motif_matrix(spark: SparkSession, path: str, expected: list[str]) -> DataFrame:
+    """A motif matrix whose names must stand in the expected order."""
+    from ..operators.prepare import check_names
+
+    table = spark.read.parquet(path)
+    check_names([c for c in table.columns if c not in ("ord", "chrom", "start_pos", "end_pos")], expected)
+    return table

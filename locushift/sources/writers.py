@@ -66,3 +66,17 @@ def artifact(df: DataFrame, path: str, *, model: str, cell_state: str, assembly:
 def report(row: dict, title: str) -> str:
     """A result as text, one line per field."""
     return "\n".join([title, *(f"  {k}: {v:.4f}" if isinstance(v, float) else f"  {k}: {v}" for k, v in row.items())])
+
+
+def hits(df: DataFrame, path: str) -> None:
+    """A table that ``readers.hits`` scans by chrom."""
+    df.repartition("chrom").sortWithinPartitions("start_pos").write.partitionBy("chrom").parquet(path)
+
+
+def state_matrix(df: DataFrame, path: str) -> None:
+    """cell, ord, region, value; one folder per cell."""
+    df.write.partitionBy("cell").parquet(path)
+
+
+def motif_matrix(df: DataFrame, path: str) -> None:
+    df.write.parquet(path)

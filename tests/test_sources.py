@@ -94,3 +94,30 @@ def test_contract_with_gates_to_nominations(spark, tmp_path):
 def test_arguments(args):
     with pytest.raises(SystemExit):
         navigate.check(navigate.parser().parse_args(args))
+
+
+def test_containers(spark, tmp_path):
+    import gzip
+
+    text = "chain 1 a 1000 + 100 260 x 900 + 10 175 1\n50 10 15\n100\n\nchain 1 a 1000 + 500 520 y 300 - 20 40 2\n20\n"
+    (tmp_path / "c.chain.gz").write_bytes(gzip.compress(text.encode()))
+    got = sorted(map(tuple, readers.chain(spark, str(tmp_path / "c.chain.gz")).collect()))
+    assert got == [(0, "a", 100, 150, "x", 10, 1), (1, "a", 160, 260, "x", 75, 1), (2, "a", 500, 520, "y", 279, -1)]
+    np.save(tmp_path / "v.npy", np.array([1.5, 2.0]))
+    assert sorted(map(tuple, readers.vector(spark, str(tmp_path / "v.npy")).collect())) == [(0, 1.5), (1, 2.0)]
+    rows = spark.createDataFrame([(i, f"chr{i % 3}", i * 10, i * 10 + 5, float(i)) for i in range(30)], "ord long, chrom string, start_pos long, end_pos long, value double")
+    writers.hits(rows, str(tmp_path / "hits"))
+    some = rows.where("ord in (4, 7)")
+    assert sorted(r.ord for r in readers.hits(spark, str(tmp_path / "hits"), some).collect()) == [4, 7]
+    from pyspark.sql import functions as F
+
+    writers.state_matrix(rows.withColumn("cell", F.when(F.col("ord") < 10, "A").otherwise("B")), str(tmp_path / "cells"))
+    assert readers.state_matrix(spark, str(tmp_path / "cells"), "A").count() == 10 and readers.state_matrix(spark, str(tmp_path / "cells")).count() == 30
+    writers.motif_matrix(rows.select("ord", F.lit(1.0).alias("m1"), F.lit(2.0).alias("m2")), str(tmp_path / "motif"))
+    assert readers.motif_matrix(spark, str(tmp_path / "motif"), ["m1", "m2"]).count() == 30
+    with pytest.raises(ValueError):
+        readers.motif_matrix(spark, str(tmp_path / "motif"), ["m2", "m1"])
+
+
+def test_report_text():
+    assert writers.report({"auroc": 0.5, "n": 3}, "claim") == "claim\n  auroc: 0.5000\n  n: 3"
