@@ -85,7 +85,7 @@ def contract_encode(spark, d):
     return rows.select("region", C.region_parts(F.col("region")).alias("p"), "driver_score", "direction").select("region", "p.*", "driver_score", "direction")
 
 
-@query(f"SELECT {R}, round(t.raw_score, 6) AS value FROM con LEFT JOIN (SELECT ord AS k, raw_score FROM con WHERE ord % 3 <> 0) t ON t.k = con.ord".replace("ord, chrom", "con.ord, chrom"), X.CONTRACT_SQL)
+@query(f"SELECT {R}, round(t.raw_score, 6) AS value FROM con LEFT JOIN (SELECT ord AS k, raw_score FROM con WHERE ord % 3 <> 0) t ON t.k = con.ord", X.CONTRACT_SQL)
 def value_track_attach(spark, d):
     con = X.contract(spark, d)
     track = con.where("ord % 3 <> 0")
@@ -234,7 +234,7 @@ def consensus_regions(spark, d):
 # --- statistics ---------------------------------------------------------------------------------------------------
 
 
-@query("SELECT ord, rank() OVER (ORDER BY confound) + (count(*) OVER (PARTITION BY confound) - 1) / 2.0 AS avg_rank FROM con WHERE confound IS NOT NULL".replace("2.0", "2::DOUBLE"), X.CONTRACT_SQL)
+@query("SELECT ord, rank() OVER (ORDER BY confound) + (count(*) OVER (PARTITION BY confound) - 1) / 2::DOUBLE AS avg_rank FROM con WHERE confound IS NOT NULL", X.CONTRACT_SQL)
 def avg_ranks(spark, d):
     return average_ranks(X.contract(spark, d).where("confound is not null"), "confound").select("ord", "avg_rank")
 
@@ -398,7 +398,7 @@ def keyword_scan(spark, d):
 # --- gates and nominations ----------------------------------------------------------------------------------------
 
 
-@query("SELECT ord, round(round(avg(v), 9), 6) AS mean_cpm, (row_number() OVER (ORDER BY avg(v) DESC, ord))::INT AS rank FROM cpm GROUP BY ord QUALIFY rank <= 100".replace("avg(v) DESC", "round(avg(v), 9) DESC"), X.CONTRAST_SQL)
+@query("SELECT ord, round(round(avg(v), 9), 6) AS mean_cpm, (row_number() OVER (ORDER BY round(avg(v), 9) DESC, ord))::INT AS rank FROM cpm GROUP BY ord QUALIFY rank <= 100", X.CONTRAST_SQL)
 def logcpm_universe(spark, d):
     table, samples = gates.wide(X.contrast(spark, d), list(range(6)))
     cpm = gates.log_cpm(table, 6)

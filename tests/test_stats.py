@@ -6,9 +6,8 @@ from locushift.operators import evaluate, resample, stats
 
 
 def frame(spark, score, label, **more):
-    names = ["ord", "chrom", "start_pos", "end_pos", "score", "label", *more]
     rows = [(i, "chr1", i * 100, i * 100 + 50, float(s), bool(y), *[float(v[i]) if v[i] is not None else None for v in more.values()]) for i, (s, y) in enumerate(zip(score, label))]
-    return spark.createDataFrame(rows, "ord long, chrom string, start_pos long, end_pos long, score double, label boolean" + "".join(f", {m} double" for m in more)) if names else None
+    return spark.createDataFrame(rows, "ord long, chrom string, start_pos long, end_pos long, score double, label boolean" + "".join(f", {m} double" for m in more))
 
 
 def test_auroc_cases(spark):
