@@ -38,6 +38,14 @@ def n_words(text: Column) -> Column:
     return (F.size(F.split(whole, SPACE)) - ends).cast("long")
 
 
+def where_once(df: DataFrame, condition: Column) -> DataFrame:
+    """Filters on columns that are dear to compute. A plain filter would be pushed below their projection, and the
+    columns computed for it a second time; it stays above one that also numbers the rows (the test on that number
+    always holds)."""
+    name = fresh(df, "_number")
+    return df.withColumn(name, F.monotonically_increasing_id()).where(condition & (F.col(name) >= 0)).drop(name)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have."""
     taken = {c.lower() for c in df.columns}

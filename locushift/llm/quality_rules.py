@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, packed, words
+from .common import SPACE, let, packed, where_once, words
 
 #: One code for each common word; the last code stands for all other words.
 CODES = "abcdefghijklmnopqrstuvwxyzABCDEF"
@@ -135,7 +135,7 @@ def judged(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, min_c
 
 def keep(docs: DataFrame, **options) -> DataFrame:
     """The documents that pass, with their columns."""
-    return judged(packed(docs, "lang", "text"), **options).where("_v.kept").select("_row.*")
+    return where_once(judged(packed(docs, "lang", "text"), **options), F.col("_v.kept")).select("_row.*")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
