@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import let, n_words, packed
+from .common import let, materialize, n_words, packed
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 SEED = "mix-1"
+SMALL = 100_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -60,13 +61,15 @@ def draw(key: Column, seed: str = SEED) -> Column:
 def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, size: Column | None = None) -> DataFrame:
     """The documents with ``_mix``: size, source_size, target and copies.
 
-    The text is measured in the same pass that reads it; only one row per source is joined back, by broadcast,
-    after ``source_targets`` has brought the corpus down to its sources.
+    One row per source comes back to the documents: by broadcast if there are at most ``SMALL`` sources, else by a
+    shuffle on the source, whose large partitions Spark splits.
     """
-    sized = docs.withColumn("_mix_size", n_words(F.col("text")) if size is None else size)
-    targets = source_targets(docs.select("source", (n_words(F.col("text")) if size is None else size).alias("size")), weights, share, most)
+    words = n_words(F.col("text")) if size is None else size
+    targets = materialize(source_targets(docs.select("source", words.alias("size")), weights, share, most), "targets")
     targets = targets.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_total"), F.col("target").alias("_mix_target"))
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_mix_source")), "left")
+    if targets.count() <= SMALL:
+        targets = F.broadcast(targets)
+    joined = docs.withColumn("_mix_size", words).join(targets, F.col("source").eqNullSafe(F.col("_mix_source")), "left")
     rate = F.when(F.col("_mix_total") > 0, F.col("_mix_target") / F.col("_mix_total")).otherwise(F.lit(0.0))
     copies = let(rate, lambda r: (F.floor(r) + F.when(draw(F.col("doc_id"), seed) < r - F.floor(r), 1).otherwise(0)).cast("int"))
     mixed = F.struct(F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"), copies.alias("copies"))

@@ -125,6 +125,15 @@ def test_mix(spark, data):
         assert out.columns == frame.columns and sum(len(words(r.text)) for r in out.collect()) == sum(r.taken for r in rows)
 
 
+def test_mix_without_broadcast(spark, data, monkeypatch):
+    from locushift.llm import mix_sources
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    want = sorted(map(tuple, mix_sources.report(docs).collect()))
+    monkeypatch.setattr(mix_sources, "SMALL", -1)
+    assert sorted(map(tuple, mix_sources.report(docs).collect())) == want
+
+
 def test_mix_totals(spark, data):
     from locushift.llm import mix_sources
 
