@@ -109,7 +109,7 @@ def spans(docs: DataFrame, symbols_of: Callable[[list[bytes]], tuple[np.ndarray,
     return keyed(docs).select("_d", "_t", "text").mapInArrow(work, "h long, s long, _d long, _t long, lo int, n int, at int")
 
 
-def flagged(rows: DataFrame, name: str, most: int = 512) -> DataFrame:
+def flagged(rows: DataFrame, name: str, most: int) -> DataFrame:
     """The rows whose anchor occurs again: full (the whole span does), open (to be compared), hot (over ``most`` spans)."""
     rows = materialize(rows, f"{name}-spans")
     groups = materialize(rows.groupBy("h", "s").agg(F.count(F.lit(1)).alias("c")), f"{name}-groups")
@@ -191,9 +191,9 @@ def counted(rows: DataFrame, name: str) -> DataFrame:
     return rows.where("not full").join(often, ["h", "w"]).select(*KEYS, "lo", "n")
 
 
-def repeated(docs: DataFrame, symbols_of, cut, windows, solve, length: int, k: int, name: str) -> DataFrame:
+def repeated(docs: DataFrame, symbols_of, cut, windows, solve, length: int, k: int, name: str, most: int) -> DataFrame:
     """_d, _t, ranges: array of (lo, n), the repeated windows of each document that has any."""
-    flags = flagged(spans(docs, symbols_of, length, k), name)
+    flags = flagged(spans(docs, symbols_of, length, k), name, most)
     rows = materialize(payload(docs, flags, cut, windows), f"{name}-payload")
     hits = materialize(compared(rows.where("span is not null").drop("w"), solve), f"{name}-hits")
     found = flags.where("full").select(*KEYS, "lo", "n").union(hits).union(counted(rows.where("span is null"), name))

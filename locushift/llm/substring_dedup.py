@@ -27,6 +27,7 @@ from .common import fresh
 
 LENGTH = 35
 GRAM = 8
+MOST = 512  # different spans of an anchor that are compared in one group
 
 
 def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +88,7 @@ def extend(length: int):
 
 def removed_words(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """_d, _t, ranges: runs of repeated windows."""
-    return anchors.repeated(docs, word_symbols, cut_spans(length), windows_of(length), extend(length), length, GRAM, "substring")
+    return anchors.repeated(docs, word_symbols, cut_spans(length), windows_of(length), extend(length), length, GRAM, "substring", MOST)
 
 
 def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -25,6 +25,7 @@ from .bpe_codec import slices, texts_of
 
 LENGTH = 200
 GRAM = 32
+MOST = 4096  # different spans of an anchor that are sorted in one bucket
 #: A perfect difference cover modulo 31; its gaps are at most 13.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 DEPTH = 5 * PERIOD
@@ -124,7 +125,7 @@ def solve_for(length: int):
 
 def removed_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """_d, _t, ranges: runs of repeated windows."""
-    return anchors.repeated(docs, byte_symbols, cut_spans(length), windows_of(length), solve_for(length), length, GRAM, "suffix")
+    return anchors.repeated(docs, byte_symbols, cut_spans(length), windows_of(length), solve_for(length), length, GRAM, "suffix", MOST)
 
 
 def report(docs: DataFrame, length: int = LENGTH, with_kept: bool = False) -> DataFrame:

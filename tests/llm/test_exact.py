@@ -182,9 +182,7 @@ def test_simhash_keeps_one(frames):
 
 
 def test_hot_anchors(spark, monkeypatch):
-    from functools import partial
-
-    from locushift.llm import anchors, substring_dedup, suffix_dedup
+    from locushift.llm import substring_dedup, suffix_dedup
 
     texts_ = [f"{' '.join(f'a{i * j % 97}' for j in range(40))} {COMMON} {' '.join(f'b{i + j * j}' for j in range(20))}" for i in range(60)]
     frame = made(spark, texts_ + texts_[:3])
@@ -192,7 +190,8 @@ def test_hot_anchors(spark, monkeypatch):
     own = [(d, t.encode().split()) for d, t in texts(frame)]
     want = [(d, len(w), sum(g), sha(b" ".join(x for x, o in zip(w, g) if not o))) for (d, w), g in zip(own, repeated([w for _, w in own], 35))]
     assert plain[0] == sorted(want, key=str)
-    monkeypatch.setattr(anchors, "flagged", partial(anchors.flagged, most=2))
+    monkeypatch.setattr(substring_dedup, "MOST", 2)
+    monkeypatch.setattr(suffix_dedup, "MOST", 2)
     assert (rows(substring_dedup.report(frame)), rows(suffix_dedup.report(frame))) == plain
 
 
