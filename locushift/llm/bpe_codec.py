@@ -83,7 +83,7 @@ class Pieces(dict):
 class ChunkCodec:
     """Encodes and decodes whole texts through bounded caches of chunks and pieces."""
 
-    def __init__(self, tokenizer, every: int = 48, most_chunks: int = 20_000, most_pieces: int = 400_000):
+    def __init__(self, tokenizer, every: int = 48, most_chunks: int = 20_000, most_pieces: int = 300_000):
         self.tokenizer, self.every = tokenizer, every
         self.chunks: dict[str, Chunk] = {}
         self.pieces = Pieces(most_pieces)  # to (decimal ids, class)
@@ -227,7 +227,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
     def work(batches):
         own = codec(path)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, 2_000_000):
                 out: dict[str, list] = {f.name: [] for f in fields}
                 for chunks in own.run(texts_of(batch.column("text"))):
                     decimal = ",".join([c.decimal for c in chunks])
