@@ -243,8 +243,9 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def grouped(own: DataFrame, fps: DataFrame, roots: DataFrame) -> DataFrame:
     """doc_id, fp, component_id from fingerprints (own; fps with their least id) and the roots of those linked."""
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    # Only groups of several fingerprints come back, from a written table, so that Spark can split a large one.
+    several = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "component_id")
+    named = rooted.join(materialize(several, "groups"), "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return own.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id")
 
 
