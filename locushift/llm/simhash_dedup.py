@@ -97,11 +97,10 @@ class Components:
                 self.label = up
 
 
-def bucket_links(fp: np.ndarray, bucket: np.ndarray, radius: int, most_pairs: int = 2_000_000, also=None) -> np.ndarray:
+def bucket_links(fp: np.ndarray, bucket: np.ndarray, radius: int, most_pairs: int = 2_000_000) -> np.ndarray:
     """Labels (least index) of the components of links within buckets; ``bucket`` is sorted.
 
-    All queries advance together through the 64-lane blocks of their bucket. also: a further test of the pairs
-    within the radius, from two arrays of indices to booleans.
+    All queries advance together through the 64-lane blocks of their bucket.
     """
     n = len(fp)
     found = Components(n)
@@ -147,9 +146,6 @@ def bucket_links(fp: np.ndarray, bucket: np.ndarray, radius: int, most_pairs: in
                 word = ~over[part]
                 hit, lane = np.nonzero((word[:, None] >> lanes) & np.uint64(1))
                 u, v = own[part][hit], at[part][hit] * 64 + lane
-                if also is not None:
-                    true = also(u, v)
-                    u, v = u[true], v[true]
                 pending.append((u, v))
                 held += len(u)
                 if held > most_pairs:
@@ -164,46 +160,57 @@ def bucket_links(fp: np.ndarray, bucket: np.ndarray, radius: int, most_pairs: in
     return found.label
 
 
-def dealt_links(keyed: DataFrame, radius: int, tile: int, sketch: bool = False, least: float = 0.0) -> DataFrame:
-    """A spanning set of links (u, v) within the buckets (t, key) of ``keyed``: t, key, node, fp and, if used, sketch.
+def dealt(keyed: DataFrame, tile: int, *columns: str) -> DataFrame:
+    """``keyed`` (t, key, node and ``columns``) with the rows of each bucket (t, key) together, in order.
 
-    Buckets beyond ``tile`` rows are dealt into tiles by a hash, and each pair of tiles is compared by itself, so
-    that no bucket has to fit in one task.
+    Buckets beyond ``tile`` rows are dealt into tiles by a hash, and each pair of tiles (a, b) is compared by itself,
+    so that no bucket has to fit in one task.
     """
     hot = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("t", "key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     keyed = keyed.join(hot, ["t", "key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     keyed = keyed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least(j, "own").alias("a"), F.greatest(j, "own").alias("b")))
-    columns = ["t", "key", "p.a", "p.b", "node", "fp", *["sketch"] * sketch]
-    dealt = keyed.withColumn("p", F.explode(pairs)).select(*columns).repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "node")
+    return keyed.withColumn("p", F.explode(pairs)).select("t", "key", "p.a", "p.b", "node", *columns).repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "node")
 
-    def solve(t: pa.Table):
+
+def solved(dealt_: DataFrame, solve, most_bytes: int = 32_000_000) -> DataFrame:
+    """Links (u, v) from ``solve(table, new)``, called with whole tiles; ``new`` is true where one starts."""
+
+    def each(t: pa.Table):
         key = [t.column(c).to_numpy() for c in ("t", "key", "a", "b")]
-        fp, node = t.column("fp").to_numpy(), t.column("node").to_numpy()
-        new = np.ones(len(fp), bool)
+        new = np.ones(len(t), bool)
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
-        also = alike(t.column("sketch").to_pylist(), least) if sketch else None
-        label = bucket_links(fp.view(np.uint64), np.cumsum(new), radius, also=also)
-        linked = np.flatnonzero(label != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(node[label[linked]]), pa.array(node[linked])], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in solve(t, new)], names=["u", "v"])
 
     def work(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(map(len, held)) < 1 << 16:
+            if sum(map(len, held)) < 1 << 16 and sum(x.nbytes for x in held) < most_bytes:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
             last = [t.column(c)[-1].as_py() for c in ("t", "key", "a", "b")]
             same = np.logical_and.reduce([t.column(c).to_numpy() == x for c, x in zip(("t", "key", "a", "b"), last, strict=True)])
             cut = len(same) - int(same.sum())
             if cut:
-                yield solve(t.slice(0, cut).combine_chunks())
+                yield each(t.slice(0, cut).combine_chunks())
             held = t.slice(cut).combine_chunks().to_batches()
         if held:
-            yield solve(pa.Table.from_batches(held).combine_chunks())
+            yield each(pa.Table.from_batches(held).combine_chunks())
+
+    return dealt_.mapInArrow(work, "u long, v long").distinct()
+
 
-    return dealt.mapInArrow(work, "u long, v long").distinct()
+def dealt_links(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
+    """A spanning set of links (u, v) within the buckets (t, key) of ``keyed``: t, key, node, fp."""
+
+    def solve(t: pa.Table, new: np.ndarray):
+        fp, node = t.column("fp").to_numpy(), t.column("node").to_numpy()
+        label = bucket_links(fp.view(np.uint64), np.cumsum(new), radius)
+        linked = np.flatnonzero(label != np.arange(len(fp)))
+        return node[label[linked]], node[linked]
+
+    return solved(dealt(keyed, tile, "fp"), solve)
 
 
 def links(fps: DataFrame, radius: int = 3, blocks: int = 5, tile: int = 2048) -> DataFrame:
@@ -262,34 +269,35 @@ def report(docs: DataFrame) -> DataFrame:
 
 # --- near copies by shingles of five words ------------------------------------------------------------------------
 
-DRAWS, BANDS, ROWS = 192, 6, 2
+DRAWS, BANDS, ROWS = 192, 12, 2
 _DRAW = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, DRAWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def minima(h: np.ndarray) -> np.ndarray:
-    """The least of a text's shingle hashes under each of DRAWS multiplicative hashes, 32 bits each."""
-    out = np.full(DRAWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+def shingle_set(text: bytes, wide: int) -> np.ndarray:
+    """The hashes of a text's shingles of ``wide`` words, each once, ascending."""
+    return np.unique(np.array(shingle_hashes(text, wide), np.uint64))
+
+
+def minima(h: np.ndarray, draws: int = DRAWS) -> np.ndarray:
+    """The least of a text's shingle hashes under each of ``draws`` multiplicative hashes, 32 bits each."""
+    out = np.full(draws, np.uint64(0xFFFFFFFFFFFFFFFF))
     for s in range(0, len(h), 512):
-        out = np.minimum(out, (h[s : s + 512, None] * _DRAW).min(axis=0))
+        out = np.minimum(out, (h[s : s + 512, None] * _DRAW[:draws]).min(axis=0))
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def alike(sketches: list[bytes], least: float):
-    """Tests pairs of sketches for at least this estimated Jaccard similarity (a byte agrees by chance once in 256)."""
-    table = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, DRAWS)
-    need = DRAWS * (least * (1 - 1 / 256) + 1 / 256)
+def sketch_of(h: np.ndarray) -> bytes:
+    low = minima(h)
+    return (low ^ (low >> np.uint32(16))).astype(np.uint8).tobytes()
 
-    def test(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        out = np.empty(len(u), bool)
-        for s in range(0, len(u), 1 << 16):
-            out[s : s + (1 << 16)] = (table[u[s : s + (1 << 16)]] == table[v[s : s + (1 << 16)]]).sum(axis=1) >= need
-        return out
 
-    return test
+def row_key():
+    """With doc_id, what tells rows apart: a hash of text and id."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").cast("long"))
 
 
 def sketches(docs: DataFrame, size: int = 3, wide: int = 5) -> DataFrame:
-    """doc_id, fp, and of the shingles of ``wide`` words: fp5, sketch, bands and node, a hash of the sketch."""
+    """doc_id, row (see row_key), fp, and of the set of shingles of ``wide`` words: bands and node, a hash of the set."""
 
     def work(batches):
         from xxhash import xxh3_64_intdigest
@@ -297,35 +305,110 @@ def sketches(docs: DataFrame, size: int = 3, wide: int = 5) -> DataFrame:
         for whole in batches:
             for batch in slices(whole):
                 texts = texts_of(batch.column("text"))
-                marks, bands, nodes = [], [], []
+                bands, nodes = [], []
                 for t in texts:
-                    low = minima(np.array(shingle_hashes(t, wide), np.uint64))
-                    marks.append((low ^ (low >> np.uint32(16))).astype(np.uint8).tobytes())
+                    h = shingle_set(t, wide)
+                    low = minima(h, BANDS * ROWS)
                     bands.append([xxh3_64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes()) >> 1 for b in range(BANDS)])
-                    nodes.append(xxh3_64_intdigest(marks[-1]) >> 1)
-                arrays = [batch.column("doc_id"), *(pa.array(fingerprints(texts, n).view(np.int64)) for n in (size, wide)), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(nodes, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "fp5", "sketch", "bands", "node"])
+                    nodes.append(xxh3_64_intdigest(h.tobytes()) >> 1)
+                arrays = [batch.column("doc_id"), batch.column("row"), pa.array(fingerprints(texts, size).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(nodes, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "fp", "bands", "node"])
+
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").mapInArrow(work, "doc_id long, row long, fp long, bands array<long>, node long")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, wide: int) -> DataFrame:
+    """node, sketch and the whole set of shingle hashes (8 bytes each) for ``wanted``: row, node."""
+
+    def work(batches):
+        for whole in batches:
+            for batch in slices(whole):
+                sets = [shingle_set(t, wide) for t in texts_of(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(sketch_of, sets), pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "sketch", "hashes"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, fp long, fp5 long, sketch binary, bands array<long>, node long")
+    found = docs.select(row_key().alias("row"), "text").join(wanted, "row").select("node", "text").mapInArrow(work, "node long, sketch binary, hashes binary")
+    return found.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("hashes").alias("hashes"))
 
 
-def near_groups(docs: DataFrame, radius: int = 3, size: int = 3, wide: int = 5, similarity: float = 0.8, margin: float = 0.03, wide_radius: int = 20, tile: int = 2048) -> DataFrame:
-    """doc_id and the least doc_id of its group: fingerprints within ``radius``, or five-word shingles alike.
+def true_links(sets: list[np.ndarray], sketch: np.ndarray, similarity: float, margin: float) -> tuple[list[int], list[int]]:
+    """Spanning links of the sets whose Jaccard similarity is ``similarity`` or more.
 
-    Texts whose shingle sets have a Jaccard similarity of ``similarity`` agree in one of the bands but for about one
-    pair in 500; bit-sliced comparison of their wide fingerprints and the estimate from DRAWS bytes (accepted from
-    similarity - margin on, its standard error being 0.03) decide within a band.
+    Each set is compared with all that no link has reached yet: by size, by the sketches' estimate, and if that is
+    not below similarity - margin, by the sets themselves.
+    """
+    size = np.array([len(x) for x in sets])
+    need = DRAWS * ((similarity - margin) * (1 - 1 / 256) + 1 / 256)  # a byte agrees by chance once in 256
+    left, u_, v_ = np.arange(len(sets)), [], []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            u = queue.pop()
+            fits = left[np.minimum(size[left], size[u]) >= similarity * np.maximum(size[left], size[u]) - 1e-6]
+            reached = []
+            for s in range(0, len(fits), 512):
+                near = fits[s : s + 512]
+                near = near[(sketch[near] == sketch[u]).sum(axis=1) >= need]
+                if not len(near):
+                    continue
+                flat = np.concatenate([sets[i] for i in near])
+                at = np.searchsorted(sets[u], flat)
+                same = np.zeros(len(flat), np.int64)
+                inside = at < size[u]
+                same[inside] = sets[u][at[inside]] == flat[inside]
+                both = np.add.reduceat(same, np.cumsum(size[near]) - size[near])
+                reached.append(near[both / (size[u] + size[near] - both) >= similarity])
+            if reached:
+                reached = np.concatenate(reached)
+                queue += reached.tolist()
+                u_ += [u] * len(reached)
+                v_ += reached.tolist()
+                left = np.setdiff1d(left, reached, assume_unique=True)
+    return u_, v_
+
+
+def alike_links(docs: DataFrame, texts: DataFrame, wide: int, similarity: float, margin: float, tile: int) -> DataFrame:
+    """Links (u, v) of the nodes of ``texts`` (node, row, bands) that share a band and whose sets are alike."""
+    buckets = texts.select("node", F.posexplode("bands").alias("t", "key"))
+    several = buckets.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "key")
+    buckets = materialize(buckets.join(several, ["t", "key"]).select("t", "key", "node"), "buckets")
+    sets = materialize(shingle_sets(docs, texts.select("row", "node").join(buckets.select("node").distinct(), "node"), wide), "sets")
+
+    def solve(t: pa.Table, new: np.ndarray):
+        node, sketch = t.column("node").to_numpy(), np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, DRAWS)
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        starts = np.flatnonzero(new)
+        u, v = [], []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(new)], strict=True):
+            if b - a > 1:
+                x, y = true_links(sets[a:b], sketch[a:b], similarity, margin)
+                u += [a + i for i in x]
+                v += [a + i for i in y]
+        return node[np.array(u, np.int64)], node[np.array(v, np.int64)]
+
+    return solved(dealt(buckets.join(sets, "node"), tile, "sketch", "hashes"), solve)
+
+
+def near_roots(docs: DataFrame, radius: int = 3, size: int = 3, wide: int = 5, similarity: float = 0.8, margin: float = 0.14, tile: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, row, fp) and, of fingerprints in groups, the (node, root): two fingerprints are linked within
+    ``radius``, or if two of their texts have sets of five-word shingles with a Jaccard similarity of ``similarity``.
+
+    Bands and sketches only propose pairs; the sets decide. A pair at 0.8 shares none of 12 bands (each two minima)
+    about once in 200,000, and its estimate falls short by ``margin`` (five standard errors) more rarely still.
     """
     own = materialize(sketches(docs, size, wide), "sketches")
-    texts = own.groupBy("node").agg(F.min("fp").alias("f"), F.first("fp5").alias("fp"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    texts = materialize(texts, "texts")
-    keyed = texts.select("node", "fp", "sketch", F.posexplode("bands").alias("t", "key"))
-    alike_ = materialize(dealt_links(keyed, wide_radius, tile, True, similarity - margin), "alike")
+    texts = materialize(own.groupBy("node").agg(F.min("fp").alias("f"), F.min("row").alias("row"), F.first("bands").alias("bands")), "texts")
+    alike_ = materialize(alike_links(docs, texts, wide, similarity, margin, tile), "alike")
     place = texts.select("node", "f")
     mapped = alike_.join(place.toDF("u", "fu"), "u").join(place.toDF("v", "fv"), "v").select(F.col("fu").alias("u"), F.col("fv").alias("v"))
     other = own.select("node", "fp").distinct().join(place, "node").where("fp <> f").select(F.col("fp").alias("u"), F.col("f").alias("v"))
-    fps = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    return grouped(own, fps, connected(links(fps.select("fp"), radius, tile=tile).union(mapped).union(other)))
+    fps = own.select("fp").distinct()
+    return own.select("doc_id", "row", "fp"), connected(links(fps, radius, tile=tile).union(mapped).union(other))
+
+
+def near_groups(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, fp and the least doc_id of its group (see near_roots)."""
+    own, roots = near_roots(docs, **options)
+    return grouped(own, own.groupBy("fp").agg(F.min("doc_id").alias("least")), roots)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -212,3 +212,28 @@ def test_near_groups_by_five_words(spark):
             out.append((100 + 3 * i + j, " ".join(own)))
     got = {r.doc_id: r.component_id for r in simhash_dedup.near_groups(spark.createDataFrame(out, "doc_id long, text string")).collect()}
     assert all(got[i] == i for i in range(40)) and all(got[100 + 3 * i + j] == i for i in range(40) for j in range(3))
+
+
+def test_near_groups_decide_by_exact_sets(spark):
+    """Pairs at a Jaccard similarity of exactly 0.8 are groups, pairs at 0.794 are not; repeats don't count."""
+    import random
+
+    from locushift.llm import simhash_dedup
+
+    def shingles(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    rng, out = random.Random(5), []
+    for i in range(80):
+        a = [f"w{rng.randint(0, 9999)}" for _ in range(274)]
+        b = [f"new{x}" if x % 40 == 20 and x < 240 else w for x, w in enumerate(a)]
+        if i % 2:
+            b[-1] = "last"
+        x, y = shingles(a), shingles(b)
+        assert len(x & y) / len(x | y) == (239 / 301 if i % 2 else 0.8)
+        out += [(i, " ".join(a)), (100 + i, " ".join(b))]
+    lines = [[f"w{rng.randint(0, 9999)}" for _ in range(12)] for _ in range(20)]
+    out += [(90, " ".join(sum(lines, []))), (190, " ".join(sum(lines, []) + lines[-1] * 60))]
+    for tile in (2048, 16):
+        got = {r.doc_id: r.component_id for r in simhash_dedup.near_groups(spark.createDataFrame(out, "doc_id long, text string"), tile=tile).collect()}
+        assert [i for i in range(0, 80, 2) if got[100 + i] != i] == [] and [i for i in range(1, 80, 2) if got[100 + i] != 100 + i] == [] and got[190] == 90
