@@ -412,7 +412,11 @@ def near_groups(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id (of rows with equal ids, one)."""
-    kept = near_groups(docs, **options).select(F.col("component_id").alias(name := fresh(docs, "component_id"))).distinct()
-    first = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    """One document of each group of near copies: the one with the smallest id (null ids last; of rows with equal ids,
+    one). Rows are told apart by id and text, so rows that share an id, or have none, only go as copies of another."""
+    own, roots = near_roots(docs, **options)
+    least = own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"))
+    kept = least.join(roots, least["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    row = fresh(docs, "row")
+    first = docs.withColumn(row, row_key()).join(kept.select(F.col("least.row").alias(other := fresh(docs, "kept_row"))), F.col(row) == F.col(other), "left_semi")
+    return first.dropDuplicates([row]).drop(row)

@@ -237,3 +237,18 @@ def test_near_groups_decide_by_exact_sets(spark):
     for tile in (2048, 16):
         got = {r.doc_id: r.component_id for r in simhash_dedup.near_groups(spark.createDataFrame(out, "doc_id long, text string"), tile=tile).collect()}
         assert [i for i in range(0, 80, 2) if got[100 + i] != i] == [] and [i for i in range(1, 80, 2) if got[100 + i] != 100 + i] == [] and got[190] == 90
+
+
+def test_keep_one_tells_rows_by_id_and_text(spark):
+    import random
+
+    from locushift.llm import simhash_dedup
+
+    rng = random.Random(9)
+    x, y, z, v = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(60)) for _ in range(4))
+    made_ = [(7, x, 0), (7, y, 1), (3, y, 2), (None, z, 3), (None, v, 4), (None, v, 5), (None, y, 6), (8, v + " end", 7), (9, None, 8), (9, "", 9), (11, z + " x y", 10), (11, z + " x y", 11)]
+    frame = spark.createDataFrame(made_, "doc_id int, text string, row int")
+    got = sorted((r.doc_id, r.text) for r in simhash_dedup.keep_one(frame).collect() if r.row < 8)
+    assert got == sorted([(7, x), (3, y), (8, v + " end")]) and simhash_dedup.keep_one(frame).count() == 5
+    got = sorted((r.doc_id or 0, r.text) for r in simhash_dedup.keep_one(frame.where("doc_id is null")).collect())
+    assert got == sorted([(0, y), (0, z), (0, v)])
