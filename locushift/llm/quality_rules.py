@@ -6,7 +6,7 @@ document is kept while its own histograms stay within the limits of Jensen-Shann
 from its language's; a histogram is judged only from ``min_chars`` characters or ``min_words`` words on.
 
 Defined results: a null text has no words and fails the base rule (fewer than 20 words); a null
-``lang`` is a language of its own, and languages beyond the 256 largest share one reference; equal rows give equal results; an empty table gives an empty result; extra
+``lang`` is a language of its own; equal rows give equal results; an empty table gives an empty result; extra
 columns are ignored by ``judged`` and kept by ``keep``. Texts are judged whole.
 """
 
@@ -22,6 +22,8 @@ from .common import SPACE, let, packed, where_once, words
 CODES = "abcdefghijklmnopqrstuvwxyzABCDEF"
 CLASSES = ("lower", "upper", "digit", "space", "mark")
 WINDOW = 8
+#: So many languages' references (2 KB each) are broadcast.
+SMALL = 4096
 
 
 def repeated_words(ws: Column, window: int = WINDOW) -> Column:
@@ -72,19 +74,13 @@ def short_words(text: Column, most: int) -> Column:
     return F.transform(F.filter(words(text), lambda w: F.length(w) <= most), F.lower)
 
 
-def languages(docs: DataFrame, most: int = 256) -> DataFrame:
-    """At most ``most`` rows: the languages with the most documents, each with its key; all others share one key."""
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_docs")).orderBy(F.desc("_docs"), "lang").limit(most).select(F.col("lang").alias("_lang"), F.coalesce("lang", F.lit("<none>")).alias("_key"))
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_key", F.coalesce("lang", F.lit("<none>")))
 
 
-def keyed(docs: DataFrame, langs: DataFrame) -> DataFrame:
-    joined = docs.join(F.broadcast(langs), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    return joined.withColumn("_key", F.coalesce("_key", F.lit("<rest>"))).drop("_lang")
-
-
-def references(docs: DataFrame, langs: DataFrame, n_common: int = len(CODES) - 1, most: int = 4) -> DataFrame:
+def references(docs: DataFrame, n_common: int = len(CODES) - 1, most: int = 4) -> DataFrame:
     """Per key: class shares, the commonest short words and their shares (the rest as the last share)."""
-    base = keyed(docs.select("lang", "text").where(F.col("text").isNotNull()), langs)
+    base = keyed(docs.select("lang", "text").where(F.col("text").isNotNull()))
     rest = base.select("_key", F.length("text").alias("n"), F.regexp_replace("text", r"\p{Ll}+", "").alias("rest"))
     left = lambda pattern: F.length("rest") - F.length(F.regexp_replace("rest", pattern, ""))
     classes = rest.select("_key", (F.col("n") - F.length("rest")).alias("lower"), left(r"\p{Lu}+").alias("upper"), left(r"\p{Nd}+").alias("digit"), left(r"[\x20\x09-\x0D]+").alias("space"), "n")
@@ -113,10 +109,14 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def judged(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, min_chars: int = 200, min_short: int = 25, class_limit: float = 0.3, word_limit: float = 0.58, most: int = 4) -> DataFrame:
-    """The documents with struct ``_v``: base counts, base_failed, both distances (null: too short) and kept."""
-    langs = languages(docs)
-    # Both broadcasts hold one row per key, and languages() keeps the keys to 257.
-    step = keyed(docs, langs).join(F.broadcast(references(docs, langs, most=most)), "_key", "left")
+    """The documents with struct ``_v``: base counts, base_failed, both distances (null: too short) and kept.
+
+    Each language's reference comes to its documents by broadcast if there are at most ``SMALL`` languages, else by a
+    shuffle on the language, whose large partitions Spark splits.
+    """
+    step, found = keyed(docs), references(docs, most=most)
+    few = step.select("_key").distinct().limit(SMALL + 1).count() <= SMALL
+    step = step.join(F.broadcast(found) if few else found.hint("merge"), "_key", "left")
     step = measured(step).withColumn("_short", short_words(F.col("_text"), most))
     code = F.array_join(F.transform("_short", lambda w: F.substr(F.lit(CODES), F.coalesce(F.nullif(F.array_position("_common", w), F.lit(0)), F.lit(len(CODES))).cast("int"), F.lit(1))), "")
     step = step.withColumn("_n_short", F.size("_short")).withColumn("_code", code)

@@ -227,3 +227,22 @@ def test_stages_handle_odd_rows(spark):
                 assert out.columns == odd.columns, name
             if odd.count() == 0:
                 assert not found
+
+
+def test_quality_has_a_reference_for_each_language(spark, monkeypatch):
+    """300 languages with words of their own: clean texts stay, and a text in another's words goes."""
+    import random
+
+    from locushift.llm import quality_rules
+
+    def text(i, k):
+        rng = random.Random(10 * i + k)
+        return " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{rng.choice('abcdefg')} longer{rng.choice('abcdefg')}{rng.choice('abcdefg')}" for _ in range(60))
+
+    rows = [(10 * i + k, text(i, k), f"l{i:03}") for i in range(300) for k in range(1, 1 + 3 + (i < 256))] + [(9000 + i, text(i - 1, 2), f"l{i:03}") for i in (20, 280, 299)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: (r.kept, r.word_js, r.base_failed) for r in quality_rules.report(frame).collect()}
+    assert len(found) == len(rows) and not any(x[2] for x in found.values())
+    assert [d for d, x in found.items() if x[0] != (d < 9000)] == []
+    monkeypatch.setattr(quality_rules, "SMALL", 10)
+    assert {r.doc_id: (r.kept, r.word_js, r.base_failed) for r in quality_rules.report(frame).collect()} == found
