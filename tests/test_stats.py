@@ -154,3 +154,20 @@ def test_principal_axes_match_svd(spark):
     got = np.array([r.pca for r in resample.projected(df, mean, axes, sd).orderBy("ord").collect()])
     want = z @ vt[:2].T / (z @ vt[:2].T).std(axis=0)
     assert np.abs(np.abs(got) - np.abs(want)).max() < 1e-8
+
+
+def test_registered_queries_do_the_whole_job(spark, data, monkeypatch):
+    """Panels that cover all rows, and as many draws as the operators make."""
+    from locushift import catalog
+    from locushift.operators import evaluate, resample
+
+    panels, asked = [], []
+    monkeypatch.setattr(resample, "transfer", lambda train, test, **k: panels.extend([train, test]))
+    monkeypatch.setattr(evaluate, "against_positives", lambda df, **k: asked.append(k) or {"x": 1.0})
+    monkeypatch.setattr(evaluate, "against_baseline", lambda df, **k: asked.append(k) or {"x": 1.0})
+    catalog.QUERIES["transfer_scores"](spark, data)
+    ids = [{r.ord for r in p.select("ord").collect()} for p in panels]
+    assert not ids[0] & ids[1] and ids[0] | ids[1] == {r.ord for r in catalog.QUERIES["pca_features"](spark, data).collect()}
+    for name in ("bootstrap_ci", "lr_test"):
+        catalog.QUERIES[name](spark, data)
+    assert asked == [{}, {}] and catalog.QUERIES["shuffle_null"](spark, data).count() == 1000
