@@ -184,8 +184,8 @@ def hits(spark: SparkSession, path: str, regions: DataFrame) -> DataFrame:
     """Rows of a table partitioned by chrom that overlap the regions: other partitions are not read."""
     from ..operators.intervals import overlap_flag
 
-    chroms = [r[0] for r in regions.select("chrom").distinct().limit(10_000).collect()]
-    table = spark.read.parquet(path).where(F.col("chrom").isin(chroms))
+    table = spark.read.parquet(path)
+    table = table.join(regions.select("chrom").distinct(), "chrom", "left_semi").select(table.columns)
     return overlap_flag(table, regions, "_hit").where("_hit").drop("_hit")
 
 

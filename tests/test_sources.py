@@ -121,3 +121,12 @@ def test_containers(spark, tmp_path):
 
 def test_report_text():
     assert writers.report({"auroc": 0.5, "n": 3}, "claim") == "claim\n  auroc: 0.5000\n  n: 3"
+
+
+def test_hits_of_many_contigs(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(10_050).select(F.col("id").alias("ord"), F.concat(F.lit("c"), "id").alias("chrom"), F.lit(0).cast("long").alias("start_pos"), F.lit(5).cast("long").alias("end_pos"))
+    rows.write.parquet(str(tmp_path / "hits"))
+    found = readers.hits(spark, str(tmp_path / "hits"), rows)
+    assert found.columns == rows.columns and found.count() == 10_050
