@@ -1,25 +1,26 @@
 """Repeated windows over sequences of symbols (words or bytes), found from winnowed anchors.
 
 Every window of ``length`` symbols has one anchor: the smallest hash of its k-grams (the rightmost of equal ones).
-Equal windows have equal anchors at equal places, so a window can only be repeated within the group of its anchor.
-Consecutive windows of a document with the same anchor form a span, and a span is one row:
+Equal windows have equal anchors at equal places, so a window can only be repeated within the bucket of its anchor.
+Consecutive windows of a document with the same anchor form a span, and a span is one row; equal spans that follow
+each other (in runs of a symbol or a short period) are one row with a count.
 
 1. ``spans`` makes the rows (anchor hash, span hash, document, place).
-2. ``flagged`` keeps those whose anchor occurs again: ``full`` if the whole span does, so that all of its windows
-   are repeated, and ``open`` if other spans share the anchor, so that some of its windows may be. Equal spans are
-   counted before the shuffle, and the counts come back by joins that Spark can split, so that a passage that a
-   third of all documents holds does not meet in one task.
-3. ``payload`` fetches the symbols of open spans (and of one of each group of equal spans beside them); the caller
-   compares them within a group, where only the windows through one anchor meet. Windows of an anchor with over
-   ``most`` different spans are counted by their hashes instead, again before the shuffle.
-4. ``repeated`` brings all repeated windows back to their documents.
+2. ``candidates`` keeps those whose bucket holds anything else. Equal spans are counted before the shuffle and one
+   of them stands for all, with their count, so that a passage that a third of all documents holds is one row.
+3. ``payload`` fetches the symbols of the rows that stand for others and of those that are alone. A bucket of more
+   than ``most`` different spans is split before it is fetched: a window that reaches far to the left of what its
+   bucket has in common goes to a bucket that has those symbols in common, too, any other to one with more symbols
+   on the right. Each round halves what a bucket's windows do not yet share, so it ends with buckets of one window.
+4. ``compared`` hands whole buckets to the caller, who finds the repeated windows among their spans.
+5. ``repeated`` brings them back to every span that was stood for.
 
 Documents are known by (_d, _t): the id, and a hash of id and text; equal rows share both and so their results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,14 @@ from .bpe_codec import slices, texts_of
 from .common import materialize, small_batches
 
 KEYS = ["_d", "_t"]
-_PLACE = np.uint64((1 << 28) - 1)
+SPAN = ["lo", "n", "at", "m", "left", "right"]
+#: Different spans that one bucket may hold before it is split.
+MOST = 512
+#: So many document keys (16 bytes each) are broadcast to pick documents before their texts are shuffled.
+SMALL = 200_000
+#: Symbols are taken in blocks of this many windows, so that places fit into the low bits of a hash.
+BLOCK_BITS = 20
+_PLACE = np.uint64((1 << (BLOCK_BITS + 1)) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -53,22 +61,16 @@ def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def anchored_spans(symbols: np.ndarray, n: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """For documents of n symbols laid end to end: anchor hash, anchor place, first and last window start of each span."""
-    ends = np.cumsum(n)
-    none = np.empty(0, np.int64)
-    if not len(symbols) or n.max(initial=0) < length:
-        return none.astype(np.uint64), none, none, none
-    h = gram_hashes(symbols, k)
-    at = np.arange(len(h), dtype=np.uint64)
-    least = (h & ~_PLACE) | (_PLACE - at)
+def block_spans(symbols: np.ndarray, starts: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """For the windows of ``symbols`` at ``starts`` (ascending): anchor hash and place, first and last window start of each span."""
+    h = gram_hashes(symbols.astype(np.uint64), k)
+    least = (h & ~_PLACE) | (_PLACE - np.arange(len(h), dtype=np.uint64))
     width, step = length - k + 1, 1
     while step * 2 <= width:
         least[:-step] = np.minimum(least[:-step], least[step:])
         step *= 2
     if step < width:
         least[: step - width] = np.minimum(least[: step - width], least[width - step :])
-    starts = np.flatnonzero(np.arange(len(h)) + length <= np.repeat(ends, n))
     place = (_PLACE - (least[starts] & _PLACE)).astype(np.int64)
     new = np.ones(len(starts), bool)
     new[1:] = place[1:] != place[:-1]
@@ -77,6 +79,18 @@ def anchored_spans(symbols: np.ndarray, n: np.ndarray, length: int, k: int) -> t
     return h[place[first]], place[first], starts[first], starts[last]
 
 
+def anchored_spans(symbols: np.ndarray, n: np.ndarray, length: int, k: int, block: int = 1 << BLOCK_BITS) -> tuple[np.ndarray, ...]:
+    """For documents of n symbols laid end to end: anchor hash, anchor place, first and last window start of each span."""
+    starts = np.flatnonzero(np.arange(len(symbols)) + length <= np.repeat(np.cumsum(n), n))
+    found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)]
+    for base in range(0, len(symbols), block):
+        own = starts[np.searchsorted(starts, base) : np.searchsorted(starts, base + block)]
+        if len(own):
+            h, *places = block_spans(symbols[base : base + block + length - 1], own - base, length, k)
+            found.append((h, *[x + base for x in places]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """_d, _t, doc_id, text (null as empty)."""
     text = F.coalesce("text", F.lit(""))
@@ -85,51 +99,61 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame, symbols_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], length: int, k: int, slice_bytes: int = 1_000_000) -> DataFrame:
-    """h, s, _d, _t, lo (first window), n (windows), at (anchor's place in the span). symbols_of: texts to symbols and their counts."""
+    """h, s, _d, _t, lo (first window), n (windows), at (anchor's place in the span), m (equal spans in a row), left and
+    right (what the bucket has in common beyond the anchor: nothing yet). symbols_of: texts to symbols and their counts."""
 
     def work(batches):
         from xxhash import xxh3_64_intdigest
 
         for whole in batches:
             for batch in slices(whole, slice_bytes):
-                symbols, n = symbols_of(texts_of(batch.column("text")))
-                h, place, first, last = anchored_spans(symbols.astype(np.uint64), n, length, k)
+                symbols, size_of = symbols_of(texts_of(batch.column("text")))
+                h, place, first, last = anchored_spans(symbols, size_of, length, k)
                 if not len(h):
                     continue
-                ends = np.cumsum(n)
+                ends = np.cumsum(size_of)
                 own = np.searchsorted(ends, first, "right")
                 raw, size = memoryview(np.ascontiguousarray(symbols)).cast("B"), symbols.itemsize
                 s = np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip((first * size).tolist(), ((last + length) * size).tolist(), strict=True)), np.uint64, len(first))
-                own_ = pa.array(own)
+                n, at = last - first + 1, place - first
+                new = np.ones(len(h), bool)
+                new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in (h, s, n, at, own)])
+                keep = np.flatnonzero(new)
+                m = np.diff(np.append(keep, len(h)))
+                docs_ = pa.array(own[keep])
+                short = lambda x: pa.array(x[keep].astype(np.int32))
+                none = pa.array(np.zeros(len(keep), np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), batch.column("_d").take(own_), batch.column("_t").take(own_), pa.array((first - (ends - n)[own]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array((place - first).astype(np.int32))],
-                    names=["h", "s", "_d", "_t", "lo", "n", "at"],
+                    [pa.array(h[keep].view(np.int64)), pa.array(s[keep].view(np.int64)), batch.column("_d").take(docs_), batch.column("_t").take(docs_), short(first - (ends - size_of)[own]), short(n), short(at), pa.array(m.astype(np.int32)), none, none],
+                    names=["h", "s", *KEYS, *SPAN],
                 )
 
-    return keyed(docs).select("_d", "_t", "text").mapInArrow(work, "h long, s long, _d long, _t long, lo int, n int, at int")
+    return keyed(docs).select("_d", "_t", "text").mapInArrow(work, "h long, s long, _d long, _t long, lo int, n int, at int, m int, left int, right int")
 
 
-def flagged(rows: DataFrame, name: str, most: int) -> DataFrame:
-    """The rows whose anchor occurs again: full (the whole span does), open (to be compared), hot (over ``most`` spans)."""
-    rows = materialize(rows, f"{name}-spans")
-    groups = materialize(rows.groupBy("h", "s").agg(F.count(F.lit(1)).alias("c")), f"{name}-groups")
-    mixed = groups.groupBy("h").agg(F.count(F.lit(1)).alias("spans"), F.min("c").alias("least")).where("spans > 1 and least = 1")
-    mixed = materialize(mixed.select("h", (F.col("spans") > most).alias("hot")), f"{name}-mixed")
-    wanted = groups.join(mixed, "h", "left").where("c > 1 or hot is not null").select("h", "s", (F.col("c") > 1).alias("full"), "hot")
-    found = materialize(rows.join(wanted, ["h", "s"]).select(*KEYS, "h", "s", "lo", "n", "at", "full", "hot"), f"{name}-flags")
-    one = found.where("full and hot is not null").groupBy("h", "s").agg(F.min(F.struct(*KEYS, "lo", "n", "at", "full", "hot")).alias("x"))
-    own = found.select(*KEYS, "h", "lo", "n", "at", "full", (~F.col("full") & F.col("hot").isNotNull()).alias("open"), "hot")
-    return own.union(one.select(*[f"x.{k}" for k in KEYS], "h", "x.lo", "x.n", "x.at", "x.full", F.lit(True), "x.hot"))
+def candidates(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """The rows whose bucket holds anything else, with c, how often their span occurs, and hot, if the bucket is to be split."""
+    groups = materialize(rows.groupBy("h", "s").agg(F.sum("m").alias("c")), f"{name}-groups")
+    buckets = groups.groupBy("h").agg(F.count(F.lit(1)).alias("spans"), F.sum("c").alias("total")).where("total > 1")
+    wanted = groups.join(buckets.select("h", (F.col("spans") > most).alias("hot")), "h")
+    return materialize(rows.join(wanted, ["h", "s"]).select(*KEYS, "h", "s", *SPAN, "c", "hot"), f"{name}-candidates")
 
 
-def payload(docs: DataFrame, flags: DataFrame, cut: Callable[[bytes, list[dict]], list[bytes]], windows: Callable[[bytes, int], list[bytes]]) -> DataFrame:
-    """h, w, _d, _t, lo, n, at, full, span: the open rows with their symbols. cut: a text and its rows to their spans.
-
-    Rows of hot anchors come as one row per window instead, with two hashes of the window in h and w, and no span.
+def payload(docs: DataFrame, found: DataFrame, cut: Callable[[bytes], Sequence], join: Callable[[Sequence], bytes], length: int, k: int) -> DataFrame:
+    """h, s, c, _d, _t, the span's columns and span: one row of each group of equal spans with its symbols, and for
+    spans of hot buckets their parts in smaller buckets, without symbols. cut: a text to symbols; join: symbols to bytes.
     """
-    rows = flags.where("open").groupBy(*KEYS).agg(F.collect_list(F.struct("h", "lo", "n", "at", "full", "hot")).alias("rows"))
-    joined = keyed(docs).select(*KEYS, "text").join(rows.hint("shuffle_hash"), KEYS)
-    schema = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("_d", pa.int64()), ("_t", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("full", pa.bool_()), ("span", pa.binary())])
+    alone = found.where("c = 1 and not hot").select(*KEYS, "h", "s", *SPAN, "c", "hot")
+    one = found.where("c > 1 and not hot").groupBy("h", "s").agg(F.min(F.struct(*KEYS, *SPAN, "c", "hot")).alias("x"))
+    rows = alone.unionByName(one.select(*[f"x.{x}" for x in KEYS], "h", "s", *[f"x.{x}" for x in SPAN], "x.c", "x.hot")).unionByName(found.where("hot").select(*alone.columns))
+    rows = rows.groupBy(*KEYS).agg(F.collect_list(F.struct("h", "s", *SPAN, "c", "hot")).alias("rows"))
+    texts = keyed(docs).select(*KEYS, "text")
+    keys = found.select(*KEYS).distinct()
+    if keys.limit(SMALL + 1).count() <= SMALL:
+        texts = texts.join(F.broadcast(keys), KEYS, "left_semi")
+    # A merge join brings equal documents one after the other, and the first of them is enough.
+    joined = texts.join(rows.hint("merge"), KEYS)
+    schema = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("_d", pa.int64()), ("_t", pa.int64()), *[(x, pa.int32()) for x in SPAN], ("c", pa.int64()), ("span", pa.binary())])
 
     def signed(x: int) -> int:
         return x - (1 << 64) if x >> 63 else x
@@ -137,25 +161,40 @@ def payload(docs: DataFrame, flags: DataFrame, cut: Callable[[bytes, list[dict]]
     def work(batches):
         from xxhash import xxh3_64_intdigest
 
+        before = None
         for whole in batches:
             for batch in slices(whole):
                 out = []
-                for d, t, text, own in zip(*(batch.column(c).to_pylist() for c in ("_d", "_t")), texts_of(batch.column("text")), batch.column("rows").to_pylist(), strict=True):
-                    for r, span in zip(own, cut(text, own), strict=True):
-                        if r["hot"]:
-                            out += [(signed(xxh3_64_intdigest(x)), signed(xxh3_64_intdigest(x, 1)), d, t, r["lo"] + i, 1, 0, r["full"], None) for i, x in enumerate(windows(span, r["n"]))]
-                        else:
-                            out.append((r["h"], 0, d, t, r["lo"], r["n"], r["at"], r["full"], span))
+                for d, t, text, own in zip(*(batch.column(c).to_pylist() for c in KEYS), texts_of(batch.column("text")), batch.column("rows").to_pylist(), strict=True):
+                    if (d, t) == before:
+                        continue
+                    before = d, t
+                    symbols = cut(text)
+                    for r in own:
+                        lo, n, at = r["lo"], r["n"], r["at"]
+                        if not r["hot"]:
+                            out.append((r["h"], r["s"], d, t, *(r[x] for x in SPAN), r["c"], join(symbols[lo : lo + n - 1 + length])))
+                            continue
+                        left, right = r["left"], r["right"]
+                        half = (length - k - left - right + 1) // 2
+                        for lo in range(lo, lo + n * r["m"], n):
+                            anchor = lo + at
+                            split = min(max(anchor - left - half - lo + 1, 0), n)
+                            for a, b, wider_left, wider_right in ((0, split, left + half, right), (split, n, left, length - k - left - half + 1)):
+                                if a < b:
+                                    core = xxh3_64_intdigest(join(symbols[anchor - wider_left : anchor + k + wider_right]), wider_left << 32 | wider_right)
+                                    same = xxh3_64_intdigest(join(symbols[lo + a : lo + b - 1 + length]))
+                                    out.append((signed(core), signed(same), d, t, lo + a, b - a, anchor - lo - a, 1, wider_left, wider_right, 1, None))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return joined.mapInArrow(work, "h long, w long, _d long, _t long, lo int, n int, at int, full boolean, span binary")
+    return joined.mapInArrow(work, "h long, s long, _d long, _t long, " + ", ".join(f"{x} int" for x in SPAN) + ", c long, span binary")
 
 
 def compared(rows: DataFrame, solve: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]], block_bytes: int = 2_000_000) -> DataFrame:
-    """_d, _t, lo, n: runs of repeated windows of the payload's rows, from ``solve`` on blocks of whole groups.
+    """h, s, c, _d, _t, lo, first, n: runs of repeated windows of the payload's rows, from ``solve`` on blocks of whole buckets.
 
-    solve: a table sorted by h to (row, first window, windows) arrays.
+    solve: a table sorted by h to (row, first window in the span, windows) arrays.
     """
 
     def work(batches):
@@ -165,8 +204,8 @@ def compared(rows: DataFrame, solve: Callable[[pa.Table], tuple[np.ndarray, np.n
         def done(t: pa.Table):
             row, first, n = solve(t)
             take = pa.array(row)
-            lo = t.column("lo").to_numpy()[row] + first
-            return pa.Table.from_arrays([t.column("_d").take(take), t.column("_t").take(take), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], names=["_d", "_t", "lo", "n"]).combine_chunks().to_batches()
+            names = ["h", "s", "c", "_d", "_t", "lo"]
+            return pa.Table.from_arrays([*(t.column(c).take(take) for c in names), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=[*names, "first", "n"]).combine_chunks().to_batches()
 
         for whole in batches:
             for batch in slices(whole, block_bytes, "span"):
@@ -177,27 +216,32 @@ def compared(rows: DataFrame, solve: Callable[[pa.Table], tuple[np.ndarray, np.n
                     h = t.column("h").to_numpy()
                     cut = int(np.searchsorted(h, h[-1], "left"))
                     if cut:
-                        yield from done(t.slice(0, cut))
+                        yield from done(t.slice(0, cut).combine_chunks())
                         carry, held = t.slice(cut).combine_chunks().to_batches(), t.slice(cut).nbytes
         if carry:
             yield from done(pa.Table.from_batches(carry).combine_chunks())
 
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(work, "_d long, _t long, lo int, n int")
-
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(work, "h long, s long, c long, _d long, _t long, lo int, first int, n int")
 
-def counted(rows: DataFrame, name: str) -> DataFrame:
-    """_d, _t, lo, n: the repeated ones among single windows, by counts of their hashes (a full row stands for two)."""
-    often = materialize(rows.groupBy("h", "w").agg(F.sum(F.when(F.col("full"), 2).otherwise(1)).alias("c")).where("c > 1").select("h", "w"), f"{name}-often")
-    return rows.where("not full").join(often, ["h", "w"]).select(*KEYS, "lo", "n")
 
-
-def repeated(docs: DataFrame, symbols_of, cut, windows, solve, length: int, k: int, name: str, most: int) -> DataFrame:
+def repeated(docs: DataFrame, symbols_of, cut, join, solve, length: int, k: int, name: str, most: int | None = None) -> DataFrame:
     """_d, _t, ranges: array of (lo, n), the repeated windows of each document that has any."""
-    flags = flagged(spans(docs, symbols_of, length, k), name, most)
-    rows = materialize(payload(docs, flags, cut, windows), f"{name}-payload")
-    hits = materialize(compared(rows.where("span is not null").drop("w"), solve), f"{name}-hits")
-    found = flags.where("full").select(*KEYS, "lo", "n").union(hits).union(counted(rows.where("span is null"), name))
-    return found.groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
+    rows, parts = materialize(spans(docs, symbols_of, length, k), f"{name}-spans"), []
+    while True:
+        found = candidates(rows, name, MOST if most is None else most)
+        fetched = materialize(payload(docs, found, cut, join, length, k), f"{name}-payload")
+        hits = materialize(compared(fetched.where("span is not null"), solve), f"{name}-hits")
+        parts.append(hits.where("c = 1").select(*KEYS, (F.col("lo") + F.col("first")).alias("lo"), "n"))
+        of_many = hits.where("c > 1").select("h", "s", "first", F.col("n").alias("run")).distinct()
+        back = found.where("c > 1 and not hot").join(of_many, ["h", "s"])
+        parts.append(back.select(*KEYS, F.when(F.col("m") > 1, F.col("lo")).otherwise(F.col("lo") + F.col("first")).alias("lo"), F.when(F.col("m") > 1, F.col("n") * F.col("m")).otherwise(F.col("run")).alias("n")))
+        rows = fetched.where("span is null").select("h", "s", *KEYS, *SPAN)
+        if rows.isEmpty():
+            break
+    everything = parts[0]
+    for part in parts[1:]:
+        everything = everything.union(part)
+    return everything.groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
 
 
 def covered(ranges: list[dict], n: int, length: int) -> np.ndarray:

@@ -1,9 +1,9 @@
 """Substring dedup by seed and extend.
 
-Documents meet on winnowed anchors (the seeds). A seed's occurrences are extended left and right as far as another
-occurrence agrees: all windows through the seed are looked up among the seed's other occurrences, and adjoining
-repeated windows join to maximal repeats. Words in repeats of at least ``length`` words go. Occurrences with equal
-surroundings count as one before they are compared, and no pairs of occurrences are made.
+Documents meet on winnowed anchors (the seeds). A seed's occurrences are extended together, word by word to the left
+and to the right, as long as they agree with another occurrence; runs of windows of ``length`` words that still agree
+are the maximal repeats over the threshold, and their words go. Occurrences with equal surroundings count as one
+before they are extended, and no pairs of occurrences are made.
 
 Defined results: a null text has no words; texts shorter than ``length`` words lose nothing; equal rows are two
 documents, so they lose all words if long enough; rows with equal ids keep their own results; an empty table gives
@@ -13,8 +13,6 @@ an empty result; ``dedup`` keeps extra columns.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +25,6 @@ from .common import fresh
 
 LENGTH = 35
 GRAM = 8
-MOST = 512  # different spans of an anchor that are compared in one group
 
 
 def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -39,61 +36,71 @@ def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxh3_64_intdigest, (w for ws in cut for w in ws)), np.uint64, int(n.sum())), n
 
 
-def cut_spans(length: int):
-    def cut(text: bytes, rows: list[dict]) -> list[bytes]:
-        w = text.split()
-        return [b" ".join(w[r["lo"] : r["lo"] + r["n"] - 1 + length]) for r in rows]
+def following(cls: np.ndarray, words: np.ndarray, n_words: int, inside: np.ndarray) -> np.ndarray:
+    """The classes of occurrences after one more word: those of one class that go on with the same word stay together.
 
-    return cut
+    -1: the occurrence has no word there.
+    """
+    out = np.full(len(cls), -1)
+    out[inside] = np.unique(cls[inside] * n_words + words[inside], return_inverse=True)[1]
+    return out
 
 
-def windows_of(length: int):
-    def windows(span: bytes, n: int) -> list[bytes]:
-        at = list(accumulate((len(w) + 1 for w in span.split(b" ")), initial=0))
-        return [span[at[i] : at[i + length] - 1] for i in range(n)]
+def extend(length: int, k: int):
+    """Extends all occurrences of a seed together, word by word to both sides.
 
-    return windows
-
-
-def extend(length: int):
-    """Looks up each window through a seed among the windows of the seed's other occurrences."""
-    windows = windows_of(length)
+    Occurrences that agree so far share a class. A window that reaches x words to the left of the seed is repeated if
+    another occurrence shares both its class x words to the left and its class to the right, up to the window's end;
+    neighbouring repeated windows are one maximal repeat.
+    """
+    rest = length - k
 
     def solve(t: pa.Table):
-        h, full, n, spans = (t.column(c).to_pylist() for c in ("h", "full", "n", "span"))
-        row, first, runs = [], [], []
-        a = 0
-        while a < len(h):
-            b = a
-            while b < len(h) and h[b] == h[a]:
-                b += 1
-            cut = [windows(spans[i], n[i]) for i in range(a, b)]
-            seen = Counter(w for ws in cut for w in ws)
-            for i, ws in zip(range(a, b), cut, strict=True):
-                if full[i]:
-                    seen.update(ws)  # stands for two or more
-            for i, ws in zip(range(a, b), cut, strict=True):
-                start = -1
-                for j, w in enumerate([*ws, None]) if not full[i] else ():
-                    if w is not None and seen[w] > 1:
-                        start = j if start < 0 else start
-                    elif start >= 0:
-                        row.append(i), first.append(start), runs.append(j - start)
-                        start = -1
-            a = b
-        return np.array(row, np.int64), np.array(first, np.int64), np.array(runs, np.int64)
+        c, n, at = (t.column(x).to_numpy().astype(np.int64) for x in ("c", "n", "at"))
+        cut = [x.split(b" ") for x in t.column("span").to_pylist()]
+        index: dict[bytes, int] = {}
+        size = np.array([len(x) for x in cut])
+        ids = np.array([index.setdefault(w, len(index)) for ws in cut for w in ws])
+        start = np.cumsum(size) - size
+        seed, end = start + at, start + size
+
+        def step(cls: np.ndarray, place: np.ndarray) -> np.ndarray:
+            inside = (cls >= 0) & (place >= start) & (place < end)
+            return following(cls, ids[np.where(inside, place, 0)], len(index), inside)
+
+        h = t.column("h").to_numpy()
+        core = np.cumsum(np.append(0, h[1:] != h[:-1]))
+        for i in range(k):
+            core = step(core, seed + i)
+        left, right = [core], [core]
+        for i in range(rest):
+            left.append(step(left[-1], seed - 1 - i))
+            right.append(step(right[-1], seed + k + i))
+        hit = np.zeros((len(h) + 1, rest + 2), bool)  # by window of the span; the last row and column stay empty
+        for x in range(rest + 1):
+            window = at - x
+            own = np.flatnonzero((window >= 0) & (window < n))
+            if len(own):
+                both = np.unique(left[x][own] * (len(h) + 1) + right[rest - x][own], return_inverse=True)[1]
+                hit[own, window[own]] = np.bincount(both, weights=c[own])[both] > 1
+        flat = hit.ravel()
+        turn = np.flatnonzero(flat[1:] != flat[:-1]) + 1
+        if flat[0]:
+            turn = np.append(0, turn)
+        first, after = turn[::2], turn[1::2]
+        return first // (rest + 2), first % (rest + 2), after - first
 
     return solve
 
 
-def removed_words(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def removed_words(docs: DataFrame, length: int = LENGTH, most: int | None = None) -> DataFrame:
     """_d, _t, ranges: runs of repeated windows."""
-    return anchors.repeated(docs, word_symbols, cut_spans(length), windows_of(length), extend(length), length, GRAM, "substring", MOST)
+    return anchors.repeated(docs, word_symbols, bytes.split, b" ".join, extend(length, GRAM), length, GRAM, "substring", most)
 
 
 def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    joined = anchors.keyed(docs).join(removed_words(docs, length).hint("shuffle_hash"), anchors.KEYS, "left").select("doc_id", "text", "ranges")
+    joined = anchors.keyed(docs).join(removed_words(docs, length), anchors.KEYS, "left").select("doc_id", "text", "ranges")
 
     def work(batches):
         for whole in batches:
@@ -117,7 +124,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     name, key, found_ranges = (fresh(docs, x) for x in ("_dedup_key", "_found_key", "_found_ranges"))
     marked = docs.withColumn(name, F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64(F.coalesce("text", F.lit("")), "doc_id").alias("_t")))
     found = removed_words(docs, length).select(F.struct("_d", "_t").alias(key), F.col("ranges").alias(found_ranges))
-    joined = marked.join(found.hint("shuffle_hash"), F.col(name) == F.col(key), "left").drop(name, key)
+    joined = marked.join(found, F.col(name) == F.col(key), "left").drop(name, key)
 
     def work(batches):
         import re

@@ -181,18 +181,69 @@ def test_simhash_keeps_one(frames):
     assert out.columns == frames[0].columns and {4, 6} <= ids and 5 not in ids and 1 not in ids
 
 
+def removed_by_hand(frame):
+    words_, bytes_ = [(d, t.encode().split()) for d, t in texts(frame)], [(d, t.encode()) for d, t in texts(frame)]
+    by_words = [(d, len(w), sum(g), sha(b" ".join(x for x, o in zip(w, g) if not o))) for (d, w), g in zip(words_, repeated([w for _, w in words_], 35))]
+    by_bytes = []
+    for (d, b), g in zip(bytes_, repeated([b for _, b in bytes_], 200)):
+        by_bytes.append((d, len(b), sum(g), sum(1 for i, x in enumerate(g) if x and not (i and g[i - 1])), sha(bytes(x for x, o in zip(b, g) if not o))))
+    return sorted(by_words, key=str), sorted(by_bytes, key=str)
+
+
 def test_hot_anchors(spark, monkeypatch):
-    from locushift.llm import substring_dedup, suffix_dedup
+    """Buckets are split again and again where they may hold two spans only; results stay the same."""
+    from locushift.llm import anchors, substring_dedup, suffix_dedup
 
     texts_ = [f"{' '.join(f'a{i * j % 97}' for j in range(40))} {COMMON} {' '.join(f'b{i + j * j}' for j in range(20))}" for i in range(60)]
+    texts_ += [f"{COMMON[:150]} {i} {'z ' * 40}{COMMON[20:140]} {i * i}" for i in range(20)]
     frame = made(spark, texts_ + texts_[:3])
-    plain = rows(substring_dedup.report(frame)), rows(suffix_dedup.report(frame))
-    own = [(d, t.encode().split()) for d, t in texts(frame)]
-    want = [(d, len(w), sum(g), sha(b" ".join(x for x, o in zip(w, g) if not o))) for (d, w), g in zip(own, repeated([w for _, w in own], 35))]
-    assert plain[0] == sorted(want, key=str)
-    monkeypatch.setattr(substring_dedup, "MOST", 2)
-    monkeypatch.setattr(suffix_dedup, "MOST", 2)
-    assert (rows(substring_dedup.report(frame)), rows(suffix_dedup.report(frame))) == plain
+    want = removed_by_hand(frame)
+    assert (rows(substring_dedup.report(frame)), rows(suffix_dedup.report(frame))) == want
+    monkeypatch.setattr(anchors, "MOST", 2)
+    assert (rows(substring_dedup.report(frame)), rows(suffix_dedup.report(frame))) == want
+
+
+def test_texts_of_few_symbols(spark):
+    """Runs of one symbol, short periods, and texts over two letters; equal rows, ids and null ids beside them."""
+    import random
+
+    from locushift.llm import substring_dedup, suffix_dedup
+
+    rng = random.Random(4)
+    texts_ = ["a" * 3000, "ab" * 900 + "c", "x" + "a" * 260 + "y", "abc " * 400, "".join(rng.choice("ab") for _ in range(4000)), " ".join(rng.choice("ab") for _ in range(1500)), "q " * 33 + "q", "q " * 34 + "q", "a" * 199, "a" * 199]
+    frame = made(spark, texts_).union(made(spark, texts_[4:8]))
+    assert (rows(substring_dedup.report(frame)), rows(suffix_dedup.report(frame))) == removed_by_hand(frame)
+
+
+def test_very_long_text(spark):
+    """Ten million bytes of noise, in which one passage, a long run and a short period come again."""
+    import random
+
+    from locushift.llm import suffix_dedup
+
+    rng = random.Random(8)
+    noise = rng.randbytes(4_900_000).hex()
+    passage = rng.randbytes(500).hex()
+    parts = [noise[:3_000_000], passage, noise[3_000_000:7_000_000], "z" * 100_000, noise[7_000_000:9_000_000], "w" + passage + "w", noise[9_000_000:], "uvw" * 500]
+    frame = spark.createDataFrame([(1, "".join(parts)), (2, None)], "doc_id long, text string")
+    kept = "".join([parts[0], parts[2], parts[4], "ww", parts[6]])
+    got = {r.doc_id: r for r in suffix_dedup.report(frame).collect()}
+    assert (got[1].n_removed, got[1].n_spans, got[1].kept_sha256) == (len("".join(parts)) - len(kept), 4, sha(kept.encode()))
+    assert (got[2].n_bytes, got[2].n_removed, got[2].kept_sha256) == (0, 0, sha(b""))
+
+
+def test_long_runs_are_few_spans(spark):
+    import numpy as np
+
+    from locushift.llm import anchors, suffix_dedup
+
+    found = anchors.spans(made(spark, ["a" * 100_000, "abcdef" * 10_000]), suffix_dedup.byte_symbols, 200, 32)
+    assert found.count() <= 4 and found.agg({"m": "max"}).first()[0] == 100_000 - 199
+    text = np.frombuffer(b"a" * 100_000, np.uint8)
+    h, place, first, last = anchors.anchored_spans(text, np.array([len(text)]), 200, 32)
+    assert len(h) == 100_000 - 199 and len(set(h.tolist())) == 1
+    some = anchors.anchored_spans(text, np.array([len(text)]), 200, 32, block=1000)
+    assert all((x == y).all() for x, y in zip((h, place, first, last), some))
 
 
 def test_near_groups_by_five_words(spark):
