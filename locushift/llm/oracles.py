@@ -16,10 +16,10 @@ def _js(p: str, q: str) -> str:
 QUALITY = (
     r"""
 WITH base AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '<none>') AS key, coalesce(text, '') AS t, text IS NOT NULL AS has, WORDSQL AS w FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, CASE WHEN lang IS NULL THEN '-' ELSE '+' || lang END AS key, coalesce(text, '') AS t, text IS NOT NULL AS has, WORDSQL AS w FROM documents
 ), m AS (
   SELECT *, regexp_replace(t, '\p{Ll}+', '', 'g') AS rest, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-         list_transform(list_filter(w, lambda x: length(x) <= 4), lambda x: lower(x)) AS sh FROM base
+         list_transform(w, lambda x: lower(x)) AS sh FROM base
 ), c AS (
   SELECT *, length(t) AS n, length(t) - length(rest) AS lo, length(rest) - length(regexp_replace(rest, '\p{Lu}+', '', 'g')) AS up,
          length(rest) - length(regexp_replace(rest, '\p{Nd}+', '', 'g')) AS di, length(rest) - length(regexp_replace(rest, '[\x20\x09-\x0D]+', '', 'g')) AS sp FROM m
@@ -32,7 +32,7 @@ WITH base AS (
 ), rc AS (
   SELECT key, list_transform([sum(lo), sum(up), sum(di), sum(sp), sum(n) - sum(lo) - sum(up) - sum(di) - sum(sp)], lambda x: x::DOUBLE / greatest(sum(n), 1)) AS classes FROM c WHERE has GROUP BY key
 ), sw AS (
-  SELECT key, lower(x) AS word, count(*) AS k FROM (SELECT key, unnest(w) AS x FROM base) WHERE length(x) <= 4 GROUP BY ALL
+  SELECT key, lower(x) AS word, count(*) AS k FROM (SELECT key, unnest(w) AS x FROM base) GROUP BY ALL
 ), rk AS (
   SELECT *, row_number() OVER (PARTITION BY key ORDER BY k DESC, word) AS rn, sum(k) OVER (PARTITION BY key) AS total FROM sw
 ), ref AS (
@@ -47,7 +47,7 @@ WITH base AS (
   FROM h LEFT JOIN rep USING (rid)
 ), f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(class_js, 0) <= 0.3 AND coalesce(word_js, 0) <= 0.58 AS kept, round(class_js, 6) AS class_js, round(word_js, 6) AS word_js FROM f
+       NOT base_failed AND coalesce(class_js, 0) <= 0.3 AND coalesce(word_js, 0) <= 0.45 AS kept, round(class_js, 6) AS class_js, round(word_js, 6) AS word_js FROM f
 """.replace("WORDSQL", WORDS.format(t="text"))
     .replace("JSCLASS", _js("list_transform([lo, up, di, sp, n - lo - up - di - sp], lambda x: x::DOUBLE / greatest(n, 1))", "classes"))
     .replace("JSWORD", _js("list_transform(list_append(hits, len(sh) - list_sum(hits)), lambda x: x::DOUBLE / greatest(len(sh), 1))", "shares"))

@@ -1,9 +1,9 @@
 """Quality rules: base counts and divergence from language references (native).
 
 For each language the corpus itself is the reference: the share of characters by class (lower case, upper case,
-digits, white space, marks) and the shares of the language's commonest short words, both over all documents. A
-document is kept while its own histograms stay within the limits of Jensen-Shannon distance (base 2, 0 to 1)
-from its language's; a histogram is judged only from ``min_chars`` characters or ``min_words`` words on.
+digits, white space, marks) and the shares of the language's commonest words, all others as one share, both over all
+documents. A document is kept while its own histograms stay within the limits of Jensen-Shannon distance (base 2, 0
+to 1) from its language's; a histogram is judged only from ``min_chars`` characters or ``min_judged`` words on.
 
 Defined results: a null text has no words and fails the base rule (fewer than 20 words); a null
 ``lang`` is a language of its own; equal rows give equal results; an empty table gives an empty result; extra
@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, let, packed, where_once, words
 
-#: One code for each common word; the last code stands for all other words.
-CODES = "abcdefghijklmnopqrstuvwxyzABCDEF"
-CLASSES = ("lower", "upper", "digit", "space", "mark")
+COMMON = 31  # words of a reference
+WORD_LIMIT = 0.45
 WINDOW = 8
 #: So many languages' references (2 KB each) are broadcast.
 SMALL = 4096
@@ -44,7 +43,7 @@ def repeated_words(ws: Column, window: int = WINDOW) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Adds struct ``_q``: the base counts, the class counts and the short words in lower case."""
+    """Adds struct ``_q``: the base counts and the class counts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     step = docs.withColumn("_text", text).withColumn("_words", words(F.col("_text")))
     step = step.withColumn("_rest", F.regexp_replace("_text", r"\p{Ll}+", ""))
@@ -69,17 +68,13 @@ def measured(docs: DataFrame) -> DataFrame:
     return step.drop("_words", "_rest", "_n")
 
 
-def short_words(text: Column, most: int) -> Column:
-    """The words of at most ``most`` characters, in lower case."""
-    return F.transform(F.filter(words(text), lambda w: F.length(w) <= most), F.lower)
-
-
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.coalesce("lang", F.lit("<none>")))
+    """Adds ``_key``: the language, told apart from null."""
+    return docs.withColumn("_key", F.when(F.col("lang").isNull(), "-").otherwise(F.concat(F.lit("+"), "lang")))
 
 
-def references(docs: DataFrame, n_common: int = len(CODES) - 1, most: int = 4) -> DataFrame:
-    """Per key: class shares, the commonest short words and their shares (the rest as the last share)."""
+def references(docs: DataFrame, n_common: int = COMMON) -> DataFrame:
+    """Per key: class shares, the commonest words and their shares (the rest as the last share)."""
     base = keyed(docs.select("lang", "text").where(F.col("text").isNotNull()))
     rest = base.select("_key", F.length("text").alias("n"), F.regexp_replace("text", r"\p{Ll}+", "").alias("rest"))
     left = lambda pattern: F.length("rest") - F.length(F.regexp_replace("rest", pattern, ""))
@@ -88,9 +83,9 @@ def references(docs: DataFrame, n_common: int = len(CODES) - 1, most: int = 4) -
     mark = F.col("n") - F.col("lower") - F.col("upper") - F.col("digit") - F.col("space")
     classes = classes.select("_key", F.transform(F.array("lower", "upper", "digit", "space", mark), lambda x: x / F.greatest(F.col("n"), F.lit(1))).alias("_classes"))
     # Words are counted as written, and their few distinct forms folded to lower case afterwards.
-    raw = base.select("_key", F.explode(F.split("text", SPACE)).alias("word")).where((F.length("word") <= most) & (F.col("word") != ""))
-    short = raw.groupBy("_key", "word").agg(F.count(F.lit(1)).alias("k")).groupBy("_key", F.lower("word").alias("word")).agg(F.sum("k").alias("k"))
-    ranked = short.withColumn("rank", F.row_number().over(W.partitionBy("_key").orderBy(F.desc("k"), "word")))
+    raw = base.select("_key", F.explode(F.split("text", SPACE)).alias("word")).where(F.col("word") != "")
+    counts = raw.groupBy("_key", "word").agg(F.count(F.lit(1)).alias("k")).groupBy("_key", F.lower("word").alias("word")).agg(F.sum("k").alias("k"))
+    ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("_key").orderBy(F.desc("k"), "word")))
     top = ranked.groupBy("_key").agg(
         F.sum("k").alias("total"),
         F.sort_array(F.collect_list(F.when(F.col("rank") <= n_common, F.struct("rank", "word", "k")))).alias("top"),
@@ -108,24 +103,35 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
-def judged(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, min_chars: int = 200, min_short: int = 25, class_limit: float = 0.3, word_limit: float = 0.58, most: int = 4) -> DataFrame:
+def times_of(common: Column, spaced: Column, n_common: int) -> Column:
+    """How often each common word stands in a text whose words have a space of their own on either side."""
+
+    def times(i: int) -> Column:
+        word = F.concat(F.lit(" "), F.get(common, F.lit(i)), F.lit(" "))
+        return F.coalesce((F.octet_length(spaced) - F.octet_length(F.replace(spaced, word, F.lit("")))) / F.octet_length(word), F.lit(0.0))
+
+    return F.array(*[times(i) for i in range(n_common)])
+
+
+def judged(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, min_chars: int = 200, min_judged: int = 25, class_limit: float = 0.3, word_limit: float = WORD_LIMIT, n_common: int = COMMON) -> DataFrame:
     """The documents with struct ``_v``: base counts, base_failed, both distances (null: too short) and kept.
 
     Each language's reference comes to its documents by broadcast if there are at most ``SMALL`` languages, else by a
     shuffle on the language, whose large partitions Spark splits.
     """
-    step, found = keyed(docs), references(docs, most=most)
+    step, found = keyed(docs), references(docs, n_common)
     few = step.select("_key").distinct().limit(SMALL + 1).count() <= SMALL
     step = step.join(F.broadcast(found) if few else found.hint("merge"), "_key", "left")
-    step = measured(step).withColumn("_short", short_words(F.col("_text"), most))
-    code = F.array_join(F.transform("_short", lambda w: F.substr(F.lit(CODES), F.coalesce(F.nullif(F.array_position("_common", w), F.lit(0)), F.lit(len(CODES))).cast("int"), F.lit(1))), "")
-    step = step.withColumn("_n_short", F.size("_short")).withColumn("_code", code)
-    n_code = lambda c: F.length("_code") - F.length(F.replace("_code", F.lit(c), F.lit("")))
-    total = F.greatest(F.length("_code"), F.lit(1))
-    step = step.withColumn("_hist", F.array(*[n_code(c) / total for c in CODES]))
+    step = measured(step)
+    # Two spaces between words, so that each has its own on both sides.
+    step = step.withColumn("_spaced", F.concat(F.lit(" "), F.regexp_replace(F.lower("_text"), SPACE, "  "), F.lit(" ")))
+    step = step.withColumn("_times", times_of(F.col("_common"), F.col("_spaced"), n_common))
+    n_words = F.greatest(F.col("_q.n_words"), F.lit(1))
+    other = F.col("_q.n_words") - F.aggregate("_times", F.lit(0.0), lambda a, x: a + x)
+    step = step.withColumn("_hist", F.transform(F.concat("_times", F.array(other)), lambda x: x / n_words))
     classes = F.transform("_q.classes", lambda x: x / F.greatest(F.col("_q.n_chars"), F.lit(1)))
     step = step.withColumn("_class_js", F.when(F.col("_q.n_chars") >= min_chars, js_distance(classes, F.col("_classes"))))
-    step = step.withColumn("_word_js", F.when((F.col("_n_short") >= min_short) & (F.size("_shares") > 0), js_distance(F.col("_hist"), F.col("_shares"))))
+    step = step.withColumn("_word_js", F.when((F.col("_q.n_words") >= min_judged) & (F.size("_shares") > 0), js_distance(F.col("_hist"), F.col("_shares"))))
     failed = (F.col("_q.n_words") < min_words) | (100 * F.col("_q.n_repeat_words") > repeat_percent * F.col("_q.n_words"))
     passed = (F.coalesce(F.col("_class_js"), F.lit(0.0)) <= class_limit) & (F.coalesce(F.col("_word_js"), F.lit(0.0)) <= word_limit)
     counts = [F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]

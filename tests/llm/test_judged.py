@@ -246,3 +246,18 @@ def test_quality_has_a_reference_for_each_language(spark, monkeypatch):
     assert [d for d, x in found.items() if x[0] != (d < 9000)] == []
     monkeypatch.setattr(quality_rules, "SMALL", 10)
     assert {r.doc_id: (r.kept, r.word_js, r.base_failed) for r in quality_rules.report(frame).collect()} == found
+
+
+def test_quality_judges_long_words_and_tells_null_from_names(spark):
+    """A text of long words only is judged by words, too; no language's name is taken for null."""
+    import random
+
+    from locushift.llm import quality_rules
+
+    rng = random.Random(3)
+    clean = lambda a: " ".join(rng.choice((f"the{a}", f"of{a}", f"longerwords{a}", f"andothers{a}", rng.choice("bcdfgh") * rng.randint(5, 9))) for _ in range(200))
+    rows = [(i, clean("x"), None) for i in range(20)] + [(100 + i, clean("y"), ("<none>", "-", "+", "")[i % 4]) for i in range(40)]
+    rows += [(200, " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(400)), None), (201, clean("y"), None), (202, clean("x"), "-")]
+    found = {r.doc_id: r for r in quality_rules.report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(r.word_js is not None for r in found.values())
+    assert [d for d, r in found.items() if r.kept != (d < 200)] == []
