@@ -139,12 +139,12 @@ def test_mix_of_equal_rows_and_no_ids(spark, monkeypatch):
         monkeypatch.setattr(mix_sources, "SMALL", small)
         found = mix_sources.report(frame.withColumnRenamed("extra", "_mix_size"), chunk=100)
         assert found.count() == len(rows)
-        by = {r.target: r["sum(taken)"] for r in found.groupBy("target").agg({"taken": "sum"}).collect()}
+        by = {r.source_size: r["sum(taken)"] for r in found.groupBy("source_size").agg({"taken": "sum"}).collect()}
         sizes = Counter()
         for r in rows:
             sizes[r[2]] += 20
         target = water(sizes)
-        near({s: by[t] for s, t in target.items()}, target)
+        near({s: by[sizes[s]] for s in target}, target)
         out = Counter()
         for r in mix_sources.mix(frame).collect():
             out[r.source] += len(words(r.text))
