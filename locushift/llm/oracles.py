@@ -73,29 +73,36 @@ def _rule(field: str) -> str:
 
 
 URLS = f"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
 ), j AS (
   SELECT *, {_rule("rule")} AS rule, {_rule("verdict")} AS found,
          list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '<n>' WHEN regexp_matches(s, '[0-9]') THEN regexp_replace(s, '[0-9]+', '0', 'g') ELSE s END) AS seg0 FROM p
-), u AS (SELECT *, CASE WHEN len(seg0) > 8 THEN list_append(seg0[1:8], '<tail>') ELSE seg0 END AS seg FROM j),
+), u AS (SELECT *, seg0 AS seg FROM j),
 shapes AS (SELECT host, seg, count(*) AS n, count(found) AS labelled, count(*) FILTER (found = 'block') AS blocked FROM u GROUP BY ALL),
-steps AS (SELECT host, seg, n, i, seg[1:i - 1] AS parent, seg[i] AS child FROM (SELECT *, unnest(range(1, len(seg) + 1)) AS i FROM shapes)),
-fans AS (SELECT host, i, parent, count(*) AS children, sum(n) AS n FROM (SELECT host, i, parent, child, sum(n) AS n FROM steps GROUP BY ALL) GROUP BY ALL),
-named AS (
-  SELECT s.host, s.seg, list(CASE WHEN s.child = '<n>' OR f.host IS NOT NULL THEN '*' ELSE s.child END ORDER BY s.i) AS template
-  FROM steps s LEFT JOIN (SELECT * FROM fans WHERE children > 16 AND n < children * 16 / 0.5) f ON f.host = s.host AND f.i = s.i AND f.parent = s.parent GROUP BY s.host, s.seg
-), t AS (SELECT shapes.*, coalesce(template, []) AS template FROM shapes LEFT JOIN named USING (host, seg)),
+tree AS (
+  SELECT 0 AS d, host, '' AS node, seg, n, labelled, blocked FROM shapes
+  UNION ALL
+  SELECT d + 1, host, node || '/' || CASE WHEN variable THEN '*' WHEN lab = 0 OR len(members) = 1 THEN child ELSE '{{' || array_to_string(members, '|') || '}}' END, seg, n, labelled, blocked
+  FROM (
+    SELECT *, list_sort(list_distinct(list(child) OVER (PARTITION BY host, node, variable, lab > 0, branch))) AS members FROM (
+      SELECT *, sum(apart) OVER (PARTITION BY host, node, variable, lab > 0 ORDER BY rate, child, seg ROWS UNBOUNDED PRECEDING) AS branch FROM (
+        SELECT *, CASE WHEN rate - lag(rate) OVER w > 2 * sqrt(rate * (1 - rate) / (lab + 2) + lag(rate * (1 - rate) / (lab + 2)) OVER w) THEN 1 ELSE 0 END AS apart FROM (
+          SELECT *, child = '<n>' OR (kids > 16 AND child_n * 16 <= node_n) AS variable, (blk + 1.0::DOUBLE) / (lab + 2) AS rate FROM (
+            SELECT *, seg[d + 1] AS child, sum(n) OVER c AS child_n, sum(labelled) OVER c AS lab, sum(blocked) OVER c AS blk, sum(n) OVER p AS node_n, count(DISTINCT seg[d + 1]) OVER p AS kids
+            FROM tree WHERE len(seg) > d WINDOW p AS (PARTITION BY host, node), c AS (PARTITION BY host, node, seg[d + 1])
+          )
+        ) WINDOW w AS (PARTITION BY host, node, variable, lab > 0 ORDER BY rate, child, seg)
+      )
+    )
+  )
+), t AS (SELECT host, seg, labelled, blocked, CASE WHEN node = '' THEN '/' ELSE node END AS template FROM tree WHERE len(seg) = d),
 counted AS (SELECT host, template, sum(labelled) AS labelled, sum(blocked) AS blocked FROM t GROUP BY ALL),
-fixed AS (SELECT *, coalesce(list_max(list_transform(template, lambda s, i: CASE WHEN s <> '*' THEN i ELSE 0 END)), 0) AS fix FROM counted),
-branch AS (SELECT *, list_transform(template, lambda s, i: CASE WHEN i = fix THEN '*' ELSE s END) AS br FROM fixed),
-rates AS (
-  SELECT host, template, labelled, (sum(blocked) OVER h + 1.0::DOUBLE) / (sum(labelled) OVER h + 2) AS host_rate, sum(blocked) OVER b AS bb, sum(labelled) OVER b AS bl, blocked
-  FROM branch WINDOW h AS (PARTITION BY host), b AS (PARTITION BY host, br)
-), own AS (SELECT *, (bb + host_rate * 2) / (bl + 2) AS branch_rate, (blocked + host_rate * 2) / (labelled + 2) AS own_rate FROM rates),
-rated AS (SELECT host, template, round(CASE WHEN abs(own_rate - branch_rate) <= 2 * sqrt(branch_rate * (1 - branch_rate) / (labelled + 2)) THEN branch_rate ELSE own_rate END, 9) AS purity FROM own)
-SELECT page_id, u.host, path, rule, coalesce(found, CASE WHEN purity > 0.6 THEN 'block' ELSE 'allow' END) AS verdict, '/' || array_to_string(t.template, '/') AS template, purity
+rated AS (
+  SELECT host, template, round((blocked + 2 * (sum(blocked) OVER h + 1.0::DOUBLE) / (sum(labelled) OVER h + 2)) / (labelled + 2), 9) AS purity FROM counted WINDOW h AS (PARTITION BY host)
+)
+SELECT page_id, u.host, path, rule, coalesce(found, CASE WHEN purity > 0.6 THEN 'block' ELSE 'allow' END) AS verdict, t.template, purity
 FROM u JOIN t ON t.host = u.host AND t.seg = u.seg JOIN rated ON rated.host = t.host AND rated.template = t.template
 """
 

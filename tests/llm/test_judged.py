@@ -89,6 +89,82 @@ def test_url_templates(spark):
     assert by["http://bad.com/en/3"].template == "/en/*"
 
 
+def templates_by_hand(urls, fan=16, alpha=2.0, z=2.0):
+    """(host, path) to (template, purity): each host's tree, a node at a time."""
+
+    def segments(path):
+        return tuple("<n>" if re.fullmatch("[0-9]+", s) else re.sub("[0-9]+", "0", s) for s in path.split("/") if s)
+
+    hosts = {}
+    for u in urls:
+        host, path, _, verdict = rule(u)
+        hosts.setdefault(host, []).append((segments(path), path, verdict))
+    out = {}
+    for host, rows in hosts.items():
+        found = {}
+
+        def walk(rows, at, node):
+            for r in [r for r in rows if len(r[0]) == at]:
+                found.setdefault(node or "/", []).append(r)
+            children = {}
+            for r in rows:
+                if len(r[0]) > at:
+                    children.setdefault(r[0][at], []).append(r)
+            total = sum(map(len, children.values()))
+            nodes, rated = {}, []
+            for c, own in children.items():
+                if c == "<n>" or (len(children) > fan and len(own) * fan <= total):
+                    nodes.setdefault("*", []).extend(own)
+                elif labels := [v for _, _, v in own if v]:
+                    p = (labels.count("block") + alpha / 2) / (len(labels) + alpha)
+                    rated.append((p, c, p * (1 - p) / (len(labels) + alpha)))
+                else:
+                    nodes.setdefault(c, []).extend(own)
+            branches = []
+            for p, c, e in sorted(rated):
+                if branches and p - branches[-1][-1][0] <= z * (e + branches[-1][-1][2]) ** 0.5:
+                    branches[-1].append((p, c, e))
+                else:
+                    branches.append([(p, c, e)])
+            for b in branches:
+                names = sorted(c for _, c, _ in b)
+                nodes.setdefault("{" + "|".join(names) + "}" if len(names) > 1 else names[0], []).extend(r for c in names for r in children[c])
+            for name, own in nodes.items():
+                walk(own, at + 1, f"{node}/{name}")
+
+        walk(rows, 0, "")
+        known = [v for _, _, v in rows if v]
+        host_rate = (known.count("block") + alpha / 2) / (len(known) + alpha)
+        for template, own in found.items():
+            known = [v for _, _, v in own if v]
+            for _, path, _ in own:
+                out[host, path] = template, (known.count("block") + host_rate * alpha) / (len(known) + alpha)
+    return out
+
+
+def test_url_tree(spark, data):
+    """Nested variable segments, merged branches, paths of any depth: as a tree built by hand."""
+    import random
+
+    from locushift.llm import url_filter
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    urls = [f"http://site.com/user/{word()}/{word()}" for _ in range(300)] + [f"http://site.com/{'deep/' * 12}{word()}" for _ in range(40)]
+    urls += [f"http://a.com/{x}/{word()}/{y}" for x in ("en", "fr", "es", "it") for y in ("p", "q", "en") for _ in range(12)] + [f"http://a.example.net/de/{i}/{y}" for i in range(30) for y in "xy"]
+    urls += ["http://b.org/" + "/".join(rng.choice(("es", "fr", "en")) for _ in range(rng.randint(0, 5))) for _ in range(400)] + [None, "none", "http://c.com", "http://c.com/*/x", "http://c.com/es//x/"]
+    urls += [r.url for r in spark.read.parquet(f"{data}/pages.parquet").select("url").collect()]
+    want = templates_by_hand(urls)
+    rows = url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        template, purity = want[r.host, r.path]
+        assert r.template == template and isclose(r.purity, purity, abs_tol=1e-8), (r, template, purity)
+        assert r.rule or r.verdict == ("block" if purity > 0.6 else "allow")
+    shapes = {r.template for r in rows if r.host == "site.com"}
+    assert shapes == {"/user/*/*", "/" + "deep/" * 12 + "*"}
+
+
 def water(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
