@@ -1,13 +1,14 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its features: words, character n-grams of 3 to 5 bytes within
+A document is the average of learned vectors of its features: words, n-grams of 3 to 5 characters (code points) within
 words, and pairs of neighbouring words (a word beside itself is one feature of its own), all hashed to buckets. A
 softmax over two classes is trained on them by stochastic gradient descent in numpy. As the output is linear in the
 average, each bucket is folded to one number for scoring, and a word's sum is kept while it stays in a cache.
 
-Training reads at most ``most_labelled`` labelled documents, the first by a hash of their id (a bound, stated here;
-all documents are scored). Labels come only from rows whose crc32(doc_id as text) mod 3 is not 1; no column but the
-text is an input.
+Training reads at most ``most_labelled`` labelled documents, the first by a hash of their id, and of these the first
+whose texts add up to ``most_bytes`` (bounds, stated here; all documents are scored). Labels come only from rows whose
+crc32(doc_id as text) mod 3 is not 1; no column but the text is an input. A document that is labelled both ways
+teaches nothing; of several texts with one id, the least one teaches.
 
 Defined results: a null text is an empty text, scored by the feature that every document has; rows with equal ids
 or texts are scored alike; a null id is not held out; without any label of both classes all scores are 0.5; an
@@ -43,9 +44,9 @@ def bucket_of(h: np.ndarray) -> np.ndarray:
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For distinct words: their hashes, all their buckets in a row, and how many each has."""
-    framed = [b"<" + w + b">" for w in words]
+    framed = [f"<{w.decode('utf-8', 'replace')}>" for w in words]
     n = np.array([len(w) for w in framed], np.int64)
-    text = np.frombuffer(b"".join(framed), np.uint8).astype(np.uint64)
+    text = np.frombuffer("".join(framed).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
     end = np.cumsum(n)
     start = end - n
     own = np.repeat(np.arange(len(n)), n)
@@ -87,20 +88,22 @@ def document_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(found), return_counts=True)
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 6, rate: float = 8.0, seed: int = 7) -> np.ndarray:
-    """One number per bucket: what it adds, on average over the features, to the log odds of label 1."""
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def averaged(text: bytes) -> Row:
+    """The distinct buckets of a document and their shares of its features."""
+    buckets, times = document_features(text)
+    return buckets.astype(np.int32), (times / times.sum()).astype(np.float32)
+
+
+def train(rows: list[Row], labels: list[int], epochs: int = 6, rate: float = 8.0, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets' vectors and the output matrix, by stochastic gradient descent on the softmax of two classes."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     output = np.zeros((2, DIM), np.float32)
-    if len(set(labels)) < 2:
-        return np.zeros(BUCKETS, np.float32)
-    rows = []
-    for t in texts:
-        b, k = document_features(t)
-        rows.append((b.astype(np.int32), (k / k.sum()).astype(np.float32)))
-    y = np.array(labels)
     step, steps = 0, epochs * len(rows)
-    for _ in range(epochs):
+    for _ in range(epochs if len(set(labels)) == 2 else 0):
         for i in rng.permutation(len(rows)):
             eta = rate * (1 - step / steps)
             step += 1
@@ -109,10 +112,15 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 6, rate: float =
             z = output @ hidden
             p = np.exp(z - z.max())
             p /= p.sum()
-            p[y[i]] -= 1
+            p[labels[i]] -= 1
             back = p @ output
             output -= np.float32(eta * 0.05) * np.outer(p, hidden)
             vectors[b] -= np.outer(np.float32(eta) * share, back)
+    return vectors, output
+
+
+def folded(vectors: np.ndarray, output: np.ndarray) -> np.ndarray:
+    """One number per bucket: what it adds, on average over the features, to the log odds of label 1."""
     return vectors @ (output[1] - output[0])
 
 
@@ -152,20 +160,26 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total / features, -30, 30)))
 
 
-def learned(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000) -> np.ndarray:
-    """The folded weights, trained by one task on the bounded sample."""
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+def learned(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_bytes: int = 64_000_000) -> np.ndarray:
+    """The folded weights, trained by one task on the bounded sample. Texts become features as they arrive."""
+    known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"), F.max("quality").cast("int").alias("other"))
+    sample = known.where("label = other").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).select("doc_id", "label")
     # At most ``most_labelled`` ids and labels are broadcast, so the texts of other documents are not moved.
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
     one = texts.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("x")).select("doc_id", "x.text", "x.label")
 
     def work(batches):
-        rows = sorted((d, t, y) for batch in batches for d, t, y in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), batch.column("label").to_pylist(), strict=True))
-        weights = train([r[1] for r in rows], [r[2] for r in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary())], names=["weights"])
-
-    row = one.coalesce(1).mapInArrow(work, "weights binary").first()
+        rows, labels, held = [], [], 0
+        for whole in batches:
+            for batch in slices(whole):
+                for text, label in zip(texts_of(batch.column("text")), batch.column("label").to_pylist(), strict=True):
+                    held += len(text)
+                    if held <= most_bytes:
+                        rows.append(averaged(text))
+                        labels.append(label)
+        yield pa.RecordBatch.from_arrays([pa.array([folded(*train(rows, labels)).astype("<f4").tobytes()], pa.binary())], names=["weights"])
+
+    row = one.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(work, "weights binary").first()
     return np.frombuffer(row[0], "<f4") if row else np.zeros(BUCKETS, "<f4")
 
 

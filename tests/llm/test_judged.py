@@ -268,6 +268,68 @@ def test_classifier_odd_rows(spark, odd):
     some = spark.createDataFrame([(i, i % 2, 0) for i in range(6)] + [(2, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality_classifier.report(odd, some).count() == len(ODD)
     assert quality_classifier.report(odd.where("false"), some).count() == 0
+    both = spark.createDataFrame([(i, k, 0) for i in range(6) for k in (0, 1)], "doc_id long, quality int, toxic int")
+    assert {r.score for r in quality_classifier.report(odd, both).collect()} == {0.5}
+
+
+def test_classifier_by_hand():
+    """Features, training and folding against plain loops over characters."""
+    import numpy as np
+
+    from locushift.llm import quality_classifier as q
+
+    mask, odd = (1 << 64) - 1, int(q._ODD)
+
+    def mixed(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    def features(text):
+        ws = [f"<{w}>" for w in words(text)]
+        bucket = lambda h: h % (q.BUCKETS - 2) + 2
+        whole = [mixed(sum((ord(c) + 1) * pow(odd, i + 1, 1 << 64) for i, c in enumerate(w)) & mask) for w in ws]
+        out = [q.EVERY, *map(bucket, whole)]
+        for w in ws:
+            for k in q.GRAMS:
+                for i in range(len(w) - k + 1):
+                    h = 0
+                    for c in w[i : i + k]:
+                        h = (h * odd + ord(c) + 1) & mask
+                    out.append(bucket(mixed((h + k - 1) & mask)))
+        out += [q.SAME if a == b else bucket(mixed((a * int(q._PAIR) + b) & mask)) for a, b in zip(whole, whole[1:])]
+        return Counter(out)
+
+    texts = ["", "a", "日本語 日本語 テキスト", "plain words, plain words", "ü é 😀😀😀 x" * 3, "one two three " * 9]
+    for t in texts:
+        buckets, times = q.document_features(t.encode())
+        assert dict(zip(buckets.tolist(), times.tolist())) == features(t), t
+    assert q.document_features("日本".encode())[0].size == 1 + 1 + 2 + 1  # the word, two 3-grams, one 4-gram: whole characters
+    labels = [0, 1, 0, 1, 1, 0]
+    vectors, output = q.train([q.averaged(t.encode()) for t in texts], labels, epochs=3)
+
+    rng = np.random.default_rng(7)
+    v, o = rng.uniform(-1 / q.DIM, 1 / q.DIM, (q.BUCKETS, q.DIM)), np.zeros((2, q.DIM))
+    step = 0
+    for _ in range(3):
+        for i in rng.permutation(len(texts)):
+            f, eta = features(texts[i]), 8.0 * (1 - step / (3 * len(texts)))
+            step += 1
+            n = sum(f.values())
+            hidden = sum(k / n * v[b] for b, k in f.items())
+            z = np.exp(o @ hidden)
+            p = z / z.sum() - np.eye(2)[labels[i]]
+            back = p @ o
+            o = o - eta * 0.05 * np.outer(p, hidden)
+            for b, k in f.items():
+                v[b] -= eta * k / n * back
+    assert np.allclose(v, vectors, atol=1e-4) and np.allclose(o, output, atol=1e-4)
+
+    scores = q.Scorer(q.folded(vectors, output)).score([t.encode() for t in texts])
+    for t, s in zip(texts, scores):
+        f = features(t)
+        z = np.exp(output @ (sum(k * vectors[b] for b, k in f.items()) / sum(f.values())))
+        assert isclose(s, z[1] / z.sum(), abs_tol=1e-5)
 
 
 def test_html(spark, data):
