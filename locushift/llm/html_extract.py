@@ -1,13 +1,14 @@
 """HTML extraction by maximum-scoring subsequence.
 
 A page becomes a row of tokens: the words of each piece of text and the tags between them. A word's score is the
-log odds that its surroundings (open elements and the words of their class, id and role) hold main text; a tag's
-score is negative, by how much rarer it is inside main text. One linear scan finds the contiguous run of tokens with
-the largest sum; the pieces of that run with a positive score of their own are the text. The weights are learned
-once, by logistic regression in numpy, from labelled pages that ``labelled_pages`` lays out.
+log odds that its surroundings (open elements, the words of their class, id and role, and whether the page's article
+or main element is closed) hold main text; a tag's score is negative, by how much rarer it is inside main text. One linear scan finds the contiguous run of tokens with
+the largest sum; the pieces of that run whose place does not speak against them are the text. The weights are learned
+once, by logistic regression in numpy, from labelled pages that ``labelled_pages`` lays out (the tables have no labels
+for pages); names that they do not have count for nothing.
 
 Defined results: null and empty pages give an empty text; content of scripts, styles and the head is never text; an
-unclosed tag or comment at the end is dropped; unknown or misnested end tags are ignored; white space is what Python
+unclosed tag or comment at the end is dropped; a page of which no run scores above 0 keeps what no place speaks against; unknown or misnested end tags are ignored; white space is what Python
 calls so; equal rows give equal results; an empty table gives an empty result; extra columns are ignored. A page
 without any tags is one block of main text.
 """
@@ -18,6 +19,7 @@ import html
 import re
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,21 +42,67 @@ _HINT = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def pieces(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
-    """("text", text, context) and ("tag", name, context) in page order; context: names and hints of open elements."""
-    at, stack, context = 0, [], ()
-    n = len(page)
+class Open:
+    """The open elements: where each name lies on the stack, and the sum of the weights of the distinct names and hints.
+
+    Weights are whole numbers, so that the sum stays exact however often names come and go; a step costs the same at
+    any depth.
+    """
+
+    def __init__(self, weights: dict[str, int] | None = None, has_main: bool = False):
+        self.weights, self.has_main = weights or {}, has_main
+        self.stack: list[tuple[str, ...]] = []
+        self.places: dict[str, list[int]] = {}
+        self.names: dict[str, int] = {}
+        self.total = 0
+
+    def push(self, name: str, hints: list[str]) -> None:
+        own = (name, *("." + h for h in hints))
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append(own)
+        for x in own:
+            k = self.names.get(x, 0)
+            if not k:
+                self.total += self.weights.get(x, 0)
+            self.names[x] = k + 1
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost open element of these names; -1 if none is open."""
+        return max((p[-1] for p in map(self.places.get, names) if p), default=-1)
+
+    def cut(self, depth: int) -> None:
+        """Closes all elements from ``depth`` on."""
+        while len(self.stack) > depth:
+            own = self.stack.pop()
+            self.places[own[0]].pop()
+            for x in own:
+                self.names[x] -= 1
+                if not self.names[x]:
+                    del self.names[x]
+                    self.total -= self.weights.get(x, 0)
+
+    def outside(self) -> bool:
+        """Whether the page has an element for its main text that is not open."""
+        return self.has_main and self.last("article", "main") < 0
+
+    def context(self) -> tuple[str, ...]:
+        return (*sorted(self.names), *(["~outside"] if self.outside() else []))
 
-    def around() -> tuple[str, ...]:
-        return tuple(dict.fromkeys(x for names in stack for x in names))
 
+_HAS_MAIN = re.compile(r"<(?:article|main)[\s>]", re.I)
+
+
+def pieces(page: str, open_: Open) -> Iterator[tuple[str, str]]:
+    """("text", text) and ("tag", name) in page order; ``open_`` has the elements open at a text."""
+    at = 0
+    n = len(page)
     while at < n:
         opened = page.find("<", at)
         if opened < 0:
-            yield "text", page[at:], context
+            yield "text", page[at:]
             return
         if opened > at:
-            yield "text", page[at:opened], context
+            yield "text", page[at:opened]
         if page.startswith("<!--", opened):
             end = page.find("-->", opened + 4)
             at = end + 3 if end >= 0 else n
@@ -70,39 +118,32 @@ def pieces(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
                 end = page.find(">", opened)
                 at = end + 1 if end >= 0 else n
             else:
-                yield "text", "<", context
+                yield "text", "<"
                 at = opened + 1
             continue
         at, name = m.end(), m[1].lower()
         if page[opened + 1] == "/":
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                inside = context
-                del stack[depth:]
-                context = around()
-                yield "tag", name, inside
+            if (depth := open_.last(name)) >= 0:
+                open_.cut(depth)
+                yield "tag", name
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
-            yield "tag", name, context
+            yield "tag", name
             continue
         if name in VOID:
-            yield "tag", name, context
+            yield "tag", name
             continue
-        if name in ENDS_P and (i := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)) is not None:
-            del stack[i:]
+        if name in ENDS_P:
+            if (depth := open_.last("p")) >= 0:
+                open_.cut(depth)
         elif name in ENDS_OWN:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ENDS_OWN[name]:
-                    break
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-        hints = [p.lower() for h in _HINT.findall(m[2]) for p in _PART.findall("".join(h[1:]))]
-        stack.append((name, *("." + h for h in hints)))
-        context = around()
-        yield "tag", name, context
+            depth = open_.last(name)
+            if depth > open_.last(*ENDS_OWN[name]):
+                open_.cut(depth)
+        open_.push(name, [p.lower() for h in _HINT.findall(m[2]) for p in _PART.findall("".join(h[1:]))])
+        yield "tag", name
 
 
 # --- labelled pages -----------------------------------------------------------------------------------------------
@@ -119,21 +160,30 @@ PARTS = (
 WORDS = "the of and a to in is was for on with as by at from this that which one two new old time year people work first last".split()
 
 
+def _made_up(rng: np.random.Generator) -> str:
+    """A class name that says nothing."""
+    return "".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 3)) + str(rng.integers(10))
+
+
 def _open_close(part: str) -> tuple[str, str]:
     name, kind, hint = re.match(r"(\w+)([.#]?)(.*)", part).groups()
     attr = {".": f' class="{hint}"', "#": f' id="{hint}"', "": ""}[kind]
     return f"<{name}{attr}>", f"</{name}>"
 
 
-def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, str]]:
+def labelled_pages(n: int = 400, seed: int = 5) -> list[str]:
     """Pages with their main words written in capitals, all others in small letters."""
     rng = np.random.default_rng(seed)
 
     def some(a: int, b: int) -> str:
         return " ".join(rng.choice(WORDS, rng.integers(a, b)))
 
-    def part(name: str) -> str:
-        a, b = _open_close(name)
+    def part(name: str | None) -> str:
+        a, b = _open_close(name or f"div.{_made_up(rng)}")
+        if name is None:  # a name that says nothing: links, or a few words
+            name, kind = "div", rng.choice([0, 0, 3])
+            if kind:
+                return a + f"<p>{some(1, 7)}</p>" * rng.integers(1, 3) + b
         kind = rng.integers(4)
         if name.startswith(("ul", "ol")) or kind == 0:
             items = "".join(f"<li><a href='#'>{some(1, 4)}</a></li>" for _ in range(rng.integers(2, 7)))
@@ -172,31 +222,52 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, str]]:
 
     pages = []
     for _ in range(n):
-        a, b = _open_close(MAIN[rng.integers(len(MAIN))])
-        picked = rng.permutation(len(PARTS))[: rng.integers(3, 10)]
+        a, b = _open_close(MAIN[rng.integers(len(MAIN))] if rng.random() < 0.6 else f"div.{_made_up(rng)}")
+        picked = [PARTS[i] for i in rng.permutation(len(PARTS))[: rng.integers(3, 10)]]
+        if rng.random() < 0.5:
+            picked[rng.integers(len(picked))] = None
         cut = rng.integers(1, len(picked))
-        before, after = ("".join(part(PARTS[i]) for i in x) for x in (picked[:cut], picked[cut:]))
+        before, after = ("".join(part(x) for x in own) for own in (picked[:cut], picked[cut:]))
         main = (a + body() + b, body(), "<div>" + body() + "</div>")[max(0, rng.integers(8) - 5)]
         if rng.random() < 0.3:
-            main = f"<div class='wrapper'>{main}</div>"
+            main = f"<div class='{rng.choice(['wrapper', _made_up(rng)])}'>{main}</div>"
         pages.append(f"<html><head><title>x</title></head><body>{before}{main}{after}</body></html>")
     return pages
 
 
-Model = tuple[dict[str, float], float, dict[str, float]]
+#: Weights are counted in parts of SCALE. Pieces of fewer words than SHORT, and of LONG words or more, have features of their own.
+SCALE, SHORT, LONG = 1 << 20, 8, 20
 
 
-@cache
-def weights() -> Model:
-    """Scores per context name, the base score of a word, and (negative) scores per tag."""
+def size_of(n: int) -> str | None:
+    return "~short" if n < SHORT else "~long" if n >= LONG else None
+
+
+class Model(NamedTuple):
+    names: dict[str, int]  # by element name, hint or feature
+    base: int
+    tags: dict[str, float]
+
+    def word_score(self, open_: Open) -> float:
+        """Log odds that a word in this context is main text; a page without tags is main text."""
+        if not open_.stack:
+            return 0.5
+        total = self.base + open_.total + (self.names.get("~outside", 0) if open_.outside() else 0)
+        return max(-4.0, min(4.0, total / SCALE))
+
+
+def fitted(pages: list[str]) -> Model:
+    """Logistic regression over the contexts of labelled texts (capitals are main text), and log ratios of the tags."""
     seen: dict[tuple[str, ...], list[int]] = {}
     tags: dict[str, list[int]] = {}
-    for page in labelled_pages():
+    for page in pages:
         main = False
-        for kind, value, context in pieces(page):
+        open_ = Open(has_main=bool(_HAS_MAIN.search(page)))
+        for kind, value in pieces(page, open_):
             if kind == "text" and value.strip():
                 main = value.isupper()
-                seen.setdefault(context, [0, 0])[0 if main else 1] += 1
+                context = (*open_.context(), *([size] if (size := size_of(len(value.split()))) else []))
+                seen.setdefault(context, [0, 0])[0 if main else 1] += len(value.split())
             elif kind == "tag":
                 tags.setdefault(value, [0, 0])[0 if main else 1] += 1
     names = {x: i for i, x in enumerate(sorted({x for r in seen for x in r}))}
@@ -212,55 +283,62 @@ def weights() -> Model:
         b -= rate * off.sum()
     total = np.sum(list(tags.values()), axis=0)
     tag = {t: float(np.clip(np.log((c[0] + 1) / total[0] * total[1] / (c[1] + 1)) - 0.1, -0.6, -0.05)) for t, c in tags.items()}
-    return {v: float(w[i]) for v, i in names.items()}, float(b), tag
+    return Model({v: round(float(w[i]) * SCALE) for v, i in names.items()}, round(b * SCALE), tag)
 
 
-def word_score(context: tuple[str, ...], model: Model) -> float:
-    """Log odds that a word in this context is main text; a page without tags is main text."""
-    if not context:
-        return 0.5
-    return max(-4.0, min(4.0, model[1] + sum(model[0].get(x, 0.0) for x in context)))
+@cache
+def weights() -> Model:
+    return fitted(labelled_pages())
 
 
 #: The most that one piece of foreign text counts against its run, so that a notice does not split an article.
 FOREIGN = -1.5
+#: Pieces of the run go if their place speaks against them by more than this.
+CLEARLY = -1.0
 
 
-def extract(page: str, model: Model | None = None) -> str:
-    """The main text: blocks joined by two line feeds."""
-    model = model or weights()
-    known: dict[tuple[str, ...], float] = {}
-    block, blocks = 0, []  # (block, text, score per word)
-    best, best_from, best_to, total, since = 0.0, 0, 0, 0.0, 0
-    for kind, value, context in pieces(page):
-        if kind == "tag":
-            if value in INLINE:
-                if value == "br":
-                    blocks.append((block, " ", 0.0))
-                continue
-            block += 1
-            total += model[2].get(value, -0.3)
-        else:
-            score = known.get(context)
-            if score is None:
-                score = known[context] = word_score(context, model)
-            text = html.unescape(value)
-            blocks.append((block, text, score))
-            total += max(score * len(text.split()), FOREIGN)
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """The contiguous run with the largest sum, as a half-open range, in one scan; empty if no sum is above 0."""
+    best, found, total, since = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
+        total += score
         if total <= 0:
-            total, since = 0.0, len(blocks)
+            total, since = 0.0, i + 1
         elif total > best:
-            best, best_from, best_to = total, since, len(blocks)
-    out: list[str] = []
-    current, parts = None, []
-    for b, text, score in [*blocks[best_from:best_to], (-1, "", 1.0)]:
-        if b != current:
-            if joined := " ".join("".join(parts).split()):
-                out.append(joined)
-            current, parts = b, []
-        if score >= 0:
-            parts.append(text)
-    return "\n\n".join(out)
+            best, found = total, (since, i + 1)
+    return found
+
+
+def tokens(page: str, model: Model) -> Iterator[tuple[float, int, str, float]]:
+    """Score, block, text (empty for tags) and what the place says about a word, for the tags and texts of a page."""
+    open_ = Open(model.names, bool(_HAS_MAIN.search(page)))
+    by_size = {x: model.names.get(x, 0) / SCALE if x else 0.0 for x in ("~short", "~long", None)}
+    block = 0
+    for kind, value in pieces(page, open_):
+        if kind == "text":
+            place, text = model.word_score(open_), html.unescape(value)
+            n = len(text.split())
+            # A piece's size counts for its run only: a run keeps what its place speaks for, however short.
+            yield max((place + by_size[size_of(n)] if open_.stack else place) * n, FOREIGN), block, text, place
+        elif value == "br":
+            yield 0.0, block, " ", 0.0
+        elif value not in INLINE:
+            block += 1
+            yield model.tags.get(value, -0.3), block, "", 0.0
+
+
+def extract(page: str, model: Model | None = None) -> str:
+    """The main text: blocks joined by two line feeds."""
+    found = list(tokens(page, model or weights()))
+    first, after = best_run([t[0] for t in found])
+    if first == after:  # nothing speaks for any place: all that nothing speaks against
+        first, after = 0, len(found)
+    blocks: dict[int, list[str]] = {}
+    for _, block, text, place in found[first:after]:
+        if place >= CLEARLY:
+            blocks.setdefault(block, []).append(text)
+    texts = (" ".join("".join(parts).split()) for parts in blocks.values())
+    return "\n\n".join(x for x in texts if x)
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -357,6 +357,49 @@ PAGES = [
 ]
 
 
+LINE = "A long enough text stands here and it goes on for a while. " * 2
+LONG = LINE.strip()
+LAYOUTS = [
+    (f"<nav><a href=/>Home</a></nav><article><h1>Head</h1><p>{LINE}</p></article><div class='sb-right'><p>Side text that nobody wants to read at all today my friend</p></div>", ["Head", LONG]),
+    (f"<div class=zx1><ul><li><a href=/>Home</a><li><a href=/>About us</a></ul></div><div class=qq2><h1>Head line</h1><p>{LINE}<p>Short one.<p>{LINE}</div><div class=ft9><p>&copy; 2020 Foo</p></div>", ["Head line", LONG, "Short one.", LONG]),
+    (f"<div id=wrap><div class=top><a href=/>Home</a> <a href=/>Login</a></div><div id=story><p>{LINE}</p><h2>More</h2><ul><li>a point<li>another</ul></div><div class=kk><ul><li><a>One</a><li><a>Two</a></ul></div></div>", [LONG, "More", "a point", "another"]),
+    (f"<main><section><h2>T</h2><p>{LINE}</p></section></main><div class=rail><h3>Popular</h3><p>{'word ' * 40}</p></div>", ["T", LONG]),
+]
+
+
+def test_html_other_layouts():
+    """Pages without the fixture's layout: names that no labelled page has, divisions only, a main element."""
+    from locushift.llm import html_extract
+
+    for page, want in LAYOUTS:
+        assert html_extract.extract(page) == "\n\n".join(want), page
+
+
+def test_html_best_run_and_depth():
+    import random
+    import time
+
+    from locushift.llm import html_extract
+
+    rng = random.Random(1)
+    for n in [0, 1, 2, *range(3, 40)] * 3:
+        scores = [rng.choice((-2.0, -0.5, 0.0, 0.5, 1.0, 3.0)) for _ in range(n)]
+        a, b = html_extract.best_run(scores)
+        assert sum(scores[a:b]) == max([0.0, *(sum(scores[i:j]) for i in range(n) for j in range(i, n + 1))])
+    for page, _ in LAYOUTS:  # the running sum over open elements is that of their distinct names
+        model = html_extract.weights()
+        open_ = html_extract.Open(model.names)
+        for _ in html_extract.pieces(page, open_):
+            assert open_.total == sum(model.names.get(x, 0) for x in {y for own in open_.stack for y in own})
+    deep = lambda n: '<div class="a">' * n + "x" + "</span>" * n + "<ul>" + "<div>" * n + "<li>y" * n
+    began = time.time()
+    html_extract.extract(deep(1000))
+    one = time.time() - began
+    began = time.time()
+    html_extract.extract(deep(16_000))
+    assert time.time() - began < 16 * 6 * max(one, 0.02)
+
+
 def test_html_odd_pages(spark):
     from locushift.llm import html_extract
 
