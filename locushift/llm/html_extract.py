@@ -2,21 +2,23 @@
 
 A page becomes a row of tokens: the words of each piece of text and the tags between them. A word's score is the
 log odds that its surroundings (open elements, the words of their class, id and role, and whether the page's article
-or main element is closed) hold main text; a tag's score is negative, by how much rarer it is inside main text. One linear scan finds the contiguous run of tokens with
-the largest sum; the pieces of that run whose place does not speak against them are the text. The weights are learned
-once, by logistic regression in numpy, from labelled pages that ``labelled_pages`` lays out (the tables have no labels
-for pages); names that they do not have count for nothing.
+or main element is closed) hold main text; a tag's score is negative, by how much rarer it is inside main text. One
+linear scan finds the contiguous run of tokens with the largest sum; the pieces of that run whose place does not speak
+against them are the text. The weights are learned once, by logistic regression in numpy, from labelled pages that
+``labelled_pages`` lays out (the tables have no labels for pages); names that fewer than three of them have count for
+nothing.
 
 Defined results: null and empty pages give an empty text; content of scripts, styles and the head is never text; an
-unclosed tag or comment at the end is dropped; a page of which no run scores above 0 keeps what no place speaks against; unknown or misnested end tags are ignored; white space is what Python
-calls so; equal rows give equal results; an empty table gives an empty result; extra columns are ignored. A page
-without any tags is one block of main text.
+unclosed tag or comment at the end is dropped; unknown or misnested end tags are ignored; a page of which no run scores
+above 0 keeps what no place speaks against; white space is what Python calls so; equal rows give equal results; an empty
+table gives an empty result; extra columns are ignored. A page without any tags is one block of main text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -260,20 +262,24 @@ def fitted(pages: list[str]) -> Model:
     """Logistic regression over the contexts of labelled texts (capitals are main text), and log ratios of the tags."""
     seen: dict[tuple[str, ...], list[int]] = {}
     tags: dict[str, list[int]] = {}
+    on_pages: Counter[str] = Counter()
     for page in pages:
+        own = set()
         main = False
         open_ = Open(has_main=bool(_HAS_MAIN.search(page)))
         for kind, value in pieces(page, open_):
             if kind == "text" and value.strip():
                 main = value.isupper()
                 context = (*open_.context(), *([size] if (size := size_of(len(value.split()))) else []))
+                own.update(context)
                 seen.setdefault(context, [0, 0])[0 if main else 1] += len(value.split())
             elif kind == "tag":
                 tags.setdefault(value, [0, 0])[0 if main else 1] += 1
-    names = {x: i for i, x in enumerate(sorted({x for r in seen for x in r}))}
+        on_pages.update(own)
+    names = {x: i for i, x in enumerate(sorted(x for x, k in on_pages.items() if k > 2))}
     x = np.zeros((len(seen), len(names)))
     for i, r in enumerate(seen):
-        x[i, [names[v] for v in r]] = 1
+        x[i, [names[v] for v in r if v in names]] = 1
     k = np.array(list(seen.values()), float)
     n, share = k.sum(axis=1) / k.sum(), k[:, 0] / k.sum(axis=1)
     w, b, rate = np.zeros(len(names)), 0.0, 4.0
