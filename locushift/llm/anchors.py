@@ -12,8 +12,9 @@ each other (in runs of a symbol or a short period) are one row with a count.
    than ``most`` different spans is split before it is fetched: a window that reaches far to the left of what its
    bucket has in common goes to a bucket that has those symbols in common, too, any other to one with more symbols
    on the right. Each round halves what a bucket's windows do not yet share, so it ends with buckets of one window.
+   The parts go through the steps again as rows of their own, equal parts as one.
 4. ``compared`` hands whole buckets to the caller, who finds the repeated windows among their spans.
-5. ``repeated`` brings them back to every span that was stood for.
+5. ``found_in`` brings them back to every row that was stood for.
 
 Documents are known by (_d, _t): the id, and a hash of id and text; equal rows share both and so their results.
 """
@@ -31,7 +32,8 @@ from .bpe_codec import slices, texts_of
 from .common import materialize, small_batches
 
 KEYS = ["_d", "_t"]
-SPAN = ["lo", "n", "at", "m", "left", "right"]
+SPAN = ["lo", "n", "at", "m", "left", "right", "off"]
+FROM = ["ph", "ps"]  # the span that a row is a part of
 #: Different spans that one bucket may hold before it is split.
 MOST = 512
 #: So many document keys (16 bytes each) are broadcast to pick documents before their texts are shuffled.
@@ -100,7 +102,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame, symbols_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], length: int, k: int, slice_bytes: int = 1_000_000) -> DataFrame:
     """h, s, _d, _t, lo (first window), n (windows), at (anchor's place in the span), m (equal spans in a row), left and
-    right (what the bucket has in common beyond the anchor: nothing yet). symbols_of: texts to symbols and their counts."""
+    right (what the bucket has in common beyond the anchor: nothing yet), off (its first window in the span it is a part
+    of: it is whole), c (how many spans it stands for). symbols_of: texts to symbols and their counts."""
 
     def work(batches):
         from xxhash import xxh3_64_intdigest
@@ -124,36 +127,37 @@ def spans(docs: DataFrame, symbols_of: Callable[[list[bytes]], tuple[np.ndarray,
                 short = lambda x: pa.array(x[keep].astype(np.int32))
                 none = pa.array(np.zeros(len(keep), np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[keep].view(np.int64)), pa.array(s[keep].view(np.int64)), batch.column("_d").take(docs_), batch.column("_t").take(docs_), short(first - (ends - size_of)[own]), short(n), short(at), pa.array(m.astype(np.int32)), none, none],
-                    names=["h", "s", *KEYS, *SPAN],
+                    [pa.array(h[keep].view(np.int64)), pa.array(s[keep].view(np.int64)), batch.column("_d").take(docs_), batch.column("_t").take(docs_), short(first - (ends - size_of)[own]), short(n), short(at), pa.array(m.astype(np.int32)), none, none, none, pa.array(m.astype(np.int64))],
+                    names=["h", "s", *KEYS, *SPAN, "c"],
                 )
 
-    return keyed(docs).select("_d", "_t", "text").mapInArrow(work, "h long, s long, _d long, _t long, lo int, n int, at int, m int, left int, right int")
+    return keyed(docs).select("_d", "_t", "text").mapInArrow(work, "h long, s long, _d long, _t long, " + ", ".join(f"{x} int" for x in SPAN) + ", c long")
 
 
 def candidates(rows: DataFrame, name: str, most: int) -> DataFrame:
     """The rows whose bucket holds anything else, with c, how often their span occurs, and hot, if the bucket is to be split."""
-    groups = materialize(rows.groupBy("h", "s").agg(F.sum("m").alias("c")), f"{name}-groups")
+    groups = materialize(rows.groupBy("h", "s").agg(F.sum("c").alias("c")), f"{name}-groups")
     buckets = groups.groupBy("h").agg(F.count(F.lit(1)).alias("spans"), F.sum("c").alias("total")).where("total > 1")
     wanted = groups.join(buckets.select("h", (F.col("spans") > most).alias("hot")), "h")
-    return materialize(rows.join(wanted, ["h", "s"]).select(*KEYS, "h", "s", *SPAN, "c", "hot"), f"{name}-candidates")
+    return materialize(rows.drop("c").join(wanted, ["h", "s"]), f"{name}-candidates")
 
 
 def payload(docs: DataFrame, found: DataFrame, cut: Callable[[bytes], Sequence], join: Callable[[Sequence], bytes], length: int, k: int) -> DataFrame:
-    """h, s, c, _d, _t, the span's columns and span: one row of each group of equal spans with its symbols, and for
-    spans of hot buckets their parts in smaller buckets, without symbols. cut: a text to symbols; join: symbols to bytes.
+    """h, s, ph, ps, _d, _t, the span's columns, c and span: one row of each group of equal spans with its symbols, and
+    for those of hot buckets their two parts (ph, ps: what they are parts of), in smaller buckets and without symbols.
+
+    cut: a text to symbols; join: symbols to bytes.
     """
-    alone = found.where("c = 1 and not hot").select(*KEYS, "h", "s", *SPAN, "c", "hot")
-    one = found.where("c > 1 and not hot").groupBy("h", "s").agg(F.min(F.struct(*KEYS, *SPAN, "c", "hot")).alias("x"))
-    rows = alone.unionByName(one.select(*[f"x.{x}" for x in KEYS], "h", "s", *[f"x.{x}" for x in SPAN], "x.c", "x.hot")).unionByName(found.where("hot").select(*alone.columns))
-    rows = rows.groupBy(*KEYS).agg(F.collect_list(F.struct("h", "s", *SPAN, "c", "hot")).alias("rows"))
+    columns = [*KEYS, *SPAN, "c", "hot"]
+    one = found.where("c > 1").groupBy("h", "s").agg(F.min(F.struct(*columns)).alias("x")).select("h", "s", "x.*")
+    rows = found.where("c = 1").select("h", "s", *columns).unionByName(one).groupBy(*KEYS).agg(F.collect_list(F.struct("h", "s", *SPAN, "c", "hot")).alias("rows"))
     texts = keyed(docs).select(*KEYS, "text")
     keys = found.select(*KEYS).distinct()
     if keys.limit(SMALL + 1).count() <= SMALL:
         texts = texts.join(F.broadcast(keys), KEYS, "left_semi")
     # A merge join brings equal documents one after the other, and the first of them is enough.
     joined = texts.join(rows.hint("merge"), KEYS)
-    schema = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("_d", pa.int64()), ("_t", pa.int64()), *[(x, pa.int32()) for x in SPAN], ("c", pa.int64()), ("span", pa.binary())])
+    schema = pa.schema([(x, pa.int64()) for x in ("h", "s", *FROM, *KEYS)] + [(x, pa.int32()) for x in SPAN] + [("c", pa.int64()), ("span", pa.binary())])
 
     def signed(x: int) -> int:
         return x - (1 << 64) if x >> 63 else x
@@ -171,24 +175,21 @@ def payload(docs: DataFrame, found: DataFrame, cut: Callable[[bytes], Sequence],
                     before = d, t
                     symbols = cut(text)
                     for r in own:
-                        lo, n, at = r["lo"], r["n"], r["at"]
+                        lo, n, at, left, right = (r[x] for x in ("lo", "n", "at", "left", "right"))
                         if not r["hot"]:
-                            out.append((r["h"], r["s"], d, t, *(r[x] for x in SPAN), r["c"], join(symbols[lo : lo + n - 1 + length])))
+                            out.append((r["h"], r["s"], None, None, d, t, *(r[x] for x in SPAN), r["c"], join(symbols[lo : lo + n - 1 + length])))
                             continue
-                        left, right = r["left"], r["right"]
-                        half = (length - k - left - right + 1) // 2
-                        for lo in range(lo, lo + n * r["m"], n):
-                            anchor = lo + at
-                            split = min(max(anchor - left - half - lo + 1, 0), n)
-                            for a, b, wider_left, wider_right in ((0, split, left + half, right), (split, n, left, length - k - left - half + 1)):
-                                if a < b:
-                                    core = xxh3_64_intdigest(join(symbols[anchor - wider_left : anchor + k + wider_right]), wider_left << 32 | wider_right)
-                                    same = xxh3_64_intdigest(join(symbols[lo + a : lo + b - 1 + length]))
-                                    out.append((signed(core), signed(same), d, t, lo + a, b - a, anchor - lo - a, 1, wider_left, wider_right, 1, None))
+                        half, anchor = (length - k - left - right + 1) // 2, lo + at
+                        split = min(max(at - left - half + 1, 0), n)
+                        for a, b, wider_left, wider_right in ((0, split, left + half, right), (split, n, left, length - k - left - half + 1)):
+                            if a < b:
+                                core = xxh3_64_intdigest(join(symbols[anchor - wider_left : anchor + k + wider_right]), wider_left << 32 | wider_right)
+                                same = xxh3_64_intdigest(join(symbols[lo + a : lo + b - 1 + length]))
+                                out.append((signed(core), signed(same), r["h"], r["s"], d, t, lo + a, b - a, at - a, 1, wider_left, wider_right, a, r["c"], None))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return joined.mapInArrow(work, "h long, s long, _d long, _t long, " + ", ".join(f"{x} int" for x in SPAN) + ", c long, span binary")
+    return joined.mapInArrow(work, ", ".join(f"{x} long" for x in ("h", "s", *FROM, *KEYS)) + ", " + ", ".join(f"{x} int" for x in SPAN) + ", c long, span binary")
 
 
 def compared(rows: DataFrame, solve: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]], block_bytes: int = 2_000_000) -> DataFrame:
@@ -224,24 +225,32 @@ def compared(rows: DataFrame, solve: Callable[[pa.Table], tuple[np.ndarray, np.n
     return rows.repartition("h").sortWithinPartitions("h").mapInArrow(work, "h long, s long, c long, _d long, _t long, lo int, first int, n int")
 
 
+def found_in(docs: DataFrame, rows: DataFrame, cut, join, solve, length: int, k: int, name: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """The candidates among ``rows`` and their repeated windows: h, s, first (window of the span), n and, where the span
+    stands for itself alone, _d, _t and lo."""
+    found = candidates(rows, name, most)
+    fetched = materialize(payload(docs, found, cut, join, length, k), f"{name}-payload")
+    hits = compared(fetched.where("span is not null"), solve).select("h", "s", "first", "n", *[F.when(F.col("c") == 1, F.col(x)).alias(x) for x in (*KEYS, "lo")])
+    parts = fetched.where("span is null").drop("span")
+    if not parts.isEmpty():
+        again, inner = found_in(docs, parts, cut, join, solve, length, k, name, most)
+        # A part's windows are those of the span that it is a part of; equal parts of different spans share theirs.
+        outer = again.select("h", "s", *FROM, "off").join(inner.select("h", "s", "first", "n").distinct(), ["h", "s"])
+        outer = outer.select(F.col("ph").alias("h"), F.col("ps").alias("s"), (F.col("off") + F.col("first")).alias("first"), "n")
+        hits = hits.unionByName(outer, allowMissingColumns=True)
+    return found, materialize(hits, f"{name}-hits")
+
+
 def repeated(docs: DataFrame, symbols_of, cut, join, solve, length: int, k: int, name: str, most: int | None = None) -> DataFrame:
     """_d, _t, ranges: array of (lo, n), the repeated windows of each document that has any."""
-    rows, parts = materialize(spans(docs, symbols_of, length, k), f"{name}-spans"), []
-    while True:
-        found = candidates(rows, name, MOST if most is None else most)
-        fetched = materialize(payload(docs, found, cut, join, length, k), f"{name}-payload")
-        hits = materialize(compared(fetched.where("span is not null"), solve), f"{name}-hits")
-        parts.append(hits.where("c = 1").select(*KEYS, (F.col("lo") + F.col("first")).alias("lo"), "n"))
-        of_many = hits.where("c > 1").select("h", "s", "first", F.col("n").alias("run")).distinct()
-        back = found.where("c > 1 and not hot").join(of_many, ["h", "s"])
-        parts.append(back.select(*KEYS, F.when(F.col("m") > 1, F.col("lo")).otherwise(F.col("lo") + F.col("first")).alias("lo"), F.when(F.col("m") > 1, F.col("n") * F.col("m")).otherwise(F.col("run")).alias("n")))
-        rows = fetched.where("span is null").select("h", "s", *KEYS, *SPAN)
-        if rows.isEmpty():
-            break
-    everything = parts[0]
-    for part in parts[1:]:
-        everything = everything.union(part)
-    return everything.groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
+    rows = materialize(spans(docs, symbols_of, length, k), f"{name}-spans")
+    found, hits = found_in(docs, rows, cut, join, solve, length, k, name, MOST if most is None else most)
+    alone = hits.where("lo is not null").select(*KEYS, (F.col("lo") + F.col("first")).alias("lo"), "n")
+    others = found.where("c > 1 or hot").join(hits.where("lo is null").select("h", "s", "first", F.col("n").alias("run")).distinct(), ["h", "s"])
+    # A span that occurs several times in a row is repeated as a whole.
+    several = F.col("m") > 1
+    others = others.select(*KEYS, F.when(several, F.col("lo")).otherwise(F.col("lo") + F.col("first")).alias("lo"), F.when(several, F.col("n") * F.col("m")).otherwise(F.col("run")).alias("n"))
+    return alone.union(others).groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
 
 
 def covered(ranges: list[dict], n: int, length: int) -> np.ndarray:
