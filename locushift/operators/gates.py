@@ -16,12 +16,12 @@ UNIVERSE, LEAST_REPLICATES, LEAST_COHERENCE, LEAST_PC1, LEVEL = 50_000, 2, 0.10,
 
 @dataclass
 class Admissibility:
-    admitted: bool
-    coherence: float | None
-    pc1: float | None
-    n_replicates_a: int
-    n_replicates_b: int
-    n_regions: int
+    admit: bool
+    pc1_frac: float | None
+    coherence_margin: float | None
+    n_a: int
+    n_b: int
+    universe_n: int
     universe_truncated: bool
     reasons: list[str] = field(default_factory=list)
 
@@ -91,23 +91,27 @@ def admissibility(matrix: DataFrame, universe: int = UNIVERSE) -> Admissibility:
         reasons.append(f"replicate coherence {'unknown' if c is None else f'{c:.3f}'} is below {LEAST_COHERENCE}")
     if pc1 is None or not pc1 >= LEAST_PC1:
         reasons.append(f"PC1 fraction {'unknown' if pc1 is None else f'{pc1:.3f}'} is below {LEAST_PC1}")
-    return Admissibility(not reasons, c, pc1, n_a, n_b, n, n < universe, reasons)
+    return Admissibility(not reasons, pc1, c, n_a, n_b, n, n < universe, reasons)
 
 
 @dataclass
 class ScoreSelection:
     primary: str
     delta_auroc: float | None
-    low: float | None
-    high: float | None
-    lr: float | None
-    p: float | None
-    coef: float | None
+    delta_auroc_ci: list[float | None]
+    lr_p: float | None
+    lr_coef: float | None
+    reason: str
 
     as_dict = asdict
 
 
 def select_score(result: dict, model_id: str = "GET") -> ScoreSelection:
     """The model's score if it beats the signed baseline by interval or by likelihood ratio; else the baseline."""
-    wins = (result["low"] is not None and result["low"] > 0) or (result["p"] is not None and result["p"] < LEVEL and (result["coef"] or 0) > 0)
-    return ScoreSelection(model_id if wins else "signed-Delta", result["delta"], result["low"], result["high"], result["lr"], result["p"], result["coef"])
+    low, high, p, coef = (result[k] for k in ("low", "high", "p", "coef"))
+    text = lambda x, form: "unknown" if x is None else format(x, form)
+    gain = f"AUROC gain {text(result['delta'], '+.3f')}, interval {text(low, '+.3f')} to {text(high, '+.3f')}"
+    ratio = f"likelihood ratio p {text(p, '.3g')}, coefficient {text(coef, '+.2f')}"
+    grounds = [gain] * (low is not None and low > 0) + [ratio] * (p is not None and p < LEVEL and (coef or 0) > 0)
+    reason = f"{model_id} adds to the signed baseline: {'; '.join(grounds)}" if grounds else f"{model_id} adds nothing to the signed baseline: {gain}; {ratio}"
+    return ScoreSelection(model_id if grounds else "signed-Delta", result["delta"], [low, high], p, coef, reason)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import overlap_length, overlaps
 
 SMALL = 20_000
+#: Positions in a stretch of a chromosome that one task merges.
+STRETCH = 1 << 22
 
 
 def bin_width(df: DataFrame, least: int = 16) -> int:
@@ -79,12 +81,21 @@ def snap(peaks: DataFrame, universe: DataFrame) -> DataFrame:
     return hit.groupBy("r_ord").agg(F.min("ord").alias("first_peak"))
 
 
-def merged(df: DataFrame) -> DataFrame:
-    """Merged intervals with the number of their parts; adjoining ones merge, too."""
-    order = W.partitionBy("chrom").orderBy("start_pos", "end_pos", *[c for c in ("ord",) if c in df.columns])
-    before = F.max("end_pos").over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = df.withColumn("_new", F.when(before.isNull() | (F.col("start_pos") > before), 1).otherwise(0))
-    islands = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+def merged(df: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Merged intervals with the number of their parts; adjoining ones merge, too.
+
+    Windows run within stretches of a chromosome; the furthest end and the islands of the stretches before come from
+    one row per stretch.
+    """
+    own = df.withColumn("_stretch", F.floor(F.col("start_pos") / stretch))
+    order = W.partitionBy("chrom", "_stretch").orderBy("start_pos", "end_pos", *[c for c in ("ord",) if c in df.columns])
+    ahead = W.partitionBy("chrom").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    ends = own.groupBy("chrom", "_stretch").agg(F.max("end_pos").alias("_end")).select("chrom", "_stretch", F.max("_end").over(ahead).alias("_reach"))
+    before = F.greatest(F.max("end_pos").over(order.rowsBetween(W.unboundedPreceding, -1)), F.col("_reach"))
+    marked = own.join(ends, ["chrom", "_stretch"]).withColumn("_new", F.when(before.isNull() | (F.col("start_pos") > before), 1).otherwise(0))
+    marked = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    numbers = marked.groupBy("chrom", "_stretch").agg(F.sum("_new").alias("_n")).select("chrom", "_stretch", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    islands = marked.join(numbers, ["chrom", "_stretch"]).withColumn("_island", F.col("_island") + F.col("_before"))
     return islands.groupBy("chrom", "_island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("n_parts")).drop("_island")
 
 

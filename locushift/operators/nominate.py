@@ -12,8 +12,9 @@ from .order import top_k
 from .score import primary
 
 TOP = 0.01
-#: Species of the assemblies, and where each model's scores come from (looked up without case).
+#: Species of the assemblies, and where each model's direction comes from (looked up without case).
 SPECIES = {"hg38": "human", "hg19": "human", "mm10": "mouse", "mm39": "mouse"}
+PROVENANCE = {"GET": "input-measured", "ChromFound": "input-measured", "EpiAgent": "predicted-model-native", "ATACformer": "external-attach", "ChromBERT": "external-attach"}
 NOMINATION = "chrom string, start_pos long, end_pos long, rank int, nomination_score double, direction double"
 
 
@@ -21,19 +22,19 @@ def refusal(gate1: dict | None, gate2: dict | None) -> str | None:
     """Why nothing may be nominated; None if something may. The first reason that holds counts."""
     if gate1 is None:
         return "Gate 1 has not been run: replicates are not known to be admissible"
-    if not gate1.get("admitted"):
+    if not gate1.get("admit"):
         return "Gate 1 rejected the transition: " + "; ".join(gate1.get("reasons") or ["not admitted"])
     if gate2 is None:
         return "Gate 2 has not been run: no primary score has been chosen"
     return None
 
 
-def nominated(weights: DataFrame, gate1: dict | None, gate2: dict | None, top: float = TOP) -> tuple[DataFrame, dict]:
-    """The nominations (empty after a refusal) and the manifest's block on them."""
+def nominated(weights: DataFrame, gate1: dict | None, gate2: dict | None, top: float = TOP, norm: str = "rank") -> tuple[DataFrame, dict]:
+    """The nominations (empty after a refusal) and the manifest's block on them. norm: how driver_score was normalised."""
     spark = weights.sparkSession
     why = refusal(gate1, gate2)
     if why:
-        return spark.createDataFrame([], NOMINATION), {"status": "refused", "reason": why, "n": 0, "primary": None, "top_frac": top}
+        return spark.createDataFrame([], NOMINATION), {"score_source": None, "score_norm": None, "top_frac": None, "n_nominated": 0, "refused": True, "refusal_reason": why}
     signed = gate2["primary"] == "signed-Delta"
     if signed and weights.where("direction is not null").isEmpty():
         raise ValueError("the primary score is signed-Delta, but no direction has been measured")
@@ -41,10 +42,10 @@ def nominated(weights: DataFrame, gate1: dict | None, gate2: dict | None, top: f
     k = max(1, math.ceil(scored.count() * top))
     best = top_k(scored, "primary_score", k)
     rows = best.select("chrom", "start_pos", "end_pos", "rank", score_field(F.col("primary_score")).alias("nomination_score"), direction_field(F.col("direction")).alias("direction"))
-    return rows, {"status": "nominated", "reason": None, "n": k, "primary": gate2["primary"], "top_frac": top, "norm": "rank" if signed else None}
+    return rows, {"score_source": gate2["primary"], "score_norm": "rank" if signed else norm, "top_frac": top, "n_nominated": k, "refused": False, "refusal_reason": None}
 
 
-def provenance(models: dict[str, str], model: str) -> str | None:
+def provenance(model: str, models: dict[str, str] = PROVENANCE) -> str | None:
     return {k.lower(): v for k, v in models.items()}.get(model.lower())
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import sampling_key
-from .order import BUCKETS, average_ranks, bucketed, offsets, row_numbers, top_k
+from .order import average_ranks, bucketed, offsets, row_numbers, top_k
 
 
 def auroc(df: DataFrame, score: str = "driver_score", label: str = "label", name: str = "auroc") -> DataFrame:
@@ -16,7 +16,7 @@ def auroc(df: DataFrame, score: str = "driver_score", label: str = "label", name
     Rows shrink to distinct scores first; negatives below a score are a running sum within value ranges.
     """
     per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count_if(label).alias("_p"), F.count_if(~F.col(label)).alias("_q"))
-    dealt = bucketed(per, "_s", buckets=BUCKETS)
+    dealt = bucketed(per, "_s")
     off = offsets(dealt, p=F.col("_p"), q=F.col("_q"))
     below = F.coalesce(F.sum("_q").over(W.partitionBy("_bucket").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     wins = F.col("_p") * (F.col("_below") + F.col("q_before") + F.lit(0.5) * F.col("_q"))

@@ -6,15 +6,20 @@ import io
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """ord (0-based line number) and value; the only place that needs an RDD, as files have no row order otherwise."""
-    rows = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0]))
-    return spark.createDataFrame(rows, "ord long, value string")
+    """ord (0-based line number) and value. Lines are numbered within each block of a file, and by what comes before it."""
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    rows = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("_id"))
+    before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n")).select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = rows.withColumn("_own", F.row_number().over(W.partitionBy("_file", "_block").orderBy("_id")) - 1)
+    return own.join(F.broadcast(blocks), ["_file", "_block"]).select((F.col("_own") + F.col("_before")).cast("long").alias("ord"), "value")
 
 
 def _fields(df: DataFrame) -> DataFrame:
@@ -97,7 +102,10 @@ ARTIFACT = "ord long, chrom string, start_pos long, end_pos long, embedding arra
 
 
 def artifact(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """A state's regions with embeddings and signal, and its meta. Parquet folder, or a numpy archive read by an executor."""
+    """A state's regions with embeddings and signal, and its meta. Parquet folder, or a numpy archive read by an executor.
+
+    An archive without meta is described by what it holds: dim and has_signal.
+    """
     if not path.endswith(".npz"):
         meta = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/_meta.json").collect()))
         return spark.read.parquet(f"{path}/regions").withColumn("signal", finite(F.col("signal"))), meta
@@ -117,7 +125,8 @@ def artifact(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
         import pandas as pd
 
         for f in frames:
-            yield pd.DataFrame({"meta": [str(np.load(io.BytesIO(c), allow_pickle=False)["meta"]) for c in f["content"]]})
+            archives = [np.load(io.BytesIO(c), allow_pickle=False) for c in f["content"]]
+            yield pd.DataFrame({"meta": [str(z["meta"]) if "meta" in z.files else json.dumps({"dim": int(z["embedding"].shape[1]), "has_signal": "signal" in z.files}) for z in archives]})
 
     binary = spark.read.format("binaryFile").load(path).select("content")
     meta = json.loads(binary.mapInPandas(meta_of, "meta string").first()[0])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIGITS = 4
-BUNDLE_VERSION = 1
+BUNDLE_VERSION = "1"
 
 
 def score_text(x: float) -> str:
@@ -52,17 +52,43 @@ def bundle(folder: str, manifest: dict, weights: DataFrame, nominated: DataFrame
 
 
 def artifact(df: DataFrame, path: str, *, model: str, cell_state: str, assembly: str, source: str) -> tuple[int, int]:
-    """A state as Parquet with its meta; returns (regions, dimension). All embeddings must have one dimension."""
+    """A state with its meta, as Parquet or, by the name of the path, as a numpy archive; returns (regions, dimension).
+
+    All embeddings must have one dimension.
+    """
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"), F.count("signal").alias("signals")).first()
     if stats["n"] and stats["low"] != stats["high"]:
         raise ValueError(f"embeddings have {stats['low']} to {stats['high']} dimensions")
     kept = df.select("ord", "chrom", F.col("start_pos").cast("long"), F.col("end_pos").cast("long"), F.col("embedding").cast("array<float>"), F.col("signal").cast("float"))
-    kept.write.parquet(f"{path}/regions")
     meta = {"model": model, "cell_state": cell_state, "assembly": assembly, "dim": stats["low"], "source": source, "has_signal": stats["signals"] > 0}
+    if path.endswith(".npz"):
+        _archive(kept, path, stats["n"], stats["low"] or 0, meta)
+        return stats["n"], stats["low"] or 0
+    kept.write.parquet(f"{path}/regions")
     df.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/_meta.json")
     return stats["n"], stats["low"] or 0
 
 
+def _archive(df: DataFrame, path: str, n: int, dim: int, meta: dict) -> None:
+    """One array after the other, in ord, streamed partition by partition into the archive."""
+    import zipfile
+
+    import numpy as np
+
+    width = df.agg(F.max(F.length("chrom"))).first()[0] or 1
+    arrays = {"chrom": ("chrom", f"<U{width}", ()), "start": ("start_pos", "<i8", ()), "end": ("end_pos", "<i8", ()), "embedding": ("embedding", "<f4", (dim,))}
+    if meta["has_signal"]:
+        arrays["signal"] = ("signal", "<f4", ())
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        with z.open("meta.npy", "w") as f:
+            np.save(f, np.array(json.dumps(meta)))
+        for name, (column, dtype, shape) in arrays.items():
+            with z.open(f"{name}.npy", "w", force_zip64=True) as f:
+                np.lib.format.write_array_header_1_0(f, {"descr": dtype, "fortran_order": False, "shape": (n, *shape)})
+                for row in df.select("ord", column).orderBy("ord").toLocalIterator(prefetchPartitions=True):
+                    f.write(np.asarray(np.nan if row[1] is None else row[1], dtype).tobytes())
+
+
 def report(row: dict, title: str) -> str:
     """A result as text, one line per field."""
     return "\n".join([title, *(f"  {k}: {v:.4f}" if isinstance(v, float) else f"  {k}: {v}" for k, v in row.items())])

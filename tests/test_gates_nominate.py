@@ -30,29 +30,29 @@ def test_gate1_matches_numpy_and_decides(spark):
         v = planted(effect)
         a = gates.admissibility(matrix(spark, v))
         coherence, pc1 = reference(v, 3, 50_000)
-        assert a.coherence == pytest.approx(coherence) and a.pc1 == pytest.approx(pc1)
-        assert a.admitted == admitted == (not a.reasons) and a.universe_truncated and a.n_regions == 800
+        assert a.coherence_margin == pytest.approx(coherence) and a.pc1_frac == pytest.approx(pc1)
+        assert a.admit == admitted == (not a.reasons) and a.universe_truncated and a.universe_n == 800
     v = planted(1.0)
     a = gates.admissibility(matrix(spark, v), universe=300)
-    assert (a.coherence, a.pc1) == pytest.approx(reference(v, 3, 300)) and not a.universe_truncated
+    assert (a.coherence_margin, a.pc1_frac) == pytest.approx(reference(v, 3, 300)) and not a.universe_truncated
 
 
 def test_gate1_is_steady(spark):
     v = planted(1.0)
     base = gates.admissibility(matrix(spark, v), universe=800)
     padded = gates.admissibility(matrix(spark, np.vstack([v, np.zeros((1500, 6))])), universe=800)
-    assert padded.pc1 == pytest.approx(base.pc1)
+    assert padded.pc1_frac == pytest.approx(base.pc1_frac)
     scaled = v.copy()
     scaled[:, 0] *= 10
-    assert gates.admissibility(matrix(spark, scaled), universe=800).pc1 == pytest.approx(base.pc1, abs=1e-3)
+    assert gates.admissibility(matrix(spark, scaled), universe=800).pc1_frac == pytest.approx(base.pc1_frac, abs=1e-3)
 
 
 def test_gate1_needs_replicates(spark):
     a = gates.admissibility(matrix(spark, planted(1.0)[:, :2], n_a=1))
-    assert not a.admitted and "replicates" in a.reasons[0] and a.coherence is None
+    assert not a.admit and "replicates" in a.reasons[0] and a.coherence_margin is None
 
 
-ADMIT, REJECT = {"admitted": True}, {"admitted": False, "reasons": ["low PC1"]}
+ADMIT, REJECT = {"admit": True}, {"admit": False, "reasons": ["low PC1"]}
 MODEL, SIGNED = {"primary": "GET"}, {"primary": "signed-Delta"}
 
 
@@ -64,21 +64,22 @@ def weights(spark):
 @pytest.mark.parametrize("gate1, gate2, word", [(None, MODEL, "Gate 1 has not"), (REJECT, MODEL, "low PC1"), (ADMIT, None, "Gate 2 has not"), (None, None, "Gate 1 has not")])
 def test_refusals(weights, gate1, gate2, word):
     rows, block = nominate.nominated(weights, gate1, gate2)
-    assert rows.count() == 0 and rows.columns[3] == "rank" and block["status"] == "refused" and word in block["reason"]
+    assert rows.count() == 0 and rows.columns[3] == "rank" and word in block.pop("refusal_reason")
+    assert block == {"score_source": None, "score_norm": None, "top_frac": None, "n_nominated": 0, "refused": True}
 
 
 def test_primary_scores(weights):
     rows, block = nominate.nominated(weights, ADMIT, MODEL)
-    assert [r.start_pos for r in rows.orderBy("rank").collect()] == [99900 - 100 * i for i in range(10)] and block["n"] == 10
+    assert [r.start_pos for r in rows.orderBy("rank").collect()] == [99900 - 100 * i for i in range(10)] and block == {"score_source": "GET", "score_norm": "rank", "top_frac": 0.01, "n_nominated": 10, "refused": False, "refusal_reason": None}
     rows, block = nominate.nominated(weights, ADMIT, SIGNED)
-    assert [r.start_pos for r in rows.orderBy("rank").collect()] == [100 * i for i in range(10)] and block["norm"] == "rank"
+    assert [r.start_pos for r in rows.orderBy("rank").collect()] == [100 * i for i in range(10)] and block["score_norm"] == "rank" and block["score_source"] == "signed-Delta"
     assert nominate.stray(rows, weights) == 0
 
 
 def test_unmeasured_rows_are_never_signed(weights):
     half = weights.withColumn("direction", F.when(F.col("ord") % 2 == 0, F.col("direction")))
     rows, block = nominate.nominated(half, ADMIT, SIGNED, 0.011)
-    assert block["n"] == 6 and all(r.direction is not None for r in rows.collect())
+    assert block["n_nominated"] == 6 and all(r.direction is not None for r in rows.collect())
     with pytest.raises(ValueError):
         nominate.nominated(half.withColumn("direction", F.lit(None).cast("double")), ADMIT, SIGNED)
 
@@ -90,4 +91,13 @@ def test_ranks_are_dense_under_ties(weights):
 
 
 def test_provenance_ignores_case():
-    assert nominate.provenance({"GET": "x"}, "get") == "x" and nominate.provenance({}, "get") is None
+    assert nominate.provenance("get", {"GET": "x"}) == "x" and nominate.provenance("get", {}) is None and nominate.provenance("epiagent") == "predicted-model-native"
+
+
+def test_score_selection_gives_its_reason():
+    base = {"delta": 0.17, "low": 0.08, "high": 0.26, "lr": 18.6, "p": 0.001, "coef": 0.67}
+    won = gates.select_score(base)
+    assert won.primary == "GET" and won.delta_auroc_ci == [0.08, 0.26] and "interval +0.080 to +0.260" in won.reason and "p 0.001" in won.reason
+    lost = gates.select_score(base | {"low": -0.1, "coef": -0.67})
+    assert lost.primary == "signed-Delta" and "adds nothing" in lost.reason
+    assert gates.select_score(base | {"low": None, "p": None}).primary == "signed-Delta"

@@ -60,8 +60,8 @@ def archive(path, shift, signal=True):
 
 def test_states_to_bundle(spark, tmp_path):
     a, b = archive(tmp_path / "a.npz", 0.0), archive(tmp_path / "b.npz", 1.0)
-    out = navigate.main(["--emb-a", a, "--emb-b", b, "--out", str(tmp_path / "w.tsv"), "--bundle", str(tmp_path / "bundle"), "--direction", "maxabs"])
-    assert out["nomination"]["status"] == "refused" and out["gate1"] is None and out["transition"]["species"] == "human"
+    out = navigate.main(["--emb-a", a, "--emb-b", b, "--out", str(tmp_path / "w.tsv"), "--bundle", str(tmp_path / "bundle"), "--direction", "on"])
+    assert out["nomination"]["refused"] and out["gate1"] is None and out["transition"]["species"] == "human"
     assert (tmp_path / "w.tsv").read_text() == (tmp_path / "bundle/weights.tsv").read_text()
     assert (tmp_path / "w.tsv").read_text().splitlines()[1:3] == ["chr1\t0\t50\t0.0\t0.0", "chr1\t100\t150\t0.0256\t0.0256"]
     assert readers.nominations(spark, str(tmp_path / "bundle/nominations.tsv")).count() == 0
@@ -71,7 +71,7 @@ def test_states_to_bundle(spark, tmp_path):
     again, meta = readers.artifact(spark, str(tmp_path / "art"))
     assert meta["dim"] == 3 and meta["has_signal"] and sorted(map(str, again.collect())) == sorted(map(str, df.collect()))
     with pytest.raises(SystemExit):
-        navigate.main(["--emb-a", archive(tmp_path / "c.npz", 1.0, False), "--emb-b", b, "--out", "x", "--direction", "raw"])
+        navigate.main(["--emb-a", archive(tmp_path / "c.npz", 1.0, False), "--emb-b", b, "--out", "x", "--direction", "on"])
 
 
 def test_contract_with_gates_to_nominations(spark, tmp_path):
@@ -84,7 +84,18 @@ def test_contract_with_gates_to_nominations(spark, tmp_path):
     sig = "".join(f"chr1\t{i * 100}\t{i * 100 + 50}\t{d[i]:.4f}\n" for i in range(n))
     files = {k: put(tmp_path, k, v) for k, v in (("w.tsv", w), ("m.tsv", m), ("p.bed", pos), ("s.tsv", sig))}
     out = navigate.main(["--contract", files["w.tsv"], "--assembly", "mm10", "--model", "get", "--bundle", str(tmp_path / "b"), "--matrix", files["m.tsv"], "--state-a", "A", "--state-b", "B", "--positives", files["p.bed"], "--signed", files["s.tsv"]])
-    assert out["gate1"]["admitted"] and out["nomination"]["status"] == "nominated" and out["nomination"]["n"] == 6
+    stored = json.loads((tmp_path / "b/manifest.json").read_text())
+    assert stored == out | {"bundle_version": "1"}
+    assert out["run_id"] == "b" and out["transition"] == {"id": "b", "species": "mouse", "assembly": "mm10", "state_a": "A", "state_b": "B"}
+    assert out["region_universe"] == {"n_regions": n, "source": "contract w.tsv"} and out["models_run"] == ["get"]
+    assert set(out["gate1"]) == {"admit", "pc1_frac", "coherence_margin", "n_a", "n_b", "universe_n", "universe_truncated", "reasons"} and out["gate1"]["admit"] and out["gate1"]["universe_n"] == n
+    assert set(out["gate2"]) == {"primary", "anchor_set", "n_anchors", "delta_auroc", "delta_auroc_ci", "lr_p", "lr_coef", "fold_enrichment_top5pct", "reason"}
+    assert out["gate2"]["anchor_set"] == "p.bed" and out["gate2"]["n_anchors"] == len(pos.splitlines()) and len(out["gate2"]["delta_auroc_ci"]) == 2
+    assert out["nomination"] == {"score_source": out["gate2"]["primary"], "score_norm": "rank", "top_frac": 0.01, "n_nominated": 6, "refused": False, "refusal_reason": None}
+    assert out["direction"] == {"provenance": "input-measured", "source": "signal of get, B less A", "norm": None}
+    everywhere = navigate.main(["--contract", files["w.tsv"], "--assembly", "xx1", "--model", "get", "--bundle", str(tmp_path / "b2"), "--anchors", files["p.bed"], "--signed", files["s.tsv"], "--all-regions"])
+    assert everywhere["transition"]["species"] == "unknown" and everywhere["gate1"] is None and everywhere["gate2"]["delta_auroc"] != out["gate2"]["delta_auroc"]
+    assert everywhere["nomination"]["refused"] and everywhere["nomination"]["top_frac"] is None
     rows = readers.nominations(spark, str(tmp_path / "b/nominations.tsv"))
     assert [r["rank"] for r in rows.orderBy("rank").collect()] == list(range(1, 7))
     assert (tmp_path / "b/weights.tsv").read_text().splitlines()[1].startswith("chr1\t0\t50\t0.0\t")
@@ -96,6 +107,44 @@ def test_arguments(args):
         navigate.check(navigate.parser().parse_args(args))
 
 
+def test_blocks_written_elsewhere_nominate(spark):
+    """Gate blocks by the contract's names, as other writers of bundles fill them."""
+    from locushift.operators import nominate
+
+    gate1 = {"admit": True, "pc1_frac": 0.9187, "coherence_margin": 0.5694, "n_a": 3, "n_b": 3, "universe_n": 50000, "universe_truncated": False, "reasons": []}
+    gate2 = {"primary": "GET", "anchor_set": "promoter", "n_anchors": 85, "delta_auroc": 0.17, "delta_auroc_ci": [0.081, 0.264], "lr_p": 0.001, "lr_coef": 0.67, "fold_enrichment_top5pct": 2.46}
+    weights = spark.createDataFrame([(i, "chr1", i, i + 1, i / 300, None) for i in range(300)], "ord long, chrom string, start_pos long, end_pos long, driver_score double, direction double")
+    rows, block = nominate.nominated(weights, gate1, gate2)
+    assert rows.count() == 3 and block["score_source"] == "GET" and not block["refused"]
+
+
+def test_archives(spark, tmp_path):
+    """A state as a numpy archive reads back the same, here and in numpy; one without meta is described by itself."""
+    rows = [(i, f"chr{i % 3}" + "x" * (i % 2), i * 10, i * 10 + 5, [float(i), 0.5], None if i == 4 else i / 8) for i in range(20)]
+    df = spark.createDataFrame(rows, "ord long, chrom string, start_pos long, end_pos long, embedding array<float>, signal float").repartition(3)
+    path = str(tmp_path / "s.npz")
+    assert writers.artifact(df, path, model="m", cell_state="c", assembly="hg38", source="s") == (20, 2)
+    z = np.load(path, allow_pickle=False)
+    assert z["embedding"].dtype == np.float32 and z["start"].tolist() == [r[2] for r in rows] and np.isnan(z["signal"][4]) and z["chrom"].tolist() == [r[1] for r in rows]
+    again, meta = readers.artifact(spark, path)
+    assert meta == {"model": "m", "cell_state": "c", "assembly": "hg38", "dim": 2, "source": "s", "has_signal": True} and sorted(map(str, again.collect())) == sorted(map(str, df.collect()))
+    np.savez(tmp_path / "bare.npz", **{k: z[k] for k in ("chrom", "start", "end", "embedding")})
+    bare, meta = readers.artifact(spark, str(tmp_path / "bare.npz"))
+    assert meta == {"dim": 2, "has_signal": False} and bare.where("signal is null").count() == 20
+
+
+def test_lines_keep_their_order(spark, tmp_path):
+    """Blocks of a file are numbered one after the other."""
+    path = put(tmp_path, "lines.txt", "".join(f"line {i} {'x' * (i % 50)}\n" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        found = readers.lines(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.value.split()[1] for r in sorted(found)] == [str(i) for i in range(20_000)] and sorted(r.ord for r in found) == list(range(20_000))
+
+
 def test_containers(spark, tmp_path):
     import gzip
 
