@@ -9,6 +9,7 @@ from .functions import columns as C
 from .operators import align, evaluate, gates, intervals, nominate, prepare, resample, score, stats
 from .operators.order import average_ranks, top_k
 from .plans import fixtures as X
+from .sources import readers, writers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -77,11 +78,11 @@ def direction_signed_rank(spark, d):
 
 @query(
     """SELECT chrom || ':' || start_pos || '-' || end_pos AS region, chrom, start_pos, end_pos, round(greatest(0, least(1, driver_score)), 4) AS driver_score,
-    CASE WHEN direction IS NOT NULL THEN round(greatest(-1, least(1, direction)), 4) END AS direction FROM con WHERE ord % 7 < 5""",
+    CASE WHEN direction IS NOT NULL THEN round(greatest(-1, least(1, direction)), 4) END AS direction FROM con""",
     X.CONTRACT_SQL,
 )
 def contract_encode(spark, d):
-    rows = X.contract(spark, d).where("ord % 7 < 5").select(C.region_key().alias("region"), C.score_field(F.col("driver_score")).alias("driver_score"), C.direction_field(F.col("direction")).alias("direction"))
+    rows = X.contract(spark, d).select(C.region_key().alias("region"), C.score_field(F.col("driver_score")).alias("driver_score"), C.direction_field(F.col("direction")).alias("direction"))
     return rows.select("region", C.region_parts(F.col("region")).alias("p"), "driver_score", "direction").select("region", "p.*", "driver_score", "direction")
 
 
@@ -293,9 +294,10 @@ def matched_background(spark, d):
     return stats.matched_negatives(X.contract(spark, d), "confound").select("ord")
 
 
-@query("SELECT ord FROM (SELECT ord, row_number() OVER (ORDER BY md5(chrom || ':' || start_pos || '-' || end_pos || '|1')) AS rn FROM con WHERE NOT label) WHERE rn <= 100", X.CONTRACT_SQL)
+@query("SELECT ord FROM (SELECT ord, row_number() OVER (ORDER BY md5(chrom || ':' || start_pos || '-' || end_pos || '|1')) AS rn FROM con WHERE NOT label) WHERE rn <= 3 * (SELECT count(*) FROM con WHERE label)", X.CONTRACT_SQL)
 def random_background(spark, d):
-    return stats.random_negatives(X.contract(spark, d), 100).select("ord")
+    con = X.contract(spark, d).cache()
+    return stats.random_negatives(con, 3 * con.where("label").count()).select("ord")
 
 
 SAMPLE_SQL = "sample AS (SELECT * FROM con WHERE confound IS NOT NULL AND (label OR ord IN (SELECT ord FROM matched)))"
@@ -398,12 +400,12 @@ def keyword_scan(spark, d):
 # --- gates and nominations ----------------------------------------------------------------------------------------
 
 
-@query("SELECT ord, round(round(avg(v), 9), 6) AS mean_cpm, (row_number() OVER (ORDER BY round(avg(v), 9) DESC, ord))::INT AS rank FROM cpm GROUP BY ord QUALIFY rank <= 100", X.CONTRAST_SQL)
+@query("SELECT ord, round(round(avg(v), 9), 6) AS mean_cpm, (row_number() OVER (ORDER BY round(avg(v), 9) DESC, ord))::INT AS rank FROM cpm GROUP BY ord QUALIFY rank <= 50000", X.CONTRAST_SQL)
 def logcpm_universe(spark, d):
     table, samples = gates.wide(X.contrast(spark, d), list(range(6)))
     cpm = gates.log_cpm(table, 6)
     mean = F.round(sum((F.col(f"s{i}") for i in range(6)), F.lit(0.0)) / 6, 9)
-    return top_k(cpm.withColumn("mean_cpm", mean), "mean_cpm", 100).select("ord", _r("mean_cpm").alias("mean_cpm"), "rank")
+    return top_k(cpm.withColumn("mean_cpm", mean), "mean_cpm", gates.UNIVERSE).select("ord", _r("mean_cpm").alias("mean_cpm"), "rank")
 
 
 @query(
@@ -418,20 +420,49 @@ def replicate_coherence(spark, d):
 
 def _verdict(spark, matrix):
     a = gates.admissibility(matrix)
-    return spark.createDataFrame([(a.admitted, a.coherence, a.pc1, a.n_regions, a.universe_truncated, "; ".join(a.reasons))], "admitted boolean, coherence double, pc1 double, n_regions long, universe_truncated boolean, reasons string")
-
-
-@query()
+    row = (a.admit, round(a.coherence_margin, 5), round(a.pc1_frac, 5), a.n_a, a.n_b, a.universe_n, a.universe_truncated, "; ".join(a.reasons))
+    return spark.createDataFrame([row], "admit boolean, coherence_margin double, pc1_frac double, n_a long, n_b long, universe_n long, universe_truncated boolean, reasons string")
+
+
+def _verdict_sql(cpm: str) -> str:
+    """Gate 1 over a table of log counts (ord, sample, is_a, v) with six samples and no more regions than the universe
+    holds. The first component's share comes from squaring the samples' Gram matrix until only that component is left."""
+    return f"""WITH RECURSIVE {cpm},
+    pairs AS (SELECT x.is_a = y.is_a AS same, corr(x.v, y.v) AS c FROM cpm x JOIN cpm y ON x.ord = y.ord AND x.sample < y.sample GROUP BY x.sample, y.sample, x.is_a, y.is_a),
+    coh AS (SELECT avg(c) FILTER (same) - avg(c) FILTER (NOT same) AS coherence FROM pairs),
+    z AS (SELECT ord, sample, v - avg(v) OVER (PARTITION BY ord) AS z FROM cpm),
+    gram AS (SELECT list(g ORDER BY i, j) AS g, sum(g) FILTER (i = j) AS trace FROM (SELECT x.sample AS i, y.sample AS j, sum(x.z * y.z) AS g FROM z x JOIN z y USING (ord) GROUP BY ALL)),
+    power AS (
+      SELECT 0 AS step, list_transform(g, lambda v: v / trace) AS m FROM gram
+      UNION ALL
+      SELECT step + 1, list_transform(m2, lambda v: v / t) FROM (
+        SELECT step, m2, list_sum([m2[7 * k + 1] for k in range(6)]) AS t FROM (
+          SELECT step, list_transform(range(36), lambda x: list_sum(list_transform(range(6), lambda k: m[x // 6 * 6 + k + 1] * m[k * 6 + x % 6 + 1]))) AS m2 FROM power WHERE step < 12))
+    ), pc AS (SELECT list_sum(list_transform(list_zip(m, g), lambda t: t[1] * t[2])) / trace AS pc1 FROM power, gram WHERE step = 12),
+    n AS (SELECT count(DISTINCT ord) AS n, count(DISTINCT sample) FILTER (is_a) AS na, count(DISTINCT sample) FILTER (NOT is_a) AS nb FROM cpm)
+    SELECT coherence >= 0.1 AND pc1 >= 0.8 AS admit, round(coherence, 5) AS coherence_margin, round(pc1, 5) AS pc1_frac, na AS n_a, nb AS n_b, n AS universe_n, n < 50000 AS universe_truncated,
+           array_to_string(list_filter([CASE WHEN coherence < 0.1 THEN printf('replicate coherence %.3f is below 0.1', coherence) END, CASE WHEN pc1 < 0.8 THEN printf('PC1 fraction %.3f is below 0.8', pc1) END], lambda x: x IS NOT NULL), '; ') AS reasons
+    FROM coh, pc, n"""
+
+
+REPLICATES_SQL = """
+mat AS (SELECT l_partkey::BIGINT AS ord, (l_suppkey % 6)::INTEGER AS sample, sum(l_quantity)::DOUBLE AS value FROM lineitem GROUP BY ALL),
+full_ AS (SELECT o.ord, s.sample, s.sample < 3 AS is_a, coalesce(value, 0) AS value FROM (SELECT DISTINCT ord FROM mat) o CROSS JOIN (SELECT unnest(range(6))::INTEGER AS sample) s LEFT JOIN mat ON mat.ord = o.ord AND mat.sample = s.sample),
+depth AS (SELECT sample, sum(value) AS d FROM full_ GROUP BY sample),
+cpm AS (SELECT c.ord, c.sample, c.is_a, ln(1 + value / d * 1e6) AS v FROM full_ c JOIN depth USING (sample))"""
+
+
+@query(_verdict_sql(X.CONTRAST_SQL))
 def gate1_verdict(spark, d):
     return _verdict(spark, X.contrast(spark, d))
 
 
-@query()
+@query(_verdict_sql(REPLICATES_SQL))
 def gate1_rejection(spark, d):
     return _verdict(spark, X.replicates(spark, d))
 
 
-ADMIT, MODEL, SIGNED = {"admitted": True}, {"primary": "GET"}, {"primary": "signed-Delta"}
+ADMIT, MODEL, SIGNED = {"admit": True}, {"primary": "GET"}, {"primary": "signed-Delta"}
 NOMINATED = "chrom, start_pos, end_pos, rank, nomination_score, direction"
 
 
@@ -448,17 +479,29 @@ def nominations_signed(spark, d):
     return nominate.nominated(X.contract(spark, d).cache(), ADMIT, SIGNED)[0]
 
 
-@query("SELECT chrom, start_pos, end_pos, 1 AS rank, driver_score AS nomination_score, direction FROM con WHERE false", X.CONTRACT_SQL)
+@query(
+    "SELECT gates, refused, CASE WHEN refused THEN 0 ELSE greatest(1, ceil(n * 0.01::DOUBLE)) END::BIGINT AS n_rows, CASE WHEN NOT refused THEN 0.01::DOUBLE END AS top_frac FROM (SELECT count(*) AS n FROM con), (VALUES ('none', true), ('rejected', true), ('no second', true), ('both', false)) AS v(gates, refused)",
+    X.CONTRACT_SQL,
+)
 def nominations_refused(spark, d):
-    gate1 = gates.admissibility(X.replicates(spark, d)).as_dict()
-    return nominate.nominated(X.contract(spark, d), gate1, MODEL)[0]
+    """What each outcome of the gates leaves: a real rejection refuses, and only both gates together nominate."""
+    con = X.contract(spark, d).cache()
+    rejected = gates.admissibility(X.replicates(spark, d)).as_dict()
+    cases = {"none": (None, MODEL), "rejected": (rejected, MODEL), "no second": (ADMIT, None), "both": (ADMIT, MODEL)}
+    found = [(name, *nominate.nominated(con, *both)) for name, both in cases.items()]
+    return spark.createDataFrame([(name, block["refused"], rows.count(), block["top_frac"]) for name, rows, block in found], "gates string, refused boolean, n_rows long, top_frac double")
 
 
-@query("SELECT count(*) AS n_stray FROM con WHERE false", X.CONTRACT_SQL)
+@query(
+    "SELECT count(*) AS n_stray FROM (SELECT chrom, start_pos, end_pos + CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END AS end_pos FROM con QUALIFY row_number() OVER (ORDER BY driver_score DESC, ord) <= greatest(1, ceil(count(*) OVER () * 0.01::DOUBLE))) x WHERE NOT EXISTS (SELECT 1 FROM con WHERE con.chrom = x.chrom AND con.start_pos = x.start_pos AND con.end_pos = x.end_pos)",
+    X.CONTRACT_SQL,
+)
 def nominations_subset(spark, d):
+    """Nominations that the weights lack, after a third of them has been moved by a base."""
     con = X.contract(spark, d).cache()
     rows = nominate.nominated(con, ADMIT, MODEL)[0]
-    return rows.join(con, ["chrom", "start_pos", "end_pos"], "left_anti").agg(F.count(F.lit(1)).alias("n_stray"))
+    moved = rows.join(con.select("chrom", "start_pos", "ord"), ["chrom", "start_pos"]).withColumn("end_pos", F.col("end_pos") + (F.col("ord") % 3 == 0).cast("int"))
+    return spark.createDataFrame([(nominate.stray(moved.drop("ord"), con),)], "n_stray long")
 
 
 @query("SELECT count(*) FILTER (admitted) AS n_admitted, round(count(*) FILTER (admitted AND won) / count(*) FILTER (admitted), 6) AS win_rate, round(avg(fold) FILTER (admitted AND won), 6) AS mean_fold FROM (SELECT ord % 5 < 3 AS admitted, label AS won, raw_score / 1000 AS fold FROM con)", X.CONTRACT_SQL)
@@ -516,18 +559,31 @@ def logistic_coefficients(spark, d):
     return spark.createDataFrame([(n, float(b)) for n, b in zip(["intercept", "scaled", "driver_score"], beta, strict=True)], "term string, coefficient double")
 
 
-def _head(spark, d, k: int = 6):
+def _shifts(spark, d):
     a, b = X.states(spark, d)
-    right = align.last_of_each(b).select("chrom", "start_pos", "end_pos", F.col("embedding").alias("eb"))
+    right = align.last_of_each(b).select("chrom", "start_pos", "end_pos", F.col("embedding").alias("eb"), F.col("signal").alias("sb"))
     vector = F.zip_with(F.col("embedding").cast("array<double>"), F.col("eb").cast("array<double>"), lambda x, y: y - x)
-    shifts = a.join(right, ["chrom", "start_pos", "end_pos"]).select(*REGION, vector.alias("vector"), ((F.col("ord") % 4 == 0)).alias("label"))
-    shifts = shifts.withColumn("gene", F.when(F.col("label"), F.concat(F.lit("g"), (F.col("ord") % 8).cast("string")))).cache()
-    return resample.projected(shifts, *resample.principal_axes(shifts, k), name="features").drop("vector")
+    shifts = a.join(right, ["chrom", "start_pos", "end_pos"]).select(*REGION, vector.alias("vector"), (F.col("sb") - F.col("signal")).alias("signed"), (F.col("ord") % 4 == 0).alias("label"))
+    return shifts.where("signed is not null").withColumn("gene", F.when(F.col("label"), F.concat(F.lit("g"), (F.col("ord") % 8).cast("string")))).cache()
+
+
+def _head(spark, d, k: int = 6):
+    return resample.head_features(_shifts(spark, d), k).drop("vector", "signed")
+
+
+@query(
+    "SELECT ord, round((norm - avg(norm) OVER ()) / stddev_pop(norm) OVER (), 6) AS norm, round((signed - avg(signed) OVER ()) / stddev_pop(signed) OVER (), 6) AS signed FROM (SELECT ord, shift AS norm, delta AS signed FROM aligned WHERE delta IS NOT NULL)",
+    X.STATES_SQL,
+)
+def head_norm_and_signed(spark, d):
+    """The head's two features beside the components: how large a shift is, and its signal."""
+    head = _head(spark, d)
+    return head.select("ord", *[F.round(F.element_at("features", i), 6).alias(n) for n, i in (("norm", -2), ("signed", -1))])
 
 
 @query()
 def pca_features(spark, d):
-    return _head(spark, d).select("ord", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+    return _head(spark, d).select("ord", F.transform(F.slice("features", 1, 6), lambda x: F.round(x, 6)).alias("features"))
 
 
 @query()
@@ -561,15 +617,15 @@ def tile_inference_standin(spark, d):
 
 
 @query(
-    "SELECT cell, place::INT AS place, token::INT AS token, ord FROM (SELECT ord % 3 AS cell, ord + 4 AS token, ord, row_number() OVER (PARTITION BY ord % 3 ORDER BY round(raw_score * ln(1 + 1000.0 / (ord % 17 + 1)), 6) DESC, ord) - 1 AS place FROM con) WHERE place < 50",
+    "SELECT cell, place::INT AS place, token::INT AS token, ord FROM (SELECT ord % 3 AS cell, ord + 4 AS token, ord, row_number() OVER (PARTITION BY ord % 3 ORDER BY round(raw_score * ln(1 + 1000.0 / (ord % 17 + 1)), 6) DESC, ord) - 1 AS place FROM con) WHERE place < 8190",
     X.CONTRACT_SQL,
 )
 def sentence_topk(spark, d):
     con = X.contract(spark, d)
     weights = con.select((F.col("ord") % 3).alias("cell"), F.col("ord").alias("row"), F.col("raw_score").alias("value"))
     frequency = con.select(F.col("ord").alias("row"), (F.col("ord") % 17 + 1).alias("n_docs"), F.lit(1000.0).alias("n_total"))
-    tokens = prepare.sentences(weights, frequency, most=50)
-    return align.tokens_to_regions(tokens, con.select(F.col("ord").alias("row"), "ord"), most=50).select("cell", "place", "token", "ord")
+    tokens = prepare.sentences(weights, frequency)
+    return align.tokens_to_regions(tokens, con.select(F.col("ord").alias("row"), "ord")).select("cell", "place", "token", "ord")
 
 
 @query("SELECT ord FROM (SELECT ord, confound, quantile_cont(confound, 0.9) OVER (PARTITION BY chrom) AS cut FROM con WHERE confound IS NOT NULL) WHERE confound >= cut", X.CONTRACT_SQL)
@@ -586,3 +642,91 @@ def vocabulary_regions(spark, d):
 @query("SELECT ord FROM con WHERE direction IS NOT NULL AND direction <> 0 AND abs(direction) >= 0.05", X.CONTRACT_SQL)
 def trusted_directions(spark, d):
     return nominate.trusted_direction(X.contract(spark, d)).where("direction_trusted and direction <> 0").select("ord")
+
+
+# --- sources and sinks: written to the scratch folder and read back ------------------------------------------------
+
+
+@query(
+    "SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, chrom, start_pos, end_pos, round(greatest(0, least(1, driver_score)), 4) AS driver_score, CASE WHEN direction IS NOT NULL THEN round(greatest(-1, least(1, direction)), 4) END AS direction FROM con",
+    X.CONTRACT_SQL,
+)
+def contract_round_trip(spark, d):
+    path = X.scratch(spark, "weights.tsv")
+    writers.contract(X.contract(spark, d), path)
+    return readers.contract(spark, path)
+
+
+@query(
+    "SELECT chrom, start_pos, end_pos, rn::INT AS rank, round(driver_score, 4) AS nomination_score, round(direction, 4) AS direction FROM (SELECT *, row_number() OVER (ORDER BY driver_score DESC, ord) AS rn, count(*) OVER () AS n FROM con) WHERE rn <= greatest(1, ceil(n * 0.01::DOUBLE))",
+    X.CONTRACT_SQL,
+)
+def bundle_round_trip(spark, d):
+    """The nominations of a bundle, read back from its folder."""
+    con, path = X.contract(spark, d).cache(), X.scratch(spark, "bundle")
+    rows, block = nominate.nominated(con, ADMIT, MODEL)
+    writers.bundle(path, {"nomination": block}, con, rows)
+    return readers.nominations(spark, f"{path}/nominations.tsv")
+
+
+def _state_round_trip(spark, d, name):
+    path = X.scratch(spark, name)
+    writers.artifact(X.states(spark, d)[0], path, model="m", cell_state="a", assembly="hg38", source="embeddings")
+    state, meta = readers.artifact(spark, path)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return state.select("chrom", "start_pos", "end_pos", F.round(norm, 4).alias("norm"), F.round(F.col("signal").cast("double"), 5).alias("signal"), F.lit(meta["dim"]).alias("dim"))
+
+
+STATE_ROWS = "SELECT chrom, start_pos, end_pos, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm, round(signal::FLOAT::DOUBLE, 5) AS signal, len(embedding) AS dim FROM a"
+
+
+@query(STATE_ROWS, X.STATES_SQL)
+def artifact_round_trip(spark, d):
+    return _state_round_trip(spark, d, "state")
+
+
+@query(STATE_ROWS, X.STATES_SQL)
+def archive_round_trip(spark, d):
+    return _state_round_trip(spark, d, "state.npz")
+
+
+@query("SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, chrom, start_pos, end_pos, gene FROM anchors", X.INTERVALS_SQL)
+def bed_read(spark, d):
+    """Named intervals from a text file with a comment, a blank line and rows that lack a name."""
+    path = X.scratch(spark, "anchors.bed")
+    rows = X.intervals(spark, d)[1].select("ord", F.concat_ws("\t", "chrom", "start_pos", "end_pos", "gene").alias("line"))
+    X.write_lines(rows, path, ["# anchors", ""])
+    return readers.bed(spark, path).withColumn("ord", F.col("ord") - 2)
+
+
+@query("SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, chrom, start_pos, end_pos, round(value, 6) AS value FROM regions", X.INTERVALS_SQL)
+def track_read(spark, d):
+    path = X.scratch(spark, "track.tsv")
+    rows = X.intervals(spark, d)[0].select("ord", F.concat_ws("\t", "chrom", "start_pos", "end_pos", "value").alias("line"))
+    X.write_lines(rows, path, ["chrom\tstart\tend\tvalue"])
+    return readers.track(spark, path).select((F.col("ord") - 1).alias("ord"), "chrom", "start_pos", "end_pos", _r("value").alias("value"))
+
+
+@query("SELECT sample, is_a, count(*) AS n, round(sum(value), 2) AS total FROM contrast GROUP BY ALL", X.CONTRAST_SQL)
+def replicates_read(spark, d):
+    path = X.scratch(spark, "matrix.tsv")
+    table, samples = gates.wide(X.contrast(spark, d), list(range(6)))
+    X.write_lines(table.select("ord", F.concat_ws("\t", F.concat(F.lit("r"), "ord"), *[f"s{i}" for i in range(6)]).alias("line")), path, ["id\t" + "\t".join(f"{'ab'[i > 2]}{i}" for i in range(6))])
+    return readers.replicates(spark, path, "a", "b").groupBy("sample", "is_a").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("SELECT r.ord, r.chrom, r.start_pos, r.end_pos FROM regions r WHERE r.chrom <> 'click' AND EXISTS (SELECT 1 FROM anchors x WHERE x.chrom = r.chrom AND r.start_pos < x.end_pos AND r.end_pos > x.start_pos)", X.INTERVALS_SQL)
+def hits_scan(spark, d):
+    """Hits of some chromosomes, from a table partitioned by them."""
+    path = X.scratch(spark, "hits")
+    regions, anchors = X.intervals(spark, d)
+    writers.hits(regions, path)
+    return readers.hits(spark, path, anchors.where("chrom <> 'click'")).select(*REGION)
+
+
+@query("SELECT sample AS cell, ord, round(value, 2) AS value FROM contrast WHERE sample = 4", X.CONTRAST_SQL)
+def state_matrix_scan(spark, d):
+    """One cell of a matrix that is stored by cell."""
+    path = X.scratch(spark, "cells")
+    writers.state_matrix(X.contrast(spark, d).select(F.col("sample").alias("cell"), "ord", "value"), path)
+    return readers.state_matrix(spark, path, 4).select("cell", "ord", _r("value", 2).alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_ROWS = 200_000
@@ -183,6 +183,22 @@ def projected(df: DataFrame, mean: np.ndarray, axes: np.ndarray, sd: np.ndarray,
     return df.withColumn("_centred", centred).withColumn(name, F.array(*[part(j) for j in range(axes.shape[1])])).drop("_centred")
 
 
+def standardised_columns(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds each column less its mean, over its population deviation (1 if that is 0)."""
+    own = df.withColumns(columns)
+    stats = own.agg(*[f(k).alias(f"_{k}_{n}") for k in columns for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    scaled = {k: (F.col(k) - F.col(f"_{k}_mean")) / F.coalesce(F.nullif(F.col(f"_{k}_sd"), F.lit(0.0)), F.lit(1.0)) for k in columns}
+    return own.join(F.broadcast(stats)).withColumns(scaled).select(*own.columns)
+
+
+def head_features(df: DataFrame, k: int, vector: str = "vector", signed: str = "signed", magnitude: bool = True) -> DataFrame:
+    """Adds ``features``: the components of the shift, its standardised L2 norm (unless without magnitude) and the
+    standardised signed value; scaling the components takes the size of a shift away, and the norm brings it back."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
+    own = standardised_columns(projected(df, *principal_axes(df, k, vector), vector=vector), _norm=norm, _signed=F.col(signed))
+    return own.withColumn("features", F.concat("pca", F.array(*["_norm"] * magnitude, "_signed"))).drop("pca", "_norm", "_signed")
+
+
 def leave_one_gene_out(sample: DataFrame, n_most: int = MOST_ROWS, seed: int = 0, ridge: float = 1.0) -> DataFrame:
     """ord, label, score: each gene's positives, and a random fold of the negatives, scored by a head fitted without them.
 

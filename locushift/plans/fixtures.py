@@ -6,6 +6,12 @@ both, and intervals with named anchors from ``events``.
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share; in local runs, a temporary one."""
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="locushift-scratch-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    folder = os.path.join(found.removeprefix("file://").removeprefix("file:"), f"scratch-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    return os.path.join(folder, name)
+
+
+def write_lines(rows: DataFrame, path: str, header: list[str]) -> None:
+    """One text file of ``header`` and the column ``line`` in ord, streamed partition by partition."""
+    with open(path, "w") as f:
+        f.writelines(f"{x}\n" for x in header)
+        f.writelines(f"{r['line']}\n" for r in rows.orderBy("ord").toLocalIterator(prefetchPartitions=True))
+
+
 def _state(e: DataFrame, own) -> DataFrame:
     k = F.floor(F.col("vec_id") / 2)
     return e.where(own).select(
