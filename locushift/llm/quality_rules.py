@@ -73,8 +73,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.when(F.col("lang").isNull(), "-").otherwise(F.concat(F.lit("+"), "lang")))
 
 
-def references(docs: DataFrame, n_common: int = COMMON) -> DataFrame:
-    """Per key: class shares, the commonest words and their shares (the rest as the last share)."""
+def references(docs: DataFrame, n_common: int = COMMON, few: bool = False) -> DataFrame:
+    """Per key: class shares, the commonest words and their shares (the rest as the last share). few: so are the keys."""
     base = keyed(docs.select("lang", "text").where(F.col("text").isNotNull()))
     rest = base.select("_key", F.length("text").alias("n"), F.regexp_replace("text", r"\p{Ll}+", "").alias("rest"))
     left = lambda pattern: F.length("rest") - F.length(F.regexp_replace("rest", pattern, ""))
@@ -82,14 +82,18 @@ def references(docs: DataFrame, n_common: int = COMMON) -> DataFrame:
     classes = classes.groupBy("_key").agg(*[F.sum(c).alias(c) for c in ("lower", "upper", "digit", "space", "n")])
     mark = F.col("n") - F.col("lower") - F.col("upper") - F.col("digit") - F.col("space")
     classes = classes.select("_key", F.transform(F.array("lower", "upper", "digit", "space", mark), lambda x: x / F.greatest(F.col("n"), F.lit(1))).alias("_classes"))
-    # Words are counted as written, and their few distinct forms folded to lower case afterwards.
-    raw = base.select("_key", F.explode(F.split("text", SPACE)).alias("word")).where(F.col("word") != "")
-    counts = raw.groupBy("_key", "word").agg(F.count(F.lit(1)).alias("k")).groupBy("_key", F.lower("word").alias("word")).agg(F.sum("k").alias("k"))
-    ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("_key").orderBy(F.desc("k"), "word")))
-    top = ranked.groupBy("_key").agg(
-        F.sum("k").alias("total"),
-        F.sort_array(F.collect_list(F.when(F.col("rank") <= n_common, F.struct("rank", "word", "k")))).alias("top"),
-    )
+    words_ = base.select("_key", F.explode(F.split(F.lower("text"), SPACE)).alias("word")).where(F.col("word") != "")
+    counts = words_.groupBy("_key", "word").agg(F.count(F.lit(1)).alias("k")).withColumn("digits", F.length(F.bin("k")))
+    # How many words have counts of so many binary digits tells, in a few rows, which words are out of question; what
+    # is left is cut in salted parts first, as many words may have one count.
+    sizes = counts.groupBy("_key", "digits").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+    larger = F.sum("n").over(W.partitionBy("_key").orderBy(F.desc("digits")))
+    bounds = sizes.withColumn("larger", larger).groupBy("_key").agg(F.sum("k").alias("total"), F.coalesce(F.max(F.when(F.col("larger") >= n_common, F.col("digits"))), F.lit(0)).alias("least"))
+    order = [F.desc("k"), "word"]
+    ranked = counts.join(F.broadcast(bounds) if few else bounds, "_key").where("digits >= least").withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(64)))
+    for parts in (["_key", "salt"], ["_key"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy(*parts).orderBy(*order))).where(F.col("rank") <= n_common)
+    top = ranked.groupBy("_key").agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("rank", "word", "k"))).alias("top"))
     shares = F.transform(F.col("top.k"), lambda k: k / F.col("total"))
     other = (F.col("total") - F.aggregate(F.col("top.k"), F.lit(0).cast("long"), lambda a, k: a + k)) / F.col("total")
     top = top.select("_key", F.col("top.word").alias("_common"), F.concat(shares, F.array_repeat(F.lit(0.0), n_common - F.size("top")), F.array(other)).alias("_shares"))
@@ -119,8 +123,9 @@ def judged(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, min_c
     Each language's reference comes to its documents by broadcast if there are at most ``SMALL`` languages, else by a
     shuffle on the language, whose large partitions Spark splits.
     """
-    step, found = keyed(docs), references(docs, n_common)
+    step = keyed(docs)
     few = step.select("_key").distinct().limit(SMALL + 1).count() <= SMALL
+    found = references(docs, n_common, few)
     step = step.join(F.broadcast(found) if few else found.hint("merge"), "_key", "left")
     step = measured(step)
     # Two spaces between words, so that each has its own on both sides.
