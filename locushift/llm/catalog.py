@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe_codec, html_extract, mix_sources, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, url_filter, weighted_fingerprint
+from . import bpe_codec, byte_bpe, dual_tree_kmeans, html_extract, mix_sources, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, url_filter, weighted_fingerprint
 from .common import table
 from .oracles import ORACLES
 
@@ -55,6 +55,16 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_weighted_fingerprints, op2_simhash_dedup, op3_quality_classifier, op4_quality_rules, op5_url_filters, op6_mix_sources, op7_bpe_codec, op8_substring_dedup, op9_html_extract, op10_suffix_dedup)}
+def op11_dual_tree_clusters(spark, sf_dir):
+    return dual_tree_kmeans.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark, sf_dir):
+    from public_tokenizers import PATTERN
+
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), PATTERN, with_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_weighted_fingerprints, op2_simhash_dedup, op3_quality_classifier, op4_quality_rules, op5_url_filters, op6_mix_sources, op7_bpe_codec, op8_substring_dedup, op9_html_extract, op10_suffix_dedup, op11_dual_tree_clusters, op12_byte_bpe)}
 
 __all__ = ["ORACLES", "QUERIES"]

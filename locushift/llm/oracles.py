@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mix_sources
+from . import dual_tree_kmeans, mix_sources
 from .url_filter import RULES
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce({t}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -106,4 +106,4 @@ SELECT page_id, u.host, path, rule, coalesce(found, CASE WHEN purity > 0.6 THEN
 FROM u JOIN t ON t.host = u.host AND t.seg = u.seg JOIN rated ON rated.host = t.host AND rated.template = t.template
 """
 
-ORACLES = {"op4_quality_rules": QUALITY, "op5_url_filters": URLS, "op6_mix_sources": mix_sources.REPORT_SQL, "op8_substring_dedup": SUBSTRING}
+ORACLES = {"op4_quality_rules": QUALITY, "op5_url_filters": URLS, "op6_mix_sources": mix_sources.REPORT_SQL, "op8_substring_dedup": SUBSTRING, "op11_dual_tree_clusters": dual_tree_kmeans.report_sql()}
