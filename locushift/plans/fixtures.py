@@ -22,8 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share; in local runs, a temporary one."""
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder that driver and executors share, spark.checkpoint.dir; in local runs without one, a
+    temporary folder. Spark's writers make it."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -31,7 +32,12 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="locushift-scratch-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
-    folder = os.path.join(found.removeprefix("file://").removeprefix("file:"), f"scratch-{uuid.uuid4().hex}")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh local path for the files that the driver writes."""
+    folder = shared_folder(spark, "scratch").removeprefix("file://").removeprefix("file:")
     os.makedirs(folder)
     return os.path.join(folder, name)
 
