@@ -161,7 +161,8 @@ class Scorer:
 
 
 def learned(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_bytes: int = 64_000_000) -> np.ndarray:
-    """The folded weights, trained by one task on the bounded sample. Texts become features as they arrive."""
+    """The folded weights, trained by one task on the bounded sample. Texts become features as they arrive; one that would
+    take the sample over ``most_bytes`` is left out, and those after it are still taken."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"), F.max("quality").cast("int").alias("other"))
     sample = known.where("label = other").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).select("doc_id", "label")
     # At most ``most_labelled`` ids and labels are broadcast, so the texts of other documents are not moved.
@@ -173,8 +174,8 @@ def learned(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_
         for whole in batches:
             for batch in slices(whole):
                 for text, label in zip(texts_of(batch.column("text")), batch.column("label").to_pylist(), strict=True):
-                    held += len(text)
-                    if held <= most_bytes:
+                    if held + len(text) <= most_bytes:
+                        held += len(text)
                         rows.append(averaged(text))
                         labels.append(label)
         yield pa.RecordBatch.from_arrays([pa.array([folded(*train(rows, labels)).astype("<f4").tobytes()], pa.binary())], names=["weights"])
