@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dual_tree_kmeans, mix_sources
+from . import dual_tree_kmeans, mix_sources, quality_rules
 from .url_filter import RULES
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce({t}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -22,7 +22,8 @@ WITH base AS (
          list_transform(w, lambda x: lower(x)) AS sh FROM base
 ), c AS (
   SELECT *, length(t) AS n, length(t) - length(rest) AS lo, length(rest) - length(regexp_replace(rest, '\p{Lu}+', '', 'g')) AS up,
-         length(rest) - length(regexp_replace(rest, '\p{Nd}+', '', 'g')) AS di, length(rest) - length(regexp_replace(rest, '[\x20\x09-\x0D]+', '', 'g')) AS sp FROM m
+         length(rest) - length(regexp_replace(rest, '\p{Nd}+', '', 'g')) AS di, length(rest) - length(regexp_replace(rest, '[\x20\x09-\x0D]+', '', 'g')) AS sp,
+         length(rest) - length(regexp_replace(rest, 'OTHERLETTERS', '', 'g')) AS ot FROM m
 ), win AS (
   SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM m)
 ), twice AS (
@@ -30,26 +31,31 @@ WITH base AS (
 ), rep AS (
   SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid
 ), rc AS (
-  SELECT key, list_transform([sum(lo), sum(up), sum(di), sum(sp), sum(n) - sum(lo) - sum(up) - sum(di) - sum(sp)], lambda x: x::DOUBLE / greatest(sum(n), 1)) AS classes FROM c WHERE has GROUP BY key
+  SELECT key, list_transform([sum(lo), sum(up), sum(di), sum(sp), sum(n) - sum(lo) - sum(up) - sum(di) - sum(sp)], lambda x: x::DOUBLE / greatest(sum(n), 1)) AS classes, sum(n) AS chars FROM c WHERE has GROUP BY key
+), pool AS (
+  SELECT list_transform([sum(lo) + sum(up) + sum(ot), sum(di), sum(n) - sum(lo) - sum(up) - sum(ot) - sum(di) - sum(sp)], lambda x: x::DOUBLE / greatest(sum(n) - sum(sp), 1)) AS pool FROM c WHERE has
 ), sw AS (
   SELECT key, lower(x) AS word, count(*) AS k FROM (SELECT key, unnest(w) AS x FROM base) GROUP BY ALL
 ), rk AS (
   SELECT *, row_number() OVER (PARTITION BY key ORDER BY k DESC, word) AS rn, sum(k) OVER (PARTITION BY key) AS total FROM sw
 ), ref AS (
   SELECT key, list(word ORDER BY rn) FILTER (rn <= 31) AS common,
-         list_append(list(k::DOUBLE / total ORDER BY rn) FILTER (rn <= 31), (max(total) - sum(k) FILTER (rn <= 31))::DOUBLE / max(total)) AS shares FROM rk GROUP BY key
+         list_append(list(k::DOUBLE / total ORDER BY rn) FILTER (rn <= 31), (max(total) - sum(k) FILTER (rn <= 31))::DOUBLE / max(total)) AS shares, max(total) AS total FROM rk GROUP BY key
 ), h AS (
-  SELECT c.*, rc.classes, ref.shares, list_transform(common, lambda v: len(list_filter(sh, lambda x: x = v))) AS hits FROM c LEFT JOIN rc USING (key) LEFT JOIN ref USING (key)
+  SELECT c.*, rc.classes, ref.shares, pool, coalesce(total >= MINWORDS AND LEASTPARTS * len(w) <= total AND LEASTPARTS * n <= chars, false) AS enough,
+         list_transform(common, lambda v: len(list_filter(sh, lambda x: x = v))) AS hits FROM c LEFT JOIN rc USING (key) LEFT JOIN ref USING (key), pool
 ), v AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, (n - sp)::BIGINT AS word_chars, length(regexp_replace(rest, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         CASE WHEN n >= 200 THEN JSCLASS END AS class_js, CASE WHEN len(sh) >= 25 THEN JSWORD END AS word_js
+         CASE WHEN n >= 200 THEN CASE WHEN enough THEN JSCLASS ELSE JSPOOL END END AS class_js, CASE WHEN enough AND len(sh) >= 25 THEN JSWORD END AS word_js
   FROM h LEFT JOIN rep USING (rid)
 ), f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(class_js, 0) <= 0.3 AND coalesce(word_js, 0) <= 0.45 AS kept, round(class_js, 6) AS class_js, round(word_js, 6) AS word_js FROM f
 """.replace("WORDSQL", WORDS.format(t="text"))
     .replace("JSCLASS", _js("list_transform([lo, up, di, sp, n - lo - up - di - sp], lambda x: x::DOUBLE / greatest(n, 1))", "classes"))
+    .replace("JSPOOL", _js("list_transform([lo + up + ot, di, n - lo - up - ot - di - sp], lambda x: x::DOUBLE / greatest(n - sp, 1))", "pool"))
+    .replace("OTHERLETTERS", quality_rules.OTHER_LETTERS).replace("LEASTPARTS", str(quality_rules.LEAST_PARTS)).replace("MINWORDS", str(quality_rules.MIN_REFERENCE))
     .replace("JSWORD", _js("list_transform(list_append(hits, len(sh) - list_sum(hits)), lambda x: x::DOUBLE / greatest(len(sh), 1))", "shares"))
 )
 

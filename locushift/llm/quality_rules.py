@@ -4,6 +4,9 @@ For each language the corpus itself is the reference: the share of characters by
 digits, white space, marks) and the shares of the language's commonest words, all others as one share, both over all
 documents. A document is kept while its own histograms stay within the limits of Jensen-Shannon distance (base 2, 0
 to 1) from its language's; a histogram is judged only from ``min_chars`` characters or ``min_judged`` words on.
+A language of fewer than ``min_reference`` words is no reference, nor is one for a document that is more than one part
+in ``least_parts`` of it, as that would be judged against itself: such a document has no word distance, and its classes
+(letters of any kind, digits, marks, so that no script is at a disadvantage) are held against those of the whole corpus.
 
 Defined results: a null text has no words and fails the base rule (fewer than 20 words); a null
 ``lang`` is a language of its own; equal rows give equal results; an empty table gives an empty result; extra
@@ -21,6 +24,10 @@ from .common import SPACE, let, packed, where_once, words
 COMMON = 31  # words of a reference
 WORD_LIMIT = 0.45
 WINDOW = 8
+#: A language is a reference from so many words on, for documents that are at most one part in LEAST_PARTS of it.
+MIN_REFERENCE, LEAST_PARTS = 300, 3
+#: Letters that are neither lower nor upper case, and the marks that belong to letters.
+OTHER_LETTERS = r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]+"
 #: So many languages' references (2 KB each) are broadcast.
 SMALL = 4096
 
@@ -73,15 +80,28 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.when(F.col("lang").isNull(), "-").otherwise(F.concat(F.lit("+"), "lang")))
 
 
+def letters_digits_marks(lower: Column, upper: Column, digit: Column, space: Column, other: Column, n: Column) -> Column:
+    """Counts of three classes from those of characters; white space is none of them."""
+    letters = lower + upper + other
+    return F.array(letters, digit, n - letters - digit - space)
+
+
+def shares_of(counts: Column) -> Column:
+    return let(counts, lambda c: F.transform(c, lambda x: x / F.greatest(F.aggregate(c, F.lit(0).cast("long"), lambda a, k: a + k), F.lit(1))))
+
+
 def references(docs: DataFrame, n_common: int = COMMON, few: bool = False) -> DataFrame:
-    """Per key: class shares, the commonest words and their shares (the rest as the last share). few: so are the keys."""
+    """Per key: class shares, the commonest words and their shares (the rest as the last share), its characters and words,
+    and the corpus's shares of letters, digits and marks. few: so are the keys."""
     base = keyed(docs.select("lang", "text").where(F.col("text").isNotNull()))
     rest = base.select("_key", F.length("text").alias("n"), F.regexp_replace("text", r"\p{Ll}+", "").alias("rest"))
     left = lambda pattern: F.length("rest") - F.length(F.regexp_replace("rest", pattern, ""))
-    classes = rest.select("_key", (F.col("n") - F.length("rest")).alias("lower"), left(r"\p{Lu}+").alias("upper"), left(r"\p{Nd}+").alias("digit"), left(r"[\x20\x09-\x0D]+").alias("space"), "n")
-    classes = classes.groupBy("_key").agg(*[F.sum(c).alias(c) for c in ("lower", "upper", "digit", "space", "n")])
+    names = ("lower", "upper", "digit", "space", "other", "n")
+    classes = rest.select("_key", (F.col("n") - F.length("rest")).alias("lower"), left(r"\p{Lu}+").alias("upper"), left(r"\p{Nd}+").alias("digit"), left(r"[\x20\x09-\x0D]+").alias("space"), left(OTHER_LETTERS).alias("other"), "n")
+    classes = classes.groupBy("_key").agg(*[F.sum(c).alias(c) for c in names])
+    pool = classes.agg(*[F.sum(c).alias(c) for c in names]).select(shares_of(letters_digits_marks(*[F.col(c) for c in names])).alias("_pool"))
     mark = F.col("n") - F.col("lower") - F.col("upper") - F.col("digit") - F.col("space")
-    classes = classes.select("_key", F.transform(F.array("lower", "upper", "digit", "space", mark), lambda x: x / F.greatest(F.col("n"), F.lit(1))).alias("_classes"))
+    classes = classes.select("_key", F.col("n").alias("_ref_chars"), F.transform(F.array("lower", "upper", "digit", "space", mark), lambda x: x / F.greatest(F.col("n"), F.lit(1))).alias("_classes"))
     words_ = base.select("_key", F.explode(F.split(F.lower("text"), SPACE)).alias("word")).where(F.col("word") != "")
     counts = words_.groupBy("_key", "word").agg(F.count(F.lit(1)).alias("k")).withColumn("digits", F.length(F.bin("k")))
     # How many words have counts of so many binary digits tells, in a few rows, which words are out of question; what
@@ -96,8 +116,9 @@ def references(docs: DataFrame, n_common: int = COMMON, few: bool = False) -> Da
     top = ranked.groupBy("_key").agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("rank", "word", "k"))).alias("top"))
     shares = F.transform(F.col("top.k"), lambda k: k / F.col("total"))
     other = (F.col("total") - F.aggregate(F.col("top.k"), F.lit(0).cast("long"), lambda a, k: a + k)) / F.col("total")
-    top = top.select("_key", F.col("top.word").alias("_common"), F.concat(shares, F.array_repeat(F.lit(0.0), n_common - F.size("top")), F.array(other)).alias("_shares"))
-    return classes.join(top, "_key", "left").select("_key", "_classes", F.coalesce("_common", F.array().cast("array<string>")).alias("_common"), F.coalesce("_shares", F.array().cast("array<double>")).alias("_shares"))
+    top = top.select("_key", "total", F.col("top.word").alias("_common"), F.concat(shares, F.array_repeat(F.lit(0.0), n_common - F.size("top")), F.array(other)).alias("_shares"))
+    found = classes.join(top, "_key", "left").select("_key", "_classes", "_ref_chars", F.col("total").alias("_ref_words"), F.coalesce("_common", F.array().cast("array<string>")).alias("_common"), F.coalesce("_shares", F.array().cast("array<double>")).alias("_shares"))
+    return found.crossJoin(F.broadcast(pool))  # one row
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -117,7 +138,7 @@ def times_of(common: Column, spaced: Column, n_common: int) -> Column:
     return F.array(*[times(i) for i in range(n_common)])
 
 
-def judged(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, min_chars: int = 200, min_judged: int = 25, class_limit: float = 0.3, word_limit: float = WORD_LIMIT, n_common: int = COMMON) -> DataFrame:
+def judged(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, min_chars: int = 200, min_judged: int = 25, class_limit: float = 0.3, word_limit: float = WORD_LIMIT, n_common: int = COMMON, min_reference: int = MIN_REFERENCE, least_parts: int = LEAST_PARTS) -> DataFrame:
     """The documents with struct ``_v``: base counts, base_failed, both distances (null: too short) and kept.
 
     Each language's reference comes to its documents by broadcast if there are at most ``SMALL`` languages, else by a
@@ -135,8 +156,14 @@ def judged(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, min_c
     other = F.col("_q.n_words") - F.aggregate("_times", F.lit(0.0), lambda a, x: a + x)
     step = step.withColumn("_hist", F.transform(F.concat("_times", F.array(other)), lambda x: x / n_words))
     classes = F.transform("_q.classes", lambda x: x / F.greatest(F.col("_q.n_chars"), F.lit(1)))
-    step = step.withColumn("_class_js", F.when(F.col("_q.n_chars") >= min_chars, js_distance(classes, F.col("_classes"))))
-    step = step.withColumn("_word_js", F.when((F.col("_q.n_words") >= min_judged) & (F.size("_shares") > 0), js_distance(F.col("_hist"), F.col("_shares"))))
+    enough = (F.col("_ref_words") >= min_reference) & (least_parts * F.col("_q.n_words") <= F.col("_ref_words")) & (least_parts * F.col("_q.n_chars") <= F.col("_ref_chars"))
+    enough = F.coalesce(enough, F.lit(False))
+    # Only for the few documents without a reference are their other letters counted.
+    other = F.length("_text") - F.length(F.regexp_replace("_text", OTHER_LETTERS, ""))
+    pooled = shares_of(letters_digits_marks(*[F.get("_q.classes", F.lit(i)) for i in range(4)], other, F.col("_q.n_chars")))
+    class_js = F.when(enough, js_distance(classes, F.col("_classes"))).otherwise(js_distance(pooled, F.col("_pool")))
+    step = step.withColumn("_class_js", F.when(F.col("_q.n_chars") >= min_chars, class_js))
+    step = step.withColumn("_word_js", F.when(enough & (F.col("_q.n_words") >= min_judged) & (F.size("_shares") > 0), js_distance(F.col("_hist"), F.col("_shares"))))
     failed = (F.col("_q.n_words") < min_words) | (100 * F.col("_q.n_repeat_words") > repeat_percent * F.col("_q.n_words"))
     passed = (F.coalesce(F.col("_class_js"), F.lit(0.0)) <= class_limit) & (F.coalesce(F.col("_word_js"), F.lit(0.0)) <= word_limit)
     counts = [F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
