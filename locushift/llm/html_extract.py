@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from .bpe_codec import slices, texts_of
 from .common import small_batches
 
-#: HTML's void elements, raw-text elements, and elements that stay within a line of text.
+#: HTML's void elements, elements whose content is never text of the page, those with markup of their own, and
+#: elements that stay within a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
+RAW = frozenset("script style template textarea select title".split())
+FOREIGN_MARKUP = ("math", "svg")
+INLINE = frozenset("a abbr audio canvas iframe math noscript object svg video acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 #: Elements that end an open paragraph, and elements that end an open one of their own kind.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_OWN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -328,7 +330,9 @@ def tokens(page: str, model: Model) -> Iterator[tuple[float, int, str, float]]:
             yield max((place + by_size[size_of(n)] if open_.stack else place) * n, FOREIGN), block, text, place
         elif value == "br":
             yield 0.0, block, " ", 0.0
-        elif value not in INLINE:
+        elif value in RAW:  # what it holds is left out, but the text around it goes on
+            yield model.tags.get(value, -0.3), block, "", 0.0
+        elif value not in INLINE and open_.last(*FOREIGN_MARKUP) < 0:
             block += 1
             yield model.tags.get(value, -0.3), block, "", 0.0
 

@@ -469,3 +469,65 @@ def test_quality_judges_long_words_and_tells_null_from_names(spark):
     found = {r.doc_id: r for r in quality_rules.report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(r.word_js is not None for r in found.values())
     assert [d for d, r in found.items() if r.kept != (d < 200)] == []
+
+
+def test_quality_does_not_judge_a_document_against_itself(spark):
+    """The verdict on junk is the same in a large language, alone in one, and as most of one; clean texts of small languages stay."""
+    import random
+
+    from locushift.llm import quality_rules
+
+    rng = random.Random(8)
+    clean = lambda a: " ".join(rng.choice((f"The{a}", f"of{a}", f"and{a}", f"words{a}.", rng.choice("bcdfgh") * rng.randint(3, 7))) for _ in range(150))
+    junk = " ".join(str(rng.randint(0, 10**6)) + rng.choice("#$%|") for _ in range(400))
+    cjk = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(600))
+    spread = " ".join(cjk[i : i + 12] for i in range(0, 600, 12))
+    rows = [(2000 + i, clean("e"), "en") for i in range(300)] + [(100, junk, "en"), (101, junk, "xx"), (102, junk, None), (103, junk, "yy"), (104, "short text " * 5, "yy")]
+    rows += [(1000, clean("q"), "tiny"), (1001, clean("r"), "other"), (1002, spread, "zh"), (1003, None, "none")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in quality_rules.report(frame).collect()}
+    assert not any(found[i].kept for i in (100, 101, 102, 103))
+    assert all(found[i].kept and found[i].word_js is None for i in (1000, 1001, 1002)) and all(found[2000 + i].kept for i in range(300))
+
+
+def test_quality_sql_has_the_same_fallback(spark):
+    import duckdb
+
+    from locushift.llm import oracles, quality_rules
+
+    rows = [(i, f"Clean words of number {i} in a text that goes on and on, {'and on ' * 20} ünd ªso wéiter {i}", "en") for i in range(30)]
+    rows += [(50, "12345 #### " * 60, "xx"), (51, "漢字かな " * 90, "zh"), (52, None, "n"), (53, "", "n"), (54, " ".join(f"w{i}" for i in range(400)), "own")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    con = duckdb.connect()
+    documents = frame.toPandas()  # noqa: F841
+    want = con.execute(oracles.QUALITY).fetchall()
+    columns = [c[0] for c in con.description]
+    got = [tuple(r[c] for c in columns) for r in quality_rules.report(frame).collect()]
+    plain = lambda rs: sorted([tuple(None if isinstance(x, float) and x != x else x for x in r) for r in rs], key=str)
+    assert plain(got) == plain(want)
+
+
+def test_classifier_leaves_out_only_the_text_that_is_too_long(spark):
+    from locushift.llm import quality_classifier as q
+
+    docs = [(i, ("good plain words here " if i % 2 else "$$ 99 xx !! ") * 12) for i in range(60)] + [(100 + i, "long " * 40_000) for i in range(6)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100 + i, 1) for i in range(6)], "doc_id long, quality int")
+    assert (q.learned(frame, labels, most_bytes=100_000) != 0).any() and (q.learned(frame, labels, most_bytes=10) == 0).all()
+    scores = {r.doc_id: r.score for r in q.report(frame, labels).collect()}
+    assert all(0 <= s <= 1 for s in scores.values())
+
+
+def test_html_keeps_formulas_and_fallbacks_within_their_block():
+    from locushift.llm.html_extract import extract
+
+    page = "<html><body><nav><a href='/'>Home</a></nav><article>{}</article><footer>Imprint</footer></body></html>"
+    long = "The article tells how the work of that time was done by many people, and what came of it in the first year."
+    for inner, want in (
+        ("<p>{} Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> as known</p>", "{} Energy is E=m as known"),
+        ("<p>{} Next <noscript>shown</noscript> one</p>", "{} Next shown one"),
+        ("<p>{} before<script>var t = '</p>';</script> and after</p>", "{} before and after"),
+        ("<p>{} a<style>p{{margin:0}}</style>b</p>", "{} ab"),
+        ("<p>{} see <object data='x'>a picture</object> <video>a film</video> <svg><title>no</title><text>drawn</text></svg> there</p>", "{} see a picture a film drawn there"),
+    ):
+        assert extract(page.format(inner.format(long))) == want.format(long)
