@@ -103,35 +103,44 @@ class Merges:
 
     def __init__(self, tokens: dict[bytes, int]):
         self.first = [tokens[bytes([b])] for b in range(256)]
-        self.pairs: dict[int, int] = {}  # by left id << 32 | right id
+        self.bits = max(tokens.values()).bit_length()
+        self.pairs: dict[int, int] = {}  # by left id << bits | right id
         for token, rank in tokens.items():
             for i in range(1, len(token)):
                 if (left := tokens.get(token[:i])) is not None and (right := tokens.get(token[i:])) is not None:
-                    self.pairs[left << 32 | right] = rank
+                    self.pairs[left << self.bits | right] = rank
 
     def ids(self, data: bytes) -> list[int]:
-        """A heap entry is rank << 32 | place, so that equal ranks come out from the left."""
-        rank_of = self.pairs.get
+        """A heap entry is the rank and, in its low bits, the place, so that equal ranks come out from the left. ``live``
+        has the rank of the pair that starts at each place now; entries of another rank are of pairs that are gone."""
+        rank_of, bits, push, pop = self.pairs.get, self.bits, heapq.heappush, heapq.heappop
         ids = list(map(self.first.__getitem__, data))
         n = len(ids)
+        low = n.bit_length()
+        mask = (1 << low) - 1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r << 32 | i for i, r in enumerate([rank_of(a << 32 | b) for a, b in pairwise(ids)]) if r is not None]
+        live = [rank_of(a << bits | b, -1) for a, b in pairwise(ids)]
+        live.append(-1)
+        heap = [r << low | i for i, r in enumerate(live) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            entry = heapq.heappop(heap)
-            i = entry & 0xFFFFFFFF
+            entry = pop(heap)
+            i, rank = entry & mask, entry >> low
+            if live[i] != rank:
+                continue
             j = after[i]
-            if ids[i] < 0 or j >= n or rank_of(ids[i] << 32 | ids[j]) != entry >> 32:
-                continue  # one of the two has been merged meanwhile
-            rank = entry >> 32
-            ids[i], ids[j] = rank, -1
             after[i] = k = after[j]
+            ids[i], ids[j], live[i], live[j] = rank, -1, -1, -1
             if k < n:
                 before[k] = i
-                if (r := rank_of(rank << 32 | ids[k])) is not None:
-                    heapq.heappush(heap, r << 32 | i)
-            if (h := before[i]) >= 0 and (r := rank_of(ids[h] << 32 | rank)) is not None:
-                heapq.heappush(heap, r << 32 | h)
+                live[i] = r = rank_of(rank << bits | ids[k], -1)
+                if r >= 0:
+                    push(heap, r << low | i)
+            h = before[i]
+            if h >= 0:
+                live[h] = r = rank_of(ids[h] << bits | rank, -1)
+                if r >= 0:
+                    push(heap, r << low | h)
         return [x for x in ids if x >= 0]
 
 
@@ -194,10 +203,11 @@ class Codec:
         ids = dict(zip(wanted, self.encoded([w.encode() for w in wanted]), strict=True))
         for piece, own in zip(new, tokens, strict=True):
             found = list(chain.from_iterable(ids[t] for t in own))
-            self.pieces[piece] = ",".join(map(str, found)), len(found), self.decoded(found)
+            self.pieces[piece] = ",".join(map(str, found)), self.decoded(found)
         for own in cut:
             found = list(map(self.pieces.__getitem__, own))
-            yield ",".join([x[0] for x in found]), sum([x[1] for x in found]), b"".join([x[2] for x in found])
+            decimal = ",".join([x[0] for x in found])
+            yield decimal, decimal.count(",") + bool(decimal), b"".join([x[1] for x in found])
         for piece in new:
             if len(piece) > self.longest:
                 del self.pieces[piece]
