@@ -9,7 +9,7 @@ from .functions import columns as C
 from .operators import align, evaluate, gates, intervals, nominate, prepare, resample, score, stats
 from .operators.order import average_ranks, top_k
 from .plans import fixtures as X
-from .sources import readers, writers
+from .sources import readers, tabix, writers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -724,6 +724,16 @@ def hits_scan(spark, d):
     return readers.hits(spark, path, anchors.where("chrom <> 'click'")).select(*REGION)
 
 
+@query("SELECT r.ord, r.chrom, r.start_pos, r.end_pos, round(r.value, 6) AS value FROM regions r WHERE EXISTS (SELECT 1 FROM anchors x WHERE x.chrom = r.chrom AND r.start_pos < x.end_pos AND r.end_pos > x.start_pos)", X.INTERVALS_SQL)
+def tabix_scan(spark, d):
+    """The regions that overlap an anchor, from block-gzipped files by their indexes."""
+    path = X.shared_folder(spark, "tabix")
+    regions, anchors = X.intervals(spark, d)
+    tabix.write(regions.select("chrom", "start_pos", "end_pos", "ord", "value"), path)
+    field = lambda i: F.get("fields", F.lit(i))
+    return tabix.scan(spark, path, anchors).select(field(3).cast("long").alias("ord"), "chrom", "start_pos", "end_pos", _r(field(4).cast("double")).alias("value"))
+
+
 @query("SELECT sample AS cell, ord, round(value, 2) AS value FROM contrast WHERE sample = 4", X.CONTRAST_SQL)
 def state_matrix_scan(spark, d):
     """One cell of a matrix that is stored by cell."""
