@@ -9,7 +9,7 @@ from .functions import columns as C
 from .operators import align, evaluate, gates, intervals, nominate, prepare, resample, score, stats
 from .operators.order import average_ranks, top_k
 from .plans import fixtures as X
-from .sources import readers, tabix, writers
+from .sources import bigwig, readers, tabix, writers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -734,6 +734,18 @@ def tabix_scan(spark, d):
     return tabix.scan(spark, path, anchors).select(field(3).cast("long").alias("ord"), "chrom", "start_pos", "end_pos", _r(field(4).cast("double")).alias("value"))
 
 
+@query(
+    "SELECT w.ord, round(coalesce(sum(con.raw_score::FLOAT::DOUBLE * (least(con.end_pos, w.e) - greatest(con.start_pos, w.s))), 0) / (w.e - w.s), 6) AS mean0 FROM (SELECT ord, chrom, greatest(start_pos - 6000, 0) AS s, end_pos + 6000 AS e FROM con) w LEFT JOIN con ON con.chrom = w.chrom AND con.start_pos < w.e AND con.end_pos > w.s GROUP BY w.ord, w.s, w.e",
+    X.CONTRACT_SQL,
+)
+def bigwig_mean(spark, d):
+    """The mean of a track around each region, from bigWig files by their indexes."""
+    path, con = X.shared_folder(spark, "bigwig"), X.contract(spark, d)
+    bigwig.write(con.select("chrom", "start_pos", "end_pos", F.col("raw_score").alias("value")), path)
+    around = con.select("ord", "chrom", F.greatest(F.col("start_pos") - 6000, F.lit(0)).alias("start_pos"), (F.col("end_pos") + 6000).alias("end_pos"))
+    return bigwig.mean_over(spark, path, around).select("ord", _r("mean0").alias("mean0"))
+
+
 @query("SELECT sample AS cell, ord, round(value, 2) AS value FROM contrast WHERE sample = 4", X.CONTRAST_SQL)
 def state_matrix_scan(spark, d):
     """One cell of a matrix that is stored by cell."""
