@@ -1,8 +1,12 @@
 """Joins of half-open intervals.
 
-Both sides are dealt into bins of a width that fits their lengths and meet on (chrom, bin); a pair counts only in the
-bin where its later start lies, so no pair comes twice and no distinct is needed. When the right side has been counted
-and is small, it is broadcast and joined on chrom directly.
+Bins are nested: each level's are 16 times as wide as those of the level below, and an interval belongs to the smallest
+bin that holds it. Of two intervals that overlap, one's bin is the other's or lies above it, so the left side meets the
+right side's bins with its own bin and those above, and the right side meets the left side's bins with those above its
+own. Each pair comes once, no distinct is needed, and an interval makes a row a level at most, however long it is.
+
+Levels with few right intervals (counted) are broadcast with their bins, so that the left side is not shuffled for
+them; only levels with many are shuffled, and their bins are many, too.
 """
 
 from __future__ import annotations
@@ -14,31 +18,60 @@ from pyspark.sql import functions as F
 from ..functions.columns import overlap_length, overlaps
 
 SMALL = 20_000
+#: The smallest bins' width by default, and how many bits each level adds. The last level is one bin for all.
+WIDTH, STEP, ALL = 128, 4, 63
 #: Positions in a stretch of a chromosome that one task merges.
 STRETCH = 1 << 22
 
 
-def bin_width(df: DataFrame, least: int = 16) -> int:
-    """A width that nine in ten intervals fit in."""
-    found = df.agg(F.percentile_approx(F.col("end_pos") - F.col("start_pos"), 0.9, 1000)).first()[0]
-    return max(least, int(found or 0))
+def levels_from(width: int = WIDTH) -> list[int]:
+    """The levels, by the bits of a position that their bins hold."""
+    return [*range(max(width - 1, 1).bit_length(), 48, STEP), ALL]
+
+
+def bin_at(level: int, start: Column) -> Column:
+    return F.shiftright(start, level) if level < ALL else F.lit(0).cast("long")
+
+
+def level_of(start: Column, end: Column, levels: list[int]) -> Column:
+    """The level of the smallest bin that holds an interval."""
+    start = start.cast("long")
+    last = F.greatest(end.cast("long"), start + 1) - 1
+    own = F.when(F.lit(False), ALL)
+    for b in levels[:-1]:
+        own = own.when(bin_at(b, start) == bin_at(b, last), b)
+    return own.otherwise(ALL)
 
 
-def _binned(df: DataFrame, width: int) -> DataFrame:
-    last = F.floor((F.greatest(F.col("end_pos"), F.col("start_pos") + 1) - 1) / width)
-    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start_pos") / width), last)))
+def keys_of(start: Column, own: Column, levels: list[int], side: int, above: bool = True) -> Column:
+    """(level, bin, side) of an interval's bin and, with ``above``, of those above it, at the given levels."""
+    fits = lambda b: F.lit(b) >= own if above else own == b
+    return F.array_compact(F.array(*[F.when(fits(b), F.struct(F.lit(b).alias("level"), bin_at(b, start.cast("long")).alias("bin"), F.lit(side).alias("side"))) for b in levels]))
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, small: int = SMALL, width: int | None = None) -> DataFrame:
+def overlap_pairs(left: DataFrame, right: DataFrame, small: int = SMALL, width: int = WIDTH) -> DataFrame:
     """All overlapping pairs: the left columns as they are, the right ones with the prefix ``r_`` (chrom once)."""
+    levels = levels_from(width)
     own = right.select("chrom", *[F.col(c).alias(f"r_{c}") for c in right.columns if c != "chrom"])
+    own = own.withColumn("_level", level_of(F.col("r_start_pos"), F.col("r_end_pos"), levels))
     meet = overlaps(F.col("start_pos"), F.col("end_pos"), F.col("r_start_pos"), F.col("r_end_pos"))
-    if right.limit(small + 1).count() <= small:
-        return left.join(F.broadcast(own), "chrom").where(meet)
-    width = width or bin_width(right)
-    right_binned = _binned(right, width).select("chrom", "_bin", *[F.col(c).alias(f"r_{c}") for c in right.columns if c != "chrom"])
-    home = F.floor(F.greatest("start_pos", "r_start_pos") / width) == F.col("_bin")
-    return _binned(left, width).join(right_binned, ["chrom", "_bin"]).where(meet & home).drop("_bin")
+    counts = {r[0]: r[1] for r in own.groupBy("_level").count().collect()}  # a row a level
+    columns = [*left.columns, *[c for c in own.columns if c not in ("chrom", "_level")]]
+    if not counts:
+        return left.join(own, "chrom").where(F.lit(False)).select(columns)
+    mine = left.withColumn("_level", level_of(F.col("start_pos"), F.col("end_pos"), levels))
+
+    def joined(found: list[int], small_: bool) -> DataFrame:
+        """The pairs with right intervals of these levels: met at the right side's bin (side 1) or at the left side's, below (side 2)."""
+        above = [b for b in levels if b > min(found)]
+        a = mine.withColumn("_key", F.explode(F.concat(keys_of(F.col("start_pos"), F.col("_level"), found, 1), keys_of(F.col("start_pos"), F.col("_level"), above, 2, False))))
+        both = F.concat(keys_of(F.col("r_start_pos"), F.col("_level"), found, 1, False), keys_of(F.col("r_start_pos"), F.col("_level") + 1, above, 2))
+        b = own.where(F.col("_level").isin(found)).withColumn("_key", F.explode(both)).drop("_level")
+        return a.join(F.broadcast(b) if small_ else b, ["chrom", "_key"]).where(meet).select(columns)
+
+    few, many = [b for b in sorted(counts) if counts[b] <= small], [b for b in sorted(counts) if counts[b] > small]
+    parts = [joined(found, small_) for found, small_ in ((few, True), (many, False)) if found]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def overlap_flag(left: DataFrame, right: DataFrame, name: str = "label", **how) -> DataFrame:
