@@ -586,9 +586,13 @@ def pca_features(spark, d):
     return _head(spark, d).select("ord", F.transform(F.slice("features", 1, 6), lambda x: F.round(x, 6)).alias("features"))
 
 
+def _matched(spark, d):
+    return evaluate.matched_sample(_head(spark, d).withColumn("confound", F.abs(F.element_at("features", -1))), "confound")
+
+
 @query()
 def logo_scores(spark, d):
-    return resample.leave_one_gene_out(_head(spark, d))
+    return resample.leave_one_gene_out(_matched(spark, d))
 
 
 @query()
@@ -597,6 +601,27 @@ def transfer_scores(spark, d):
     return resample.transfer(rows.where("ord % 3 = 0"), rows.where("ord % 3 <> 0"))
 
 
+def _claim3(spark, d):
+    a, b = X.states(spark, d)
+    scores = score.driver_score(align.aligned(a, b)).select("ord", "driver_score")
+    return _shifts(spark, d).join(scores, "ord").withColumn("second", F.col("ord") % 6 < 2)
+
+
+@query()
+def transfer_panels(spark, d):
+    """Two panels that share regions: the second's, without any that the head learned from, scored by a head of the first."""
+    rows = resample.head_features(_claim3(spark, d), 6).drop("vector").cache()
+    return evaluate.head_scores(rows, "second").select("ord", "label", _r("score").alias("score"))
+
+
+@query()
+def claim3_heads(spark, d):
+    """A head against the zero-shot score and the signed baseline, over genes left out and over a second panel."""
+    rows = _claim3(spark, d).cache()
+    found = {k: evaluate.heads(rows, 6, opening=False, test=t) for k, t in (("genes", None), ("panel", "second"))}
+    return _row(spark, {f"{n}_{k}": x for n, r in found.items() for k, x in r.items()})
+
+
 @query()
 def claim2b_signs(spark, d):
     regions, anchors = X.intervals(spark, d)

@@ -80,6 +80,48 @@ def against_baseline(df: DataFrame, score: str = "driver_score", signed: str = "
         sample.unpersist()
 
 
+def head_scores(df: DataFrame, test: str | None = None, seed: int = 0, **matching) -> DataFrame:
+    """ord, label, score, driver_score, signed of rows that no head learned from that scores them: over genes left out one
+    by one, or, with ``test`` (the label column of a second panel), of that panel by a head of the first.
+
+    Either panel has its positives and negatives matched by the size of ``signed``; in a transfer, regions of the training
+    sample are neither positives nor negatives of the test.
+    """
+    sized, also = df.withColumn("_size", F.abs("signed")), ("driver_score", "signed")
+    train = matched_sample(sized, "_size", seed=seed, **matching)
+    if test is None:
+        return resample.leave_one_gene_out(train, seed, also=also)
+    train = train.cache()
+    try:
+        used = train.select("ord", F.lit(True).alias("_used"))
+        second = sized.join(used, "ord", "left").withColumn("label", F.col(test) & F.col("_used").isNull()).drop("_used")
+        return resample.transfer(train, matched_sample(second, "_size", seed=seed + 1, **matching), also=also)
+    finally:
+        train.unpersist()
+
+
+def heads(df: DataFrame, k: int = 16, opening: bool = True, threshold: float = 0.0, magnitude: bool = True, test: str | None = None, seed: int = 0, n_boot: int = 2000, **matching) -> dict:
+    """Whether a fitted head beats the zero-shot score and the signed baseline on what it has not learned from.
+
+    df: ord, region, vector, driver_score, signed, label and gene (or, for a transfer, the test panel's label column).
+    """
+    own = kept(df, signed="signed", opening=opening, threshold=threshold, also=("driver_score",)).cache()
+    spark, sample = df.sparkSession, None
+    try:
+        features = resample.head_features(own, k, magnitude=magnitude).drop("vector")
+        sample = head_scores(features, test, seed, **matching).cache()
+        p, q = split(sample, "score", "driver_score", "signed")
+        out = {"n_pos": len(p), "n_neg": len(q), **{f"auroc_{n}": resample.auroc(p[:, i], q[:, i]) for i, n in enumerate(("head", "driver", "signed"))}}
+        for i, name in ((1, "driver"), (2, "signed")):
+            low, high = resample.interval(resample.paired_bootstrap(spark, p[:, [0, i]], q[:, [0, i]], n_boot, seed), "delta")
+            out |= {f"delta_{name}": out["auroc_head"] - out[f"auroc_{name}"], f"low_{name}": low, f"high_{name}": high}
+        return out | {"beats_both": all(out[f"low_{n}"] is not None and out[f"low_{n}"] > 0 for n in ("driver", "signed"))}
+    finally:
+        own.unpersist()
+        if sample is not None:
+            sample.unpersist()
+
+
 def signs(df: DataFrame, opening: DataFrame, closing_: DataFrame, seed: int = 0, n_boot: int = 2000) -> dict:
     """Accuracy of directions over anchor sets expected to open and to close, by gene and by size, and balanced."""
     base = stats.opening_rate(df).first()[0]

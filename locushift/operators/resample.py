@@ -199,36 +199,102 @@ def head_features(df: DataFrame, k: int, vector: str = "vector", signed: str = "
     return own.withColumn("features", F.concat("pca", F.array(*["_norm"] * magnitude, "_signed"))).drop("pca", "_norm", "_signed")
 
 
-def leave_one_gene_out(sample: DataFrame, n_most: int = MOST_ROWS, seed: int = 0, ridge: float = 1.0) -> DataFrame:
-    """ord, label, score: each gene's positives, and a random fold of the negatives, scored by a head fitted without them.
+def newton_sums(sample: DataFrame, beta: np.ndarray, folds: np.ndarray) -> np.ndarray:
+    """A row for each of ``folds``: training positives, training rows, gradient and Hessian of its fit at its ``beta``, over
+    all rows of other folds. Each batch takes all fits at once; a task hands on one row a fit and number."""
+    k = beta.shape[1]
 
-    sample: ord, label, gene (NULL for negatives), features array. One task per held-out gene.
+    def work(frames):
+        import pandas as pd
+
+        total = np.zeros((len(folds), 2 + k + k * k))
+        for f in frames:
+            if not len(f):
+                continue
+            x = np.column_stack([np.ones(len(f)), np.stack([np.asarray(v, float) for v in f["features"]])])
+            y, out = f["label"].to_numpy(float), f["fold"].to_numpy()[:, None] == folds[None]
+            p = 1 / (1 + np.exp(-np.clip(x @ beta.T, -LOGIT, LOGIT)))
+            used = ~out
+            total[:, 0] += (used * y[:, None]).sum(0)
+            total[:, 1] += used.sum(0)
+            total[:, 2 : 2 + k] += ((y[:, None] - p) * used).T @ x
+            total[:, 2 + k :] += (np.maximum(p * (1 - p), FLOOR) * used).T @ (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+        yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
+
+    sums = sample.select("features", "label", "fold").mapInPandas(work, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(len(folds) * (2 + k + k * k))
+    for r in sums:
+        out[r.i] = r.v
+    return out.reshape(len(folds), -1)
+
+
+def fits(sample: DataFrame, n: int, ridge: float = RIDGE) -> dict[int, np.ndarray]:
+    """Coefficients of n logistic fits, the i-th over all rows whose ``fold`` is not i, by Newton's method; none for a fit
+    without positives or without negatives. Only sums of n fits times squared features reach the driver, round by round.
+
+    sample: label, features array, fold (below 0: never left out).
+    """
+    first = sample.select(F.size("features")).first()
+    if first is None:
+        return {}
+    k = first[0] + 1
+    beta, open_ = np.zeros((n, k)), np.arange(n)
+    usable = np.ones(n, bool)
+    for _ in range(ROUNDS):
+        sums = newton_sums(sample, beta[open_], open_)
+        usable[open_] = (sums[:, 0] > 0) & (sums[:, 0] < sums[:, 1])
+        h = sums[:, 2 + k :].reshape(-1, k, k) + ridge * np.eye(k)
+        g = sums[:, 2 : 2 + k] - ridge * beta[open_]
+        step = np.linalg.solve(h, g[:, :, None])[:, :, 0]
+        beta[open_] += step
+        open_ = open_[usable[open_] & (np.abs(step).max(axis=1) >= SETTLED)]
+        if not len(open_):
+            break
+    return {i: beta[i] for i in range(n) if usable[i]}
+
+
+def scored(df: DataFrame, beta: dict[int, np.ndarray], name: str = "score") -> DataFrame:
+    """Adds the linear score of each row by the fit of its ``fold``; rows of a fold without a fit go."""
+    rows = df.sparkSession.createDataFrame([(i, [float(x) for x in b]) for i, b in beta.items()], "fold int, _beta array<double>")
+    value = F.aggregate(F.zip_with("features", F.slice("_beta", 2, F.size("features")), lambda x, b: x * b), F.get("_beta", F.lit(0)), lambda s, x: s + x)
+    return df.join(F.broadcast(rows), "fold").withColumn(name, value).drop("_beta")
+
+
+def gene_folds(sample: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
+    """Adds ``fold``: a number for each gene that has positives, a seeded one of these for each negative, and -1 for
+    positives without a gene, which no fold holds out but every fit learns from. Also the number of genes.
+
+    Genes are as many as a genome has; their names are numbered on the driver.
     """
-    rows = collected(sample, "ord", "label", "gene", "features", most=n_most)
-    x, y = np.stack(rows["features"].to_numpy()), rows["label"].to_numpy(bool)
-    genes = sorted({g for g, p in zip(rows["gene"], y, strict=True) if p and g})
+    named = F.col("label") & F.col("gene").isNotNull() & (F.col("gene") != "")
+    genes = [r[0] for r in sample.where(named).select("gene").distinct().orderBy("gene").collect()]
     if len(genes) < 2:
         raise ValueError("leave-one-gene-out needs two genes or more")
-    fold = np.array([genes.index(g) if p and g else -1 for g, p in zip(rows["gene"], y, strict=True)])
-    fold[~y] = np.random.default_rng(seed).integers(len(genes), size=int((~y).sum()))
-    ords = rows["ord"].to_numpy()
+    numbers = sample.sparkSession.createDataFrame(list(enumerate(genes)), "_fold int, _gene string")
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "ord"), F.lit(len(genes))).cast("int")
+    fold = F.when(~F.col("label"), drawn).otherwise(F.coalesce("_fold", F.lit(-1)))
+    joined = sample.join(F.broadcast(numbers), F.col("label") & (F.col("gene") == F.col("_gene")), "left")
+    return joined.withColumn("fold", fold).drop("_fold", "_gene"), len(genes)
 
-    def work(frames):
-        import pandas as pd
 
-        for f in frames:
-            for i in f["id"]:
-                out, fit = fold == i, (fold != i) & (fold >= 0)
-                beta, _ = logistic(x[fit], y[fit].astype(float), ridge)
-                yield pd.DataFrame({"ord": ords[out], "label": y[out], "score": np.column_stack([np.ones(out.sum()), x[out]]) @ beta})
+def leave_one_gene_out(sample: DataFrame, seed: int = 0, ridge: float = RIDGE, also: tuple[str, ...] = ()) -> DataFrame:
+    """ord, label, score (and other columns asked for): each gene's positives, and a seeded fold of the negatives, scored
+    by a head fitted without them. The sample stays distributed: each Newton round is one aggregate for all fits.
 
-    spark = sample.sparkSession
-    return spark.range(0, len(genes), 1, min(len(genes), 32)).mapInPandas(work, "ord long, label boolean, score double")
+    sample: ord, label, gene (NULL for negatives), features array.
+    """
+    rows, n = gene_folds(sample.select("ord", "label", "gene", "features", *also), seed)
+    rows = rows.cache()
+    try:
+        beta = fits(rows, n, ridge)
+    finally:
+        rows.unpersist()
+    return scored(rows, beta).select("ord", "label", "score", *also)
 
 
-def transfer(train: DataFrame, test: DataFrame, ridge: float = 1.0) -> DataFrame:
+def transfer(train: DataFrame, test: DataFrame, ridge: float = RIDGE, also: tuple[str, ...] = ()) -> DataFrame:
     """Scores of the test panel's rows, without the training regions, by a head fitted on the training panel."""
-    rows = collected(train, "ord", "label", "features")
-    beta, _ = logistic(np.stack(rows["features"].to_numpy()), rows["label"].to_numpy(float), ridge)
-    score = F.lit(float(beta[0])) + F.aggregate(F.zip_with("features", F.array(*[F.lit(float(b)) for b in beta[1:]]), lambda x, b: x * b), F.lit(0.0), lambda s, x: s + x)
-    return test.join(train.select("ord"), "ord", "left_anti").select("ord", "label", score.alias("score"))
+    beta = fits(train.withColumn("fold", F.lit(-1)), 1, ridge)
+    if not beta:
+        raise ValueError("the training panel needs positives and negatives")
+    return scored(test.join(train.select("ord"), "ord", "left_anti").withColumn("fold", F.lit(0)), beta).select("ord", "label", "score", *also)
