@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from jobs import scan_records, weigh_transitions
 from jobs.common import shipped_config
-from locushift.plans.fixtures import shared_folder
+from locushift.sources.scratch import shared_folder
 
 
 def job1_weigh_transitions(spark, sf_dir):

@@ -10,6 +10,7 @@ from .operators import align, evaluate, gates, intervals, nominate, prepare, res
 from .operators.order import average_ranks, top_k
 from .plans import fixtures as X
 from .sources import bigwig, readers, tabix, writers
+from .sources.scratch import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -752,7 +753,7 @@ def hits_scan(spark, d):
 @query("SELECT r.ord, r.chrom, r.start_pos, r.end_pos, round(r.value, 6) AS value FROM regions r WHERE EXISTS (SELECT 1 FROM anchors x WHERE x.chrom = r.chrom AND r.start_pos < x.end_pos AND r.end_pos > x.start_pos)", X.INTERVALS_SQL)
 def tabix_scan(spark, d):
     """The regions that overlap an anchor, from block-gzipped files by their indexes."""
-    path = X.shared_folder(spark, "tabix")
+    path = shared_folder(spark, "tabix")
     regions, anchors = X.intervals(spark, d)
     tabix.write(regions.select("chrom", "start_pos", "end_pos", "ord", "value"), path)
     field = lambda i: F.get("fields", F.lit(i))
@@ -765,7 +766,7 @@ def tabix_scan(spark, d):
 )
 def bigwig_mean(spark, d):
     """The mean of a track around each region, from bigWig files by their indexes."""
-    path, con = X.shared_folder(spark, "bigwig"), X.contract(spark, d)
+    path, con = shared_folder(spark, "bigwig"), X.contract(spark, d)
     bigwig.write(con.select("chrom", "start_pos", "end_pos", F.col("raw_score").alias("value")), path)
     around = con.select("ord", "chrom", F.greatest(F.col("start_pos") - 6000, F.lit(0)).alias("start_pos"), (F.col("end_pos") + 6000).alias("end_pos"))
     return bigwig.mean_over(spark, path, around).select("ord", _r("mean0").alias("mean0"))

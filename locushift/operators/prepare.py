@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .select import SMALL, first_rows, quantile
 from .intervals import merged, overlap_pairs
 from .stats import capped_share, exact_quantiles
 
@@ -74,12 +75,16 @@ def stand_in_model(outputs: int = 4) -> Callable[[np.ndarray], np.ndarray]:
     return model
 
 
-def sentences(weights: DataFrame, frequency: DataFrame, most: int = 8190, first: int = 4) -> DataFrame:
+def sentences(weights: DataFrame, frequency: DataFrame, most: int = 8190, first: int = 4, small: int = SMALL) -> DataFrame:
     """cell, tokens: a cell's regions by value times inverse document frequency, as tokens row + first, at most ``most``.
 
     weights: cell, row, value; frequency: row, n_docs, n_total. The product is the usual one: value * ln(1 + total / n).
     """
     scored = weights.where("value > 0").join(frequency, "row").withColumn("score", F.col("value") * F.log1p(F.col("n_total") / F.greatest(F.col("n_docs"), F.lit(1))))
+    sizes = scored.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) > small:  # so large a cell is cut before it is ranked
+        want = sizes.select("cell", F.lit(most).alias("_want"))
+        scored = first_rows(scored.withColumn("_less", -F.col("score")), ["cell"], "_less", want, "row").drop("_less")
     order = W.partitionBy("cell").orderBy(F.desc("score"), "row")
     ranked = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
     return ranked.groupBy("cell").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "row"))), lambda x: (x["row"] + first).cast("int")).alias("tokens"))
@@ -116,7 +121,7 @@ def exclude_regions(test: DataFrame, train: DataFrame) -> DataFrame:
 
 def top_decile(df: DataFrame, factor: str = "factor", value: str = "value", share: float = 0.1) -> DataFrame:
     """Per factor its strongest rows: those at or above the (1 - share) quantile, which is interpolated exactly."""
-    cut = df.groupBy(factor).agg(F.percentile(value, 1 - share).alias("_cut"))
+    cut = quantile(df, [factor], value, 1 - share, "_cut")
     return df.join(cut, factor).where(F.col(value) >= F.col("_cut")).drop("_cut")
 
 

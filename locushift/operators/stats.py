@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import sampling_key
 from .order import average_ranks, bucketed, offsets, row_numbers, top_k
+from .select import SMALL as SMALL_GROUP
+from .select import first_rows
 
 
 def auroc(df: DataFrame, score: str = "driver_score", label: str = "label", name: str = "auroc") -> DataFrame:
@@ -85,19 +87,37 @@ def first_by_key(df: DataFrame, group: str, want: str, key: str, salts: int = 32
     return part.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(key))).where(F.col("_r") <= F.col(want)).drop("_r", "_salt")
 
 
-def matched_negatives(df: DataFrame, confound: str, label: str = "label", n_per_pos: int = 3, n_bins: int = 20, seed: int = 0) -> DataFrame:
+def hash_number(key: str) -> Column:
+    """The first 52 bits of a hexadecimal hash, which a double holds exactly."""
+    return F.conv(F.substring(key, 1, 13), 16, 10).cast("double")
+
+
+def drawn(pool: DataFrame, group: str, want: DataFrame, key: str = "_key", small: int = SMALL_GROUP, ord_: str = "ord") -> DataFrame:
+    """Per group its first rows by a hash: by a window in groups of up to ``small`` rows, else by selection, so that no
+    task sorts a large group. want: group, ``_want`` and ``_q``, how many rows there are."""
+    largest = want.agg(F.max("_q")).first()[0] or 0
+    if largest <= small:
+        return first_by_key(pool.join(F.broadcast(want.select(group, "_want")), group), group, "_want", key).drop("_want")
+    return first_rows(pool.withColumn("_number", hash_number(key)), [group], "_number", want.select(group, "_want"), ord_).drop("_number")
+
+
+def matched_negatives(df: DataFrame, confound: str, label: str = "label", n_per_pos: int = 3, n_bins: int = 20, seed: int = 0, small: int = SMALL_GROUP) -> DataFrame:
     """Negatives drawn from the positives' bins of the confound, up to n_per_pos each, by a seeded hash of the region."""
     known = df.where(F.col(confound).isNotNull())
     binned = known.withColumn("_bin", bin_of(F.col(confound), quantile_edges(known, confound, n_bins))).withColumn("_key", sampling_key(seed))
     per = binned.groupBy("_bin").agg(F.count_if(label).alias("_p"), F.count_if(~F.col(label)).alias("_q"))
-    want = per.where("_p > 0 and _q > 0").select("_bin", F.least(F.col("_q"), n_per_pos * F.col("_p")).alias("_want"))
-    pool = binned.where(~F.col(label)).join(F.broadcast(want), "_bin")
-    return first_by_key(pool, "_bin", "_want", "_key").select(df.columns)
-
-
-def random_negatives(df: DataFrame, n: int, label: str = "label", seed: int = 1) -> DataFrame:
-    """n negatives by a seeded hash, whatever their confound."""
-    return df.where(~F.col(label)).withColumn("_key", sampling_key(seed)).orderBy("_key").limit(n).drop("_key")
+    want = per.where("_p > 0 and _q > 0").select("_bin", "_q", F.least(F.col("_q"), n_per_pos * F.col("_p")).alias("_want"))  # a row a bin
+    return drawn(binned.where(~F.col(label)), "_bin", want, small=small).select(df.columns)
+
+
+def random_negatives(df: DataFrame, n: int, label: str = "label", seed: int = 1, small: int = SMALL_GROUP) -> DataFrame:
+    """n negatives by a seeded hash, whatever their confound: a few by take-ordered, more by selection."""
+    keyed = df.where(~F.col(label)).withColumn("_key", sampling_key(seed))
+    if n <= small:
+        return keyed.orderBy("_key").limit(n).drop("_key")
+    want = df.sparkSession.range(1).select(F.lit(0).alias("_one"), F.lit(n).alias("_want"))
+    own = keyed.withColumn("_one", F.lit(0)).withColumn("_number", hash_number("_key"))
+    return first_rows(own, ["_one"], "_number", want).select(df.columns)
 
 
 def sign_accuracy(df: DataFrame, by: list[str] | None = None, name: str = "direction", expected: str = "expected") -> DataFrame:

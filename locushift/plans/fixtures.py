@@ -6,35 +6,19 @@ both, and intervals with named anchors from ``events``.
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.order import row_numbers
+from ..sources.scratch import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that driver and executors share, spark.checkpoint.dir; in local runs without one, a
-    temporary folder. Spark's writers make it."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="locushift-scratch-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh local path for the files that the driver writes."""
     folder = shared_folder(spark, "scratch").removeprefix("file://").removeprefix("file:")
