@@ -392,9 +392,9 @@ def transfer_exclusion(spark, d):
     return prepare.exclude_regions(con.where("ord % 3 = 0"), con.where("ord % 5 = 0")).select("ord")
 
 
-@query("SELECT ord, list_filter(['chr1:', 'true', 'CHR22'], lambda w: contains(lower(concat_ws(' ', chrom || ':', label::VARCHAR)), lower(w))).list_transform(lambda w: lower(w)).array_to_string(',') AS hits FROM con WHERE label", X.CONTRACT_SQL)
+@query("SELECT ord, list_filter(['chr1:', 'true', 'CHR22'], lambda w: contains(lower(concat_ws(' ', chrom || ':', label::VARCHAR)), lower(w))).list_transform(lambda w: lower(w)).array_to_string(',') AS hits FROM con", X.CONTRACT_SQL)
 def keyword_scan(spark, d):
-    con = X.contract(spark, d).where("label").select("ord", F.concat("chrom", F.lit(":")).alias("a"), F.col("label").cast("string").alias("b"))
+    con = X.contract(spark, d).select("ord", F.concat("chrom", F.lit(":")).alias("a"), F.col("label").cast("string").alias("b"))
     return con.select("ord", F.array_join(C.mentions(["chr1:", "true", "CHR22"], "a", "b"), ",").alias("hits"))
 
 
@@ -716,11 +716,11 @@ def archive_round_trip(spark, d):
     return _state_round_trip(spark, d, "state.npz")
 
 
-@query("SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, chrom, start_pos, end_pos, gene FROM anchors", X.INTERVALS_SQL)
+@query("SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, chrom, start_pos, end_pos, CASE WHEN ord % 3 <> 0 THEN gene END AS gene FROM anchors", X.INTERVALS_SQL)
 def bed_read(spark, d):
     """Named intervals from a text file with a comment, a blank line and rows that lack a name."""
     path = X.scratch(spark, "anchors.bed")
-    rows = X.intervals(spark, d)[1].select("ord", F.concat_ws("\t", "chrom", "start_pos", "end_pos", "gene").alias("line"))
+    rows = X.intervals(spark, d)[1].select("ord", F.concat_ws("\t", "chrom", "start_pos", "end_pos", F.when(F.col("ord") % 3 != 0, F.col("gene"))).alias("line"))
     X.write_lines(rows, path, ["# anchors", ""])
     return readers.bed(spark, path).withColumn("ord", F.col("ord") - 2)
 
