@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import slices, texts_of
-from .common import materialize, small_batches
+from .common import materialize, small_batches, tidied
 
 KEYS = ["_d", "_t"]
 SPAN = ["lo", "n", "at", "m", "left", "right", "off"]
@@ -131,7 +131,7 @@ def spans(docs: DataFrame, symbols_of: Callable[[list[bytes]], tuple[np.ndarray,
                     names=["h", "s", *KEYS, *SPAN, "c"],
                 )
 
-    return keyed(docs).select("_d", "_t", "text").mapInArrow(work, "h long, s long, _d long, _t long, " + ", ".join(f"{x} int" for x in SPAN) + ", c long")
+    return keyed(docs).select("_d", "_t", "text").mapInArrow(tidied(work), "h long, s long, _d long, _t long, " + ", ".join(f"{x} int" for x in SPAN) + ", c long")
 
 
 def candidates(rows: DataFrame, name: str, most: int) -> DataFrame:
@@ -189,7 +189,7 @@ def payload(docs: DataFrame, found: DataFrame, cut: Callable[[bytes], Sequence],
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return joined.mapInArrow(work, ", ".join(f"{x} long" for x in ("h", "s", *FROM, *KEYS)) + ", " + ", ".join(f"{x} int" for x in SPAN) + ", c long, span binary")
+    return joined.mapInArrow(tidied(work), ", ".join(f"{x} long" for x in ("h", "s", *FROM, *KEYS)) + ", " + ", ".join(f"{x} int" for x in SPAN) + ", c long, span binary")
 
 
 def compared(rows: DataFrame, solve: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]], block_bytes: int = 2_000_000) -> DataFrame:
@@ -222,7 +222,7 @@ def compared(rows: DataFrame, solve: Callable[[pa.Table], tuple[np.ndarray, np.n
         if carry:
             yield from done(pa.Table.from_batches(carry).combine_chunks())
 
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(work, "h long, s long, c long, _d long, _t long, lo int, first int, n int")
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(tidied(work), "h long, s long, c long, _d long, _t long, lo int, first int, n int")
 
 
 def found_in(docs: DataFrame, rows: DataFrame, cut, join, solve, length: int, k: int, name: str, most: int) -> tuple[DataFrame, DataFrame]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidied
 
 ROLL = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -149,8 +149,8 @@ class ChunkCodec:
     def _fill(self, wanted: Iterable[str]) -> None:
         new = {x: _PIECE.findall(x) for x in dict.fromkeys(wanted) if x not in self.chunks}
         unseen = self.pieces.missing(set(chain.from_iterable(new.values())))
-        for s in range(0, len(unseen), 20_000):
-            part = unseen[s : s + 20_000]
+        for s in range(0, len(unseen), 4_000):
+            part = unseen[s : s + 4_000]
             self.pieces.update(zip(part, self._encode(part), strict=True))
         for x, own in new.items():
             self.chunks[x] = self._chunk(x, own)
@@ -184,22 +184,22 @@ class ChunkCodec:
         return self.holds(_PIECE.findall(left)[-1], a, _PIECE.match(right)[0], b) if found is None else found
 
 
-_CODECS: dict[str, ChunkCodec] = {}
+_CODECS: dict[tuple[str, int], ChunkCodec] = {}
 
 
-def codec(path: str) -> ChunkCodec:
+def codec(path: str, most_pieces: int = 300_000) -> ChunkCodec:
     """This worker's codec; its cache outlives the task."""
     import os
 
-    if path not in _CODECS:
+    if (path, most_pieces) not in _CODECS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _CODECS[path] = ChunkCodec(tokenizer)
-    return _CODECS[path]
+        _CODECS[path, most_pieces] = ChunkCodec(tokenizer, most_pieces=most_pieces)
+    return _CODECS[path, most_pieces]
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -220,12 +220,13 @@ def slices(batch: pa.RecordBatch, most_bytes: int = 4_000_000, column: str = "te
         start = stop
 
 
-def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, ids (if asked for), n_tokens, ids_sha256, decoded_sha256."""
+def encode_documents(docs: DataFrame, path: str, with_ids: bool = True, most_pieces: int = 300_000) -> DataFrame:
+    """doc_id, ids (if asked for), n_tokens, ids_sha256, decoded_sha256. most_pieces: bounds a worker's cache (about 400
+    bytes a piece); fewer take more time, not other results."""
     fields = [pa.field("doc_id", pa.int64()), *[pa.field("ids", pa.list_(pa.int32()))] * with_ids, pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
 
     def work(batches):
-        own = codec(path)
+        own = codec(path, most_pieces)
         for whole in batches:
             for batch in slices(whole, 2_000_000):
                 out: dict[str, list] = {f.name: [] for f in fields}
@@ -240,4 +241,4 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in fields], schema=pa.schema(fields))
 
     ids = "ids array<int>, " * with_ids
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, f"doc_id long, {ids}n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(work), f"doc_id long, {ids}n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -68,6 +68,33 @@ def small_batches(df: DataFrame, most: int = 1000) -> DataFrame:
     return df
 
 
+def hand_back() -> None:
+    """Gives the memory that this worker has freed back to the system: Spark keeps workers for later tasks, and what
+    allocators hold on to would count against the executor all the while."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def tidied(work):
+    """A function over batches that hands memory back when its task ends."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            hand_back()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local runs a temporary one."""
     conf = spark.sparkContext.getConf()

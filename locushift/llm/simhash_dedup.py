@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import slices, texts_of
-from .common import fresh, materialize, small_batches
+from .common import fresh, materialize, small_batches, tidied
 
 BITS = 64
 
@@ -314,7 +314,7 @@ def sketches(docs: DataFrame, size: int = 3, wide: int = 5) -> DataFrame:
                 arrays = [batch.column("doc_id"), batch.column("row"), pa.array(fingerprints(texts, size).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(nodes, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "fp", "bands", "node"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").mapInArrow(work, "doc_id long, row long, fp long, bands array<long>, node long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").mapInArrow(tidied(work), "doc_id long, row long, fp long, bands array<long>, node long")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, wide: int) -> DataFrame:
@@ -326,7 +326,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, wide: int) -> DataFrame:
                 sets = [shingle_set(t, wide) for t in texts_of(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(sketch_of, sets), pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "sketch", "hashes"])
 
-    found = docs.select(row_key().alias("row"), "text").join(wanted, "row").select("node", "text").mapInArrow(work, "node long, sketch binary, hashes binary")
+    found = docs.select(row_key().alias("row"), "text").join(wanted, "row").select("node", "text").mapInArrow(tidied(work), "node long, sketch binary, hashes binary")
     return found.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("hashes").alias("hashes"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from .bpe_codec import slices, texts_of
-from .common import fresh
+from .common import fresh, tidied
 
 LENGTH = 35
 GRAM = 8
@@ -116,7 +116,7 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     sha.append(hashlib.sha256(b" ".join(w)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return joined.mapInArrow(work, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(tidied(work), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -149,4 +149,4 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield kept.select(docs_columns)
 
     docs_columns = docs.columns
-    return joined.mapInArrow(work, docs.schema)
+    return joined.mapInArrow(tidied(work), docs.schema)
