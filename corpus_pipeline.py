@@ -34,7 +34,7 @@ def mixing(spark, docs, sf_dir):
 
 def encoding(spark, docs, sf_dir):
     """doc_id, ids, n_tokens and the digests of ids and decoded text."""
-    return bpe_codec.encode_documents(docs, tokenizer_path())
+    return bpe_codec.encode_documents(docs, tokenizer_path(), most_pieces=100_000)
 
 
 STAGES = [("quality rules", quality), ("simhash near-dedup", near_dedup), ("substring dedup", substrings), ("mixing", mixing), ("bpe encoding", encoding)]
