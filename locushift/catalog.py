@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import align, evaluate, gates, intervals, nominate, prepare, resample, score, stats
+from .operators import align, draws, evaluate, gates, intervals, nominate, prepare, resample, score, stats
 from .operators.order import average_ranks, top_k
 from .plans import fixtures as X
 from .sources import bigwig, readers, tabix, writers
@@ -533,11 +533,7 @@ def bootstrap_ci(spark, d):
 @query()
 def shuffle_null(spark, d):
     con = X.contract(spark, d).where("confound is not null").cache()
-    p, q = evaluate.split(evaluate.matched_sample(con, "confound"), "driver_score")
-    import numpy as np
-
-    both, label = np.concatenate([p[:, 0], q[:, 0]]), np.repeat([True, False], [len(p), len(q)])
-    return resample.label_shuffle(spark, both, label)
+    return draws.label_shuffle(evaluate.matched_sample(con, "confound"), "driver_score")
 
 
 @query()

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import resample, stats
+from . import draws, resample, stats
 from .intervals import first_name
 
 
@@ -30,32 +29,27 @@ def matched_sample(df: DataFrame, confound: str, n_per_pos: int = 3, n_bins: int
     return df.where("label").unionByName(negatives)
 
 
-def split(sample: DataFrame, *scores: str) -> tuple[np.ndarray, np.ndarray]:
-    rows = resample.collected(sample, "ord", "label", *scores)
-    y = rows["label"].to_numpy(bool)
-    x = rows[list(scores)].to_numpy(float)
-    if not y.any() or y.all():
+def classes(sample: DataFrame) -> tuple[int, int]:
+    """How many positives and negatives; there must be both."""
+    n = sample.agg(F.count_if("label"), F.count_if(~F.col("label"))).first()
+    if not all(n):
         raise SystemExit("the sample needs positives and matched negatives")
-    return x[y], x[~y]
+    return n[0], n[1]
 
 
 def against_positives(df: DataFrame, score: str = "driver_score", confound: str = "confound", seed: int = 0, n_boot: int = 2000, n_perm: int = 1000, share: float = 0.05, **matching) -> dict:
     """AUROC on matched and on random negatives, interval, p by shuffled labels, and top-share fold."""
     df = df.where(F.col(confound).isNotNull())
-    spark = df.sparkSession
     sample = matched_sample(df, confound, seed=seed, **matching).cache()
     try:
-        p, q = split(sample, score)
-        random = stats.random_negatives(df, len(q), seed=seed + 1)
-        _, r = split(df.where("label").unionByName(random), score)
-        observed = resample.auroc(p[:, 0], q[:, 0])
-        draws = resample.bootstrap_auroc(spark, p[:, 0], q[:, 0], n_boot, seed)
-        low, high = resample.interval(draws, "auroc")
-        both, label = np.concatenate([p[:, 0], q[:, 0]]), np.repeat([True, False], [len(p), len(q)])
-        null = resample.label_shuffle(spark, both, label, n_perm, seed)
-        at_random = resample.auroc(p[:, 0], r[:, 0])
+        n_pos, n_neg = classes(sample)
+        random = stats.random_negatives(df, n_neg, seed=seed + 1)
+        at_random = stats.auroc(df.where("label").unionByName(random), score).first()[0]
+        observed = stats.auroc(sample, score).first()[0]
+        low, high = resample.interval(draws.bootstrap_auroc(sample, score, n_boot, seed), "auroc")
+        null = draws.label_shuffle(sample, score, n_perm, seed)
         return {
-            "n_pos": len(p), "n_neg": len(q), "auroc": observed, "low": low, "high": high, "auroc_random": at_random, "confound_gap": at_random - observed,
+            "n_pos": n_pos, "n_neg": n_neg, "auroc": observed, "low": low, "high": high, "auroc_random": at_random, "confound_gap": at_random - observed,
             "p": resample.one_sided_p(null, "auroc", observed), "fold": stats.fold_enrichment(df, score, share).first()[0],
         }
     finally:
@@ -65,17 +59,14 @@ def against_positives(df: DataFrame, score: str = "driver_score", confound: str
 def against_baseline(df: DataFrame, score: str = "driver_score", signed: str = "signed", opening: bool = True, seed: int = 0, n_boot: int = 2000, n_perm: int = 1000, share: float = 0.05, **matching) -> dict:
     """Paired AUROC difference to the signed baseline, incremental likelihood ratio, and both folds."""
     df = kept(df, signed=signed, opening=opening, also=(score,)).withColumn("_size", F.abs(signed))
-    spark = df.sparkSession
     sample = matched_sample(df, "_size", seed=seed, **matching).cache()
     try:
-        p, q = split(sample, score, signed)
-        draws = resample.paired_bootstrap(spark, p, q, n_boot, seed)
-        low, high = resample.interval(draws, "delta")
-        x, y = np.concatenate([p, q]), np.repeat([True, False], [len(p), len(q)])
-        lr = resample.likelihood_ratio(spark, x[:, 1], x[:, 0], y, n_perm, seed)
-        a, b = resample.auroc(p[:, 0], q[:, 0]), resample.auroc(p[:, 1], q[:, 1])
+        n_pos, n_neg = classes(sample)
+        low, high = resample.interval(draws.paired_bootstrap(sample, score, signed, n_boot, seed), "delta")
+        lr = draws.likelihood_ratio(sample, signed, score, n_perm, seed)
+        a, b = (stats.auroc(sample, c).first()[0] for c in (score, signed))
         folds = {f"fold_{k}": stats.fold_enrichment(df, c, share).first()[0] for k, c in (("driver", score), ("signed", signed))}
-        return {"n_pos": len(p), "n_neg": len(q), "auroc_driver": a, "auroc_signed": b, "delta": a - b, "low": low, "high": high, **lr, **folds}
+        return {"n_pos": n_pos, "n_neg": n_neg, "auroc_driver": a, "auroc_signed": b, "delta": a - b, "low": low, "high": high, **lr, **folds}
     finally:
         sample.unpersist()
 
@@ -106,14 +97,14 @@ def heads(df: DataFrame, k: int = 16, opening: bool = True, threshold: float = 0
     df: ord, region, vector, driver_score, signed, label and gene (or, for a transfer, the test panel's label column).
     """
     own = kept(df, signed="signed", opening=opening, threshold=threshold, also=("driver_score",)).cache()
-    spark, sample = df.sparkSession, None
+    sample = None
     try:
         features = resample.head_features(own, k, magnitude=magnitude).drop("vector")
         sample = head_scores(features, test, seed, **matching).cache()
-        p, q = split(sample, "score", "driver_score", "signed")
-        out = {"n_pos": len(p), "n_neg": len(q), **{f"auroc_{n}": resample.auroc(p[:, i], q[:, i]) for i, n in enumerate(("head", "driver", "signed"))}}
-        for i, name in ((1, "driver"), (2, "signed")):
-            low, high = resample.interval(resample.paired_bootstrap(spark, p[:, [0, i]], q[:, [0, i]], n_boot, seed), "delta")
+        n_pos, n_neg = classes(sample)
+        out = {"n_pos": n_pos, "n_neg": n_neg, **{f"auroc_{n}": stats.auroc(sample, c).first()[0] for n, c in (("head", "score"), ("driver", "driver_score"), ("signed", "signed"))}}
+        for name, column in (("driver", "driver_score"), ("signed", "signed")):
+            low, high = resample.interval(draws.paired_bootstrap(sample, "score", column, n_boot, seed), "delta")
             out |= {f"delta_{name}": out["auroc_head"] - out[f"auroc_{name}"], f"low_{name}": low, f"high_{name}": high}
         return out | {"beats_both": all(out[f"low_{n}"] is not None and out[f"low_{n}"] > 0 for n in ("driver", "signed"))}
     finally:

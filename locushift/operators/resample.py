@@ -1,4 +1,4 @@
-"""Resampling and small models. The matched sample is small and checked to be; replicates are spread over tasks."""
+"""Small models, heads and the bootstrap over genes, of which a genome has few (checked). See ``draws`` for samples."""
 
 from __future__ import annotations
 
@@ -46,38 +46,11 @@ def interval(draws: DataFrame, column: str) -> tuple[float | None, float | None]
     return tuple(row) if row else (None, None)
 
 
-def bootstrap_auroc(spark, positive: np.ndarray, negative: np.ndarray, n: int = 2000, seed: int = 0) -> DataFrame:
-    return replicates(spark, n, lambda rng: (auroc(rng.choice(positive, len(positive)), rng.choice(negative, len(negative))),), "auroc double", seed)
-
-
-def paired_bootstrap(spark, positive: np.ndarray, negative: np.ndarray, n: int = 2000, seed: int = 0) -> DataFrame:
-    """Differences of two scores' AUROC; the arrays' two columns are the scores, and one resample serves both."""
-
-    def one(rng):
-        p, q = positive[rng.integers(len(positive), size=len(positive))], negative[rng.integers(len(negative), size=len(negative))]
-        return (auroc(p[:, 0], q[:, 0]) - auroc(p[:, 1], q[:, 1]),)
-
-    return replicates(spark, n, one, "delta double", seed)
-
-
-def label_shuffle(spark, score: np.ndarray, label: np.ndarray, n: int = 1000, seed: int = 0) -> DataFrame:
-    def one(rng):
-        y = rng.permutation(label)
-        return (auroc(score[y], score[~y]),)
-
-    return replicates(spark, n, one, "auroc double", seed)
-
-
 def one_sided_p(draws: DataFrame, column: str, observed: float) -> float:
     row = draws.agg(F.count_if(F.col(column) >= observed).alias("k"), F.count(F.lit(1)).alias("n")).first()
     return (1 + row["k"]) / (row["n"] + 1)
 
 
-def standardised(x: np.ndarray) -> np.ndarray:
-    sd = x.std()
-    return (x - x.mean()) / sd if sd > 0 else np.zeros_like(x, float)
-
-
 RIDGE, ROUNDS, SETTLED, LOGIT, FLOOR = 1e-6, 100, 1e-9, 30.0, 1e-9
 
 
@@ -114,16 +87,6 @@ def logistic_frame(df: DataFrame, features: list[str], label: str, ridge: float
     return beta
 
 
-def likelihood_ratio(spark, baseline: np.ndarray, driver: np.ndarray, label: np.ndarray, n: int = 1000, seed: int = 0) -> dict:
-    """What the driver adds to the baseline: LR statistic, coefficient, and p by permuting the driver."""
-    b, d, y = standardised(baseline), standardised(driver), label.astype(float)
-    _, reduced = logistic(b[:, None], y)
-    beta, full = logistic(np.column_stack([b, d]), y)
-    observed = 2 * (full - reduced)
-    draws = replicates(spark, n, lambda rng: (2 * (logistic(np.column_stack([b, rng.permutation(d)]), y)[1] - reduced),), "lr double", seed)
-    return {"lr": observed, "coef": float(beta[2]), "p": one_sided_p(draws, "lr", observed)}
-
-
 def gene_bootstrap(spark, genes: DataFrame, n: int = 2000, seed: int = 0) -> dict:
     """Accuracy with a clustered interval from (gene, n_correct, n_signed); NULL bounds for fewer than two genes."""
     rows = collected(genes, "gene", "n_correct", "n_signed")
