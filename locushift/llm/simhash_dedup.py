@@ -369,7 +369,10 @@ def true_links(sets: list[np.ndarray], sketch: np.ndarray, similarity: float, ma
 def alike_links(docs: DataFrame, texts: DataFrame, wide: int, similarity: float, margin: float, tile: int) -> DataFrame:
     """Links (u, v) of the nodes of ``texts`` (node, row, bands) that share a band and whose sets are alike."""
     buckets = texts.select("node", F.posexplode("bands").alias("t", "key"))
-    several = buckets.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "key")
+    # Near copies share many bands, mostly with the same partners: of buckets with the same nodes, one is compared.
+    members = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"m{i}") for i in range(2)]
+    several = buckets.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), *members).where("n > 1")
+    several = several.groupBy("n", "m0", "m1").agg(F.min(F.struct("t", "key")).alias("k")).select("k.t", "k.key")
     buckets = materialize(buckets.join(several, ["t", "key"]).select("t", "key", "node"), "buckets")
     sets = materialize(shingle_sets(docs, texts.select("row", "node").join(buckets.select("node").distinct(), "node"), wide), "sets")
 
