@@ -216,6 +216,35 @@ def lift_regions(spark, d):
     return intervals.lifted(regions.select(REGION), chain, "swap").select(REGION)
 
 
+BEST_SQL = CHAIN_SQL + f""",
+chains AS (SELECT chrom, b, s, t, sign, to_chrom, b % 4 * 10 AS score FROM chain UNION ALL SELECT chrom, b, b * {BLOCK}, b * {BLOCK} + 3, 1, chrom || 'z', 15 FROM blocks WHERE b % 7 <> 3),
+best AS (SELECT * FROM chains QUALIFY row_number() OVER (PARTITION BY chrom, b ORDER BY score DESC) = 1)"""
+
+
+@query(
+    """SELECT * FROM (SELECT r.ord, x.to_chrom AS chrom, x.t + x.sign * (r.start_pos - x.s) AS start_pos, y.t + y.sign * (r.end_pos - y.s) AS end_pos
+    FROM regions r JOIN best x ON x.chrom = r.chrom AND x.b = r.start_pos // %d JOIN best y ON y.chrom = r.chrom AND y.b = r.end_pos // %d
+    WHERE x.to_chrom = y.to_chrom) WHERE start_pos < end_pos""" % (BLOCK, BLOCK),
+    X.INTERVALS_SQL,
+    BEST_SQL,
+)
+def lift_by_score(spark, d):
+    """Regions moved by the better of overlapping chains, which are read from chain files."""
+    path, (regions, anchors) = shared_folder(spark, "chains"), X.intervals(spark, d)
+    ends = regions.unionByName(anchors.drop("gene")).select("chrom", F.explode(F.array("start_pos", "end_pos")).alias("at"))
+    b = ends.select("chrom", F.floor(F.col("at") / BLOCK).alias("b")).distinct()
+    at, back = F.col("b") * BLOCK, F.col("b") % 3 == 2
+
+    def head(score, to, size, strand, start):
+        fields = [F.lit("chain"), score, F.col("chrom"), at + BLOCK, F.lit("+"), at, at + BLOCK, to, size, strand, start, start + BLOCK, F.col("b")]
+        return F.concat(F.concat_ws(" ", *[c.cast("string") for c in fields]), F.lit(f"\n{BLOCK}\n")).alias("value")
+
+    one = b.where("b % 5 <> 4").select(head(F.col("b") % 4 * 10, F.concat("chrom", (F.col("b") % 2).cast("string")), at + BLOCK + 1, F.when(back, "-").otherwise("+"), F.when(back, 0).otherwise(at + 7)))
+    other = b.where("b % 7 <> 3").select(head(F.lit(15), F.concat("chrom", F.lit("z")), at + BLOCK + 3, F.lit("+"), at + 3))
+    one.union(other).write.text(path)
+    return intervals.lifted(regions.select(REGION), readers.chain(spark, path)).select(REGION)
+
+
 @query("SELECT count(*) AS n, sum(CASE WHEN cover >= 2 THEN 1 ELSE 0 END) AS n_shared FROM (SELECT count(DISTINCT r_gene) AS cover FROM regions r LEFT JOIN pairs USING (ord) GROUP BY r.ord)", X.INTERVALS_SQL)
 def core_set(spark, d):
     regions, anchors = X.intervals(spark, d)

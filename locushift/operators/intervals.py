@@ -140,19 +140,24 @@ def weighted_mean(regions: DataFrame, track: DataFrame) -> DataFrame:
 
 
 def lifted(regions: DataFrame, chain: DataFrame, on_inverted: str = "drop") -> DataFrame:
-    """Regions moved through chain blocks (chrom, start_pos, end_pos, to_chrom, to_start, sign).
+    """Regions moved through chain blocks (chrom, start_pos, end_pos, to_chrom, to_start, sign, and maybe score and id).
 
-    Both ends are moved as points, each by its first block; regions go when an end has no block or the ends land on
+    Both ends are moved as points, each by the block of the best-scoring chain that holds it (ties, and blocks without
+    scores: the smallest id, then the first block); regions go when an end has no block or the ends land on
     two chromosomes. Ends in the wrong order are swapped or dropped; empty regions go.
     """
     if on_inverted not in ("drop", "swap"):
         raise ValueError(f"on_inverted is drop or swap, not {on_inverted!r}")
 
+    score = [F.coalesce(-F.col("r_score"), F.lit(0.0))] if "score" in chain.columns else []
+    id_ = [F.col("r_id").isNull(), F.col("r_id")] if "id" in chain.columns else []
+    first = F.struct(*score, *id_, "r_ord")
+
     def moved(name: str, place: Column) -> DataFrame:
         points = regions.select("ord", "chrom", place.alias("start_pos"), (place + 1).alias("end_pos"))
         hit = overlap_pairs(points, chain)
         to = F.col("r_to_start") + F.col("r_sign") * (F.col("start_pos") - F.col("r_start_pos"))
-        return hit.groupBy("ord").agg(F.min_by(F.struct(F.col("r_to_chrom").alias("chrom"), to.alias("at")), "r_ord").alias(name))
+        return hit.groupBy("ord").agg(F.min_by(F.struct(F.col("r_to_chrom").alias("chrom"), to.alias("at")), first).alias(name))
 
     both = moved("_a", F.col("start_pos")).join(moved("_b", F.col("end_pos")), "ord").where("_a.chrom = _b.chrom")
     a, b = F.col("_a.at"), F.col("_b.at")

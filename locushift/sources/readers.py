@@ -150,30 +150,29 @@ def _parsed(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
 
 
 def chain(spark: SparkSession, path: str) -> DataFrame:
-    """A lift-over chain file (plain or gzip) as blocks: ord, chrom, start_pos, end_pos, to_chrom, to_start, sign."""
-
-    def parse(content: bytes, name: str):
-        import gzip
+    """Lift-over chain files (plain or gzip) as blocks: ord (within its chain), chrom, start_pos, end_pos, to_chrom, to_start,
+    sign, and the chain's score and id. Files are split at the chains' headers, so a plain file is read by several tasks."""
 
+    def blocks(frames):
         import pandas as pd
 
-        text = (gzip.decompress(content) if name.endswith(".gz") else content).decode()
-        out, head, t, q = [], None, 0, 0
-        for line in text.splitlines():
-            f = line.split()
-            if not f or line.startswith("#"):
-                continue
-            if f[0] == "chain":
-                head, t, q = f, int(f[5]), int(f[10])
-                continue
-            size = int(f[0])
-            forward = head[9] == "+"
-            out.append((len(out), head[2], t, t + size, head[7], q if forward else int(head[8]) - 1 - q, 1 if forward else -1))
-            if len(f) > 1:
-                t, q = t + size + int(f[1]), q + size + int(f[2])
-        return pd.DataFrame(out, columns=["ord", "chrom", "start_pos", "end_pos", "to_chrom", "to_start", "sign"])
-
-    return _parsed(spark, path, parse, "ord long, chrom string, start_pos long, end_pos long, to_chrom string, to_start long, sign int")
+        for f in frames:
+            out = []
+            for text in f["value"]:
+                rows = [r.split() for r in text.removeprefix("chain ").splitlines() if r.strip() and not r.startswith("#")]
+                if not rows:  # comments before the first chain
+                    continue
+                score, name, _, _, start, _, to, size, strand, to_start, *rest = rows[0]
+                t, q, forward = int(start), int(to_start), strand == "+"
+                for i, (n, *gaps) in enumerate(rows[1:]):
+                    end = t + int(n)
+                    out.append((i, name, t, end, to, q if forward else int(size) - 1 - q, 1 if forward else -1, float(score), int(rest[1]) if len(rest) > 1 else None))
+                    if gaps:
+                        t, q = end + int(gaps[0]), q + int(n) + int(gaps[1])
+            yield pd.DataFrame(out, columns=["ord", "chrom", "start_pos", "end_pos", "to_chrom", "to_start", "sign", "score", "id"]).astype({"id": "Int64"})
+
+    found = spark.read.option("lineSep", "\nchain ").text(path)
+    return found.mapInPandas(blocks, "ord long, chrom string, start_pos long, end_pos long, to_chrom string, to_start long, sign int, score double, id long")
 
 
 def vector(spark: SparkSession, path: str) -> DataFrame:

@@ -150,8 +150,10 @@ def test_containers(spark, tmp_path):
 
     text = "chain 1 a 1000 + 100 260 x 900 + 10 175 1\n50 10 15\n100\n\nchain 1 a 1000 + 500 520 y 300 - 20 40 2\n20\n"
     (tmp_path / "c.chain.gz").write_bytes(gzip.compress(text.encode()))
-    got = sorted(map(tuple, readers.chain(spark, str(tmp_path / "c.chain.gz")).collect()))
-    assert got == [(0, "a", 100, 150, "x", 10, 1), (1, "a", 160, 260, "x", 75, 1), (2, "a", 500, 520, "y", 279, -1)]
+    want = [(0, "a", 100, 150, "x", 10, 1, 1.0, 1), (0, "a", 500, 520, "y", 279, -1, 1.0, 2), (1, "a", 160, 260, "x", 75, 1, 1.0, 1)]
+    assert sorted(map(tuple, readers.chain(spark, str(tmp_path / "c.chain.gz")).collect())) == want
+    (tmp_path / "plain.chain").write_text("# chain files may start with comments\n" + text)
+    assert sorted(map(tuple, readers.chain(spark, str(tmp_path / "plain.chain")).collect())) == want
     np.save(tmp_path / "v.npy", np.array([1.5, 2.0]))
     assert sorted(map(tuple, readers.vector(spark, str(tmp_path / "v.npy")).collect())) == [(0, 1.5), (1, 2.0)]
     rows = spark.createDataFrame([(i, f"chr{i % 3}", i * 10, i * 10 + 5, float(i)) for i in range(30)], "ord long, chrom string, start_pos long, end_pos long, value double")
