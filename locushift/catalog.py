@@ -663,7 +663,7 @@ def claim2b_signs(spark, d):
 def tile_inference_standin(spark, d):
     a, _ = X.states(spark, d)
     rows = X.with_row(a).withColumn("features", F.col("embedding"))
-    out = prepare.embedded(rows, prepare.stand_in_model(4), size=200)
+    out = prepare.embedded(rows, lambda: prepare.stand_in_model(4), size=200)
     return out.select("row", _r(F.get("embedding", F.lit(0)).cast("double"), 3).alias("e0"), _r(F.get("embedding", F.lit(3)).cast("double"), 3).alias("e3"))
 
 

@@ -53,17 +53,37 @@ def tiles(df: DataFrame, size: int, ord_: str = "row") -> DataFrame:
     return df.withColumn("tile", F.floor(F.col(ord_) / size)).withColumn("place", F.col(ord_) % size)
 
 
-def embedded(df: DataFrame, model: Callable[[np.ndarray], np.ndarray], features: str = "features", size: int = 200, ord_: str = "row") -> DataFrame:
-    """row, embedding: a model applied to tiles of consecutive rows; any callable from (rows, inputs) to (rows, outputs)."""
+def embedded(df: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], features: str = "features", size: int = 200, ord_: str = "row", run: int = 64) -> DataFrame:
+    """row, embedding: a model applied to tiles of consecutive rows.
 
-    def work(frame):
-        import pandas as pd
-
-        frame = frame.sort_values(ord_)
-        out = np.asarray(model(np.stack(frame[features].to_numpy())), np.float32)
-        return pd.DataFrame({"row": frame[ord_].to_numpy(), "embedding": list(out)})
+    load: makes the model, once a task; a model is any callable from (rows, inputs) to (rows, outputs). Runs of ``run``
+    tiles are shuffled together and sorted, so a task reads whole tiles off its batches and holds one beside a batch.
+    """
 
-    return tiles(df.select(ord_, features), size, ord_).groupBy("tile").applyInPandas(work, "row long, embedding array<float>")
+    def work(batches):
+        import pyarrow as pa
+
+        model, held = load(), None
+
+        def outputs(t, tile):
+            x = t.column(features).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+            found = np.concatenate([np.asarray(model(part), np.float32) for part in np.split(x, np.flatnonzero(np.diff(tile)) + 1)])
+            places = pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1])
+            return pa.RecordBatch.from_arrays([t.column(ord_).combine_chunks(), pa.ListArray.from_arrays(places, pa.array(found.ravel()))], names=["row", "embedding"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            tile = t.column(ord_).to_numpy() // size
+            whole = int(np.searchsorted(tile, tile[-1])) if len(t) else 0
+            if whole:
+                yield outputs(t.slice(0, whole), tile[:whole])
+            held = t.slice(whole)
+        if held is not None and len(held):
+            yield outputs(held, held.column(ord_).to_numpy() // size)
+
+    own = df.select(F.col(ord_).cast("long").alias(ord_), features, F.floor(F.col(ord_) / (size * run)).alias("_run"))
+    return own.repartition("_run").sortWithinPartitions(ord_).select(ord_, features).mapInArrow(work, "row long, embedding array<float>")
 
 
 def stand_in_model(outputs: int = 4) -> Callable[[np.ndarray], np.ndarray]:
