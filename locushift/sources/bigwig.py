@@ -144,7 +144,7 @@ def track(spark: SparkSession, path: str, regions: DataFrame | None = None) -> D
     """The values of a track; with regions, those of the sections that overlap any of them."""
     found = sections(spark, path)
     if regions is not None:
-        found = overlap_pairs(found, regions.select("chrom", "start_pos", "end_pos").distinct()).select(found.columns).dropDuplicates(["file", "offset", "chrom_id"])
+        found = overlap_pairs(found, regions.select("chrom", "start_pos", "end_pos").distinct()).select(found.columns).distinct()
     return values(found)
 
 
