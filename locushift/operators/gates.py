@@ -71,12 +71,14 @@ def pc1_fraction(cpm: DataFrame, n: int) -> float | None:
     return float(value[-1] / value.sum()) if value.sum() > 0 else None
 
 
-def admissibility(matrix: DataFrame, universe: int = UNIVERSE) -> Admissibility:
-    """Gate 1 over long rows (ord, sample, is_a, value)."""
+def admissibility(matrix: DataFrame, universe: int | None = UNIVERSE) -> Admissibility:
+    """Gate 1 over long rows (ord, sample, is_a, value), on the ``universe`` most accessible regions; None: on all regions,
+    however many, of which fewer than UNIVERSE still count as truncated."""
     states = {r["sample"]: r["is_a"] for r in matrix.select("sample", "is_a").distinct().collect()}
     table, samples = wide(matrix)
     is_a = [bool(states[s]) for s in samples]
-    top = accessible(log_cpm(table, len(samples)), len(samples), universe).cache()
+    cpm = log_cpm(table, len(samples))
+    top = (cpm if universe is None else accessible(cpm, len(samples), universe)).cache()
     try:
         n = top.count()
         c = coherence(top, is_a).first()["coherence"]
@@ -91,7 +93,7 @@ def admissibility(matrix: DataFrame, universe: int = UNIVERSE) -> Admissibility:
         reasons.append(f"replicate coherence {'unknown' if c is None else f'{c:.3f}'} is below {LEAST_COHERENCE}")
     if pc1 is None or not pc1 >= LEAST_PC1:
         reasons.append(f"PC1 fraction {'unknown' if pc1 is None else f'{pc1:.3f}'} is below {LEAST_PC1}")
-    return Admissibility(not reasons, pc1, c, n_a, n_b, n, n < universe, reasons)
+    return Admissibility(not reasons, pc1, c, n_a, n_b, n, n < (UNIVERSE if universe is None else universe), reasons)
 
 
 @dataclass
