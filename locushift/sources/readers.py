@@ -22,6 +22,12 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return own.join(F.broadcast(blocks), ["_file", "_block"]).select((F.col("_own") + F.col("_before")).cast("long").alias("ord"), "value")
 
 
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file, or of the first file by name of a folder (a plain read begins with the largest)."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    return rows.orderBy("_file", "_block", "_id").select("value").first()[0]
+
+
 def _fields(df: DataFrame) -> DataFrame:
     return df.withColumn("f", F.split("value", "\t"))
 
@@ -66,7 +72,7 @@ def bed(spark: SparkSession, path: str, unnamed: str = "null") -> DataFrame:
 
 def replicates(spark: SparkSession, path: str, state_a: str, state_b: str) -> DataFrame:
     """Long rows (ord, sample, is_a, value) of the columns whose header holds a state's name, a's first."""
-    header = spark.read.text(path).first()[0].split("\t")
+    header = first_line(spark, path).split("\t")
     a, b = ([i for i, h in enumerate(header) if s in h] for s in (state_a, state_b))
     if not a or not b:
         raise SystemExit(f"no column holds {state_a if not a else state_b!r}")
@@ -80,7 +86,7 @@ def intensity(spark: SparkSession, path: str, column: str | int, header: bool =
     """A value track whose value column is given by name or 0-based place."""
     body = _fields(lines(spark, path)).where(F.trim("value") != "")
     if isinstance(column, str) and not column.isdigit():
-        names = spark.read.text(path).first()[0].split("\t")
+        names = first_line(spark, path).split("\t")
         if not header or column not in names:
             raise SystemExit(f"no column is named {column!r}")
         column = names.index(column)

@@ -3,7 +3,7 @@ import json
 import numpy as np
 import pytest
 
-from locushift.plans import navigate
+from locushift.plans import fixtures, navigate
 from locushift.sources import readers, writers
 
 
@@ -181,3 +181,21 @@ def test_hits_of_many_contigs(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "hits"))
     found = readers.hits(spark, str(tmp_path / "hits"), rows)
     assert found.columns == rows.columns and found.count() == 10_050
+
+
+def test_lines_are_written_by_tasks_and_keep_their_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", None)
+    path, n = str(tmp_path / "lines"), 400
+    rows = spark.range(n).repartition(7).selectExpr("id AS ord", "concat('r', id, '\t', id % 3, '\t', repeat('9', int(id % 50))) AS line")
+    with_settings = {"spark.sql.adaptive.enabled": "false"}  # as many files as partitions
+    for k, v in with_settings.items():
+        spark.conf.set(k, v)
+    try:
+        fixtures.write_lines(rows, path, ["id\ta0\tb0", ""])
+    finally:
+        for k in with_settings:
+            spark.conf.unset(k)
+    assert len(list((tmp_path / "lines").glob("part-*"))) > 1
+    got = [(r.ord, r.value.split("\t")[0]) for r in readers.lines(spark, path).orderBy("ord").collect()]
+    assert got == [(0, "id"), (1, ""), *[(i + 2, f"r{i}") for i in range(n)]]
+    assert readers.first_line(spark, path) == "id\ta0\tb0" and readers.replicates(spark, path, "a", "b").count() == 2 * n
