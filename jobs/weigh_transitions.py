@@ -52,11 +52,15 @@ def changes(regions: DataFrame, counts: DataFrame, transitions: list[dict]) -> D
     return own.join(per, F.col("ord") == F.col("_k"), "left").drop("_k")
 
 
-def weighed(table: DataFrame, i: int, transition: dict, top: float) -> tuple[DataFrame, dict]:
-    """The weights of one transition with its nominations' rank and score, and the nominations' block."""
+def scores(table: DataFrame, i: int) -> DataFrame:
+    """Driver score and direction of one transition."""
     a, b = F.col(f"a{i}"), F.col(f"b{i}")
     base = table.select("ord", *REGION, F.abs(F.coalesce(b, F.lit(0.0)) - F.coalesce(a, F.lit(0.0))).alias("change"), (b - a).alias("delta"))
-    scored = score.direction(score.driver_score(base, "change"))
+    return score.driver_score(score.direction(base), "change").select("ord", *REGION, "driver_score", "direction")
+
+
+def weighed(scored: DataFrame, transition: dict, top: float) -> tuple[DataFrame, dict]:
+    """The weights of one transition with its nominations' rank and score, and the nominations' block."""
     rows, block = nominate.nominated(scored, transition.get("gate1"), transition.get("gate2"), top)
     own = scored.select("ord", *REGION, score_field(F.col("driver_score")).alias("driver_score"), direction_field(F.col("direction")).alias("direction"))
     return own.join(rows.select(*REGION, "rank", "nomination_score"), REGION, "left"), block
@@ -71,9 +75,12 @@ def run(spark: SparkSession, regions: str, counts: str, out: str, config: dict)
         n = table.count()
         log.info("read %s regions from %s and %s counts from %s", n, regions, read.count(), counts)
         for i, t in enumerate(transitions if n else []):
-            weights, found[t["id"]] = weighed(table, i, t, config["top"])
-            path = f"{out}/transition={t['id']}"
-            weights.hint("rebalance", "chrom").write.mode("overwrite").partitionBy("chrom").parquet(path)
+            path, scored = f"{out}/transition={t['id']}", scores(table, i).cache()  # nominations take it several times
+            try:
+                weights, found[t["id"]] = weighed(scored, t, config["top"])
+                weights.hint("rebalance", "chrom").write.mode("overwrite").partitionBy("chrom").parquet(path)
+            finally:
+                scored.unpersist()
             wrote = spark.read.parquet(path).agg(F.count(F.lit(1)), F.count("rank")).first()
             log.info("wrote %s weights, %s of them nominated, to %s%s", *wrote, path, f" ({why})" if (why := found[t["id"]]["refusal_reason"]) else "")
     finally:

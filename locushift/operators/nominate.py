@@ -36,10 +36,11 @@ def nominated(weights: DataFrame, gate1: dict | None, gate2: dict | None, top: f
     if why:
         return spark.createDataFrame([], NOMINATION), {"score_source": None, "score_norm": None, "top_frac": None, "n_nominated": 0, "refused": True, "refusal_reason": why}
     signed = gate2["primary"] == "signed-Delta"
-    if signed and weights.where("direction is not null").isEmpty():
+    n = weights.where("direction is not null").count() if signed else weights.count()
+    if signed and not n:
         raise ValueError("the primary score is signed-Delta, but no direction has been measured")
     scored = primary(weights, "signed" if signed else "driver")
-    k = max(1, math.ceil(scored.count() * top))
+    k = max(1, math.ceil(n * top))
     best = top_k(scored, "primary_score", k)
     rows = best.select("chrom", "start_pos", "end_pos", "rank", score_field(F.col("primary_score")).alias("nomination_score"), direction_field(F.col("direction")).alias("direction"))
     return rows, {"score_source": gate2["primary"], "score_norm": "rank" if signed else norm, "top_frac": top, "n_nominated": k, "refused": False, "refusal_reason": None}

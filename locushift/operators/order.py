@@ -2,11 +2,13 @@
 
 Rows are dealt into value ranges whose bounds are estimated quantiles, as many as the rows need; a window runs within
 each range, and the ranges before it are added as an offset, one row per range. A value that fills a range of its own
-is dealt further by ``ord``, where that breaks its ties.
+is dealt further by ``ord``, where that breaks its ties. Bounds and the offsets of ranks are counted at once, so that
+whatever takes the ranks runs their rows once, not once more for every rank that they went through before.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,10 +58,13 @@ def row_numbers(df: DataFrame, x: str, ord_: str = "ord", name: str = "rn", desc
     """Adds 1-based ``name`` by x (ties by ord) and ``name_n``, the number of rows; x must not be NULL."""
     own = df.withColumn("_x", -F.col(x) if descending else F.col(x))
     dealt = bucketed(own, "_x", buckets=buckets, ties=ord_)
-    off = offsets(dealt, n=F.lit(1))
+    at, places, before = [], [], 0
+    for bucket, n in dealt.groupBy("_bucket").count().orderBy("_bucket").collect():  # a row a range
+        at, places, before = [*at, bucket], [*places, before], before + n
+    off = df.sparkSession.createDataFrame(pa.table({"_bucket": pa.array(at, pa.int32()), "n_before": pa.array(places, pa.int64())}))
     ranked = dealt.withColumn("_rn", F.row_number().over(W.partitionBy("_bucket").orderBy("_x", ord_)))
     joined = ranked.join(F.broadcast(off), "_bucket")
-    return joined.select(*df.columns, (F.col("_rn") + F.col("n_before")).cast("long").alias(name), F.col("n_total").cast("long").alias(f"{name}_n"))
+    return joined.select(*df.columns, (F.col("_rn") + F.col("n_before")).cast("long").alias(name), F.lit(before).cast("long").alias(f"{name}_n"))
 
 
 def average_ranks(df: DataFrame, x: str, name: str = "avg_rank", buckets: int | None = None) -> DataFrame:

@@ -28,9 +28,9 @@ def direction(df: DataFrame, delta: str = "delta", method: str = "maxabs", name:
     if method == "raw":
         return df.withColumn(name, clamp(F.col(delta), -1.0, 1.0))
     if method == "maxabs":
-        stats = df.agg(F.max(F.abs(delta)).alias("_scale"))
-        scaled = F.when(F.col(delta).isNull(), F.lit(None)).when(F.col("_scale") > 0, F.col(delta) / F.col("_scale")).otherwise(F.lit(0.0))
-        return df.join(F.broadcast(stats)).select(*df.columns, scaled.alias(name))
+        scale = F.lit(df.agg(F.max(F.abs(delta))).first()[0])  # at once: later passes over df don't look for it again
+        scaled = F.when(F.col(delta).isNull(), F.lit(None)).when(scale > 0, F.col(delta) / scale).otherwise(F.lit(0.0))
+        return df.select(*df.columns, scaled.alias(name))
     if method == "signed-rank":
         measured = df.where(F.col(delta).isNotNull()).withColumn("_size", F.abs(delta))
         ranked = row_numbers(measured, "_size", name="_rank")

@@ -116,3 +116,12 @@ def test_tally_and_primary(spark):
     signed = {r.ord: r.primary_score for r in score.primary(df, "signed").collect()}
     assert signed == {0: 1.0, 1: 0.5, 2: 0.0}
     assert score.primary(df, "driver").count() == 4
+
+
+def test_ranks_of_ranks_run_their_rows_once(spark):
+    """Each rank or direction took its input twice, so that a chain of n ran it 2**n times."""
+    df = spark.createDataFrame([(i, float(i * 7 % 20), float(i % 3 - 1)) for i in range(20)], "ord long, x double, delta double").repartition(2)
+    out = score.driver_score(score.direction(score.driver_score(df, "x", name="a")), "a", name="b")
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("LogicalRDD") == 1, text
+    assert all(r.a == r.b and r.direction == r.delta for r in out.collect())
