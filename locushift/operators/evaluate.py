@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from . import draws, resample, stats
 from .intervals import first_name
 
@@ -76,19 +77,16 @@ def head_scores(df: DataFrame, test: str | None = None, seed: int = 0, **matchin
     by one, or, with ``test`` (the label column of a second panel), of that panel by a head of the first.
 
     Either panel has its positives and negatives matched by the size of ``signed``; in a transfer, regions of the training
-    sample are neither positives nor negatives of the test.
+    sample are neither positives nor negatives of the test. Samples are written, not cached (see ``resample.transfer``).
     """
     sized, also = df.withColumn("_size", F.abs("signed")), ("driver_score", "signed")
     train = matched_sample(sized, "_size", seed=seed, **matching)
     if test is None:
         return resample.leave_one_gene_out(train, seed, also=also)
-    train = train.cache()
-    try:
-        used = train.select("ord", F.lit(True).alias("_used"))
-        second = sized.join(used, "ord", "left").withColumn("label", F.col(test) & F.col("_used").isNull()).drop("_used")
-        return resample.transfer(train, matched_sample(second, "_size", seed=seed + 1, **matching), also=also)
-    finally:
-        train.unpersist()
+    train = scratch.kept(train, "head-train")
+    used = train.select("ord", F.lit(True).alias("_used"))
+    second = scratch.kept(sized.join(used, "ord", "left").withColumn("label", F.col(test) & F.col("_used").isNull()).drop("_used"), "head-second")
+    return resample.transfer(train, matched_sample(second, "_size", seed=seed + 1, **matching), also=also)
 
 
 def heads(df: DataFrame, k: int = 16, opening: bool = True, threshold: float = 0.0, magnitude: bool = True, test: str | None = None, seed: int = 0, n_boot: int = 2000, **matching) -> dict:
@@ -96,21 +94,15 @@ def heads(df: DataFrame, k: int = 16, opening: bool = True, threshold: float = 0
 
     df: ord, region, vector, driver_score, signed, label and gene (or, for a transfer, the test panel's label column).
     """
-    own = kept(df, signed="signed", opening=opening, threshold=threshold, also=("driver_score",)).cache()
-    sample = None
-    try:
-        features = resample.head_features(own, k, magnitude=magnitude).drop("vector")
-        sample = head_scores(features, test, seed, **matching).cache()
-        n_pos, n_neg = classes(sample)
-        out = {"n_pos": n_pos, "n_neg": n_neg, **{f"auroc_{n}": stats.auroc(sample, c).first()[0] for n, c in (("head", "score"), ("driver", "driver_score"), ("signed", "signed"))}}
-        for name, column in (("driver", "driver_score"), ("signed", "signed")):
-            low, high = resample.interval(draws.paired_bootstrap(sample, "score", column, n_boot, seed), "delta")
-            out |= {f"delta_{name}": out["auroc_head"] - out[f"auroc_{name}"], f"low_{name}": low, f"high_{name}": high}
-        return out | {"beats_both": all(out[f"low_{n}"] is not None and out[f"low_{n}"] > 0 for n in ("driver", "signed"))}
-    finally:
-        own.unpersist()
-        if sample is not None:
-            sample.unpersist()
+    own = scratch.kept(kept(df, signed="signed", opening=opening, threshold=threshold, also=("driver_score",)), "head-rows")
+    features = scratch.kept(resample.head_features(own, k, magnitude=magnitude).drop("vector"), "head-features")
+    sample = scratch.kept(head_scores(features, test, seed, **matching), "head-scores")
+    n_pos, n_neg = classes(sample)
+    out = {"n_pos": n_pos, "n_neg": n_neg, **{f"auroc_{n}": stats.auroc(sample, c).first()[0] for n, c in (("head", "score"), ("driver", "driver_score"), ("signed", "signed"))}}
+    for name, column in (("driver", "driver_score"), ("signed", "signed")):
+        low, high = resample.interval(draws.paired_bootstrap(sample, "score", column, n_boot, seed), "delta")
+        out |= {f"delta_{name}": out["auroc_head"] - out[f"auroc_{name}"], f"low_{name}": low, f"high_{name}": high}
+    return out | {"beats_both": all(out[f"low_{n}"] is not None and out[f"low_{n}"] > 0 for n in ("driver", "signed"))}
 
 
 def signs(df: DataFrame, opening: DataFrame, closing_: DataFrame, seed: int = 0, n_boot: int = 2000) -> dict:

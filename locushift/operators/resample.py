@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
 MOST_ROWS = 200_000
 
 
@@ -246,17 +248,18 @@ def leave_one_gene_out(sample: DataFrame, seed: int = 0, ridge: float = RIDGE, a
 
     sample: ord, label, gene (NULL for negatives), features array.
     """
-    rows, n = gene_folds(sample.select("ord", "label", "gene", "features", *also), seed)
-    rows = rows.cache()
-    try:
-        beta = fits(rows, n, ridge)
-    finally:
-        rows.unpersist()
-    return scored(rows, beta).select("ord", "label", "score", *also)
+    rows, n = gene_folds(kept(sample.select("ord", "label", "gene", "features", *also), "head-sample"), seed)
+    rows = kept(rows, "head-folds")
+    return scored(rows, fits(rows, n, ridge)).select("ord", "label", "score", *also)
 
 
 def transfer(train: DataFrame, test: DataFrame, ridge: float = RIDGE, also: tuple[str, ...] = ()) -> DataFrame:
-    """Scores of the test panel's rows, without the training regions, by a head fitted on the training panel."""
+    """Scores of the test panel's rows, without the training regions, by a head fitted on the training panel.
+
+    The sample of a fit is written and read again: a Newton round then runs neither what led to it nor a Python task for
+    each partition of a shuffle, as it would over a cached one, but one for each part of the files.
+    """
+    train = kept(train.select("ord", "label", "features"), "head-sample")
     beta = fits(train.withColumn("fold", F.lit(-1)), 1, ridge)
     if not beta:
         raise ValueError("the training panel needs positives and negatives")

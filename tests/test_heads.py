@@ -83,3 +83,13 @@ def test_heads_transfer_shared_directions_only(spark, shared):
     if shared:
         genes = evaluate.heads(df, 8, n_boot=200)
         assert genes["beats_both"] and genes["n_pos"] == 120 and genes["low_driver"] <= genes["delta_driver"] <= genes["high_driver"]
+
+
+def test_a_newton_round_runs_few_tasks_whatever_made_the_sample(spark, monkeypatch):
+    """A cached sample has the partitions of the shuffle before it, each a Python task of every round."""
+    tasks, sums = [], resample.newton_sums
+    monkeypatch.setattr(resample, "newton_sums", lambda sample, *rest: tasks.append(sample.rdd.getNumPartitions()) or sums(sample, *rest))
+    df = frame(spark, *made(n=300)).repartition(40)
+    assert resample.leave_one_gene_out(df).count() == 260
+    assert resample.transfer(df.where("ord % 3 < 2"), df).count() == 100
+    assert len(tasks) > 4 and max(tasks) < 10
