@@ -27,14 +27,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.intervals import overlap_pairs
+from ..operators.intervals import covered, overlap_pairs
 from .ranges import opened, put
+from .scratch import kept
 
 #: Fixed values of the format: each level's first bin and the bits of a position that its bins hold.
 LEVELS = ((4681, 14), (585, 17), (73, 20), (9, 23), (1, 26), (0, 29))
 MOST = 1 << 29
 WINDOW_BITS = 14
 TEXT = 0xFF00  # bytes of text in a block
+ROWS = 500_000  # records of a file, about
+PART = 1 << 19  # bytes of files for a reading task, about
 BED = 0x10000  # the format flag for 0-based, half-open positions
 END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")  # the empty block that ends a file
 INDEX = "file string, chrom string, kind string, bin int, first long, after long, c_chrom int, c_start int, c_end int, base int"
@@ -151,7 +154,9 @@ def records(parts: DataFrame) -> DataFrame:
                 if rest:
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at + len(rest) + TEXT]), pa.array([rest], pa.binary()).cast(pa.string()), *[pa.array([row[c]], pa.int32()) for c in names[3:]]], names=names)
 
-    dealt = parts.repartitionByRange("file", "first").sortWithinPartitions("file", "first")
+    # The parts' rows are few bytes, of which Spark would make one task; what they stand for decides.
+    size = parts.agg(F.sum(F.shiftright("after", 16) - F.shiftright("first", 16))).first()[0] or 0
+    dealt = parts.repartitionByRange(size // PART + 1, "file", "first").sortWithinPartitions("file", "first")
     lines = dealt.mapInArrow(work, "file string, at long, line string, c_chrom int, c_start int, c_end int, base int")
     fields = lines.where((F.trim("line") != "") & ~F.col("line").startswith("#")).withColumn("fields", F.split("line", "\t"))
     number = lambda c: F.get("fields", F.col(c)).cast("long")
@@ -160,9 +165,10 @@ def records(parts: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, path: str, regions: DataFrame) -> DataFrame:
     """file, at, chrom, start_pos, end_pos, fields: the records that overlap any of the regions (chrom, start_pos, end_pos), each once."""
-    regions = regions.select("chrom", "start_pos", "end_pos").distinct()
-    found = records(chunks(index(spark, path), regions))
-    return overlap_pairs(found, regions).select(found.columns).dropDuplicates(["file", "at", "chrom", "start_pos", "end_pos"])
+    own = kept(covered(regions), "covered")
+    found = records(kept(chunks(index(spark, path), own), "chunks"))
+    first = F.col("r_reach").isNull() | (F.col("r_reach") <= F.col("start_pos"))  # one of the stretches that a record overlaps
+    return overlap_pairs(found, own).where(first).select(found.columns)
 
 
 # --- writing --------------------------------------------------------------------------------------------------------
@@ -218,13 +224,14 @@ def packed(chrom: list[str], start: np.ndarray, end: np.ndarray, lines: list[byt
     return b"".join(body) + END, b"".join(block(raw[i : i + TEXT]) for i in range(0, len(raw), TEXT)) + END
 
 
-def write(df: DataFrame, path: str, files: int = 8) -> int:
-    """chrom, start_pos, end_pos and all other columns (as text) to ``files`` files or fewer with an index each, dealt by
-    ranges of chromosome and start; the number of rows. A file is named by its range, so a task that is run again writes
-    the same file; each is made up in its task's memory."""
+def write(df: DataFrame, path: str, files: int | None = None) -> int:
+    """chrom, start_pos, end_pos and all other columns (as text) to ``files`` files or fewer (by default 8, or more, so that
+    each has about ROWS rows) with an index each, dealt by ranges of chromosome and start; the number of rows. A file is
+    named by its range, so a task that is run again writes the same file; each is made up in its task's memory."""
     rest = [c for c in df.columns if c not in ("chrom", "start_pos", "end_pos")]
     line = F.concat_ws("\t", "chrom", F.col("start_pos").cast("string"), F.col("end_pos").cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rest])
     rows = df.select("chrom", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"), line.alias("line"))
+    files = files or max(8, -(-df.count() // ROWS))
     dealt = rows.repartitionByRange(files, "chrom", "start_pos").sortWithinPartitions("chrom", "start_pos", "end_pos", "line").withColumn("part", F.spark_partition_id())
 
     def work(batches):

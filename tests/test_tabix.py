@@ -105,3 +105,21 @@ def test_positions_beyond_the_format(spark, tmp_path):
     with pytest.raises(Exception, match="don't fit"):
         tabix.write(spark.createDataFrame([(1, "c", 1 << 30, (1 << 30) + 5, "x")], ROWS), str(tmp_path))
     assert tabix.write(spark.createDataFrame([], ROWS), f"{tmp_path}/none") == 0
+
+
+def test_pairs_do_not_grow_with_regions_that_cover_each_other(spark, tmp_path, monkeypatch):
+    rows = [(i, "chr1", i * 10, i * 10 + (i % 3) * 10, None) for i in range(300)]  # some empty, some over a seam
+    regions = [("chr1", s, 2000 + s) for s in range(200)] + [("chr1", 2300, 2310), ("chr1", 2310, 2320), ("chr1", 2340, 2340), ("chr1", 2345, 2345)]
+    pairs, join = [], tabix.overlap_pairs
+    monkeypatch.setattr(tabix, "overlap_pairs", lambda *a: pairs.append(join(*a)) or pairs[0])
+    tabix.write(spark.createDataFrame(rows, ROWS), str(tmp_path))
+    got = scanned(spark, str(tmp_path), regions)
+    assert got == wanted(regions, rows) and got
+    assert pairs[0].count() <= 2 * len(got)
+
+
+def test_reading_tasks_follow_the_bytes_to_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tabix, "PART", 1 << 12, raising=False)
+    tabix.write(spark.range(20_000).selectExpr("id ord", "'chr1' chrom", "id * 100 start_pos", "id * 100 + 50 end_pos", "md5(string(id)) name"), str(tmp_path), files=1)
+    found = tabix.records(tabix.chunks(tabix.index(spark, str(tmp_path)), region_frame(spark, [("chr1", 0, 1 << 29)])))
+    assert found.rdd.getNumPartitions() > 8 and found.count() == 20_000
