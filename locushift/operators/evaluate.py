@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import scratch
 from . import draws, resample, stats
-from .intervals import first_name
+from .intervals import PLACE, with_first
 
 
 def kept(df: DataFrame, confound: str | None = None, signed: str | None = None, opening: bool = False, threshold: float = 0.0, also: tuple[str, ...] = ()) -> DataFrame:
@@ -110,12 +110,14 @@ def signs(df: DataFrame, opening: DataFrame, closing_: DataFrame, seed: int = 0,
     base = stats.opening_rate(df).first()[0]
     out: dict = {"opening_rate": base}
     for name, anchors, sign in (("opening", opening, 1), ("closing", closing_, -1)):
-        hit = first_name(df.where("direction is not null"), anchors).where("gene is not null").withColumn("expected", F.lit(sign))
-        genes = hit.where("direction <> 0").groupBy("gene").agg(F.sum((F.signum("direction") == F.col("expected")).cast("long")).alias("n_correct"), F.count(F.lit(1)).alias("n_signed"))
-        own = stats.sign_accuracy(hit).first().asDict()
+        measured = df.where("direction is not null").select(*PLACE, "direction", F.lit(sign).alias("expected"))
+        counts = scratch.kept(stats.sign_counts(with_first(measured, anchors).where("gene is not null"), "gene"), "signs")
+        genes = counts.groupBy("gene").agg(F.sum("n_correct").alias("n_correct"), F.sum("n_signed").alias("n_signed"))
+        own = counts.agg(F.try_divide(F.sum("n_correct"), F.sum("n_signed")).alias("accuracy"), F.coalesce(F.sum("n_signed"), F.lit(0)).alias("n_signed")).first().asDict()
+        sizes = counts.groupBy("bin").agg((F.sum("n_correct") / F.sum("n_signed")).alias("accuracy"), F.sum("n_signed").alias("n"))
         boot = resample.gene_bootstrap(df.sparkSession, genes, n_boot, seed)
         rate = base if sign > 0 or base is None else 1 - base
-        out[name] = own | {"n_genes": genes.count(), "low": boot["low"], "high": boot["high"], "beats_base": boot["low"] is not None and rate is not None and boot["low"] > rate, "strata": [r.asDict() for r in stats.accuracy_by_size(hit).orderBy("bin").collect()]}
+        out[name] = own | {"n_genes": genes.count(), "low": boot["low"], "high": boot["high"], "beats_base": boot["low"] is not None and rate is not None and boot["low"] > rate, "strata": [r.asDict() for r in stats.strata(sizes).orderBy("bin").collect()]}
     both = [out[k]["accuracy"] for k in ("opening", "closing")]
     out["balanced_accuracy"] = None if None in both else sum(both) / 2
     return out

@@ -130,18 +130,33 @@ def sign_accuracy(df: DataFrame, by: list[str] | None = None, name: str = "direc
 EDGES = (0.0, 0.02, 0.05, 0.1, 0.2, 0.5, 1.01)
 
 
-def accuracy_by_size(df: DataFrame, edges=EDGES, name: str = "direction", expected: str = "expected") -> DataFrame:
-    """Sign accuracy by bins [low, high) of the direction's size; empty bins stay, with n 0."""
-    bins = df.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))], "bin int, low double, high double")
-    d = F.col(name)
-    size = F.abs(d)
-    place = F.lit(None).cast("int")
+def size_bin(name: str, edges=EDGES) -> Column:
+    """The bin [low, high) of a direction's size; NULL outside."""
+    size, place = F.abs(F.col(name)), F.lit(None).cast("int")
     for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         place = F.when((size >= a) & (size < b), F.lit(i)).otherwise(place)
-    per = df.where(d != 0).withColumn("bin", place).groupBy("bin").agg(F.avg((F.signum(d) == F.col(expected)).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    return place
+
+
+def sign_counts(df: DataFrame, *by: str, name: str = "direction", expected: str = "expected") -> DataFrame:
+    """n_correct and n_signed of the non-flat directions, by the given columns and the bin of their size."""
+    d = F.col(name)
+    return df.where(d != 0).groupBy(*by, size_bin(name).alias("bin")).agg(F.sum((F.signum(d) == F.col(expected)).cast("long")).alias("n_correct"), F.count(F.lit(1)).alias("n_signed"))
+
+
+def strata(per: DataFrame, edges=EDGES) -> DataFrame:
+    """bin, low, high, n, accuracy for every bin of size; those that ``per`` lacks have n 0."""
+    bins = per.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))], "bin int, low double, high double")
     return bins.join(per, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"), "accuracy")
 
 
+def accuracy_by_size(df: DataFrame, edges=EDGES, name: str = "direction", expected: str = "expected") -> DataFrame:
+    """Sign accuracy by bins [low, high) of the direction's size; empty bins stay, with n 0."""
+    d = F.col(name)
+    per = df.where(d != 0).groupBy(size_bin(name, edges).alias("bin")).agg(F.avg((F.signum(d) == F.col(expected)).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    return strata(per, edges)
+
+
 def opening_rate(df: DataFrame, name: str = "direction") -> DataFrame:
     d = F.col(name)
     return df.where(d != 0).agg(F.avg((d > 0).cast("double")).alias("opening_rate"))

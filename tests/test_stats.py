@@ -166,3 +166,26 @@ def test_registered_queries_do_the_whole_job(spark, data, monkeypatch):
     for name in ("bootstrap_ci", "lr_test"):
         catalog.QUERIES[name](spark, data)
     assert asked == [{}, {}] and catalog.QUERIES["shuffle_null"](spark, data).count() == 1000
+
+
+def test_signs_of_anchors_are_counted_once(spark, monkeypatch):
+    """A region takes the gene of the first anchor by start; all figures come from counts by gene and size, written once."""
+    from locushift.operators import evaluate
+    from locushift.sources import scratch
+
+    made, kept = [], scratch.kept
+    monkeypatch.setattr(scratch, "kept", lambda df, name: made.append(kept(df, name)) or made[-1])
+    rows = [(i, "a", 10 * i, 10 * i + 10, None if i % 5 == 0 else (0.0 if i % 7 == 0 else (i % 4 - 1.5) / 3)) for i in range(60)]
+    anchors = [(0, "a", 0, 155, "g0"), (1, "a", 120, 420, "g1"), (2, "a", 130, 200, "g2"), (3, "a", 450, 500, None)]
+    df = spark.createDataFrame(rows, "ord long, chrom string, start_pos long, end_pos long, direction double")
+    named = spark.createDataFrame(anchors, "ord long, chrom string, start_pos long, end_pos long, gene string")
+    out = evaluate.signs(df, named, named.where("ord = 2"), n_boot=50)
+    hit = [(d, next(g for _, _, a, b, g in anchors if s < b and e > a)) for _, _, s, e, d in rows if d is not None and any(s < b and e > a for _, _, a, b, _ in anchors)]
+    signed = [(d, g) for d, g in hit if g is not None and d != 0]
+    assert (out["opening"]["n_signed"], out["opening"]["accuracy"], out["opening"]["n_genes"]) == (len(signed), sum(d > 0 for d, _ in signed) / len(signed), 2)
+    closing = [d for _, _, s, e, d in rows if d and s < 200 and e > 130]
+    assert out["closing"]["accuracy"] == sum(d < 0 for d in closing) / len(closing) and out["closing"]["low"] is None
+    assert [(r["bin"], r["n"]) for r in out["opening"]["strata"]] == [(i, sum(a <= abs(d) < b for d, _ in signed)) for i, (a, b) in enumerate(zip(stats.EDGES, stats.EDGES[1:]))]
+    assert [x.columns for x in made] == [["gene", "bin", "n_correct", "n_signed"]] * 2
+    none = evaluate.signs(df, named.where("ord = 9"), named, n_boot=5)["opening"]
+    assert (none["accuracy"], none["n_signed"], none["n_genes"], [r["n"] for r in none["strata"]]) == (None, 0, 0, [0] * 6)
